@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexolith.llm import fingerprint, langid, mixing, packing, quality, secrets, tokens, topk, urls
+from lexolith.llm import fingerprint, jaccard, langid, mixing, packing, quality, secrets, tokens, topk, urls
 from lexolith.llm.common import table
 
 #: The rules against which pages are judged.
@@ -64,9 +64,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, held_out)
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_topk, op2_token_counts, op3_secret_scans, op4_mix_sources, op5_quality, op6_fingerprints, op7_packing, op8_url_filters, op9_language_id)
+    for f in (op1_topk, op2_token_counts, op3_secret_scans, op4_mix_sources, op5_quality, op6_fingerprints, op7_packing, op8_url_filters, op9_language_id, op10_ngram_jaccard)
 }
 
 ORACLE_SQL = {
