@@ -15,8 +15,7 @@ from lexolith.llm.common import checkpointed, table
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps; the trusted rows are those of the table of labels."""
-    judged = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return judged.filter("__keep").select(docs.columns)
+    return quality.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
