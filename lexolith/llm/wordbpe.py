@@ -15,7 +15,7 @@ import regex
 #: Fixed values of the vocabulary file: Unicode White_Space, as its normaliser folds it.
 WHITE_SPACE = r"[\t-\r \x85\xa0  -     　]+"
 #: Python's own split() also cuts at these four, which the vocabulary keeps inside a word.
-_SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _SPLIT = regex.compile(WHITE_SPACE)
 
 
@@ -42,6 +42,6 @@ def pieces(text: str) -> list[str]:
         if "Σ" in text:  # the vocabulary lower-cases character by character, so no final sigma
             text = text.replace("Σ", "σ")
     text = text.lower()
-    if _SEPARATORS.isdisjoint(text):
-        return text.split()
-    return [p for p in _SPLIT.split(text) if p]
+    if any(c in text for c in _SEPARATORS):
+        return [p for p in _SPLIT.split(text) if p]
+    return text.split()
