@@ -1,11 +1,7 @@
-"""The registered queries of the library and their DuckDB forms."""
+"""All registered queries of the library."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lexolith.queries import ORACLE_SQL, QUERIES, answers, corpus, evaluation, lifecycle, retrieval, scalars  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-FLAGSHIP = "vector_topk"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "retrieval_pipeline"
