@@ -1,0 +1,100 @@
+"""Contexts, citations and the guard."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexolith.functions import citations
+from lexolith.operators.answers import contexts, guarded
+from lexolith.queries import query
+from lexolith.sources.tables import table
+
+#: Assistant turns with markers and a fact map added by a fixed rule, in both engines.
+ANSWERS_SQL = """
+answers AS (
+    SELECT conv_id, turn, replace(text, '. ', ' [' || (turn % 3 + 1) || ', ' || (conv_id % 4 + 1) || ']. ') || ' [1][2]' AS body,
+        CASE WHEN conv_id % 5 = 0 THEN '' WHEN conv_id % 5 = 1 THEN ' <FACT_MAP_JSON>[]</FACT_MAP_JSON>' ELSE
+            ' <FACT_MAP_JSON>[{"citationId":1,"documentFilename":"a.pdf","individualPageNumbers":"1,2,3","documentId":"d1"},{"citationId":"2","documentFilename":"b.pdf","individualPageNumbers":"' || turn || '","documentId":"d' || (conv_id % 2 + 1) || '"}]</FACT_MAP_JSON>' END AS block
+    FROM conversations WHERE role = 'assistant'
+)"""
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    marker = F.concat(F.lit(" ["), (F.col("turn") % 3 + 1).cast("string"), F.lit(", "), (F.col("conv_id") % 4 + 1).cast("string"), F.lit("]. "))
+    body = F.concat(F.replace(F.col("text"), F.lit(". "), marker), F.lit(" [1][2]"))
+    entries = F.concat(
+        F.lit(' <FACT_MAP_JSON>[{"citationId":1,"documentFilename":"a.pdf","individualPageNumbers":"1,2,3","documentId":"d1"},{"citationId":"2","documentFilename":"b.pdf","individualPageNumbers":"'),
+        F.col("turn").cast("string"), F.lit('","documentId":"d'), (F.col("conv_id") % 2 + 1).cast("string"), F.lit('"}]</FACT_MAP_JSON>'),
+    )
+    block = F.when(F.col("conv_id") % 5 == 0, "").when(F.col("conv_id") % 5 == 1, " <FACT_MAP_JSON>[]</FACT_MAP_JSON>").otherwise(entries)
+    return turns.select("conv_id", "turn", body.alias("body"), block.alias("block"), F.concat(body, block).alias("raw"))
+
+
+@query(r"""
+WITH c AS (SELECT d.source AS query_id, d.lang AS document_id, d.doc_id AS rank, left(d.text, 200) AS chunk, 'f' || d.doc_id || '.txt' AS file_name, CASE WHEN d.doc_id % 4 > 0 THEN d.doc_id % 4 END AS page_number FROM documents d),
+docs AS (
+    SELECT query_id, document_id, min(rank) AS rank, '<document><id>' || document_id || '</id><name>' || arg_min(file_name, rank) || '</name>' ||
+        string_agg('<passage><page>' || coalesce(page_number::varchar, '') || '</page><text>' || chunk || '</text></passage>', '' ORDER BY rank) || '</document>' AS d
+    FROM c GROUP BY query_id, document_id
+)
+SELECT query_id, md5('<documents>' || string_agg(d, '' ORDER BY rank) || '</documents>') AS context_md5 FROM docs GROUP BY query_id
+""")
+def doc_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source as a question whose documents are its languages."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(
+        F.col("source").alias("query_id"), F.col("lang").alias("document_id"), F.col("doc_id").alias("rank"), F.left("text", F.lit(200)).alias("chunk"),
+        F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") % 4).alias("page_number"),
+        F.array(F.struct(F.lit("lang").alias("key"), F.col("lang").alias("value"))).alias("custom_metadata"),
+    )
+    return contexts(rows).select("query_id", F.md5(F.col("context").cast("binary")).alias("context_md5"))
+
+
+@query(rf"""
+WITH {ANSWERS_SQL}
+SELECT conv_id, turn, trim(regexp_replace(regexp_replace(body, '\[(\d+)\s*[,;]\s*(\d+)\]', '[\1][\2]', 'g'), '\[\d+\]', '', 'g')) AS stripped,
+    len(regexp_extract_all(regexp_replace(body, '\[(\d+)\s*[,;]\s*(\d+)\]', '[\1][\2]', 'g'), '\[\d+\]'))::bigint AS n_markers
+FROM answers
+""")
+def citation_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = answers(spark, sf_dir)
+    body = F.col("body")
+    return rows.select("conv_id", "turn", F.trim(citations.without_markers(body)).alias("stripped"), citations.bare_markers(citations.split_joined_ids(body)).cast("bigint").alias("n_markers"))
+
+
+@query(rf"""
+WITH {ANSWERS_SQL},
+n AS (SELECT *, trim(regexp_replace(body, '\[(\d+)\s*[,;]\s*(\d+)\]', '[\1][\2]', 'g')) AS text FROM answers),
+m AS (SELECT *, len(regexp_extract_all(text, '\[\d+\]'))::int AS inline FROM n)
+SELECT conv_id, turn, block <> '' AS json_block, conv_id % 5 = 1 AS empty_fact_map, inline AS inline_markers,
+    CASE WHEN conv_id % 5 < 2 THEN inline ELSE len(regexp_extract_all(text, '\[[34]\]'))::int END AS stripped FROM m
+""")
+def citation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = citations.with_outcome(answers(spark, sf_dir), "raw")
+    return rows.select("conv_id", "turn", *[F.col(f"outcome.{c}").alias(c) for c in ("json_block", "empty_fact_map", "inline_markers", "stripped")])
+
+
+@query()
+def citation_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return citations.with_outcome(answers(spark, sf_dir), "raw").select("conv_id", "turn", "outcome.*")
+
+
+@query("""
+WITH o AS (
+    SELECT event_id, CASE user_id % 3 WHEN 0 THEN 'OFF' WHEN 1 THEN 'DELIVER' ELSE 'REJECT' END AS mode, (event_id % 3 + 1)::int AS attempt,
+        event_type = 'click' AS json_block, event_id % 2 = 0 AS empty_fact_map, (event_id % 5)::int AS inline, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS rendered FROM events
+),
+f AS (SELECT *, mode = 'OFF' OR rendered >= 1 OR (json_block AND empty_fact_map AND inline = 0) AS fine FROM o)
+SELECT event_id, mode, CASE WHEN fine THEN 'DELIVER' WHEN attempt < 3 THEN 'RETRY' WHEN mode = 'DELIVER' THEN 'DELIVER_DEGRADED' ELSE 'FAIL' END AS verdict,
+    CASE WHEN NOT fine THEN 'Citations missing: block=' || json_block || ', inline=' || inline || ', rendered=' || rendered END AS reason FROM f
+""")
+def guard_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcome = F.struct(
+        (F.col("event_type") == "click").alias("json_block"), (F.col("event_id") % 2 == 0).alias("empty_fact_map"), (F.col("event_id") % 5).cast("int").alias("inline_markers"),
+        F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("rendered"),
+    )
+    mode = F.when(F.col("user_id") % 3 == 0, "OFF").when(F.col("user_id") % 3 == 1, "DELIVER").otherwise("REJECT")
+    rows = table(spark, sf_dir, "events").select("event_id", mode.alias("mode"), (F.col("event_id") % 3 + 1).cast("int").alias("attempt"), outcome.alias("outcome"))
+    return guarded(rows).select("event_id", "mode", "verdict", "reason")

@@ -1,0 +1,128 @@
+"""Ingestion and migration over the documents and pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexolith.config import Chunking
+from lexolith.functions.predicates import is_active
+from lexolith.functions.text import joined_lines
+from lexolith.operators import ingestion, migrate
+from lexolith.queries import query
+from lexolith.sources.payloads import page_lines
+from lexolith.sources.tables import metadata, table
+
+CHUNKING = Chunking()
+
+
+def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), F.col("source").alias("client_id"), "text")
+
+
+CHUNKS_SQL = """
+cuts AS (
+    SELECT doc_id AS document_id, source AS client_id, text, unnest(range(0, greatest(0, ceil((length(text) - 500) / 3500.0)::int - 1) + 1)) AS chunk_index FROM documents
+),
+chunks AS (SELECT document_id, client_id, chunk_index, substr(text, chunk_index * 3500 + 1, 4000) AS chunk FROM cuts),
+kept AS (SELECT * FROM chunks WHERE length(trim(chunk)) > 10)"""
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT document_id, chunk_index::int AS chunk_index, length(chunk)::int AS n_chars, md5(chunk) AS chunk_md5 FROM kept")
+def chunk_fixed_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ingestion.chunked(document_pages(spark, sf_dir), ingestion.strided(F.col("text"), CHUNKING), CHUNKING)
+    return rows.select("document_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+
+
+@query()
+def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = ingestion.split_recursively(CHUNKING)
+    return ingestion.chunked(document_pages(spark, sf_dir), split(F.col("text")), CHUNKING)
+
+
+@query("""
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS page_number, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id AS document_id, page_number::int AS page_number, 0 AS chunk_index, length(line)::int AS n_chars FROM l WHERE length(trim(line)) > 10 AND length(line) <= 4000
+""")
+def chunk_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line as a page: page numbers from 1, chunk numbers from 0 within the page."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(None).cast("string").alias("client_id"), F.posexplode(F.split("text", "\n")).alias("page_number", "text"))
+    pages = docs.withColumn("page_number", F.col("page_number") + 1).filter(F.length("text") <= 4000)
+    rows = ingestion.chunked(pages, ingestion.strided(F.col("text"), CHUNKING), CHUNKING)
+    return rows.select("document_id", "page_number", "chunk_index", F.length("chunk").alias("n_chars"))
+
+
+@query(f"""
+WITH {CHUNKS_SQL},
+numbered AS (SELECT *, (row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) - 1) // 8 AS batch FROM kept)
+SELECT document_id, batch, count(*) AS n_chunks, sum(length(chunk))::bigint AS n_chars, (sum(length(chunk)) // count(*))::bigint AS mean_chars, (sum(length(chunk)) // 4)::bigint AS tokens
+FROM numbered GROUP BY document_id, batch
+""")
+def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In batches of eight, so that long documents fill several."""
+    rows = ingestion.chunked(document_pages(spark, sf_dir), ingestion.strided(F.col("text"), CHUNKING), CHUNKING)
+    return ingestion.embedding_batches(rows, 8)
+
+
+@query()
+def page_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw pages to lines to chunks."""
+    pages = table(spark, sf_dir, "pages")
+    texts = pages.select(F.col("page_id").alias("document_id"), F.lit(1).alias("page_number"), F.lit(None).cast("string").alias("client_id"), joined_lines(page_lines(F.col("html"))).alias("text"))
+    return ingestion.chunked(texts, ingestion.strided(F.col("text"), CHUNKING), CHUNKING)
+
+
+@query("""
+SELECT d.doc_id, d.source IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE quality = 0) AND d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) AS newly_off,
+    NOT coalesce(l.toxic = 1, false) AND d.doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) AS active
+FROM documents d LEFT JOIN labels l USING (doc_id)
+""")
+def supersede_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of low quality are superseded; those that were inactive before get no second mark."""
+    own = F.array(F.struct(F.lit("documentId").alias("key"), F.col("doc_id").cast("string").alias("value")))
+    rows = metadata(spark, sf_dir).select(F.col("doc_id").alias("id"), F.concat("custom_metadata", own).alias("custom_metadata"))
+    gone = table(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").alias("document_id"))
+    after = ingestion.superseded(rows, gone)
+    off = F.exists("custom_metadata", lambda m: (m["key"] == "is_active") & (m["value"] == "false"))
+    hit = after.join(gone.distinct(), after["id"] == gone["document_id"], "left").withColumn("newly_off", F.col("document_id").isNotNull() & off)
+    return hit.select(F.col("id").alias("doc_id"), "newly_off", is_active(F.col("custom_metadata")).alias("active"))
+
+
+@query("""
+WITH v AS (SELECT doc_id AS id, 1 AS arrived_at, text FROM documents UNION ALL SELECT doc_id, 2, upper(lang) FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 3, source FROM documents WHERE doc_id % 6 = 0)
+SELECT id, arrived_at, text FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY arrived_at DESC) = 1
+""")
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    version = lambda rows, nr, text: rows.select(F.col("doc_id").alias("id"), F.lit(nr).alias("arrived_at"), text.alias("text"))
+    later = version(docs.filter("doc_id % 3 = 0"), 2, F.upper("lang")).unionByName(version(docs.filter("doc_id % 6 = 0"), 3, F.col("source")))
+    return ingestion.upserted(version(docs, 1, F.col("text")), later)
+
+
+@query("""
+WITH r AS (SELECT doc_id, md5(doc_id::varchar) AS id FROM documents)
+SELECT substr(id, 1, 1) AS shard, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM r GROUP BY 1
+""")
+def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("id"))
+    return migrate.sharded(rows).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+@query("SELECT 'embeddings' AS name, count(*) AS n_source, count(*) FILTER (len(embedding) = 64) AS n_target, count(*) = count(*) FILTER (len(embedding) = 64) AS equal FROM embeddings")
+def copy_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
+    target = migrate.copied(source.withColumn("client_id", F.lit(None).cast("string")), "client-1", 64)
+    return migrate.verified_counts("embeddings", source, target)
+
+
+@query("SELECT source || '-' || (doc_id % 40) AS row_key, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_rowkeys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("-"), (F.col("doc_id") % 40).cast("string")).alias("row_key"))
+    return migrate.duplicate_keys(keyed, "row_key")
+
+
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY event_id LIMIT 1000")
+def capped_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record cap of a copy is exact: the limit is the feature."""
+    return migrate.capped(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), 1000, "event_id")

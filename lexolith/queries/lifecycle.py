@@ -1,0 +1,84 @@
+"""Lifecycles as batches over events, and the same by streaming."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexolith.operators import lifecycle
+from lexolith.queries import query
+from lexolith.sources.tables import table
+from lexolith.streaming import guard
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("""
+WITH k AS (
+    SELECT user_id, bool_or(event_type IN ('purchase', 'error')) AS terminal, count(*) AS n_events, arg_min(event_type, (ts, event_id)) FILTER (event_type IN ('purchase', 'error')) AS first_end, arg_max(event_type, (ts, event_id)) AS latest
+    FROM events GROUP BY 1
+)
+SELECT user_id, CASE WHEN terminal THEN first_end ELSE latest END AS status, terminal, n_events FROM k
+""")
+def lifecycle_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = F.col("event_type").isin("purchase", "error")
+    return lifecycle.latest_status(events(spark, sf_dir), ["user_id"], "event_type", "ts", ends, "event_id")
+
+
+@query("""
+WITH r AS (SELECT event_id, user_id, event_type = 'error' AS failed, coalesce(sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run, ts FROM events),
+n AS (SELECT *, (row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) - 1) % 3 + 1 AS attempt FROM r)
+SELECT event_id, user_id, attempt::int AS attempt, CASE WHEN NOT failed THEN 'DONE' WHEN attempt >= 3 THEN 'FAILED' ELSE 'RETRY' END AS outcome FROM n
+""")
+def retry_exhaustion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lifecycle.attempts(events(spark, sf_dir), ["user_id"], F.col("event_type") == "error", 3, ["ts", "event_id"])
+    return found.select("event_id", "user_id", "attempt", "outcome")
+
+
+@query("""
+SELECT event_id, user_id, coalesce(lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) + INTERVAL 600 SECOND > ts, false) AS conflict FROM events
+""")
+def lease_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lifecycle.lease_conflicts(events(spark, sf_dir), ["user_id", "event_type"], "ts", 600, "event_id")
+    return found.select("event_id", "user_id", "conflict")
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS row_key, 1::bigint AS version, c_mktsegment AS status FROM customer),
+u AS (SELECT o_custkey AS row_key, (max(o_orderkey) % 2 + 1)::bigint AS version, max(o_orderstatus) AS status FROM orders GROUP BY 1)
+SELECT c.row_key, CASE WHEN u.version = c.version THEN u.status ELSE c.status END AS status, c.version + CASE WHEN u.version = c.version THEN 1 ELSE 0 END AS version FROM c LEFT JOIN u USING (row_key)
+""")
+def compare_and_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the changes expect a version that is gone."""
+    current = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_key"), F.col("c_mktsegment").alias("status"), F.lit(1).cast("bigint").alias("version"))
+    changes = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("row_key")).agg((F.max("o_orderkey") % 2 + 1).cast("bigint").alias("version"), F.max("o_orderstatus").alias("status"))
+    return lifecycle.updated_if_unchanged(current, changes, ["row_key"], ["status"])[0]
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 9 = 0)")
+def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    current = table(spark, sf_dir, "supplier").filter("s_suppkey % 9 = 0").select(F.col("s_nationkey").alias("n_nationkey")).distinct()
+    return lifecycle.inserted_if_absent(current, table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), ["n_nationkey"])[0]
+
+
+@query("""
+WITH d AS (SELECT user_id::varchar || '|' || event_type AS key, event_id, ts, event_type = 'error' AS failed FROM events)
+SELECT key, count(*) AS deliveries FROM d GROUP BY key
+""")
+def stream_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of all events, counted by key: the replay of a stream equals the batch."""
+    return guard.replayed(spark, f"{sf_dir}/events.parquet", guard.counted_deliveries)
+
+
+@query()
+def stream_idempotent_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as deliveries of messages (user, type): claims, leases, retries and terminal states, in event time."""
+    return guard.replayed(spark, f"{sf_dir}/events.parquet", guard.guarded_deliveries)
+
+
+@query()
+def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first delivery of each message within an hour."""
+    return guard.replayed(spark, f"{sf_dir}/events.parquet", guard.first_deliveries)
