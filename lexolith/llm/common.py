@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def text_of(name: str = "text") -> Column:
-    """The text column, with null as the empty text."""
-    return F.coalesce(F.col(name), F.lit(""))
+_kept: tuple = (None, None)
+
+
+def kept(name: tuple, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept in this worker process between tasks until another operator keeps something under another name.
+
+    So what an operator remembers serves all its tasks, and is gone when the next operator runs.
+    """
+    global _kept
+    if _kept[0] != name:
+        _kept = (None, None)  # frees the old one first
+        _kept = (name, make())
+    return _kept[1]

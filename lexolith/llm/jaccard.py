@@ -18,6 +18,7 @@ while a group of near copies costs a star and not all its pairs.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexolith.llm.common import checkpointed
+from lexolith.llm.common import checkpointed, kept
 from lexolith.llm.components import components
 from lexolith.llm.shingles import mixed, set_key, shingle_set
 
@@ -33,10 +34,16 @@ from lexolith.llm.shingles import mixed, set_key, shingle_set
 SLOTS, BLOCKS, RARE = 1 << 22, 64, 32
 #: Shingles of a universe, about: as many as parity slots.
 UNIVERSE = 64
-#: Stars that a node is compared with in the first round.
-STARS = 4
+#: Rounds of stars, and the stars that a node is compared with in each.
+STAR_ROUNDS, STARS = 2, 4
+#: 64-bit words of the parity of a whole set.
+PARITY_WORDS = 4
+#: Nodes whose rows are looked up by a table sent to the workers; more are joined.
+LOOKUP_NODES = 2_000_000
 #: Sets that a worker keeps while it verifies pairs.
 CACHE_SETS = 64
+#: Texts that a worker indexes before it hands their rows on.
+TEXTS_AT_ONCE = 500
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -117,29 +124,42 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
+def whole_parity(shingles: np.ndarray) -> np.ndarray:
+    """The parity of a set over PARITY_WORDS * 64 slots: two sets differ in as many shingles at least as in slots."""
+    slot = mixed(shingles) & np.uint64(PARITY_WORDS * 64 - 1)
+    odd = (np.bincount(slot.astype(np.int64), minlength=PARITY_WORDS * 64) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, node, n) of every row of ``docs`` (doc_id, text), and among them rows (block, counts) of the slot counts."""
+    """(doc_id, node, n, parity words) of every row of ``docs`` (doc_id, text), and rows (block, counts) of the slot counts."""
+    words = [f"p{i}" for i in range(PARITY_WORDS)]
+    names = ["doc_id", "node", "n", *words, "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(("jaccard",), lambda: None)
         counts = np.zeros(SLOTS, np.int32)
         for batch in batches:
-            nodes, sizes = [], []
+            nodes, sizes, parities = [], [], []
             for text in batch.column(1):
                 shingles = shingle_set(text.as_py(), width)
-                np.add.at(counts, (shingles & np.uint64(SLOTS - 1)).astype(np.int64), 1)
+                counts[(shingles & np.uint64(SLOTS - 1)).astype(np.int64)] += 1  # a row counts once in a slot
                 nodes.append(set_key(shingles) if shingles.size else None)
                 sizes.append(shingles.size)
+                parities.append(whole_parity(shingles))
             rows = len(nodes)
+            parity = np.array(parities, np.int64).reshape(rows, PARITY_WORDS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
-                names=["doc_id", "node", "n", "block", "counts"],
+                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(w) for w in parity.T], pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
+                names=names,
             )
         if counts.any():
             capped = np.minimum(counts, RARE).astype(np.uint8).reshape(BLOCKS, -1)
-            none = pa.nulls(BLOCKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(BLOCKS), pa.int32()), pa.array([b.tobytes() for b in capped], pa.binary())], names=["doc_id", "node", "n", "block", "counts"])
+            none = [pa.nulls(BLOCKS, pa.int64())] * (3 + PARITY_WORDS)
+            packed = [zlib.compress(b.tobytes(), 1) for b in capped]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(BLOCKS), pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, node long, n long, block int, counts binary")
+    return docs.mapInArrow(run, f"doc_id long, node long, n long, {', '.join(w + ' long' for w in words)}, block int, counts binary")
 
 
 def frequent_slots(described: DataFrame) -> np.ndarray:
@@ -149,7 +169,7 @@ def frequent_slots(described: DataFrame) -> np.ndarray:
         total = np.zeros(SLOTS // BLOCKS, np.uint16)
         for batch in batches:
             for counts in batch.column(1):
-                total = np.minimum(total + np.frombuffer(counts.as_buffer(), np.uint8), RARE).astype(np.uint16)
+                total = np.minimum(total + np.frombuffer(zlib.decompress(counts.as_py()), np.uint8), RARE).astype(np.uint16)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(total >= RARE).tobytes()], pa.binary())], names=["block", "bits"])
 
     bitmap = np.zeros((BLOCKS, SLOTS // BLOCKS), np.bool_)
@@ -164,24 +184,25 @@ def index(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -> Da
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(("jaccard",), lambda: None)
         slots = np.unpackbits(sent.value).astype(np.bool_)
         levels, done = Levels(percent), set()
         for batch in batches:
-            parts: list[list] = [[], [], [], [], []]
-            for text in batch.column(0):
-                shingles = shingle_set(text.as_py(), width)
-                if not shingles.size or (node := set_key(shingles)) in done:
-                    continue
-                done.add(node)
-                keys, parity, allowed = node_keys(shingles, slots, levels)
-                for part, values in zip(parts, (keys, np.full(keys.size, node), np.full(keys.size, shingles.size), parity, allowed)):
-                    part.append(values)
-            if parts[0]:
-                keys, node, n, parity, allowed = (np.concatenate(p) for p in parts)
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(keys), pa.array(node, pa.int64()), pa.array(n.astype(np.int32)), _signed(parity), pa.array(allowed.astype(np.int32))],
-                    names=["key", "node", "n", "parity", "allowed"],
-                )
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                found = []
+                for text in batch.column(0)[at : at + TEXTS_AT_ONCE]:
+                    shingles = shingle_set(text.as_py(), width)
+                    if not shingles.size or (node := set_key(shingles)) in done:
+                        continue
+                    done.add(node)
+                    keys, parity, allowed = node_keys(shingles, slots, levels)
+                    found.append((keys, np.full(keys.size, node), np.full(keys.size, shingles.size), parity, allowed))
+                if found:
+                    keys, node, n, parity, allowed = (np.concatenate(p) for p in zip(*found))
+                    yield pa.RecordBatch.from_arrays(
+                        [_signed(keys), pa.array(node, pa.int64()), pa.array(n.astype(np.int32)), _signed(parity), pa.array(allowed.astype(np.int32))],
+                        names=["key", "node", "n", "parity", "allowed"],
+                    )
 
     return docs.select("text").mapInArrow(run, "key long, node long, n int, parity long, allowed int")
 
@@ -193,24 +214,31 @@ def _may_match(a: str, b: str, percent: int) -> Column:
     return sizes & (F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity"))) <= F.col(f"{a}.allowed"))
 
 
+def _close_as_wholes(a: str, b: str, percent: int) -> Column:
+    """What the parities of two whole sets that are similar fulfil."""
+    apart = sum((F.bit_count(F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
+    return apart * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b) of ``pairs`` whose sets are similar, counted on the whole texts of one row of each node."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = nodes.groupBy("node").agg(F.min("doc_id").alias("row_id")).join(needed, "node")
-    texts = docs.join(rows, docs["doc_id"].eqNullSafe(rows["row_id"])).select("node", "text")
-    texts = checkpointed(texts.mapInArrow(_only_own(width), "node long, text string").groupBy("node").agg(F.first("text").alias("text")))
+    rows = checkpointed(nodes.groupBy("node").agg(F.min("doc_id").alias("row_id")).join(needed, "node"))
+    few = F.broadcast(rows) if rows.count() <= LOOKUP_NODES else rows
+    texts = docs.join(few, docs["doc_id"].eqNullSafe(rows["row_id"])).select("node", "text")
+    texts = texts.mapInArrow(_only_own(width), "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
+        sets: dict[int, np.ndarray] = {}
 
         def shingles(node: int, text: pa.StringScalar) -> np.ndarray:
-            if node not in kept:
-                if len(kept) >= CACHE_SETS:
-                    kept.pop(next(iter(kept)))
-                kept[node] = shingle_set(text.as_py(), width)
-            return kept[node]
+            if node not in sets:
+                if len(sets) >= CACHE_SETS:
+                    sets.pop(next(iter(sets)))
+                sets[node] = shingle_set(text.as_py(), width)
+            return sets[node]
 
         for batch in batches:
             similar = []
@@ -244,35 +272,47 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     described = checkpointed(describe(docs, shingle))
-    rows = described.filter("block IS NULL").select("doc_id", "node", "n")
+    rows = described.filter("block IS NULL").drop("block", "counts")
     nodes = rows.filter("node IS NOT NULL")
     under_key = Window.partitionBy("key")
     keyed = index(docs, frequent_slots(described), shingle, percent)
     keyed = keyed.withColumn("least", F.min("node").over(under_key)).withColumn("most", F.max("node").over(under_key))
     keyed = checkpointed(keyed.filter("least <> most").drop("least", "most"))
 
-    # first round: under each key, everyone against one node; of a node's stars those it shares most keys with
-    center = keyed.groupBy("key").agg(F.min_by(F.struct("node", "n", "parity"), F.xxhash64("node", "key")).alias("c"))
-    center = center.select("key", "c.*", F.lit(None).cast("int").alias("allowed"))
-    met = keyed.alias("x").join(center.alias("y"), "key").filter((F.col("x.node") != F.col("y.node")) & _may_match("x", "y", percent))
-    met = met.groupBy(F.col("x.node").alias("x"), F.col("y.node").alias("y")).agg(F.count(F.lit(1)).alias("keys"))
-    best = met.withColumn("nth", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("keys"), "y"))).filter(F.col("nth") <= STARS)
-    tested = checkpointed(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    links = checkpointed(verified(tested, docs, nodes, shingle, percent))
-    roots = components(links)
-
-    # second round: what shares a key but not a component, pair by pair
-    placed = keyed.join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed_keys = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
-    open_rows = checkpointed(placed.join(mixed_keys, "key"))
+    parities = nodes.groupBy("node").agg(*[F.first(f"p{i}").alias(f"p{i}") for i in range(PARITY_WORDS)])
+
+    # first rounds: under each key, everyone against one node; of a node's stars those it shares most keys with
+    links = tested = None
+    placed = keyed.withColumn("root", F.col("node"))
+    for star in range(STAR_ROUNDS):
+        center = placed.groupBy("key").agg(F.min_by(F.struct("node", "n", "parity", "root"), F.xxhash64("node", "key", F.lit(star))).alias("c"))
+        met = placed.alias("x").join(center.select("key", "c.*", F.lit(None).cast("int").alias("allowed")).alias("y"), "key")
+        met = met.filter((F.col("x.root") != F.col("y.root")) & _may_match("x", "y", percent))
+        met = met.groupBy(F.col("x.node").alias("x"), F.col("x.n").alias("n_x"), F.col("y.node").alias("y"), F.col("y.n").alias("n_y")).agg(F.count(F.lit(1)).alias("keys"))
+        met = met.join(parities.select(F.col("node").alias("x"), F.struct(*parities.columns[1:]).alias("p_x")), "x").join(parities.select(F.col("node").alias("y"), F.struct(*parities.columns[1:]).alias("p_y")), "y")
+        met = met.select("keys", F.struct("x", F.col("n_x").alias("n"), "p_x.*").alias("a"), F.struct("y", F.col("n_y").alias("n"), "p_y.*").alias("b"))
+        met = met.filter(_close_as_wholes("a", "b", percent)).select(F.col("a.x").alias("x"), F.col("b.y").alias("y"), "keys")
+        best = met.withColumn("nth", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("keys"), "y"))).filter(F.col("nth") <= STARS)
+        pairs = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = checkpointed(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        found = checkpointed(verified(pairs, docs, nodes, shingle, percent))
+        links, tested = (found, pairs) if links is None else (links.unionByName(found), tested.unionByName(pairs))
+        roots = components(links)
+        placed = keyed.join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed_keys = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
+        placed = placed.join(mixed_keys, "key")
+
+    # last round: what shares a key but not a component, pair by pair
+    open_rows = placed.join(parities, "node")
     x, y = open_rows.alias("x"), open_rows.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    more = x.join(y, apart & _may_match("x", "y", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    both = x.join(y, apart & _may_match("x", "y", percent) & _close_as_wholes("x", "y", percent))
+    more = both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     more = checkpointed(more.join(tested, ["a", "b"], "left_anti"))
     links = checkpointed(links.unionByName(verified(more, docs, nodes, shingle, percent)))
     roots = components(links)
 
-    labelled = rows.join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = rows.select("doc_id", "node", "n").join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_ids = labelled.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = labelled.join(least_ids, "root", "left")
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

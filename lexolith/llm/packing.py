@@ -14,7 +14,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexolith.llm import wordbpe
+from lexolith.llm.common import kept
 
 #: Pieces that a worker remembers by their text before it starts afresh; a bound on memory that changes no identifier.
 CACHE_PIECES = 500_000
@@ -62,10 +62,15 @@ class Encoder:
         return [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
     def _learn(self, pieces: set[str]) -> None:
-        words = {p: self.words_of(p) for p in pieces}
-        missing = list({w for ws in words.values() for w in ws}.difference(self.words))
-        self.words.update(zip(missing, self._by_word(missing), strict=True))
-        self.pieces.update((p, b"".join(map(self.words.__getitem__, ws))) for p, ws in words.items())
+        """A piece of letters alone is one word; the others are cut as the vocabulary says."""
+        known = self.words
+        whole = [p for p in pieces if p.isalpha()]
+        cut = {p: self.words_of(p) for p in pieces if not p.isalpha()}
+        missing = list(set(whole).union(*cut.values()).difference(known))
+        known.update(zip(missing, self._by_word(missing), strict=True))
+        find = known.__getitem__
+        self.pieces.update(zip(whole, map(find, whole)))
+        self.pieces.update((p, b"".join(map(find, ws))) for p, ws in cut.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [None if "<|" in t else wordbpe.pieces(t) for t in texts]
@@ -82,12 +87,6 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-@lru_cache(maxsize=1)
-def encoder_of(path: str) -> Encoder:
-    """One encoder for each worker process: what it remembers serves all the tasks that the process runs."""
-    return Encoder(path)
-
-
 def cut(length: int, capacity: int, classes: int, fill: float) -> list[int]:
     """Lengths of the pieces of a document of ``length`` ids, in order.
 
@@ -183,7 +182,7 @@ def pack(
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        encoder = encoder_of(path)
+        encoder = kept(("token ids", path), lambda: Encoder(path))
         bins = HarmonicBins(capacity, classes, TaskContext.get().partitionId() << WORKER_BITS)
         end = end_id.to_bytes(ID_BYTES, "little")
         schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])

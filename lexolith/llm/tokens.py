@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexolith.llm import wordbpe
+from lexolith.llm.common import kept
 
 #: Words a worker remembers before it starts afresh; a bound on memory that changes no count.
 CACHE_WORDS = 400_000
@@ -121,7 +122,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = 20
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        counter = TokenCounter(path)
+        counter = kept(("token counts", path), lambda: TokenCounter(path))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             counts = [counter.count(t) for t in texts]

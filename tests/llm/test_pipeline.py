@@ -1,0 +1,32 @@
+"""The pipeline's stages one after another: what they keep, and that clean documents stay."""
+
+from __future__ import annotations
+
+import corpus_pipeline
+from lexolith.llm import jaccard, queries
+
+
+def test_stages(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    columns, seen = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        seen[name] = docs
+        if name != "packing":
+            assert docs.columns == columns
+    kept = seen["quality classifier"]
+    good = labels.filter("quality = 1").count()
+    assert kept.join(labels.filter("quality = 1"), "doc_id").count() > 0.98 * good
+    unique = seen["n-gram Jaccard join"]
+    assert unique.count() == jaccard.near_duplicates(kept, 5, 80).select("component_id").distinct().count()
+    again = jaccard.near_duplicates(unique, 5, 80)
+    assert again.filter("doc_id <> component_id").count() == 0
+    assert seen["secret scans"].count() == unique.count()
+    assert seen["packing"].count() > 0
+
+
+def test_queries_are_named_by_their_operators():
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
