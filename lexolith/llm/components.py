@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lexolith.llm.common import checkpointed
 
 MOST_ROUNDS = 60
+#: Edges that one task handles in a round, about.
+EDGES_PER_TASK = 500_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,7 +20,13 @@ def components(edges: DataFrame) -> DataFrame:
     checkpointed; a row for each edge is all that moves. Loops are left out, so a vertex without other neighbours has
     no row.
     """
-    stars = checkpointed(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("root")).filter("v <> root").distinct())
+    # tasks follow the edges: rounds over a short list of links stay a few tasks, however many partitions shuffles have
+    tasks = max(1, -(-edges.count() // EDGES_PER_TASK))
+
+    def settled(rows: DataFrame) -> DataFrame:
+        return checkpointed(rows.filter("v <> root").coalesce(tasks).distinct().coalesce(tasks))
+
+    stars = settled(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("root")))
     before = None
     for _ in range(MOST_ROUNDS):
         now = stars.agg(F.count(F.lit(1)), F.sum(F.col("root").cast("decimal(38,0)"))).first()
@@ -27,9 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         both = stars.unionByName(stars.select(F.col("root").alias("v"), F.col("v").alias("root")))
         least = both.groupBy("v").agg(F.min("root").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.filter("root > v").join(least, "v").select(F.col("root").alias("v"), F.col("m").alias("root")).unionByName(least.filter("m <> v").select("v", F.col("m").alias("root")))
-        large = checkpointed(large.filter("v <> root").distinct())
+        large = both.filter("root > v").join(least, "v").select(F.col("root").alias("v"), F.col("m").alias("root"))
+        large = settled(large.unionByName(least.select("v", F.col("m").alias("root"))))
         low = large.groupBy("v").agg(F.min("root").alias("m"))
-        small = large.join(low, "v").select(F.col("root").alias("v"), F.col("m").alias("root")).unionByName(low.select("v", F.col("m").alias("root")))
-        stars = checkpointed(small.filter("v <> root").distinct())
+        small = large.join(low, "v").select(F.col("root").alias("v"), F.col("m").alias("root"))
+        stars = settled(small.unionByName(low.select("v", F.col("m").alias("root"))))
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
