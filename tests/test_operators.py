@@ -198,3 +198,34 @@ def test_settings():
         setting("A", env={})
     with pytest.raises(ValueError):
         Retrieval(nearest=10, pool=20)
+
+
+def test_files_become_chunks(spark, tmp_path):
+    from lexolith.plans.ingestion import ingest, loaded
+    from lexolith.sources.providers import extracted, looked_up
+    from lexolith.sources.streams import accepted_files, arriving_files, handled, message_stream
+
+    (tmp_path / "in/c=client-1").mkdir(parents=True)
+    (tmp_path / "in/doc1_20240101.pdf").write_bytes(b"first page text\nsecond line\fnext page words")
+    (tmp_path / "in/c=client-1/doc2_20240102.pdf").write_bytes(b"another document here")
+    (tmp_path / "in/badname.pdf").write_bytes(b"x")
+    arrived = arriving_files(spark, f"{tmp_path}/in").writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
+    arrived.awaitTermination()
+    files = accepted_files(spark.table("arrived"))
+    assert sorted((r.status, r.document_id) for r in files.collect()) == [("AWAITING_INGESTION", "doc1"), ("AWAITING_INGESTION", "doc2"), ("INVALID_NAME", None)]
+    pages = extracted(files.filter("document_id IS NOT NULL"), lambda contents: [[p.split("\n") for p in c.decode().split("\f")] for c in contents])
+    good, bad = ingest(pages, lambda texts: [[float(len(t)), 1.0] for t in texts], 2)
+    got = sorted((r.document_id, r.page_number, r.chunk, r.client_id) for r in good.collect())
+    assert got == [("doc1", 1, "first page text second line", None), ("doc1", 2, "next page words", None), ("doc2", 1, "another document here", "client-1")] and bad.count() == 0
+    keyed = good.withColumn("arrived_at", F.lit(1)).withColumn("custom_metadata", F.array(F.struct(F.lit("documentId").alias("key"), F.col("document_id").alias("value"))))
+    index = loaded(keyed, keyed.withColumn("arrived_at", F.lit(2)), spark.createDataFrame([("doc1",)], "document_id string"))
+    assert sorted((r.document_id, len(r.custom_metadata)) for r in index.collect()) == [("doc1", 2), ("doc1", 2), ("doc2", 1)]
+    assert looked_up(spark.createDataFrame([(1,), (2,)], "document_id long"), spark.createDataFrame([(1, [0.5])], "vec_id long, embedding array<double>")).filter("vector IS NULL").count() == 1
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q/1.json").write_text('{"transactionId":"t","userQuery":"u","queryPrompt":"p"}')
+    (tmp_path / "q/2.json").write_text("{oops")
+    seen: dict[str, list] = {"good": [], "bad": []}
+    note = lambda kind: lambda rows, number: seen[kind].extend(rows.collect())
+    running = handled(message_stream(spark, f"{tmp_path}/q", "generation"), payloads.ANSWER_REQUEST, f"{tmp_path}/state", note("good"), note("bad"))
+    running.awaitTermination()
+    assert [r.transactionId for r in seen["good"]] == ["t"] and len(seen["bad"]) == 1

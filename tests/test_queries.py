@@ -10,8 +10,6 @@ from lexolith import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: DuckDB recomputes pools in its recursion; the driver compares it at its own size.
-SLOW_SQL = {"retrieval_pipeline"}
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +28,7 @@ def plain(df, columns):
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, name):
     got = catalog.QUERIES[name](spark, SF).toPandas()
-    if name in catalog.ORACLE_SQL and name not in SLOW_SQL:
+    if name in catalog.ORACLE_SQL:
         want = con.sql(catalog.ORACLE_SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert plain(got, sorted(got.columns)) == plain(want, sorted(got.columns))
