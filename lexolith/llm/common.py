@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from lexolith.sources.shared import shared_folder
+from lexolith.sources.tables import table  # noqa: F401
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder, its lineage cut.
-
-    The folder is the session's own or that of ``spark.checkpoint.dir``. Only a local session, as in tests, may fall
-    back to a temporary folder: on a cluster other machines could not read it.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="lexolith-checkpoint-")
-        sc.setCheckpointDir(folder)
+    """``df`` written to the cluster's shared checkpoint folder, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

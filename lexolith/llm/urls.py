@@ -10,6 +10,7 @@ URLs are not shuffled at all.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from string import ascii_lowercase, ascii_uppercase
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,13 +19,14 @@ from pyspark.sql import functions as F
 #: Rules that go to the workers at once; more are applied in several passes.
 RULES_PER_BLOCK = 100_000
 
+_LOWER = str.maketrans(ascii_uppercase, ascii_lowercase)
 Rule = tuple[str, str, str]  # host, path, verdict
 
 
 def host_of(url: Column) -> Column:
     """What stands after the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z lower-cased; else empty."""
     raw = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit(""))
-    return F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(raw, ascii_uppercase, ascii_lowercase)
 
 
 def path_of(url: Column) -> Column:
@@ -86,7 +88,7 @@ def judge_urls(
     Repeated rows stay; other columns are not read; an empty table gives an empty result.
     """
     sc = pages.sparkSession.sparkContext
-    rules = sorted({(h.lower(), p, v) for h, p, v in rules}, key=lambda r: (host_key(r[0]), r[1], r[2]))
+    rules = sorted({(h.translate(_LOWER), p, v) for h, p, v in rules}, key=lambda r: (host_key(r[0]), r[1], r[2]))
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     key = F.concat(F.array_join(F.reverse(F.split("host", r"\.", -1)), "\0"), F.lit("\0"))
     rows = rows.select("*", key.alias("key"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
