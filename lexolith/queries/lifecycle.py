@@ -69,7 +69,7 @@ SELECT key, count(*) AS deliveries FROM d GROUP BY key
 """)
 def stream_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of all events, counted by key: the replay of a stream equals the batch."""
-    return guard.replayed(spark, f"{sf_dir}/events.parquet", guard.counted_deliveries)
+    return guard.replayed(spark, f"{sf_dir}/events.parquet", guard.counted_deliveries, "complete")
 
 
 @query()

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lexolith.sources.shared import shared_folder
+
 LEASE_SECONDS, MOST_ATTEMPTS = 300, 3
 _STATE = "status string, attempts int, lease_until double"
 _OUTCOME = "key string, event_id long, outcome string, attempts int"
@@ -70,14 +72,20 @@ def counted_deliveries(events: DataFrame) -> DataFrame:
     return deliveries(events).groupBy("key").agg(F.count(F.lit(1)).alias("deliveries"))
 
 
-def replayed(spark: SparkSession, path: str, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What a stream over the files at ``path`` gives once all of them are read."""
+def replayed(spark: SparkSession, path: str, transform: Callable[[DataFrame], DataFrame], output: str = "append") -> DataFrame:
+    """What a stream over the files at ``path`` has written to the shared folder once all of them are read.
+
+    Each micro-batch has a place of its own, so one that is delivered again replaces itself; in the mode ``complete`` the
+    last batch holds the whole result.
+    """
     schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    source = spark.readStream.schema(schema).option("pathGlobFilter", name if name.endswith(".parquet") else "*").parquet(folder if name.endswith(".parquet") else path)
-    out = transform(source)
-    table = f"replay_{uuid.uuid4().hex}"
-    stateful_count = transform is counted_deliveries
-    running = out.writeStream.format("memory").queryName(table).outputMode("complete" if stateful_count else "append").trigger(availableNow=True).start()
+    either = f"{path[:-1]}[{path[-1]}]"  # a stream takes a pattern that fits one file, or a folder, but no path of a file
+    rows = transform(spark.readStream.schema(schema).parquet(either))
+    place = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/rows/batch={number if output == 'append' else 0}")
+
+    running = rows.writeStream.foreachBatch(write).outputMode(output).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.table(table)
+    return spark.read.schema(rows.schema).parquet(f"{place}/rows/batch=*")
