@@ -70,3 +70,17 @@ def parsed_score(raw: Column) -> Column:
     """groundedness and reasoning of a judge's answer, from its outermost braces; 0 if there is no number."""
     parsed = F.from_json(salvaged_json(raw), "groundednessScore decimal(10,4), reasoning string")
     return F.struct(F.coalesce(parsed["groundednessScore"].cast("double"), F.lit(0.0)).alias("groundedness"), parsed["reasoning"].alias("reasoning"))
+
+
+def with_scores(generated: DataFrame, scores: DataFrame, key: str = "transaction_id") -> DataFrame:
+    """``generated`` with the groundedness of ``scores`` where it has one; scores without a transaction go nowhere."""
+    new = scores.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by("groundedness", "scored_at").alias("_new"))
+    merged = generated.join(new, key, "left")
+    return merged.withColumn("groundedness", F.coalesce("_new", "groundedness")).drop("_new")
+
+
+def status_view(generated: DataFrame, snapshots: DataFrame | None = None, key: str = "transaction_id") -> DataFrame:
+    """What a caller sees of answers: id, status, reason, response, duration if it is positive, and, if asked for, the chunks."""
+    duration = F.when(F.col("duration_ms") > 0, F.col("duration_ms"))
+    view = generated.select(key, "status", "reason", "response", duration.alias("duration_ms"))
+    return view if snapshots is None else view.join(snapshots.select(key, "chunks"), key, "left")

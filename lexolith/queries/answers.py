@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexolith.functions import citations
-from lexolith.operators.answers import contexts, guarded
+from lexolith.operators.answers import contexts, guarded, status_view, with_scores
 from lexolith.queries import query
 from lexolith.sources.tables import table
 
@@ -98,3 +98,19 @@ def guard_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     mode = F.when(F.col("user_id") % 3 == 0, "OFF").when(F.col("user_id") % 3 == 1, "DELIVER").otherwise("REJECT")
     rows = table(spark, sf_dir, "events").select("event_id", mode.alias("mode"), (F.col("event_id") % 3 + 1).cast("int").alias("attempt"), outcome.alias("outcome"))
     return guarded(rows).select("event_id", "mode", "verdict", "reason")
+
+
+@query("""
+WITH a AS (SELECT o_orderkey AS transaction_id, o_orderstatus AS status, (o_orderkey % 4 - 1)::bigint AS duration_ms FROM orders),
+s AS (SELECT l_orderkey AS transaction_id, arg_max(l_quantity::double, l_linenumber) AS groundedness FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1)
+SELECT transaction_id, status, CASE WHEN duration_ms > 0 THEN duration_ms ELSE 0 END::bigint AS duration_ms, groundedness FROM a LEFT JOIN s USING (transaction_id)
+""")
+def answer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as answers, lines of every second one as their scores."""
+    orders = table(spark, sf_dir, "orders")
+    empty = F.lit(None).cast("string")
+    generated = orders.select(F.col("o_orderkey").alias("transaction_id"), F.col("o_orderstatus").alias("status"), empty.alias("reason"), empty.alias("response"), (F.col("o_orderkey") % 4 - 1).cast("bigint").alias("duration_ms"), F.lit(None).cast("double").alias("groundedness"))
+    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 2 = 0")
+    scores = lines.select(F.col("l_orderkey").alias("transaction_id"), F.col("l_quantity").cast("double").alias("groundedness"), F.col("l_linenumber").alias("scored_at"))
+    scored = with_scores(generated, scores)
+    return status_view(scored).join(scored.select("transaction_id", "groundedness"), "transaction_id").select("transaction_id", "status", F.coalesce("duration_ms", F.lit(0).cast("bigint")).alias("duration_ms"), "groundedness")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexolith.functions import ids, pages, text
+from lexolith.functions import ids, metadata, pages, text
 from lexolith.functions.markdown import prose, structure, word_count
 from lexolith.functions.predicates import is_reasoning_model, reserved_keys_in, within_size
 from lexolith.queries import query
@@ -141,3 +141,16 @@ def request_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = F.concat(F.lit("gpt-"), F.col("user_id").cast("string"))
     events = table(spark, sf_dir, "events")
     return events.select("event_id", F.coalesce(F.nullif(F.get_json_object("props", "$.k"), F.lit("")).isNotNull(), F.lit(False)).alias("has_k"), model.alias("model"), is_reasoning_model(model).alias("reasons"), F.array_join(reserved_keys_in(F.array(pair)), ",").alias("reserved"))
+
+
+@query("""
+WITH p AS (SELECT user_id, event_type AS key, event_id::varchar AS value, event_id FROM events)
+SELECT user_id, key, arg_max(value, event_id) AS last_value, arg_min(value, event_id) AS first_value FROM p GROUP BY 1, 2
+""")
+def metadata_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as metadata pairs, most keys of which repeat, as maps by both rules."""
+    pair = F.struct("event_id", F.col("event_type").alias("key"), F.col("event_id").cast("string").alias("value"))
+    listed = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(pair)).alias("p"))
+    pairs = F.transform("p", lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+    maps = listed.select("user_id", metadata.last_wins(pairs).alias("last"), metadata.first_wins(pairs).alias("first"))
+    return maps.select("user_id", "first", F.explode("last").alias("key", "last_value")).select("user_id", "key", "last_value", F.col("first")[F.col("key")].alias("first_value"))

@@ -10,7 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexolith.functions import citations, ids, markdown, pages, predicates, text, vectors
+from lexolith.functions import citations, ids, markdown, metadata, pages, predicates, text, vectors
 
 PAIRS = "array<struct<key:string,value:string>>"
 
@@ -133,3 +133,12 @@ def test_markdown_and_compliance(spark):
     c = values(spark, markdown.compliance(F.col("x"), F.lit("::(Source")), [raw, None])
     assert (c[0].inline_markers, c[0].drifted, c[0].json_entries, c[0].inline_in_json, c[0].cited_pages, c[0].stacked_runs, c[0].prose_words) == (2, 1, 1, False, 3, 1, 4)
     assert c[1].prose_words == 0 and not c[1].json_block
+
+
+def test_metadata_maps(spark):
+    rows = [([("a", "1"), ("b", "2"), ("a", "3")],), (None,)]
+    assert values(spark, metadata.last_wins(F.col("m")), rows, f"m {PAIRS}") == [{"a": "3", "b": "2"}, {}]
+    assert values(spark, metadata.first_wins(F.col("m")), rows, f"m {PAIRS}") == [{"a": "1", "b": "2"}, {}]
+    given = [({"documentId": "mine", "x": "y"},), (None,)]
+    assert values(spark, metadata.overlaid(F.lit("d"), F.col("m")), given, "m map<string,string>") == [{"document_id": "d", "documentId": "mine", "x": "y"}, {"document_id": "d", "documentId": "d"}]
+    assert [len(x) for x in values(spark, metadata.pairs_of(F.col("m")), given, "m map<string,string>")] == [2, 0]
