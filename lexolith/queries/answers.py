@@ -102,7 +102,7 @@ def guard_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH a AS (SELECT o_orderkey AS transaction_id, o_orderstatus AS status, (o_orderkey % 4 - 1)::bigint AS duration_ms FROM orders),
-s AS (SELECT l_orderkey AS transaction_id, arg_max(l_quantity::double, l_linenumber) AS groundedness FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1)
+s AS (SELECT l_orderkey AS transaction_id, arg_max(l_quantity::double, (l_linenumber, l_partkey, l_quantity)) AS groundedness FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1)
 SELECT transaction_id, status, CASE WHEN duration_ms > 0 THEN duration_ms ELSE 0 END::bigint AS duration_ms, groundedness FROM a LEFT JOIN s USING (transaction_id)
 """)
 def answer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +111,6 @@ def answer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = F.lit(None).cast("string")
     generated = orders.select(F.col("o_orderkey").alias("transaction_id"), F.col("o_orderstatus").alias("status"), empty.alias("reason"), empty.alias("response"), (F.col("o_orderkey") % 4 - 1).cast("bigint").alias("duration_ms"), F.lit(None).cast("double").alias("groundedness"))
     lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 2 = 0")
-    scores = lines.select(F.col("l_orderkey").alias("transaction_id"), F.col("l_quantity").cast("double").alias("groundedness"), F.col("l_linenumber").alias("scored_at"))
+    scores = lines.select(F.col("l_orderkey").alias("transaction_id"), F.col("l_quantity").cast("double").alias("groundedness"), F.struct("l_linenumber", "l_partkey", "l_quantity").alias("scored_at"))
     scored = with_scores(generated, scores)
     return status_view(scored).join(scored.select("transaction_id", "groundedness"), "transaction_id").select("transaction_id", "status", F.coalesce("duration_ms", F.lit(0).cast("bigint")).alias("duration_ms"), "groundedness")
