@@ -73,7 +73,34 @@ QUERIES = {
     for f in (op1_topk, op2_token_counts, op3_secret_scans, op4_mix_sources, op5_quality, op6_fingerprints, op7_packing, op8_url_filters, op9_language_id, op10_ngram_jaccard)
 }
 
+def _spans_sql() -> str:
+    """The base rules one by one: matches and the pieces between them, whose lengths add up to the places."""
+    parts = []
+    for place, rule in enumerate(secrets.BASE_RULES):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(f"""
+            SELECT doc_id, {place} AS place, '{rule.kind}' AS kind, hits, gaps, groups, unnest(range(1, len(hits) + 1)) AS i FROM (
+                SELECT doc_id, regexp_extract_all(text, '{pattern}', 0) AS hits, string_split_regex(text, '{pattern}') AS gaps,
+                    regexp_extract_all(text, '{pattern}', {rule.group}) AS groups FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+            ) WHERE len(hits) > 0""")
+    least = " ".join(f"WHEN {i} THEN {r.least}" for i, r in enumerate(secrets.BASE_RULES))
+    return f"""
+        WITH found AS ({" UNION ALL ".join(parts)}),
+        placed AS (
+            SELECT doc_id, place, kind, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS start, length(hits[i]) AS n
+            FROM found WHERE length(groups[i]) >= CASE place {least} END
+        ),
+        listed AS (
+            SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+                string_agg(kind || ':' || start::bigint || ':' || (start + n)::bigint, ',' ORDER BY start, place) AS spans FROM placed GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM documents d LEFT JOIN listed USING (doc_id)
+    """
+
+
 ORACLE_SQL = {
+    "op3_secret_scans": _spans_sql(),
     "op1_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(x::double * 1024)::bigint) AS v FROM embeddings
