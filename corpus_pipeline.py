@@ -21,12 +21,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8: the one with the least id.
 
-    Of rows that share that id one stays. Documents without an id always stay.
+    Documents without an id always stay. Of rows that share an id one stays. What goes is told by ids alone, so texts
+    are shuffled only if the ids that go are too many to be sent to the workers, or if ids repeat.
     """
-    groups = jaccard.near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80)
-    first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("__first"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    groups = checkpointed(jaccard.near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80))
+    ids = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count(F.lit(1)).alias("n"))
+    ids = checkpointed(ids.coalesce(max(2, -(-groups.count() // jaccard.ROWS_PER_TASK))))
+    gone = ids.filter("NOT first").select(F.col("doc_id").alias("__gone"))
+    gone = F.broadcast(gone) if gone.count() <= jaccard.LOOKUP_NODES else gone
+    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    if ids.filter("n > 1").limit(1).count():
+        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
+    return kept
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,8 @@ STAR_ROUNDS, STARS = 2, 4
 PARITY_WORDS = 4
 #: Nodes whose rows are looked up by a table sent to the workers; more are joined.
 LOOKUP_NODES = 2_000_000
+#: Rows of the input for each task, and so each checkpoint file, of a list of pairs.
+ROWS_PER_TASK = 50_000
 #: Sets that a worker keeps while it verifies pairs.
 CACHE_SETS = 64
 #: Texts that a worker indexes before it hands their rows on.
@@ -220,10 +222,10 @@ def _close_as_wholes(a: str, b: str, percent: int) -> Column:
     return apart * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int, tasks: int) -> DataFrame:
     """(a, b) of ``pairs`` whose sets are similar, counted on the whole texts of one row of each node."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = checkpointed(nodes.groupBy("node").agg(F.min("doc_id").alias("row_id")).join(needed, "node"))
+    rows = checkpointed(nodes.groupBy("node").agg(F.min("doc_id").alias("row_id")).join(needed, "node").coalesce(tasks))
     few = F.broadcast(rows) if rows.count() <= LOOKUP_NODES else rows
     texts = docs.join(few, docs["doc_id"].eqNullSafe(rows["row_id"])).select("node", "text")
     texts = texts.mapInArrow(_only_own(width), "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
@@ -274,6 +276,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     described = checkpointed(describe(docs, shingle))
     rows = described.filter("block IS NULL").drop("block", "counts")
     nodes = rows.filter("node IS NOT NULL")
+    # short lists, of pairs and of the nodes in them, take as few tasks as the rows they come from allow
+    tasks = max(2, -(-rows.count() // ROWS_PER_TASK))
     under_key = Window.partitionBy("key")
     keyed = index(docs, frequent_slots(described), shingle, percent)
     keyed = keyed.withColumn("least", F.min("node").over(under_key)).withColumn("most", F.max("node").over(under_key))
@@ -294,8 +298,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         met = met.filter(_close_as_wholes("a", "b", percent)).select(F.col("a.x").alias("x"), F.col("b.y").alias("y"), "keys")
         best = met.withColumn("nth", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("keys"), "y"))).filter(F.col("nth") <= STARS)
         pairs = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = checkpointed(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        found = checkpointed(verified(pairs, docs, nodes, shingle, percent))
+        pairs = checkpointed((pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")).coalesce(tasks))
+        found = checkpointed(verified(pairs, docs, nodes, shingle, percent, tasks))
         links, tested = (found, pairs) if links is None else (links.unionByName(found), tested.unionByName(pairs))
         roots = components(links)
         placed = keyed.join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -308,8 +312,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
     both = x.join(y, apart & _may_match("x", "y", percent) & _close_as_wholes("x", "y", percent))
     more = both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = checkpointed(more.join(tested, ["a", "b"], "left_anti"))
-    links = checkpointed(links.unionByName(verified(more, docs, nodes, shingle, percent)))
+    more = checkpointed(more.join(tested, ["a", "b"], "left_anti").coalesce(tasks))
+    links = checkpointed(links.unionByName(verified(more, docs, nodes, shingle, percent, tasks)))
     roots = components(links)
 
     labelled = rows.select("doc_id", "node", "n").join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -30,3 +30,13 @@ def test_stages(spark):
 
 def test_queries_are_named_by_their_operators():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+
+
+def test_near_copies_with_repeated_and_missing_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, text), (2, text), (3, "other words entirely in this one text"), (None, text), (5, text + " more"), (6, None), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 3), (False, 6), (True, 0)] and kept.columns == docs.columns
+    single = corpus_pipeline.keep_one_of_near_copies(spark, docs.dropDuplicates(["doc_id"]), "")
+    assert sorted(r.doc_id or 0 for r in single.collect()) == [0, 1, 3, 6]
