@@ -114,3 +114,23 @@ def answer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = lines.select(F.col("l_orderkey").alias("transaction_id"), F.col("l_quantity").cast("double").alias("groundedness"), F.struct("l_linenumber", "l_partkey", "l_quantity").alias("scored_at"))
     scored = with_scores(generated, scores)
     return status_view(scored).join(scored.select("transaction_id", "groundedness"), "transaction_id").select("transaction_id", "status", F.coalesce("duration_ms", F.lit(0).cast("bigint")).alias("duration_ms"), "groundedness")
+
+
+@query("""
+WITH a AS (
+    SELECT o_orderkey AS transaction_id, o_orderstatus AS status, (o_orderkey % 4 - 1)::bigint AS duration_ms FROM orders
+    UNION ALL SELECT -o_orderkey, o_orderstatus, (o_orderkey % 4 - 1)::bigint FROM orders WHERE o_orderkey > 0 AND o_orderkey % 100 = 0
+),
+s AS (SELECT l_orderkey AS transaction_id, arg_max(l_quantity::double, (l_linenumber, l_partkey, l_quantity)) AS groundedness FROM lineitem GROUP BY 1)
+SELECT transaction_id, status, CASE WHEN duration_ms > 0 THEN duration_ms ELSE 0 END::bigint AS duration_ms, groundedness FROM a LEFT JOIN s USING (transaction_id)
+""")
+def answer_status_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """answer_status with all lines as scores; copies of some orders under negative keys have no line, so no score."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderkey").alias("transaction_id"))
+    unscored = orders.filter("o_orderkey > 0 AND o_orderkey % 100 = 0").withColumn("transaction_id", -F.col("o_orderkey"))
+    empty = F.lit(None).cast("string")
+    generated = orders.unionByName(unscored).select("transaction_id", F.col("o_orderstatus").alias("status"), empty.alias("reason"), empty.alias("response"), (F.col("o_orderkey") % 4 - 1).cast("bigint").alias("duration_ms"), F.lit(None).cast("double").alias("groundedness"))
+    lines = table(spark, sf_dir, "lineitem")
+    scores = lines.select(F.col("l_orderkey").alias("transaction_id"), F.col("l_quantity").cast("double").alias("groundedness"), F.struct("l_linenumber", "l_partkey", "l_quantity").alias("scored_at"))
+    scored = with_scores(generated, scores)
+    return status_view(scored).join(scored.select("transaction_id", "groundedness"), "transaction_id").select("transaction_id", "status", F.coalesce("duration_ms", F.lit(0).cast("bigint")).alias("duration_ms"), "groundedness")
