@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexolith.functions import citations
 from lexolith.operators.answers import contexts, guarded, status_view, with_scores
 from lexolith.queries import query
+from lexolith.queries.retrieval import CHUNKS_SQL, NEAREST_SQL, vector_pool
 from lexolith.sources.tables import table
 
 #: Assistant turns with markers and a fact map added by a fixed rule, in both engines.
@@ -52,6 +53,30 @@ def doc_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contexts(rows).select("query_id", F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
 
+@query(f"""
+WITH {CHUNKS_SQL}, {NEAREST_SQL},
+c AS (
+    SELECT n.query_id, n.doc_id % 5 AS document_id, n.rank, c.chunk, 'f' || n.doc_id || '.txt' AS file_name, CASE WHEN n.doc_id % 4 > 0 THEN n.doc_id % 4 END AS page_number
+    FROM near n JOIN chunks c USING (doc_id)
+),
+docs AS (
+    SELECT query_id, document_id, min(rank) AS rank, '<document><id>' || document_id || '</id><name>' || arg_min(file_name, rank) || '</name>' ||
+        string_agg('<passage><page>' || coalesce(page_number::varchar, '') || '</page><text>' || chunk || '</text></passage>', '' ORDER BY rank) || '</document>' AS d
+    FROM c GROUP BY query_id, document_id
+)
+SELECT query_id, md5('<documents>' || string_agg(d, '' ORDER BY rank) || '</documents>') AS context_md5 FROM docs GROUP BY query_id
+""")
+def pool_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole texts of each vector query's ranked pool, NEAREST chunks at most, dealt over five documents."""
+    pool = vector_pool(spark, sf_dir)
+    rows = pool.select(
+        "query_id", (F.col("doc_id") % 5).alias("document_id"), "rank", "chunk",
+        F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") % 4).alias("page_number"),
+        F.array().cast("array<struct<key:string,value:string>>").alias("custom_metadata"),
+    )
+    return contexts(rows).select("query_id", F.md5(F.col("context").cast("binary")).alias("context_md5"))
+
+
 @query(rf"""
 WITH {ANSWERS_SQL}
 SELECT conv_id, turn, trim(regexp_replace(regexp_replace(body, '\[(\d+)\s*[,;]\s*(\d+)\]', '[\1][\2]', 'g'), '\[\d+\]', '', 'g')) AS stripped,

@@ -16,3 +16,8 @@ def test_all_lines_score_answers(spark):
     found = catalog.QUERIES["answer_status_whole"](spark, SF)
     assert found.filter("transaction_id % 2 = 1 AND groundedness IS NOT NULL").count() > 0
     assert found.filter("transaction_id < 0").filter("groundedness IS NULL").count() == found.filter("transaction_id < 0").count() > 0
+
+
+def test_contexts_hold_whole_texts_of_every_pool(spark):
+    asked = spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id % 100 = 0").count()
+    assert catalog.QUERIES["pool_context"](spark, SF).count() == asked > 0
