@@ -1,19 +1,29 @@
 """N-gram Jaccard join with token-combination prefixes, and near-duplicate components over its links.
 
-A document is the set of its word shingles; documents with equal sets are one node from the start. Shingles are ordered
-with rare ones first, where a shingle is rare if its slot of a corpus-wide count has fewer than RARE rows. Two sets that
-are similar enough share their first common shingle within both prefixes, so:
-
-* a set whose prefix holds rare shingles only is indexed by each of them alone;
-* other sets are also indexed by combinations of frequent shingles. The range of hashes is dealt into universes of about
-  UNIVERSE shingles and each universe into more parts than its share of the differences that the threshold allows. By
-  the pigeonhole principle some universe has no more differences than its share, and in it some part has none: all
-  shingles of a part together are one key. The row also carries the parity of the universe's shingles in 64 slots;
-  two sets whose parities differ in more slots than the share cannot match there.
-
-Sets that share a key are compared with one of them, chosen anew for each key; links are verified on whole texts. What is
-still in different components is then compared pair by pair under the same keys, so no link between components is lost,
-while a group of near copies costs a star and not all its pairs.
+A document is the set of its word shingles; documents with equal sets are one node from the start. Every slot of a
+corpus-wide table of counts puts the shingles that fall into it in a class. Shingles are ordered by class, the rare one
+first, and by hash within a class. A set is indexed by a prefix of that order:
+
+* rare shingles are keys of their own;
+* of frequent shingles pairs are keys. The range of hashes is dealt into parts and only pairs within a part count. The
+  prefix is extended until it holds so many shingles, less one for each part that it touches, that a partner which lacks
+  as many as the threshold allows must still share a rare shingle or a pair. There are few enough parts that the whole
+  set always suffices.
+
+What shares a key is then compared in steps whose rows follow the index, however large a group under a key is:
+
+1. Stars: under each key everyone meets one node, chosen anew for each key. Links are verified on whole texts; their
+   components are what is no longer compared.
+2. Keys that still hold several components and few nodes are compared pair by pair.
+3. Under larger ones a center is chosen, and every node is measured against it: the symmetric difference D of both sets.
+   Let w = (100 + percent) |D| - (100 - percent) size. Two sets x and y are similar if and only if w_x + w_y is at most
+   2 (100 + percent) times what D_x and D_y share. If neither exceeds what the center allows, both are linked to it;
+   otherwise they share part of their differences, which are indexed by prefixes in turn: what a whole group has in
+   common is in no difference, so its size no longer matters. These rows take the place of the index, and the steps 2
+   and 3 repeat; what is left after the last round is compared pair by pair.
+
+No step leaves out a pair that could be a link between components, so components are exact up to collisions of 64-bit
+hashes.
 """
 
 from __future__ import annotations
@@ -30,27 +40,31 @@ from lexolith.llm.common import checkpointed, kept
 from lexolith.llm.components import components
 from lexolith.llm.shingles import mixed, set_key, shingle_set
 
-#: Slots of the corpus-wide count, the blocks in which it is summed, and the count from which a slot is frequent.
-SLOTS, BLOCKS, RARE = 1 << 22, 64, 32
-#: Shingles of a universe, about: as many as parity slots.
-UNIVERSE = 64
-#: Rounds of stars, and the stars that a node is compared with in each.
+#: Slots of the corpus-wide count and the blocks in which it is summed.
+SLOTS, BLOCKS = 1 << 22, 64
+#: A slot is frequent if it has so many rows, and as many as chance gives a slot of this corpus (six deviations over the mean).
+RARE, DEVIATIONS = 32, 6.0
+#: Rows of a slot from which keys of its shingles may be too many for one task.
+HOT, SALTS = 100_000, 1024
+#: Rounds of stars by keys, and the stars that a node is compared with in each.
 STAR_ROUNDS, STARS = 2, 4
+#: Nodes under a key up to which they are compared pair by pair, and rounds in which larger keys are taken apart.
+FEW, ROUNDS = 8, 4
 #: 64-bit words of the parity of a whole set.
 PARITY_WORDS = 4
 #: Nodes whose rows are looked up by a table sent to the workers; more are joined.
 LOOKUP_NODES = 2_000_000
 #: Rows of the input for each task, and so each checkpoint file, of a list of pairs.
 ROWS_PER_TASK = 50_000
-#: Sets that a worker keeps while it verifies pairs.
+#: Sets that a worker keeps while it compares pairs.
 CACHE_SETS = 64
-#: Texts that a worker indexes before it hands their rows on.
+#: Texts that a worker indexes, and pairs that it compares, before it hands their rows on.
 TEXTS_AT_ONCE = 500
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Levels:
-    """Ranges of set sizes and what the threshold percent / 100 allows sets of a range to differ in."""
+    """Ranges of set sizes: a set's partners at the threshold percent / 100 lie in its own or a neighbouring one."""
 
     def __init__(self, percent: int) -> None:
         self.percent = percent
@@ -61,64 +75,55 @@ class Levels:
             self.starts.append(self.starts[-1] * 100 // self.percent + 1)
         return int(np.searchsorted(self.starts, size, "right")) - 1
 
-    def plan(self, level: int) -> tuple[int, int, int]:
-        """Universes, parts in each, and differences allowed in each, for pairs whose smaller set lies in ``level``.
+    def tags(self, size: int) -> list[int]:
+        """Levels of the smaller set of the pairs that a set may be in."""
+        own = self.of(size)
+        return [own, own - 1] if own and (self.starts[own] - 1) * 100 >= self.percent * size else [own]
 
-        Such a pair's sizes a <= b have b <= 100 a / percent and differ in (a + b) (100 - percent) / (100 + percent)
-        shingles at most.
-        """
-        self.of(self.starts[level])
-        most = self.starts[level + 1] - 1
-        differences = most * (100 - self.percent) // self.percent
-        universes = max(1, round(most / UNIVERSE))
-        allowed = differences // universes
-        return universes, allowed + 2, allowed
-
-    def prefix(self, size: int) -> int:
-        """Shingles among which a partner's first common one must lie."""
+    def needed(self, size: int) -> int:
+        """Shingles that a partner may lack, and one more."""
         return size - -(-size * self.percent // 100) + 1
 
-
-def single_keys(rare: np.ndarray) -> np.ndarray:
-    return mixed(rare ^ _STEP)
-
-
-def combination_keys(frequent: np.ndarray, level: int, levels: Levels) -> tuple[np.ndarray, np.ndarray, int]:
-    """Keys of the parts of ascending shingles under a level's plan, the parities of their universes, and the allowance."""
-    universes, parts, allowed = levels.plan(level)
-    salt = np.uint64(level * 2_000_003 + 17)
-    at = ((frequent >> np.uint64(32)) * np.uint64(universes * parts)) >> np.uint64(32)
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if at.size else np.zeros(0, np.int64)
-    used = at[first]
-    sums = np.add.reduceat(mixed(frequent + salt), first) if at.size else np.zeros(0, np.uint64)
-    of = (at // np.uint64(parts)).astype(np.int64)
-    parity = np.zeros(universes, np.uint64)
-    np.bitwise_xor.at(parity, of, np.uint64(1) << ((frequent >> np.uint64(3)) & np.uint64(63)))
-    filled = np.bincount((used // np.uint64(parts)).astype(np.int64), minlength=universes)
-    scarce = np.flatnonzero(filled <= allowed)  # an untouched part of these may be an empty one
-    if scarce.size:
-        every = (scarce[:, None] * parts + np.arange(parts)[None, :]).ravel().astype(np.uint64)
-        empty = np.setdiff1d(every, used, assume_unique=True)
-        used, sums = np.concatenate((used, empty)), np.concatenate((sums, np.zeros(empty.size, np.uint64)))
-    keys = mixed(mixed(sums + used * _STEP) + salt)
-    return keys, parity[(used // np.uint64(parts)).astype(np.int64)], allowed
-
-
-def node_keys(shingles: np.ndarray, frequent_slots: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All index rows of a set: keys, parities, allowances (64 for keys of single shingles: no test)."""
-    size = shingles.size
-    is_frequent = frequent_slots[(shingles & np.uint64(SLOTS - 1)).astype(np.int64)]
-    rare = shingles[~is_frequent]
-    prefix = levels.prefix(size)
-    single = single_keys(rare[:prefix])
-    found = [(single, np.zeros(single.size, np.uint64), np.full(single.size, 64))]
-    if rare.size < prefix:
-        frequent = shingles[is_frequent]
-        level = levels.of(size)
-        for tag in (level, level - 1):
-            if tag >= 0 and levels.plan(tag)[0] * (levels.plan(tag)[2] + 1) > 0:
-                keys, parity, allowed = combination_keys(frequent, tag, levels)
-                found.append((keys, parity, np.full(keys.size, allowed)))
+    def parts(self, tag: int) -> int:
+        """Parts of the frequent shingles of sets of a level or the next: sets of ``size`` with one shingle less for each
+        part still hold needed(size)."""
+        return -(-self.starts[tag] * self.percent // 100) - 1
+
+
+def single_keys(shingles: np.ndarray) -> np.ndarray:
+    return mixed(shingles ^ _STEP)
+
+
+def pair_keys(frequent: np.ndarray, hot: np.ndarray, needed: int, tag: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the pairs in parts of the shortest prefix of ascending shingles that holds ``needed`` more than it touches
+    parts, and whether both shingles are hot."""
+    if not parts:  # sets of one shingle
+        return single_keys(frequent[:needed]), hot[:needed]
+    part = ((frequent >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    covered = np.cumsum(np.concatenate(([0], part[1:] == part[:-1])))
+    end = int(np.searchsorted(covered, needed)) + 1
+    some, part, hot = frequent[:end], part[:end], hot[:end]
+    salt = np.uint64(tag * 2_000_003 + 17)
+    keys, hots = [np.zeros(0, np.uint64)], [np.zeros(0, np.bool_)]
+    for apart in range(1, some.size):
+        both = np.flatnonzero(part[apart:] == part[:-apart])
+        if not both.size:
+            break
+        keys.append(mixed(mixed(some[both] + salt) + mixed(some[both + apart]) * np.uint64(3)))
+        hots.append(hot[both] & hot[both + apart])
+    return np.concatenate(keys), np.concatenate(hots)
+
+
+def node_keys(shingles: np.ndarray, frequent_slots: np.ndarray, hot_slots: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of a set, and whether each may be too frequent for one task."""
+    slot = (shingles & np.uint64(SLOTS - 1)).astype(np.int64)
+    is_frequent = frequent_slots[slot]
+    needed = levels.needed(shingles.size)
+    single = single_keys(shingles[~is_frequent][:needed])
+    found = [(single, np.zeros(single.size, np.bool_))]
+    if single.size < needed:
+        for tag in levels.tags(shingles.size):
+            found.append(pair_keys(shingles[is_frequent], hot_slots[slot][is_frequent], needed - single.size, tag, levels.parts(tag)))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -134,16 +139,16 @@ def whole_parity(shingles: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, node, n, parity words) of every row of ``docs`` (doc_id, text), and rows (block, counts) of the slot counts."""
+    """(doc_id, row_key, node, n, parity words) of every row of ``docs`` (doc_id, row_key, text), and rows (block, counts) of the slot counts."""
     words = [f"p{i}" for i in range(PARITY_WORDS)]
-    names = ["doc_id", "node", "n", *words, "block", "counts"]
+    names = ["doc_id", "row_key", "node", "n", *words, "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept(("jaccard",), lambda: None)
-        counts = np.zeros(SLOTS, np.int32)
+        counts = np.zeros(SLOTS, np.uint32)
         for batch in batches:
             nodes, sizes, parities = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 shingles = shingle_set(text.as_py(), width)
                 counts[(shingles & np.uint64(SLOTS - 1)).astype(np.int64)] += 1  # a row counts once in a slot
                 nodes.append(set_key(shingles) if shingles.size else None)
@@ -151,43 +156,46 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                 parities.append(whole_parity(shingles))
             rows = len(nodes)
             parity = np.array(parities, np.int64).reshape(rows, PARITY_WORDS)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(w) for w in parity.T], pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
-                names=names,
-            )
+            described = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(w) for w in parity.T]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *described, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
         if counts.any():
-            capped = np.minimum(counts, RARE).astype(np.uint8).reshape(BLOCKS, -1)
-            none = [pa.nulls(BLOCKS, pa.int64())] * (3 + PARITY_WORDS)
-            packed = [zlib.compress(b.tobytes(), 1) for b in capped]
+            none = [pa.nulls(BLOCKS, pa.int64())] * (4 + PARITY_WORDS)
+            packed = [zlib.compress(b.astype("<u4").tobytes(), 1) for b in counts.reshape(BLOCKS, -1)]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(BLOCKS), pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-    return docs.mapInArrow(run, f"doc_id long, node long, n long, {', '.join(w + ' long' for w in words)}, block int, counts binary")
+    return docs.mapInArrow(run, f"doc_id long, row_key long, node long, n long, {', '.join(w + ' long' for w in words)}, block int, counts binary")
 
 
-def frequent_slots(described: DataFrame) -> np.ndarray:
-    """Which slots have RARE rows or more in all: a bitmap of fixed size."""
+def classes(described: DataFrame, shingles: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which slots are frequent and which are hot: two bitmaps of fixed size, from counts over all ``shingles``.
+
+    The bound follows the load of the table, so that classes mean the same at every size of the corpus.
+    """
+    mean = shingles / SLOTS
+    bound, hot = RARE + mean + DEVIATIONS * mean**0.5, HOT
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS // BLOCKS, np.uint16)
+        total = np.zeros(SLOTS // BLOCKS, np.int64)
         for batch in batches:
             for counts in batch.column(1):
-                total = np.minimum(total + np.frombuffer(zlib.decompress(counts.as_py()), np.uint8), RARE).astype(np.uint16)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(total >= RARE).tobytes()], pa.binary())], names=["block", "bits"])
+                total += np.frombuffer(zlib.decompress(counts.as_py()), "<u4")
+        bits = [pa.array([np.packbits(total >= least).tobytes()], pa.binary()) for least in (bound, hot)]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), *bits], names=["block", "frequent", "hot"])
 
-    bitmap = np.zeros((BLOCKS, SLOTS // BLOCKS), np.bool_)
+    found = np.zeros((2, BLOCKS, SLOTS // BLOCKS), np.bool_)
     blocks = described.filter("block IS NOT NULL").select("block", "counts")
-    for r in blocks.groupBy("block").applyInArrow(add, "block int, bits binary").collect():  # BLOCKS rows, half a megabyte
-        bitmap[r["block"]] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8))
-    return bitmap.ravel()
+    for r in blocks.groupBy("block").applyInArrow(add, "block int, frequent binary, hot binary").collect():  # BLOCKS rows, a megabyte
+        for i, name in enumerate(("frequent", "hot")):
+            found[i, r["block"]] = np.unpackbits(np.frombuffer(bytes(r[name]), np.uint8))
+    return found[0].ravel(), found[1].ravel()
 
 
-def index(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Index rows (key, node, n, parity, allowed); a worker indexes equal sets once."""
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
+def index(docs: DataFrame, slots, width: int, percent: int) -> DataFrame:
+    """Index rows (key, node, n, hot); a worker indexes equal sets once. ``slots``: a broadcast pair of packed bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept(("jaccard",), lambda: None)
-        slots = np.unpackbits(sent.value).astype(np.bool_)
+        frequent, hot = (np.unpackbits(b).astype(np.bool_) for b in slots.value)
         levels, done = Levels(percent), set()
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
@@ -197,23 +205,18 @@ def index(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -> Da
                     if not shingles.size or (node := set_key(shingles)) in done:
                         continue
                     done.add(node)
-                    keys, parity, allowed = node_keys(shingles, slots, levels)
-                    found.append((keys, np.full(keys.size, node), np.full(keys.size, shingles.size), parity, allowed))
+                    keys, hots = node_keys(shingles, frequent, hot, levels)
+                    found.append((keys, np.full(keys.size, node), np.full(keys.size, shingles.size, np.int32), hots))
                 if found:
-                    keys, node, n, parity, allowed = (np.concatenate(p) for p in zip(*found))
-                    yield pa.RecordBatch.from_arrays(
-                        [_signed(keys), pa.array(node, pa.int64()), pa.array(n.astype(np.int32)), _signed(parity), pa.array(allowed.astype(np.int32))],
-                        names=["key", "node", "n", "parity", "allowed"],
-                    )
+                    keys, node, n, hots = (np.concatenate(p) for p in zip(*found))
+                    yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(node, pa.int64()), pa.array(n), pa.array(hots)], names=["key", "node", "n", "hot"])
 
-    return docs.select("text").mapInArrow(run, "key long, node long, n int, parity long, allowed int")
+    return docs.select("text").mapInArrow(run, "key long, node long, n int, hot boolean")
 
 
-def _may_match(a: str, b: str, percent: int) -> Column:
-    """What any two similar sets under a key fulfil: sizes close enough, parities within the allowance."""
-    size_a, size_b = F.col(f"{a}.n").cast("long") * 100, F.col(f"{b}.n").cast("long") * 100
-    sizes = (size_a >= F.col(f"{b}.n") * percent) & (size_b >= F.col(f"{a}.n") * percent)
-    return sizes & (F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity"))) <= F.col(f"{a}.allowed"))
+def _sizes_match(a: str, b: str, percent: int) -> Column:
+    size_a, size_b = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
+    return (size_a * 100 >= size_b * percent) & (size_b * 100 >= size_a * percent)
 
 
 def _close_as_wholes(a: str, b: str, percent: int) -> Column:
@@ -222,18 +225,46 @@ def _close_as_wholes(a: str, b: str, percent: int) -> Column:
     return apart * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int, tasks: int) -> DataFrame:
-    """(a, b) of ``pairs`` whose sets are similar, counted on the whole texts of one row of each node."""
+def differences(x: np.ndarray, center: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[bool, list[tuple[np.ndarray, int]]]:
+    """Whether ``x`` is linked to ``center``, and prefixes of their symmetric difference with the sides that they are for.
+
+    The order is that of all sets measured against the center: rare shingles that it lacks, frequent ones that it lacks,
+    its own. Side 0 meets side 0: both far from the center; side 1, linked to it, meets side 2, far from it.
+    """
+    more, less = 100 + percent, 100 - percent
+    new, lost = np.setdiff1d(x, center, assume_unique=True), np.setdiff1d(center, x, assume_unique=True)
+    d, edge = new.size + lost.size, less * center.size
+    w = more * d - less * x.size
+    # a partner's differences hold what both share, so its w has this at least
+    partner = w - 2 * less * (x.size * 100 // percent)
+    far = w > edge
+    ranges = [(0, edge + 1, None), (2, -edge, edge)] if far else [(1, edge + 1, None)]
+    is_frequent = frequent[(new & np.uint64(SLOTS - 1)).astype(np.int64)]
+    order, out = np.concatenate((new[~is_frequent], new[is_frequent], lost)), []
+    for side, least, most in ranges:
+        least = max(least, partner)
+        if most is not None and least > most:
+            continue
+        shared = max(1, -(-(w + least) // (2 * more)))
+        if shared <= d:
+            out.append((order[: d - shared + 1], side))
+    return not far, out
+
+
+def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, slots, width: int, percent: int, tasks: int) -> DataFrame:
+    """Of ``pairs`` (a, b, measure) the similar ones as (a, b), counted on the whole text of one row of each node; where
+    ``measure`` holds, index rows (key, node, n, side) of the differences of a from b too."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = checkpointed(nodes.groupBy("node").agg(F.min("doc_id").alias("row_id")).join(needed, "node").coalesce(tasks))
+    rows = checkpointed(nodes.groupBy("node").agg(F.min("row_key").alias("own_key")).join(needed, "node").coalesce(tasks))
     few = F.broadcast(rows) if rows.count() <= LOOKUP_NODES else rows
-    texts = docs.join(few, docs["doc_id"].eqNullSafe(rows["row_id"])).select("node", "text")
-    texts = texts.mapInArrow(_only_own(width), "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
+    texts = docs.join(few, docs["row_key"] == rows["own_key"]).groupBy("node").agg(F.first("text").alias("text"))
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    names = ["a", "b", "key", "node", "n", "side"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
+        frequent = np.unpackbits(slots.value[0]).astype(np.bool_)
 
         def shingles(node: int, text: pa.StringScalar) -> np.ndarray:
             if node not in sets:
@@ -242,25 +273,120 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, pe
                 sets[node] = shingle_set(text.as_py(), width)
             return sets[node]
 
-        for batch in batches:
-            similar = []
-            for a, b, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                x, y = shingles(a, text_a), shingles(b, text_b)
-                both = np.intersect1d(x, y, assume_unique=True).size
-                similar.append(100 * both >= percent * (x.size + y.size - both))
-            yield batch.select([0, 1]).filter(pa.array(similar, pa.bool_()))
+        def handed_on(links: list, found: list) -> Iterator[pa.RecordBatch]:
+            if links:
+                a, b = (pa.array(v, pa.int64()) for v in zip(*links))
+                yield pa.RecordBatch.from_arrays([a, b, pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int32())], names=names)
+            if found:
+                keys, node, n, side = (np.concatenate(p) for p in zip(*found))
+                none = pa.nulls(keys.size, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, _signed(keys), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(side, pa.int32())], names=names)
 
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                links, found = [], []
+                some = batch.slice(at, TEXTS_AT_ONCE)
+                for a, b, measure, text_a, text_b in zip(*(some.column(i).to_pylist() for i in range(3)), some.column(3), some.column(4)):
+                    x, y = shingles(a, text_a), shingles(b, text_b)
+                    if measure:
+                        similar, prefixes = differences(x, y, frequent, percent)
+                        for tokens, side in prefixes:
+                            salt = mixed(np.array([b], np.int64).view(np.uint64) + np.uint64(min(side, 1)))
+                            found.append((mixed(tokens * np.uint64(3) + salt), np.full(tokens.size, a), np.full(tokens.size, x.size), np.full(tokens.size, side)))
+                    else:
+                        both = np.intersect1d(x, y, assume_unique=True).size
+                        similar = 100 * both >= percent * (x.size + y.size - both)
+                    if similar:
+                        links.append((min(a, b), max(a, b)))
+                yield from handed_on(links, found)
+
+    return two.select("a", "b", "measure", "text_a", "text_b").mapInArrow(run, "a long, b long, key long, node long, n int, side int")
+
+
+class Join:
+    """The state of a join: links found so far and the pairs that were compared."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, slots, width: int, percent: int, tasks: int) -> None:
+        self.docs, self.nodes, self.slots, self.width, self.percent, self.tasks = docs, nodes, slots, width, percent, tasks
+        words = [F.first(f"p{i}").alias(f"p{i}") for i in range(PARITY_WORDS)]
+        self.parities = nodes.groupBy("node").agg(*words)
+        self.links = self.tested = self.roots = None
+
+    def compare(self, pairs: DataFrame) -> DataFrame:
+        """Compares ``pairs`` (a, b, measure), each once, and gives the index rows of the differences asked for."""
+        pairs = pairs.groupBy("a", "b").agg(F.max("measure").alias("measure"))
+        if self.tested is not None:
+            known = self.tested.withColumn("tested", F.lit(True))
+            pairs = pairs.join(known, ["a", "b"], "left").filter("measure OR tested IS NULL").drop("tested")
+        pairs = checkpointed(pairs.coalesce(self.tasks))
+        found = checkpointed(compared(pairs, self.docs, self.nodes, self.slots, self.width, self.percent, self.tasks))
+        links, tested = found.filter("a IS NOT NULL").select("a", "b"), pairs.filter("NOT measure").select("a", "b")
+        self.links = links if self.links is None else self.links.unionByName(links)
+        self.tested = tested if self.tested is None else self.tested.unionByName(tested)
+        self.roots = components(self.links)
+        return found.filter("key IS NOT NULL").select("key", "node", "n", "side")
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the root of their node's component."""
+        if self.roots is None:
+            return rows.withColumn("root", F.col("node"))
+        return rows.join(self.roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def open_rows(self, rows: DataFrame) -> DataFrame:
+        """Rows of keys under which different components, on sides that meet, are left, and how many rows (``under``) each key has."""
+        rows = self.placed(rows)
+        ends = [f(c).alias(f"{name}_{c}") for c in ("root", "side") for name, f in (("least", F.min), ("most", F.max))]
+        left = rows.groupBy("key").agg(F.count(F.lit(1)).alias("under"), *ends)
+        left = left.filter("least_root <> most_root AND (least_side = 0 OR least_side <> most_side)").select("key", "under")
+        return rows.join(left, "key")
+
+    def stars(self, keyed: DataFrame, star: int) -> None:
+        """Everyone against one node under each key; of a node's stars those it shares most keys with."""
+        rows = self.open_rows(keyed) if self.roots is not None else self.placed(keyed)
+        center = rows.groupBy("key").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", "key", F.lit(star))).alias("c"))
+        met = rows.alias("x").join(center.select("key", "c.*").alias("y"), "key").filter((F.col("x.root") != F.col("y.root")) & _sizes_match("x", "y", self.percent))
+        met = met.groupBy(F.col("x.node").alias("x"), F.col("x.n").alias("n_x"), F.col("y.node").alias("y"), F.col("y.n").alias("n_y")).agg(F.count(F.lit(1)).alias("keys"))
+        p = F.struct(*self.parities.columns[1:])
+        met = met.join(self.parities.select(F.col("node").alias("x"), p.alias("p_x")), "x").join(self.parities.select(F.col("node").alias("y"), p.alias("p_y")), "y")
+        met = met.select("keys", F.struct("x", F.col("n_x").alias("n"), "p_x.*").alias("a"), F.struct("y", F.col("n_y").alias("n"), "p_y.*").alias("b"))
+        met = met.filter(_close_as_wholes("a", "b", self.percent)).select(F.col("a.x").alias("x"), F.col("b.y").alias("y"), "keys")
+        best = met.withColumn("nth", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("keys"), "y"))).filter(F.col("nth") <= STARS)
+        self.compare(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(False).alias("measure")))
 
+    def pairs(self, rows: DataFrame) -> DataFrame:
+        """Pairs of open rows of one key whose components differ and whose sizes and parities allow a link."""
+        known = rows.join(self.parities, "node")
+        x, y = known.alias("x"), known.alias("y")
+        sides = (F.col("x.side") + F.col("y.side")).isin(0, 3)
+        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & sides
+        both = x.join(y, apart & _sizes_match("x", "y", self.percent) & _close_as_wholes("x", "y", self.percent))
+        return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.lit(False).alias("measure"))
 
-def _only_own(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows whose text has the node's set: ids may stand for other texts too."""
-        for batch in batches:
-            own = [set_key(shingle_set(t.as_py(), width)) == n for n, t in zip(batch.column(0).to_pylist(), batch.column(1))]
-            yield batch.filter(pa.array(own, pa.bool_()))
+    def measured(self, rows: DataFrame) -> DataFrame:
+        """Pairs (a, b) of every node and the centers under its keys: the node with most rows of all.
 
-    return run
+        Keys are split by size first, so that a center is not much larger or smaller than what it serves.
+        """
+        level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0001 / self.percent)))
+        split = rows.select(F.explode(F.array(level, level - 1)).alias("level"), "key", "node", "n")
+        split = split.select(F.xxhash64("key", "level").alias("key"), "node")
+        weights = split.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
+        center = split.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", F.xxhash64("node"))).alias("b"))
+        met = split.join(center, "key").filter("node <> b")
+        return met.select(F.col("node").alias("a"), "b", F.lit(True).alias("measure"))
+
+    def run(self, keyed: DataFrame) -> None:
+        for star in range(STAR_ROUNDS):
+            self.stars(keyed, star)
+        rows = keyed
+        for nth in range(ROUNDS):
+            rows = checkpointed(self.open_rows(rows))
+            if not rows.limit(1).count():
+                return
+            if nth == ROUNDS - 1:
+                self.compare(self.pairs(rows))
+                return
+            rows = self.compare(self.pairs(rows.filter(F.col("under") <= FEW)).unionByName(self.measured(rows.filter(F.col("under") > FEW))))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,50 +399,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     gives an empty result; other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
     described = checkpointed(describe(docs, shingle))
     rows = described.filter("block IS NULL").drop("block", "counts")
     nodes = rows.filter("node IS NOT NULL")
+    n_rows, shingles = rows.agg(F.count(F.lit(1)), F.sum("n")).first()
     # short lists, of pairs and of the nodes in them, take as few tasks as the rows they come from allow
-    tasks = max(2, -(-rows.count() // ROWS_PER_TASK))
-    under_key = Window.partitionBy("key")
-    keyed = index(docs, frequent_slots(described), shingle, percent)
+    tasks = max(2, -(-n_rows // ROWS_PER_TASK))
+    slots = docs.sparkSession.sparkContext.broadcast([np.packbits(b) for b in classes(described, shingles or 0)])
+    # keys of one node go; those that may be hot are dealt over tasks by node and stay
+    under_key = Window.partitionBy("key", F.when(F.col("hot"), F.pmod("node", F.lit(SALTS))))
+    keyed = index(docs, slots, shingle, percent)
     keyed = keyed.withColumn("least", F.min("node").over(under_key)).withColumn("most", F.max("node").over(under_key))
-    keyed = checkpointed(keyed.filter("least <> most").drop("least", "most"))
+    keyed = checkpointed(keyed.filter("hot OR least <> most").select("key", "node", "n", F.lit(0).alias("side")))
 
-    parities = nodes.groupBy("node").agg(*[F.first(f"p{i}").alias(f"p{i}") for i in range(PARITY_WORDS)])
+    join = Join(docs, nodes, slots, shingle, percent, tasks)
+    join.run(keyed)
 
-    # first rounds: under each key, everyone against one node; of a node's stars those it shares most keys with
-    links = tested = None
-    placed = keyed.withColumn("root", F.col("node"))
-    for star in range(STAR_ROUNDS):
-        center = placed.groupBy("key").agg(F.min_by(F.struct("node", "n", "parity", "root"), F.xxhash64("node", "key", F.lit(star))).alias("c"))
-        met = placed.alias("x").join(center.select("key", "c.*", F.lit(None).cast("int").alias("allowed")).alias("y"), "key")
-        met = met.filter((F.col("x.root") != F.col("y.root")) & _may_match("x", "y", percent))
-        met = met.groupBy(F.col("x.node").alias("x"), F.col("x.n").alias("n_x"), F.col("y.node").alias("y"), F.col("y.n").alias("n_y")).agg(F.count(F.lit(1)).alias("keys"))
-        met = met.join(parities.select(F.col("node").alias("x"), F.struct(*parities.columns[1:]).alias("p_x")), "x").join(parities.select(F.col("node").alias("y"), F.struct(*parities.columns[1:]).alias("p_y")), "y")
-        met = met.select("keys", F.struct("x", F.col("n_x").alias("n"), "p_x.*").alias("a"), F.struct("y", F.col("n_y").alias("n"), "p_y.*").alias("b"))
-        met = met.filter(_close_as_wholes("a", "b", percent)).select(F.col("a.x").alias("x"), F.col("b.y").alias("y"), "keys")
-        best = met.withColumn("nth", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("keys"), "y"))).filter(F.col("nth") <= STARS)
-        pairs = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = checkpointed((pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")).coalesce(tasks))
-        found = checkpointed(verified(pairs, docs, nodes, shingle, percent, tasks))
-        links, tested = (found, pairs) if links is None else (links.unionByName(found), tested.unionByName(pairs))
-        roots = components(links)
-        placed = keyed.join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed_keys = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
-        placed = placed.join(mixed_keys, "key")
-
-    # last round: what shares a key but not a component, pair by pair
-    open_rows = placed.join(parities, "node")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    both = x.join(y, apart & _may_match("x", "y", percent) & _close_as_wholes("x", "y", percent))
-    more = both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = checkpointed(more.join(tested, ["a", "b"], "left_anti").coalesce(tasks))
-    links = checkpointed(links.unionByName(verified(more, docs, nodes, shingle, percent, tasks)))
-    roots = components(links)
-
-    labelled = rows.select("doc_id", "node", "n").join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = rows.select("doc_id", "node", "n")
+    labelled = labelled.join(join.roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_ids = labelled.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = labelled.join(least_ids, "root", "left")
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

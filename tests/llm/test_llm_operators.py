@@ -432,9 +432,10 @@ def near_copies(seed, n=160):
     return texts
 
 
-@pytest.mark.parametrize("width,percent,rare", [(4, 85, 32), (5, 80, 3), (2, 90, 1)])
-def test_components_of_near_copies(spark, monkeypatch, width, percent, rare):
-    monkeypatch.setattr(jaccard, "RARE", rare)
+@pytest.mark.parametrize("width,percent,rare,few,rounds,hot", [(4, 85, 32, 8, 4, 100_000), (5, 80, 3, 1, 4, 3), (2, 90, 1, 2, 2, 1)])
+def test_components_of_near_copies(spark, monkeypatch, width, percent, rare, few, rounds, hot):
+    for name, value in (("RARE", rare), ("FEW", few), ("ROUNDS", rounds), ("HOT", hot)):
+        monkeypatch.setattr(jaccard, name, value)
     pairs = [(i, t) for i, t in enumerate([*near_copies(width), *ODD_TEXTS, "repeated row", "repeated row"])]
     pairs[-1] = (pairs[-2][0], pairs[-1][1])
     pairs += [(None, pairs[0][1]), (None, "no id at all here")]
@@ -442,6 +443,32 @@ def test_components_of_near_copies(spark, monkeypatch, width, percent, rare):
     assert rows(jaccard.near_duplicates(df, width, percent)) == brute_components(pairs, width, percent)
 
 
+@pytest.mark.parametrize("few,stars", [(8, 2), (2, 0), (1, 1)])
+def test_one_large_group_of_near_copies(spark, monkeypatch, few, stars):
+    """Copies of one text and of a second version of it, with few and with many edits, so that most pairs are just no links."""
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "STAR_ROUNDS", stars)
+    rng = np.random.default_rng(9)
+    first = [f"w{i}" for i in rng.integers(0, 5000, 150)]
+    second = [w if i % 40 else f"second{i}" for i, w in enumerate(first)]
+    texts = []
+    for k in range(240):
+        words = list((first, second)[k % 2])
+        for _ in range(int(rng.integers(0, 9))):
+            words[rng.integers(len(words))] = f"new{rng.integers(0, 40)}"
+        texts.append(" ".join(words))
+    pairs = list(enumerate(texts))
+    got = rows(jaccard.near_duplicates(docs_of(spark, texts).repartition(3), 5, 80))
+    assert got == brute_components(pairs, 5, 80)
+    assert 1 < len({c for *_, c in got}) < 200
+
+
+def test_many_rows_without_an_id(spark):
+    texts = [f"a text number {k} that is like no other text at all {k} {k + 1}" for k in range(2000)] + ["the same words here again"] * 500
+    got = rows(jaccard.near_duplicates(docs_of(spark, texts, [None] * len(texts)), 4, 85))
+    assert len(got) == 2500 and all(i is None and c is None for i, _, c in got)
+
+
 def test_no_documents_have_no_components(spark, odd):
     assert jaccard.near_duplicates(odd.limit(0)).count() == 0
     assert rows(jaccard.near_duplicates(docs_of(spark, [None, ""]))) == [(0, 0, 0), (1, 0, 1)]
@@ -453,13 +480,45 @@ def test_components_of_long_paths(spark):
     assert got == {**{i: 0 for i in range(1, 101)}, **{i: 950 for i in range(951, 1001)}, 300: 200}
 
 
-def test_plan_allows_what_the_threshold_allows():
-    for percent in (80, 85, 90):
-        levels = jaccard.Levels(percent)
-        for a in range(1, 400):
-            level = levels.of(a)
-            universes, parts, allowed = levels.plan(level)
-            for b in range(a, a * 100 // percent + 1):
-                assert levels.of(b) in (level, level + 1)
-                apart = (a + b) * (100 - percent) // (100 + percent)
-                assert apart < universes * (allowed + 1) and parts > allowed
+@pytest.mark.parametrize("percent", (80, 85, 90))
+def test_prefixes_of_similar_sets_share_a_key(percent):
+    rng, levels = np.random.default_rng(percent), jaccard.Levels(percent)
+    for a in range(1, 400):
+        level = levels.of(a)
+        for b in range(a, a * 100 // percent + 1):
+            assert level in levels.tags(a) and level in levels.tags(b)
+            assert a - levels.parts(level) >= levels.needed(a) and b - levels.parts(level) >= levels.needed(b)
+    classes = rng.random((3, jaccard.SLOTS)) < np.array([[0.0], [0.7], [1.0]])
+    for _ in range(600):
+        n = int(rng.integers(1, 300))
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        allowed = 2 * x.size * (100 - percent) // (100 + percent)
+        gone = int(rng.integers(0, allowed // 2 + 1))
+        y = np.union1d(np.delete(x, rng.choice(x.size, gone, replace=False)), rng.integers(0, 1 << 63, max(0, allowed - gone)).astype(np.uint64))
+        both = np.intersect1d(x, y).size
+        if 100 * both >= percent * (x.size + y.size - both) and both:
+            frequent = classes[rng.integers(3)]
+            keys = [jaccard.node_keys(s, frequent, np.zeros(jaccard.SLOTS, np.bool_), levels)[0] for s in (x, y)]
+            assert np.intersect1d(*keys).size
+
+
+def test_differences_from_a_center_keep_every_link():
+    rng, none = np.random.default_rng(5), np.zeros(jaccard.SLOTS, np.bool_)
+    for case in range(300):
+        percent = (80, 85, 90)[case % 3]
+        center = np.unique(rng.integers(0, 1 << 63, int(rng.integers(4, 80))).astype(np.uint64))
+        new = np.unique(rng.integers(0, 1 << 63, 30).astype(np.uint64))
+
+        def edited(s, share):
+            kept = s[rng.random(s.size) > share * rng.random()]
+            return np.union1d(kept, rng.choice(new, int(share * rng.integers(0, 20)), replace=False))
+
+        x = edited(center, rng.random())
+        y = edited(x, 0.3 * rng.random())
+        both = np.intersect1d(x, y).size
+        if not both or 100 * both < percent * (x.size + y.size - both):
+            continue
+        (near_x, of_x), (near_y, of_y) = (jaccard.differences(s, center, none, percent) for s in (x, y))
+        shared = [np.intersect1d(p, q).size for p, i in of_x for q, j in of_y if i + j in (0, 3)]
+        assert (near_x and near_y) or any(shared)
+
