@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -17,6 +18,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Stored:
+    """A frame written as a table in the shared folder, more compact than a checkpoint, until it is dropped."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.spark = df.sparkSession
+        self.path = f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.rows = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 _kept: tuple = (None, None)
 
 
@@ -30,3 +45,11 @@ def kept(name: tuple, make: Callable[[], Any]) -> Any:
         _kept = (None, None)  # frees the old one first
         _kept = (name, make())
     return _kept[1]
+
+
+def free_name(wanted: str, *taken: DataFrame | list[str]) -> str:
+    """``wanted`` with as many underscores in front as no column of ``taken`` is called so, whatever its case."""
+    names = {c.lower() for t in taken for c in (t if isinstance(t, list) else t.columns)}
+    while wanted.lower() in names:
+        wanted = "_" + wanted
+    return wanted

@@ -14,7 +14,8 @@ What shares a key is then compared in steps whose rows follow the index, however
 
 1. Stars: under each key everyone meets one node, chosen anew for each key. Links are verified on whole texts; their
    components are what is no longer compared.
-2. Keys that still hold several components and few nodes are compared pair by pair.
+2. Keys that still hold several components and few nodes are compared pair by pair, and so is all that is left as soon
+   as it has no more pairs than the index has rows.
 3. Under larger ones a center is chosen, and every node is measured against it: the symmetric difference D of both sets.
    Let w = (100 + percent) |D| - (100 - percent) size. Two sets x and y are similar if and only if w_x + w_y is at most
    2 (100 + percent) times what D_x and D_y share. If neither exceeds what the center allows, both are linked to it;
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexolith.llm.common import checkpointed, kept
+from lexolith.llm.common import Stored, checkpointed, kept
 from lexolith.llm.components import components
 from lexolith.llm.shingles import mixed, set_key, shingle_set
 
@@ -47,9 +48,9 @@ RARE, DEVIATIONS = 32, 6.0
 #: Rows of a slot from which keys of its shingles may be too many for one task.
 HOT, SALTS = 100_000, 1024
 #: Rounds of stars by keys, and the stars that a node is compared with in each.
-STAR_ROUNDS, STARS = 2, 4
+STAR_ROUNDS, STARS = 1, 4
 #: Nodes under a key up to which they are compared pair by pair, and rounds in which larger keys are taken apart.
-FEW, ROUNDS = 8, 4
+FEW, ROUNDS = 32, 6
 #: 64-bit words of the parity of a whole set.
 PARITY_WORDS = 4
 #: Nodes whose rows are looked up by a table sent to the workers; more are joined.
@@ -312,19 +313,19 @@ class Join:
         self.parities = nodes.groupBy("node").agg(*words)
         self.links = self.tested = self.roots = None
 
-    def compare(self, pairs: DataFrame) -> DataFrame:
+    def compare(self, pairs: DataFrame) -> Stored:
         """Compares ``pairs`` (a, b, measure), each once, and gives the index rows of the differences asked for."""
         pairs = pairs.groupBy("a", "b").agg(F.max("measure").alias("measure"))
         if self.tested is not None:
             known = self.tested.withColumn("tested", F.lit(True))
             pairs = pairs.join(known, ["a", "b"], "left").filter("measure OR tested IS NULL").drop("tested")
         pairs = checkpointed(pairs.coalesce(self.tasks))
-        found = checkpointed(compared(pairs, self.docs, self.nodes, self.slots, self.width, self.percent, self.tasks))
-        links, tested = found.filter("a IS NOT NULL").select("a", "b"), pairs.filter("NOT measure").select("a", "b")
+        found = Stored(compared(pairs, self.docs, self.nodes, self.slots, self.width, self.percent, self.tasks))
+        links, tested = checkpointed(found.rows.filter("a IS NOT NULL").select("a", "b").coalesce(self.tasks)), pairs.filter("NOT measure").select("a", "b")
         self.links = links if self.links is None else self.links.unionByName(links)
         self.tested = tested if self.tested is None else self.tested.unionByName(tested)
         self.roots = components(self.links)
-        return found.filter("key IS NOT NULL").select("key", "node", "n", "side")
+        return found
 
     def placed(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the root of their node's component."""
@@ -351,7 +352,7 @@ class Join:
         met = met.select("keys", F.struct("x", F.col("n_x").alias("n"), "p_x.*").alias("a"), F.struct("y", F.col("n_y").alias("n"), "p_y.*").alias("b"))
         met = met.filter(_close_as_wholes("a", "b", self.percent)).select(F.col("a.x").alias("x"), F.col("b.y").alias("y"), "keys")
         best = met.withColumn("nth", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("keys"), "y"))).filter(F.col("nth") <= STARS)
-        self.compare(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(False).alias("measure")))
+        self.compare(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(False).alias("measure"))).drop()
 
     def pairs(self, rows: DataFrame) -> DataFrame:
         """Pairs of open rows of one key whose components differ and whose sizes and parities allow a link."""
@@ -378,15 +379,19 @@ class Join:
     def run(self, keyed: DataFrame) -> None:
         for star in range(STAR_ROUNDS):
             self.stars(keyed, star)
-        rows = keyed
+        index_rows, rows, found = keyed.count(), keyed, None
         for nth in range(ROUNDS):
             rows = checkpointed(self.open_rows(rows))
-            if not rows.limit(1).count():
+            if found is not None:
+                found.drop()
+            left = rows.agg(F.sum(F.col("under") - 1)).first()[0]
+            if left is None:
                 return
-            if nth == ROUNDS - 1:
-                self.compare(self.pairs(rows))
+            if left <= 2 * index_rows or nth == ROUNDS - 1:
+                self.compare(self.pairs(rows)).drop()
                 return
-            rows = self.compare(self.pairs(rows.filter(F.col("under") <= FEW)).unionByName(self.measured(rows.filter(F.col("under") > FEW))))
+            found = self.compare(self.pairs(rows.filter(F.col("under") <= FEW)).unionByName(self.measured(rows.filter(F.col("under") > FEW))))
+            rows = found.rows.filter("key IS NOT NULL").select("key", "node", "n", "side")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
