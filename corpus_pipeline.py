@@ -9,45 +9,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexolith.llm import jaccard, mixing, packing, quality, secrets
-from lexolith.llm.common import checkpointed, table
+from lexolith.llm import jaccard, mixing, packing, quality, queries, secrets
+from lexolith.llm.common import checkpointed, free_name, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps; the trusted rows are those of the table of labels."""
+    """Documents that the quality classifier keeps; the trusted rows are those of the table of labels.
+
+    Null and empty texts go. Repeated rows get the same verdict; an empty table stays empty; without labels all texts stay.
+    """
     return quality.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8: the one with the least id.
 
-    Documents without an id always stay. Of rows that share an id one stays. What goes is told by ids alone, so texts
-    are shuffled only if the ids that go are too many to be sent to the workers, or if ids repeat.
+    A row without an id counts after all others; of rows of a group that share the least id, one stays. Rows that share
+    an id but no group are different documents. Null and empty texts, which are in no group, all stay. What goes is told
+    by hashes of rows, so texts are shuffled only if the hashes that go are too many to be sent to the workers, or if
+    rows repeat. An empty table stays empty; columns may have any names.
     """
-    groups = checkpointed(jaccard.near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80))
-    ids = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count(F.lit(1)).alias("n"))
-    ids = checkpointed(ids.coalesce(max(2, -(-groups.count() // jaccard.ROWS_PER_TASK))))
-    gone = ids.filter("NOT first").select(F.col("doc_id").alias("__gone"))
-    gone = F.broadcast(gone) if gone.count() <= jaccard.LOOKUP_NODES else gone
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    if ids.filter("n > 1").limit(1).count():
-        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
-    return kept
+    rows = checkpointed(jaccard.linked_rows(docs, shingle=5, percent=80)).filter("root IS NOT NULL")
+    tasks = max(2, -(-rows.count() // jaccard.ROWS_PER_TASK))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"].alias("first"))
+    others = checkpointed(rows.join(first, "root").filter("row_key <> first").select("row_key").distinct().coalesce(tasks))
+    key = free_name("row_key", docs)
+    others = others.withColumnRenamed("row_key", "gone")
+    keyed = docs.withColumn(key, jaccard.row_key("doc_id", "text"))
+    kept = keyed.join(F.broadcast(others) if others.count() <= jaccard.LOOKUP_NODES else others, F.col(key) == others["gone"], "left_anti")
+    again = checkpointed(rows.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("row_key").alias("again")).coalesce(tasks))
+    if n := again.count():
+        again = F.broadcast(again) if n <= jaccard.LOOKUP_NODES else again
+        repeated = F.col(key) == F.col("again")
+        kept = kept.join(again, repeated, "left_anti").unionByName(kept.join(again, repeated, "left_semi").dropDuplicates([key]))
+    return kept.drop(key)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets that a scan finds masked in their texts."""
-    masked, _ = secrets.redact_secrets(docs)
+    """All documents, with the secrets that a scan finds masked in their texts; the ledger of the corpus is kept.
+
+    Null and empty texts, repeated rows and empty tables pass as they are.
+    """
+    masked = secrets.redact_secrets(docs, queries.ledger_of(spark, sf_dir))
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that sources weigh as the square roots of their sizes, in a global shuffle."""
+    """Documents repeated so that sources weigh as the square roots of their sizes, in a global shuffle.
+
+    A null source is a source of its own; rows without an id share one count; null and empty texts are rows like others.
+    """
     return mixing.mix_sources(docs, temperature=0.5, seed="mix")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of at most 2048 tokens."""
+    """Training sequences of at most 2048 tokens; a null or empty text is the end token alone, repeated rows are packed again."""
     return packing.pack(docs, capacity=2048, end_id=1)
 
 

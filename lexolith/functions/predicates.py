@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 RESERVED_KEYS = ("clientid", "is_active")
 INGESTION_DONE = ("INGESTION_SUCCESS", "INGESTION_FAILED", "FILE_SIZE_OVER_LIMIT")
 ANSWER_DONE = ("ANSWER_GENERATED", "ANSWER_GENERATION_FAILED")
+#: Statuses of any kind of message after which nothing more is done for it.
+DONE_STATUSES = ("DONE", "FAILED", *INGESTION_DONE, *ANSWER_DONE)
 GUARD_MODES = ("OFF", "DELIVER", "REJECT")
 
 
@@ -61,6 +63,11 @@ def within_size(size: Column, limit_mib: int = 80) -> Column:
     return size < limit_mib * 1024 * 1024
 
 
+def is_terminal(status: Column) -> Column:
+    """Whether a status ends its message, document or answer; null does not."""
+    return F.coalesce(status.isin(*DONE_STATUSES), F.lit(False))
+
+
 def is_live_lease(expires_at: Column, now: Column) -> Column:
     """A lease that expires exactly now may be taken."""
     return F.coalesce(expires_at > now, F.lit(False))

@@ -394,17 +394,14 @@ class Join:
             rows = found.rows.filter("key IS NOT NULL").select("key", "node", "n", "side")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_shingles (set size) and component_id of every row of ``docs``.
+def row_key(id_col: str, text_col: str) -> Column:
+    """A 64-bit key of a row's id and whole text."""
+    return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"))
 
-    Rows are linked when their sets of ``shingle``-word shingles have a Jaccard similarity of ``percent`` hundredths or
-    more; component_id is the least id that links reach. A text with fewer words is one shingle. A row without words,
-    null text included, has an empty set, links with nothing and is its own component. Repeated rows and ties share
-    their component; a null id is kept, and is a component's id only if the component has no other. An empty table
-    gives an empty result; other columns are not read.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
+
+def linked_rows(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row_key, n (set size) and root, what all rows of a component share and null for an empty set, of every row of ``docs``."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
     described = checkpointed(describe(docs, shingle))
     rows = described.filter("block IS NULL").drop("block", "counts")
     nodes = rows.filter("node IS NOT NULL")
@@ -417,12 +414,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     keyed = index(docs, slots, shingle, percent)
     keyed = keyed.withColumn("least", F.min("node").over(under_key)).withColumn("most", F.max("node").over(under_key))
     keyed = checkpointed(keyed.filter("hot OR least <> most").select("key", "node", "n", F.lit(0).alias("side")))
-
     join = Join(docs, nodes, slots, shingle, percent, tasks)
     join.run(keyed)
+    return join.placed(rows).select("doc_id", "row_key", "n", "root")
 
-    labelled = rows.select("doc_id", "node", "n")
-    labelled = labelled.join(join.roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, n_shingles (set size) and component_id of every row of ``docs``.
+
+    Rows are linked when their sets of ``shingle``-word shingles have a Jaccard similarity of ``percent`` hundredths or
+    more; component_id is the least id that links reach. A text with fewer words is one shingle. A row without words,
+    null text included, has an empty set, links with nothing and is its own component. Repeated rows and ties share
+    their component; a null id is kept, and is a component's id only if the component has no other. An empty table
+    gives an empty result; other columns are not read.
+    """
+    labelled = linked_rows(docs, shingle, percent, id_col, text_col)
     least_ids = labelled.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = labelled.join(least_ids, "root", "left")
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

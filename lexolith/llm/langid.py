@@ -10,6 +10,7 @@ Fitting uses a bounded sample of labelled rows; prediction is one map over whole
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of each language in the sample on which the classifiers are fitted, about; and the most languages that count.
-FIT_ROWS_PER_LANGUAGE, MOST_LANGUAGES = 4000, 512
+#: Rows of each language in the sample on which the classifiers are fitted, about.
+FIT_ROWS_PER_LANGUAGE = 4000
 #: Slots of hashed n-grams, and the longest n-gram.
 SLOTS, LONGEST = 1 << 16, 3
+#: Languages whose counts a worker holds at once.
+TABLES_AT_ONCE = 64
 #: Languages up to which every way to part them in two is a bit; beyond it bits are drawn from a hash.
 EXHAUSTIVE = 5
 #: Lead in score below which a text is ambiguous.
@@ -62,7 +65,7 @@ def ngram_slots(text: str) -> np.ndarray:
     blank = padded == 32
     keep = ~blank
     keep[1:] |= ~blank[:-1]  # the first blank of each run
-    keep[0] = not blank[1]
+    keep[0] = True
     padded = padded[keep]
     out, rolled = [], np.zeros(padded.size, np.uint64)
     for n in range(LONGEST):
@@ -101,34 +104,57 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Codewords and bit classifiers from ``rows``; rows without a language do not count.
 
     About ``per_language`` rows of each language are read, chosen by a hash of the id. Shares are smoothed and every
-    language weighs the same. Of more than MOST_LANGUAGES languages the most frequent ones are learned.
+    language weighs the same. Counts are added up for each language where its rows lie and come to the driver one
+    language after another, where they go into the sums of all bits; so however many languages there are, memory
+    follows the bits, which are as many as fifteen times the logarithm of the languages.
     """
     rows = rows.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in counted)
+    counted = sorted(map(tuple, rows.groupBy("lang").count().collect()))  # a row for each language
+    languages = [lang for lang, _ in counted]
     if not languages:
         return Model([], np.zeros((0, 0)), np.zeros((SLOTS, 0)))
-    share = F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], min(1.0, per_language / r["count"]))])
+    share = F.create_map(*[F.lit(x) for lang, n in counted for x in (lang, min(1.0, per_language / n))])
     place = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1_000_000)) / F.lit(1e6)
     sample = rows.filter(place < F.try_element_at(share, F.col("lang"))).repartition(16)
 
+    def packed(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([zlib.compress(v.astype("<i8").tobytes(), 1) for v in sums.values()], pa.binary())], names=["lang", "sums"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
                 found = np.bincount(ngram_slots(text.as_py() or ""), minlength=SLOTS)
                 sums[lang] = sums.get(lang, 0) + found
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())], names=["lang", "sums"])
+                if len(sums) > TABLES_AT_ONCE:
+                    yield packed({old: sums.pop(old) for old in [next(iter(sums))]})
+        yield packed(sums)
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for sums in batch.column(1):
+                total += np.frombuffer(zlib.decompress(sums.as_py()), "<i8")
+        yield packed({key[0].as_py(): total})
 
-    totals = {lang: np.zeros(SLOTS) for lang in languages}
-    for r in sample.select("text", "lang").mapInArrow(count, "lang string, sums binary").toLocalIterator():
-        totals[r["lang"]] += np.frombuffer(bytes(r["sums"]), "<i8")
-    shares = np.stack([(totals[x] + 0.5) / (totals[x].sum() + 0.5 * SLOTS) for x in languages])
     codes = codewords(len(languages))
+    with_bit, without = (codes.T > 0).astype(float), (codes.T < 0).astype(float)
+    totals = np.zeros((2, codes.shape[1], SLOTS))
+    place_of = {lang: i for i, lang in enumerate(languages)}
+
+    def include(lang: str, counts: np.ndarray) -> None:
+        shares, at = (counts + 0.5) / (counts.sum() + 0.5 * SLOTS), place_of.pop(lang)
+        for side, bits in enumerate((with_bit, without)):
+            totals[side, bits[:, at] > 0] += shares
+
+    grouped = sample.select("text", "lang").mapInArrow(count, "lang string, sums binary").groupBy("lang").applyInArrow(add, "lang string, sums binary")
+    for r in grouped.toLocalIterator():
+        include(r["lang"], np.frombuffer(zlib.decompress(bytes(r["sums"])), "<i8"))
+    for lang in list(place_of):  # no row of its own in the sample
+        include(lang, np.zeros(SLOTS))
     if len(languages) == 1:
         return Model(languages, codes, np.zeros((SLOTS, 1), np.float32))
-    with_bit, without = (codes.T > 0).astype(float), (codes.T < 0).astype(float)
-    ratio = np.log(with_bit @ shares / with_bit.sum(axis=1, keepdims=True)) - np.log(without @ shares / without.sum(axis=1, keepdims=True))
+    ratio = np.log(totals[0] / with_bit.sum(axis=1, keepdims=True)) - np.log(totals[1] / without.sum(axis=1, keepdims=True))
     return Model(languages, codes, np.ascontiguousarray(ratio.T.astype(np.float32)))
 
 

@@ -8,14 +8,13 @@ global shuffle by range.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sources whose rates are sent to every worker; beyond it rates are joined by salted keys.
-RATES_BROADCAST = 100_000
+#: Steps of all sources' distributions that are sent to every worker, 32 MB; beyond it they are joined by salted keys.
+STEPS_BROADCAST = 4_000_000
 #: Parts into which each source's rows are salted for that join.
 SALTS = 64
 
@@ -26,19 +25,19 @@ def unit_hash(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(16**13))
 
 
-def poisson_steps(rate: Column, longest: int) -> Column:
-    """The cumulative Poisson probabilities P(X <= 0), P(X <= 1), ... for ``rate``, as an array of ``longest`` steps.
+def poisson_steps(rates: DataFrame) -> DataFrame:
+    """source, rate and steps, the cumulative Poisson probabilities P(X <= 0), P(X <= 1), ..., of ``rates`` (source, rate > 0).
 
-    Terms follow each other by their logarithms, so large rates do not underflow.
+    Terms follow each other by their logarithms, so large rates do not underflow; a source's steps are sums over its own
+    rows, so their cost follows the rate.
     """
-    start = F.struct((-rate).alias("log_p"), F.exp(-rate).alias("total"), F.array(F.exp(-rate)).alias("steps"))
-
-    def step(state: Column, k: Column) -> Column:
-        log_p = state["log_p"] + F.log(rate) - F.log(k.cast("double"))
-        total = state["total"] + F.exp(log_p)
-        return F.struct(log_p.alias("log_p"), total.alias("total"), F.concat(state["steps"], F.array(total)).alias("steps"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(longest)), start, step, lambda s: s["steps"])
+    longest = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 40)
+    term = F.when(F.col("k") == 0, -F.col("rate")).otherwise(F.log("rate") - F.log(F.col("k").cast("double")))
+    so_far = Window.partitionBy("source", "rate").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    terms = rates.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), longest))).withColumn("log_p", F.sum(term).over(so_far))
+    totals = terms.withColumn("total", F.sum(F.exp("log_p")).over(so_far))
+    listed = F.array_sort(F.collect_list(F.struct("k", "total")))
+    return totals.groupBy("source", "rate").agg(F.transform(listed, lambda x: x["total"]).alias("steps"))
 
 
 def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, source_col: str = "source") -> DataFrame:
@@ -54,7 +53,7 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, te
         spark = docs.sparkSession
         given = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, weight double")
         weighed = counts.join(given, counts["source"].eqNullSafe(given["source"]), "left").select(counts["source"], "n_rows", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    totals = weighed.agg(F.sum("n_rows").alias("all_rows"), F.sum("weight").alias("all_weight"))
+    totals = weighed.agg(F.sum("n_rows").alias("all_rows"), F.sum("weight").alias("all_weight"))  # one row
     share = F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight")).otherwise(0.0)
     return weighed.join(F.broadcast(totals)).select("source", "n_rows", F.round(share * F.col("all_rows") / F.col("n_rows"), 9).alias("rate"))
 
@@ -67,40 +66,34 @@ def mix_sources(
     id_col: str = "doc_id",
     source_col: str = "source",
     details: bool = False,
-    rates_broadcast: int = RATES_BROADCAST,
+    steps_broadcast: int = STEPS_BROADCAST,
 ) -> DataFrame:
     """``docs`` with every row repeated by its Poisson count, in the order of a hash.
 
-    All columns are kept. ``details`` adds __copy (1, 2, ...), __rate and __order, the key of the shuffle. A null source
-    is a source of its own; a null id hashes as the word null; rows that share an id share its count, since the hash
-    sees only the id. A rate of 0 leaves a source out. An empty table gives an empty result. Input columns named with
-    two leading underscores and mix_ are not allowed.
+    All columns are kept, whatever their names. ``details`` adds __copy (1, 2, ...), __rate and __order, the key of the
+    shuffle; a table that has a column of such a name raises a ValueError then. A null source is a source of its own; a
+    null id hashes as the word null; rows that share an id share its count, since the hash sees only the id. A rate of 0
+    leaves a source out. Empty and very long texts are columns like others. An empty table gives an empty result.
     """
-    rates = source_rates(docs, weights, temperature, source_col).select(
-        F.col("source").alias("__mix_source"), F.col("rate").alias("__mix_rate")
-    )
-    # one aggregate over the sources bounds both the table sent to the workers and the longest distribution
-    n_sources, highest = rates.agg(F.count(F.lit(1)), F.max("__mix_rate")).first()
-    highest = highest or 0.0
-    longest = math.ceil(highest + 12 * math.sqrt(highest) + 40)
-    steps = F.when(F.col("__mix_rate") > 0, poisson_steps(F.greatest("__mix_rate", F.lit(1e-12)), longest))
-    rates = rates.withColumn("__mix_steps", steps)
-    source = F.col(source_col).cast("string")
-    if n_sources <= rates_broadcast:
-        joined = docs.join(F.broadcast(rates), source.eqNullSafe(F.col("__mix_source")))
-    else:
-        salted = docs.withColumn("__mix_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
-        spread = rates.withColumn("__mix_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(spread, (F.col("__mix_salt") == F.col("__mix_part")) & source.eqNullSafe(F.col("__mix_source")))
+    if details and (clash := {"__copy", "__rate", "__order"} & {c.lower() for c in docs.columns}):
+        raise ValueError(f"columns named {sorted(clash)} exist already")
+    rates = poisson_steps(source_rates(docs, weights, temperature, source_col).filter("rate > 0").select("source", "rate"))
+    # the steps of all sources bound the table that would be sent to the workers
+    steps = rates.agg(F.sum(F.size("steps"))).first()[0] or 0
+    rates = rates.select(F.col("source").alias("its_source"), "rate", "steps")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    point = unit_hash(F.lit(seed), key)
-    copies = F.coalesce(F.size(F.filter("__mix_steps", lambda p: p <= F.col("__mix_point"))), F.lit(0))
-    drawn = joined.withColumn("__mix_point", point).withColumn("__mix_copies", copies).filter("__mix_copies > 0")
-    repeated = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
-    order = unit_hash(F.lit(seed + "-order"), key, F.col("__copy"))
-    out = repeated.select(*[F.col(f"`{c}`") for c in docs.columns], "__copy", F.col("__mix_rate").alias("__rate"), order.alias("__order"))
-    out = out.sort("__order", F.col(id_col), "__copy")
-    return out if details else out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).cast("string").alias("source"), key.alias("key"))
+    if steps <= steps_broadcast:
+        joined = rows.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("its_source")))
+    else:
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+        spread = rates.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(spread, (F.col("salt") == F.col("part")) & F.col("source").eqNullSafe(F.col("its_source")))
+    copies = F.size(F.filter("steps", lambda p: p <= F.col("point")))
+    drawn = joined.withColumn("point", unit_hash(F.lit(seed), F.col("key"))).select("row", "key", "rate", copies.alias("copies")).filter("copies > 0")
+    repeated = drawn.select("row", "key", "rate", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    out = repeated.withColumn("order", unit_hash(F.lit(seed + "-order"), F.col("key"), F.col("copy"))).sort("order", "key", "copy")
+    return out.select("row.*", *([F.col("copy").alias("__copy"), F.col("rate").alias("__rate"), F.col("order").alias("__order")] if details else []))
 
 
 #: DuckDB's form of mix_sources() with details and the given temperature and seed, over a relation {docs}.

@@ -73,7 +73,7 @@ class Encoder:
         self.pieces.update((p, b"".join(map(find, ws))) for p, ws in cut.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [None if "<|" in t else wordbpe.pieces(t) for t in texts]
+        plain = [None if wordbpe.SPECIAL_START in t else wordbpe.pieces(t) for t in texts]
         if len(self.pieces) >= CACHE_PIECES:
             self.pieces.clear()
         if len(self.words) >= CACHE_PIECES:

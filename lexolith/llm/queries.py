@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexolith.llm import fingerprint, jaccard, langid, mixing, packing, quality, secrets, tokens, topk, urls
 from lexolith.llm.common import table
+from lexolith.sources.shared import shared_folder
 
 #: The rules against which pages are judged.
 URL_RULES = (
@@ -26,9 +29,15 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), limit=2048)
 
 
+def ledger_of(spark: SparkSession, sf_dir: str) -> str:
+    """Where the ledger of the corpus in a data folder is kept: the shared folder of the session's storage, not its tasks'."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or shared_folder(spark)
+    return f"{root.rstrip('/')}/secret-ledger-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found, _ = secrets.scan_versions(docs)
+    found = secrets.scan_with_ledger(docs, ledger_of(spark, sf_dir))
     listed = secrets.listing(F.col("__spans"))
     counts = [secrets.count_of(F.col("__spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return found.select("doc_id", *counts, F.sha2(listed.cast("binary"), 256).alias("base_sha256"), listed.alias("spans"))

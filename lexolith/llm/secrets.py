@@ -1,8 +1,8 @@
 """Secret scans over an incremental ledger of blobs.
 
 Every version of every path is addressed by the SHA-256 of its text. The ledger holds which (blob, rule version) pairs
-have been scanned and what was found; only pairs that it lacks are scanned, each distinct blob once however many paths
-and versions hold it, and findings are joined back to all of them. All steps are SQL functions.
+have been scanned and what was found; it is kept as a table in storage that the cluster shares. Only pairs that it lacks
+are scanned, each distinct blob once however many paths and versions hold it, and findings are joined back to all of them. All steps are SQL functions.
 
 Places are found without a procedural scan: splitting a text at a rule gives the pieces between its matches, extracting
 gives the matches, and running sums of both lengths are the matches' offsets in code points.
@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,7 @@ BASE_RULES = (
 
 #: Parts into which each blob's paths are dealt when findings are joined back, so that no blob's paths meet in one task.
 SALTS = 16
+LEDGER = "blob binary, rule string, spans array<struct<start:bigint,end:bigint>>"
 _HITS = "array<struct<n:int,gap:int,length:int,counts:boolean>>"
 
 
@@ -79,6 +80,35 @@ def scan_blobs(blobs: DataFrame, rules: Sequence[Rule], ledger: DataFrame | None
     return placed.groupBy("blob", "rule").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
+def _blobs(versions: DataFrame, text_col: str) -> DataFrame:
+    """The distinct texts of ``versions`` by their address."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return versions.select(address(text).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+
+
+def _joined_back(versions: DataFrame, entries: DataFrame, rules: Sequence[Rule], text_col: str) -> DataFrame:
+    """The columns of ``versions`` but the text, __blob and __spans, from the entries of a ledger."""
+    places = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.key, i)])
+    kinds = F.array(*[F.lit(r.kind) for r in rules])
+    listed = entries.filter(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0)).withColumn("at", F.try_element_at(places, F.col("rule")))
+    kind = F.element_at(kinds, F.col("at") + 1)
+    per_rule = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("at").alias("place"), kind.alias("kind"), s["end"].alias("end")))
+    found = listed.select("blob", "at", per_rule.alias("spans")).distinct().groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    found = found.select(F.col("blob").alias("its_blob"), "spans", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("its_salt"))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    rest = [F.col(f"`{c}`") for c in versions.columns if c != text_col]
+    paths = versions.select(F.struct(F.lit(0), *rest).alias("row"), address(F.coalesce(F.col(text_col), F.lit(""))).alias("blob"), salt.alias("salt"))
+    joined = paths.join(found, (F.col("blob") == F.col("its_blob")) & (F.col("salt") == F.col("its_salt")), "left")
+    none = F.array().cast("array<struct<start:bigint,place:int,kind:string,end:bigint>>")
+    rest = [F.col("row")[c].alias(c) for c in versions.columns if c != text_col]
+    return joined.select(*rest, F.col("blob").alias("__blob"), F.coalesce("spans", none).alias("__spans"))
+
+
+def _check_names(versions: DataFrame) -> None:
+    if clash := {"__blob", "__spans"} & {c.lower() for c in versions.columns}:
+        raise ValueError(f"columns named {sorted(clash)} exist already")
+
+
 def scan_versions(
     versions: DataFrame, rules: Sequence[Rule] = BASE_RULES, ledger: DataFrame | None = None, text_col: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
@@ -86,27 +116,34 @@ def scan_versions(
 
     The first result has the columns of ``versions`` but the text, its __blob, and __spans: an array of (start, place of
     the rule, kind, end) in that order, of code points, end exclusive. The ledger has blob, rule (kind@version) and spans.
-    A null text is the empty one. Repeated rows stay and share their blob's findings; an empty table gives empty results.
-    Input columns named with two leading underscores are not allowed.
+    A null text is the empty one; texts of any length are scanned whole. Repeated rows stay and share their blob's
+    findings; an empty table gives empty results. Input columns named __blob or __spans raise a ValueError.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    blobs = versions.select(address(text).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
-    entries = scan_blobs(blobs, rules, ledger)
+    _check_names(versions)
+    entries = scan_blobs(_blobs(versions, text_col), rules, ledger)
     if ledger is not None:
         entries = ledger.select("blob", "rule", "spans").unionByName(entries)
-    places = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.key, i)])
-    kinds = F.array(*[F.lit(r.kind) for r in rules])
-    listed = entries.filter(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0)).withColumn("at", F.try_element_at(places, F.col("rule")))
-    kind = F.element_at(kinds, F.col("at") + 1)
-    per_rule = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("at").alias("place"), kind.alias("kind"), s["end"].alias("end")))
-    found = listed.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(per_rule))).alias("__spans"))
-    found = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rest = [c for c in versions.columns if c != text_col]
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
-    paths = versions.select(*[F.col(f"`{c}`") for c in rest], address(text).alias("__blob"), salt.alias("__salt"))
-    joined = paths.join(found.withColumnRenamed("blob", "__blob"), ["__blob", "__salt"], "left").drop("__salt")
-    none = F.array().cast("array<struct<start:bigint,place:int,kind:string,end:bigint>>")
-    return joined.withColumn("__spans", F.coalesce("__spans", none)), entries
+    return _joined_back(versions, entries, rules, text_col), entries
+
+
+def stored_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger that lies in a folder of the cluster's storage, if there is one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def scan_with_ledger(versions: DataFrame, path: str, rules: Sequence[Rule] = BASE_RULES, text_col: str = "text") -> DataFrame:
+    """scan_versions() over a ledger that is kept at ``path``: pairs that it lacks are scanned and appended to it, and
+    findings are read from it.
+
+    A run that fails before its append leaves the ledger as it was; entries that two runs append are the same and count once.
+    """
+    _check_names(versions)
+    spark = versions.sparkSession
+    scan_blobs(_blobs(versions, text_col), rules, stored_ledger(spark, path)).write.mode("append").parquet(path)
+    return _joined_back(versions, stored_ledger(spark, path), rules, text_col)
 
 
 def listing(spans: Column) -> Column:
@@ -131,8 +168,12 @@ def redacted(text: Column, spans: Column, mask: str = "[secret]") -> Column:
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
-def redact_secrets(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES, ledger: DataFrame | None = None, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``docs`` with the findings of scan_versions() masked in its texts, all columns as they were, and the new ledger."""
-    found, entries = scan_versions(docs.withColumn("__text", F.col(text_col)), rules, ledger, text_col)
-    out = redacted(F.col("__text"), F.col("__spans"))
-    return found.select(*[out.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]), entries
+def redact_secrets(docs: DataFrame, path: str, rules: Sequence[Rule] = BASE_RULES, text_col: str = "text") -> DataFrame:
+    """``docs`` with the findings of scan_with_ledger() masked in its texts, all columns as they were, whatever their names.
+
+    A null text stays null and an empty one empty; repeated rows stay; an empty table gives an empty result.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    found = scan_with_ledger(rows, path, rules)
+    out = redacted(F.col("row")[text_col], F.col("__spans"))
+    return found.select(*[out.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

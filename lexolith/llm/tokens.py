@@ -102,7 +102,7 @@ class TokenCounter:
 
     def count(self, text: str) -> int:
         """A special string inside a text is one token and parts the text around it."""
-        if "<|" not in text:
+        if wordbpe.SPECIAL_START not in text:
             return self.plain(text)
         parts = self.special.split(text)
         return sum(map(self.plain, parts)) + len(parts) - 1

@@ -26,6 +26,8 @@ PROBE_ROWS = 4096
 DIMS_PER_BLOCK = 16
 #: Share of pairs below which survivors are compacted.
 COMPACT_BELOW = 0.25
+#: Sums of integers are exact as doubles below this.
+EXACT = 2.0**53
 #: Pairs of queries and rows scored at once.
 PAIRS_AT_ONCE = 2_000_000
 
@@ -38,19 +40,26 @@ def quantised(vector: Column, scale: int) -> Column:
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
-    """Vectors of ``dims`` components as doubles; sums of such integer products are exact below 2 ** 53."""
+    """Vectors of ``dims`` integer components."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dims)
 
 
 class Search:
-    """Keeps the k best rows of each query of a block."""
+    """Keeps the k best rows of each query of a block.
+
+    Bounds and scores are accumulated as doubles. Below EXACT, the product of the largest norms, all sums are exact
+    integers. Above it, floors are lowered by what rounding may hide, and the scores of survivors are worked out anew
+    from integers of any size; a score beyond a long is the nearest long.
+    """
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> None:
-        self.ids, self.k, self.dims = ids, k, queries.shape[1]
-        self.order = np.argsort(-(queries**2).sum(axis=0), kind="stable")  # heavy dimensions first
-        self.queries = np.ascontiguousarray(queries[:, self.order])
+        self.ids, self.k, self.dims, self.whole = ids, k, queries.shape[1], queries
+        doubles = queries.astype(np.float64)
+        self.order = np.argsort(-(doubles**2).sum(axis=0), kind="stable")  # heavy dimensions first
+        self.queries = np.ascontiguousarray(doubles[:, self.order])
+        self.norms = np.sqrt((doubles**2).sum(axis=1))
         self.rest = self._rest(self.queries)
         self.floor = floor.astype(np.float64).copy()
         self.best = [[] for _ in ids]
@@ -66,8 +75,11 @@ class Search:
             self._add(row_ids[i : i + step], vectors[i : i + step])
 
     def _add(self, row_ids: np.ndarray, vectors: np.ndarray) -> None:
-        columns = np.ascontiguousarray(vectors[:, self.order].T)
+        columns = np.ascontiguousarray(vectors[:, self.order].T.astype(np.float64))
         rest = self._rest(columns.T)
+        norm = np.sqrt((columns**2).sum(axis=0)).max(initial=0.0)
+        exact = self.norms.max(initial=0.0) * norm < EXACT
+        floor = self.floor if exact else self.floor - self.norms * norm * self.dims * 2.0**-50
         score = np.zeros((len(self.ids), len(row_ids)))
         pairs = None
         for b, d in enumerate(range(0, self.dims, DIMS_PER_BLOCK)):
@@ -75,10 +87,10 @@ class Search:
             if pairs is None:
                 score += self.queries[:, d:e] @ columns[d:e]
                 if e == self.dims:
-                    q, r = np.nonzero(score >= self.floor[:, None])
+                    q, r = np.nonzero(score >= floor[:, None])
                     pairs, score = (q, r), score[q, r]
                     break
-                alive = score + self.rest[b][:, None] * rest[b][None, :] >= self.floor[:, None]
+                alive = score + self.rest[b][:, None] * rest[b][None, :] >= floor[:, None]
                 if np.count_nonzero(alive) < COMPACT_BELOW * alive.size:
                     q, r = np.nonzero(alive)
                     pairs, score = (q, r), score[q, r]
@@ -88,17 +100,24 @@ class Search:
                     some = slice(at, at + PAIRS_AT_ONCE // 4)
                     score[some] += np.einsum("nd,dn->n", self.queries[q[some], d:e], columns[d:e, r[some]])
                 reach = score if e == self.dims else score + self.rest[b][q] * rest[b][r]
-                keep = reach >= self.floor[q]
+                keep = reach >= floor[q]
                 pairs, score = (q[keep], r[keep]), score[keep]
         q, r = pairs
         own = self.ids[q] != row_ids[r]
-        q, r, score = q[own], r[own], score[own].astype(np.int64)
+        q, r = q[own], r[own]
+        score = score[own].astype(np.int64) if exact else self._long_scores(q, r, vectors)
         for i in np.unique(q):
             found = q == i
             self.best[i] = sorted([*self.best[i], *zip((-score[found]).tolist(), row_ids[r[found]].tolist())])[: self.k]
             if len(self.best[i]) == self.k:
                 self.floor[i] = max(self.floor[i], -self.best[i][-1][0])
 
+    def _long_scores(self, q: np.ndarray, r: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+        """Inner products of pairs, by Python's integers."""
+        least, most = np.iinfo(np.int64).min + 1, np.iinfo(np.int64).max
+        found = (sum(map(int.__mul__, self.whole[i].tolist(), vectors[j].tolist())) for i, j in zip(q.tolist(), r.tolist()))
+        return np.array([min(max(x, least), most) for x in found], np.int64)
+
     def rows(self) -> list[tuple]:
         return [(int(i), v, -s) for i, best in zip(self.ids, self.best) for s, v in best]
 
@@ -117,12 +136,12 @@ def exact_topk(
     Queries are the rows for which ``is_query`` holds, candidates all rows but those with the query's own id; ties go to
     the smaller id. Vectors that are null, empty or hold a null or a number that is not finite, rows with a null id and
     vectors of another dimension than the query's take no part. A repeated row is a candidate as often as it occurs, but
-    asks once. Fewer than ``k`` candidates give all of them; an empty table gives an empty result.
+    an id asks once, with the least of its vectors. Components and scores beyond a long are the nearest long. Fewer than ``k`` candidates give all of them; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull())
-    asking = rows.filter("asks").select("id", "v").distinct()
+    asking = rows.filter("asks").groupBy("id").agg(F.min("v").alias("v"))
     sizes = {r["dims"]: r["n"] for r in asking.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n")).collect()}
     found = None
     for dims, n in sorted(sizes.items()):

@@ -14,14 +14,23 @@ import regex
 
 #: Fixed values of the vocabulary file: Unicode White_Space, as its normaliser folds it.
 WHITE_SPACE = r"[\t-\r \x85\xa0  -     　]+"
+#: What every special string of such a vocabulary holds; load() checks it.
+SPECIAL_START = "<|"
 #: Python's own split() also cuts at these four, which the vocabulary keeps inside a word.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _SPLIT = regex.compile(WHITE_SPACE)
 
 
 def load(path: str) -> dict:
+    """A vocabulary file of the kind that this module follows; others raise a ValueError."""
     with open(path, encoding="utf-8") as f:
-        return json.load(f)
+        spec = json.load(f)
+    steps = [(s["type"], s.get("pattern"), s.get("content")) for s in (spec["normalizer"] or {}).get("normalizers", [])]
+    if steps != [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]:
+        raise ValueError(f"{path} normalises texts in another way than NFC, white space and lower case")
+    if spec["model"]["type"] != "BPE" or any(SPECIAL_START not in t["content"] or t["normalized"] for t in spec["added_tokens"]):
+        raise ValueError(f"{path} is no byte-pair vocabulary whose special strings hold {SPECIAL_START}")
+    return spec
 
 
 def word_pattern(spec: dict) -> regex.Pattern:

@@ -6,9 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a configuration that may be sent to every worker.
+MOST_CONFIGS = 10_000
+
+
 def run_matrix(queries: DataFrame, prompts: DataFrame, models: DataFrame, repetitions: int) -> DataFrame:
-    """Every query with every prompt, model and repetition; the three are configurations of a few rows."""
-    every = queries.join(F.broadcast(prompts)).join(F.broadcast(models))
+    """Every query with every prompt, model and repetition: the matrix is the operator. Prompts and models are
+    configurations; a side is broadcast only if it has MOST_CONFIGS rows at most."""
+    every = queries
+    for side in (prompts, models):
+        few = side.limit(MOST_CONFIGS + 1).count() <= MOST_CONFIGS
+        every = every.crossJoin(F.broadcast(side) if few else side)
     return every.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(repetitions))))
 
 
@@ -52,13 +60,79 @@ def compared(runs: DataFrame, pairs: DataFrame, variant: str, same: list[str], v
     last = runs.groupBy(*same, variant).agg(F.max_by(value, ordinal).alias("v"))
     a = last.select(*same, F.col(variant).alias("before"), F.col("v").alias("value_before"))
     b = last.select(*same, F.col(variant).alias("after"), F.col("v").alias("value_after"))
-    return a.join(F.broadcast(pairs), "before").join(b, [*same, "after"])
+    return a.join(pairs, "before").join(b, [*same, "after"])
+
+
+def labelled(results: DataFrame, configs: DataFrame, label: str = "label") -> DataFrame:
+    """``results`` with the columns of the query configuration of their label; configurations with one label count once,
+    the least by their columns, and results without one keep nulls. Spark broadcasts the smaller side by its size."""
+    rest = [c for c in configs.columns if c != label]
+    one = configs.groupBy(F.col(label).alias("its_label")).agg(F.min(F.struct(*rest)).alias("config"))
+    return results.join(one, F.col(label) == F.col("its_label"), "left").select(*results.columns, *[F.col("config")[c].alias(c) for c in rest])
+
+
+def report_rows(results: DataFrame) -> DataFrame:
+    """Results in the order of reports: query, prompt, model, iteration."""
+    return results.orderBy("query_id", "prompt", "model", "iteration")
+
+
+def verdicts(judged: DataFrame, verdict: str = "verdict") -> DataFrame:
+    """verdict and n in the order of verdicts; null counts as UNPARSED."""
+    return judged.groupBy(F.coalesce(verdict, F.lit("UNPARSED")).alias("verdict")).agg(F.count(F.lit(1)).alias("n")).orderBy("verdict")
+
+
+def judged_summary(pairs: DataFrame, *by: str) -> DataFrame:
+    """n_similar, mean_similarity (text, ``n/a`` without any), n_judged, mean_structure_a and mean_structure_b of each
+    group of ``pairs`` (similarity, verdict, structure_a, structure_b); structure means are over judged pairs."""
+    judged = F.col("verdict").isNotNull() & (F.col("verdict") != "UNPARSED")
+    mean = F.avg("similarity")
+    return pairs.groupBy(*by).agg(
+        F.count("similarity").alias("n_similar"),
+        F.when(mean.isNull(), "n/a").otherwise(F.format_string("%.3f", mean)).alias("mean_similarity"),
+        F.count_if(judged).alias("n_judged"),
+        *[F.round(F.coalesce(F.avg(F.when(judged, F.col(f"structure_{x}").cast("double"))), F.lit(0.0)), 6).alias(f"mean_structure_{x}") for x in "ab"],
+    )
+
+
+def report_totals(runs: DataFrame, *by: str) -> DataFrame:
+    """Sums over the good ones of ``runs`` (ok and the fields of compliance()), and matched of all as n/N."""
+    total = lambda c: F.coalesce(F.sum(F.when(F.col("ok"), F.col(c))), F.lit(0)).cast("bigint").alias(f"total_{c}")
+    matched = F.concat(F.count_if(F.col("ok") & F.col("inline_in_json")).cast("string"), F.lit("/"), F.count(F.lit(1)).cast("string"))
+    return runs.groupBy(*by).agg(*map(total, ("prose_words", "cited_pages", "stacked_runs")), matched.alias("matched"))
+
+
+def histogram(scores: DataFrame, value: str, width: float, *by: str) -> DataFrame:
+    """bin (its lower end) and n of each group's scores that are not null, attributes of null left out of ``attributes``.
+
+    Counts are added up before they move, so no group meets in one task.
+    """
+    given = F.map_filter(F.create_map(*[x for c in by for x in (F.lit(c), F.col(c).cast("string"))]), lambda k, v: v.isNotNull())
+    rows = scores.filter(F.col(value).isNotNull()).select(F.to_json(given).alias("attributes"), (F.floor(F.col(value) / width) * width).alias("bin"))
+    return rows.groupBy("attributes", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def publish_histogram(scores: DataFrame, value: str, width: float, path: str, *by: str) -> None:
+    """Appends a histogram, with the time of this call, to the table of metrics at ``path``."""
+    histogram(scores, value, width, *by).withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
 def distribution(scores: DataFrame, value: str, *by: str) -> DataFrame:
-    """n, mean, least, median and greatest score of each group, scores that are null left out."""
+    """n, mean, least, median and greatest score of each group, scores that are null left out.
+
+    A group's values are counted before they move; the median is read off the running counts of its distinct values, a
+    window that sorts and spills.
+    """
     rows = scores.filter(F.col(value).isNotNull())
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("least"), F.round(F.percentile(value, F.lit(0.5)), 6).alias("median"), F.max(value).alias("greatest"))
+    basic = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+    counts = rows.groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    ends = counts.withColumn("end", F.sum("c").over(Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("c").over(Window.partitionBy(*by)))
+    low, high = F.floor((F.col("all") - 1) / 2) + 1, F.floor(F.col("all") / 2) + 1
+    holds = lambda place: F.min(F.when(F.col("end") >= place, F.col("v")))
+    middle = ends.groupBy(*by).agg(F.round((holds(low) + holds(high)) / 2, 6).alias("median"))
+    same = F.lit(True)
+    for c in by:
+        same = same & basic[c].eqNullSafe(middle[c])
+    return basic.join(middle, same).select(*[basic[c] for c in by], "n", "mean", "least", "median", "greatest")
 
 
 def judge_result(raw: Column) -> Column:

@@ -142,9 +142,11 @@ def upserted(current: DataFrame, arrived: DataFrame, key: str = "id", order: str
 
 
 def merged_column(current: DataFrame, changes: DataFrame, column: str, key: str = "id") -> DataFrame:
-    """``current`` with one column taken from ``changes`` where that has the key."""
-    new = changes.select(key, F.col(column).alias("_new"), F.lit(True).alias("_has"))
-    return current.join(new, key, "left").withColumn(column, F.when(F.col("_has"), F.col("_new")).otherwise(F.col(column))).drop("_new", "_has")
+    """``current`` with one column taken from ``changes`` where that has the key; of several changes to a key the greatest
+    value counts, and a change to null only if there is no other."""
+    new = changes.groupBy(F.col(key).alias("its_key")).agg(F.struct(F.max(column).alias("value")).alias("new"))
+    merged = F.when(F.col("new").isNotNull(), F.col("new")["value"]).otherwise(F.col(column))
+    return current.join(new, F.col(key) == F.col("its_key"), "left").select(*[merged.alias(c) if c == column else F.col(c) for c in current.columns])
 
 
 def superseded(chunks: DataFrame, ids: DataFrame, metadata_col: str = "custom_metadata") -> DataFrame:

@@ -31,20 +31,47 @@ def lease_conflicts(claims: DataFrame, keys: list[str], at: str, seconds: int, o
     return claims.withColumn("conflict", F.coalesce(live, F.lit(False)))
 
 
-def inserted_if_absent(current: DataFrame, arrived: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``arrived`` whose key is new, and those whose key exists."""
-    return arrived.join(current.select(*keys), keys, "left_anti"), arrived.join(current.select(*keys), keys, "left_semi")
+def point_get(rows: DataFrame, key: dict[str, object]) -> DataFrame:
+    """The rows with this key: a filter that reaches the scan, so files sorted by the key are skipped."""
+    found = rows
+    for name, value in key.items():
+        found = found.filter(F.col(name).eqNullSafe(F.lit(value)))
+    return found
+
+
+def inserted_if_absent(current: DataFrame, arrived: DataFrame, keys: list[str], order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``arrived`` to insert, and those that find their key taken.
+
+    Of several new rows with one key the first by ``order``, then by all other columns, is inserted, with version 1 if
+    the rows have a column of that name; the others find it taken, but for exact repeats of it, which are the same
+    insert. A null key is a key. Winners are found by partial aggregation, so a hot key is no hot task.
+    """
+    rest = [c for c in arrived.columns if c not in keys]
+    ranked = [*(order or []), *[c for c in rest if c not in (order or [])]]
+    new = arrived.join(current.select(*[F.col(k).alias(f"its_{k}") for k in keys]).distinct(), _same(keys), "left_anti")
+    first = new.groupBy(*keys).agg(F.min(F.struct(*ranked) if ranked else F.lit(0)).alias("row"))
+    inserted = first.select(*keys, *[F.col("row")[c].alias(c) for c in rest])
+    taken = arrived.join(inserted.select(*[F.col(c).alias(f"its_{c}") for c in arrived.columns]), _same(arrived.columns), "left_anti")
+    return inserted.select(*arrived.columns), taken
 
 
 def updated_if_unchanged(current: DataFrame, changes: DataFrame, keys: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """``current`` with changes applied whose version is the row's, which then rises by one; and the changes that lost.
 
-    Of two changes to the same version one may win: the caller sends at most one for each key.
+    Of several changes to the same version of a row the least by its columns wins and the others lose, as they would
+    find the version gone.
     """
-    new = changes.select(*keys, F.col("version").alias("_expected"), *[F.col(c).alias(f"_{c}") for c in columns])
-    joined = current.join(new, keys, "left")
-    wins = F.coalesce(F.col("_expected") == F.col("version"), F.lit(False))
+    asked = changes.groupBy(*[F.col(k).alias(f"its_{k}") for k in keys], F.col("version").alias("its_version")).agg(F.min(F.struct(*columns)).alias("new"))
+    joined = current.join(asked, _same([*keys, "version"]), "left")
+    wins = F.col("new").isNotNull()
     rest = [c for c in current.columns if c not in (*columns, "version")]
-    applied = joined.select(*rest, *[F.when(wins, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in columns], (F.col("version") + wins.cast("bigint")).alias("version"))
-    lost = changes.join(current.select(*keys, F.col("version").alias("_now")), keys, "left").filter(~F.coalesce(F.col("_now") == F.col("version"), F.lit(False))).drop("_now")
-    return applied.select(*current.columns), lost
+    applied = joined.select(*rest, *[F.when(wins, F.col("new")[c]).otherwise(F.col(c)).alias(c) for c in columns], (F.col("version") + wins.cast("bigint")).alias("version"))
+    won = joined.filter(wins).select(*[F.col(f"its_{k}") for k in keys], "its_version", *[F.col("new")[c].alias(f"its_{c}") for c in columns])
+    return applied.select(*current.columns), changes.join(won, _same([*keys, "version", *columns]), "left_anti")
+
+
+def _same(columns: list[str]) -> Column:
+    found = F.lit(True)
+    for c in columns:
+        found = found & F.col(c).eqNullSafe(F.col(f"its_{c}"))
+    return found

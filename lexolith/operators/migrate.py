@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexolith.functions.vectors import is_valid_vector
 
@@ -51,6 +54,54 @@ def verified_counts(name: str, source: DataFrame, target: DataFrame) -> DataFram
     return a.join(F.broadcast(b)).select(F.lit(name).alias("name"), "n_source", "n_target", (F.col("n_source") == F.col("n_target")).alias("equal"))
 
 
+#: Columns that a store adds to rows and that no copy takes along.
+SYSTEM_COLUMNS = ("timestamp", "etag", "odata.etag", "odata.metadata")
+
+
+def data_columns(rows: DataFrame) -> DataFrame:
+    """``rows`` without what a store added: system columns and annotations, which have an @ in their names."""
+    return rows.select(*[F.col(f"`{c}`") for c in rows.columns if c.lower() not in SYSTEM_COLUMNS and "@" not in c])
+
+
+def schema_with_name(text: str, name: str) -> tuple[str, T.StructType]:
+    """The target's name and the schema of an index definition in JSON (name, fields of name, type and fields); the
+    definition's own name gives way to ``name``."""
+    simple = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "float": T.FloatType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+
+    def of(field: dict) -> T.DataType:
+        kind = field["type"]
+        inner = kind.removeprefix("array<").removesuffix(">")
+        if inner not in simple and inner != "struct":
+            raise ValueError(f"{field['name']} has the unknown type {kind}")
+        own = T.StructType([T.StructField(f["name"], of(f)) for f in field["fields"]]) if inner == "struct" else simple[inner]
+        return T.ArrayType(own) if kind.startswith("array<") else own
+
+    return name, T.StructType([T.StructField(f["name"], of(f)) for f in json.loads(text)["fields"]])
+
+
+def ensure_table(spark: SparkSession, name: str, schema: T.StructType) -> bool:
+    """Creates a table if there is none; whether it did."""
+    if spark.catalog.tableExists(name):
+        return False
+    spark.createDataFrame([], schema).write.mode("ignore").saveAsTable(name)
+    return True
+
+
+def uploaded(rows: DataFrame, name: str, batch_rows: int = 100_000) -> dict[str, int]:
+    """Appends rows to a table, in files of ``batch_rows`` at most, every task its own; the columns are the table's, those
+    that it lacks stay behind and missing ones are null. Gives the counts of uploaded(), skipped and all rows.
+
+    Rows with a null id are skipped.
+    """
+    target = rows.sparkSession.table(name)
+    watch = Observation()
+    seen = rows.observe(watch, F.count(F.lit(1)).alias("submitted"), F.count_if(F.col("id").isNull()).alias("skipped")).filter("id IS NOT NULL")
+    columns = [(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.schema.fields]
+    seen.select(*columns).write.option("maxRecordsPerFile", batch_rows).mode("append").saveAsTable(name)
+    found = watch.get
+    return {"submitted": found["submitted"], "skipped": found["skipped"], "succeeded": found["submitted"] - found["skipped"]}
+
+
 def cut_over(view: str, target_table: str) -> str:
     """The statement that points readers at the new table."""
     return f"CREATE OR REPLACE VIEW {view} AS SELECT * FROM {target_table}"

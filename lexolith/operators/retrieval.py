@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexolith.functions.text import tokens
-from lexolith.functions.vectors import similarity
 
-#: Queries that are held against all chunks at once; more go in blocks.
-QUERIES_PER_BLOCK = 2048
+#: Queries that are held against all chunks at once, and bytes of their vectors and terms in them; more go in blocks.
+QUERIES_PER_BLOCK, BLOCK_BYTES, TERMS_PER_BLOCK = 2048, 64 << 20, 2_000_000
+#: Pairs of queries and chunks scored at once.
+PAIRS_AT_ONCE = 2_000_000
 #: Scores are compared to so many places, so that ranks do not hang on the order of a sum.
 PLACES = 6
 #: Fixed values of the published formulas: BM25's saturation and length weight, and the rank constant of the fusion.
@@ -26,23 +34,146 @@ def ranked(scored: DataFrame, k: int, score: str = "score", id_col: str = "doc_i
 
 def blocks_of(queries: DataFrame, size: int = QUERIES_PER_BLOCK) -> list[DataFrame]:
     """``queries`` in parts of about ``size`` rows, dealt by a hash of query_id."""
-    n = -(-queries.count() // size)
+    n = -(-queries.count() // max(1, size))
     if n <= 1:
         return [queries]
     return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
 
 
-def nearest(queries: DataFrame, chunks: DataFrame, k: int, allowed: Column | None = None, id_col: str = "doc_id") -> DataFrame:
+class Best:
+    """The k best (score, id) of each query of a block so far: higher scores first, then lesser ids."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.floor = k, np.full(queries, -np.inf)
+        self.kept: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0)) for _ in range(queries)]
+
+    def add(self, query: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        old_scores, old_ids = self.kept[query]
+        scores, ids = np.concatenate((old_scores, scores)), np.concatenate((old_ids, ids)) if old_ids.size else ids
+        order = np.lexsort((ids, -scores))[: self.k]
+        self.kept[query] = scores[order], ids[order]
+        if order.size == self.k:
+            self.floor[query] = scores[order[-1]]
+
+    def batch(self, names: list[str], id_type: pa.DataType) -> pa.RecordBatch:
+        sizes = [s.size for s, _ in self.kept]
+        ids = [x for _, v in self.kept for x in v.tolist()]
+        scores = np.concatenate([s for s, _ in self.kept]) if self.kept else np.zeros(0)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(sizes)), sizes), pa.int64()), pa.array(ids, id_type), pa.array(scores, pa.float64())], names=names)
+
+
+def rounded(values: np.ndarray) -> np.ndarray:
+    return np.copysign(np.floor(np.abs(values) * 10.0**PLACES + 0.5), values) / 10.0**PLACES
+
+
+def _named(found: DataFrame, spark: SparkSession, ids: list, queries: DataFrame) -> DataFrame:
+    """``found`` with query_id in place of the query's place in its block."""
+    schema = T.StructType([T.StructField("at", T.LongType()), queries.schema["query_id"]])
+    return found.join(F.broadcast(spark.createDataFrame(list(enumerate(ids)), schema)), "at").drop("at")  # a block of queries
+
+
+def nearest(queries: DataFrame, chunks: DataFrame, k: int, tags: Column | None = None, id_col: str = "doc_id") -> DataFrame:
     """query_id, ``id_col``, score, rank: the ``k`` chunks most similar to each query (query_id, query_vector).
 
-    Exact: every query of a block of bounded size is held against every chunk, and each partition keeps its k best
-    before anything moves. ``allowed`` may name columns of both. Null vectors score 0.
+    Exact: queries go to the workers in blocks of a bounded size; every batch of chunks meets a block in one matrix
+    product, only products near the k best so far are worked out as similarity() would, and each partition hands on its
+    k best. With ``tags``, an array of strings of each chunk, a query's column ``tag`` must be among them. Null vectors
+    and those of another size score 0.
+    """
+    spark, parts = chunks.sparkSession, []
+    queries = queries.select("query_id", "query_vector", *(["tag"] if tags is not None else []))
+    longest = queries.agg(F.max(F.size("query_vector"))).first()[0] or 1
+    rows = chunks.select(id_col, "vector", *([tags.alias("tags")] if tags is not None else []))
+    id_type = rows.schema[id_col].dataType
+    for block in blocks_of(queries, min(QUERIES_PER_BLOCK, BLOCK_BYTES // (8 * max(1, longest)))):
+        table = block.toArrow()
+        asked = table["query_vector"].to_pylist()
+        sent = spark.sparkContext.broadcast((asked, table["tag"].to_pylist() if tags is not None else None))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            asked, tag = sent.value
+            best, kind, arrow_id = Best(len(asked), k), np.float64, None
+            by_size = {n: [i for i, v in enumerate(asked) if v is not None and len(v) == n] for n in {len(v) for v in asked if v is not None}}
+            for batch in batches:
+                arrow_id = batch.schema.field(0).type
+                if pa.types.is_float32(batch.schema.field(1).type.value_type):
+                    kind = np.float32
+                step = max(1, PAIRS_AT_ONCE // max(1, len(asked)))
+                for at in range(0, batch.num_rows, step):
+                    some = batch.slice(at, step)
+                    ids, vectors = np.array(some.column(0).to_pylist()), some.column(1)
+                    sizes = np.array([-1 if n is None else n for n in vectors.value_lengths().to_pylist()])
+                    of_tag = {t: np.array([t in (x or ()) for x in some.column(2).to_pylist()], np.bool_) for t in set(tag)} if tag is not None else {}
+                    scores = np.zeros((len(asked), len(ids)))
+                    exact = {}
+                    for n, at_queries in by_size.items():
+                        rows_at = np.flatnonzero(sizes == n)
+                        if rows_at.size:
+                            q = np.array([asked[i] for i in at_queries], kind).reshape(len(at_queries), n)
+                            v = vectors.take(pa.array(rows_at)).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, n)
+                            scores[np.ix_(at_queries, rows_at)] = q.astype(np.float64) @ v.T.astype(np.float64)
+                            exact |= {i: (q[j], v, dict(zip(rows_at.tolist(), range(rows_at.size)))) for j, i in enumerate(at_queries)}
+                    for i in range(len(asked)):
+                        own = scores[i] if tag is None else np.where(of_tag[tag[i]], scores[i], -np.inf)
+                        top = min(k, own.size)
+                        floor = max(best.floor[i], np.partition(own, -top)[-top]) - 4 * 10.0**-PLACES
+                        found = np.flatnonzero((own >= floor) & (own > -np.inf))
+                        if i in exact and found.size:
+                            vector, v, place = exact[i]
+                            same = np.array([place.get(r, -1) for r in found.tolist()])
+                            values = np.where(same >= 0, (vector[None, :] * v[same]).astype(np.float64).sum(axis=1), 0.0)
+                        else:
+                            values = np.zeros(found.size)
+                        if found.size:
+                            best.add(i, rounded(values) + 0.0, ids[found])
+            if arrow_id is not None:
+                yield best.batch(["at", id_col, "score"], arrow_id)
+
+        schema = T.StructType([T.StructField("at", T.LongType()), T.StructField(id_col, id_type), T.StructField("score", T.DoubleType())])
+        found = _named(rows.mapInArrow(run, schema), spark, table["query_id"].to_pylist(), queries)
+        parts.append(ranked(found.select("query_id", id_col, "score"), k, id_col=id_col))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def similar(queries: DataFrame, chunks: DataFrame, threshold: float, id_col: str = "doc_id") -> DataFrame:
+    """query_id, ``id_col``, score of all pairs of a query (query_id, query_vector) and a chunk whose score, as nearest()
+    gives it, is ``threshold`` (over 0) or more.
+
+    Chunks whose norm times the greatest of the block's is below the threshold meet no query; only products near it are
+    worked out anew.
     """
-    parts = []
-    for block in blocks_of(queries):
-        pairs = chunks.join(F.broadcast(block), F.lit(True) if allowed is None else allowed)
-        scored = pairs.select("query_id", id_col, F.round(similarity(F.col("query_vector"), F.col("vector")), PLACES).alias("score"))
-        parts.append(ranked(scored, k, id_col=id_col))
+    if threshold <= 0:
+        raise ValueError("the threshold must be over 0")
+    spark, parts = chunks.sparkSession, []
+    queries = queries.filter("query_vector IS NOT NULL").select("query_id", "query_vector")
+    longest = queries.agg(F.max(F.size("query_vector"))).first()[0] or 1
+    rows = chunks.filter("vector IS NOT NULL").select(id_col, "vector")
+    schema = T.StructType([T.StructField("at", T.LongType()), rows.schema[id_col], T.StructField("score", T.DoubleType())])
+    for block in blocks_of(queries, min(QUERIES_PER_BLOCK, BLOCK_BYTES // (8 * max(1, longest)))):
+        table = block.toArrow()
+        sent = spark.sparkContext.broadcast(table["query_vector"].to_pylist())
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            asked = sent.value
+            by_size = {n: np.array([i for i, v in enumerate(asked) if len(v) == n]) for n in {len(v) for v in asked}}
+            for batch in batches:
+                kind = np.float32 if pa.types.is_float32(batch.schema.field(1).type.value_type) else np.float64
+                step = max(1, PAIRS_AT_ONCE // max(1, len(asked)))
+                for at in range(0, batch.num_rows, step):
+                    some = batch.slice(at, step)
+                    sizes = some.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                    for n, own in by_size.items():
+                        rows_at = np.flatnonzero(sizes == n)
+                        q = np.array([asked[i] for i in own], kind).reshape(own.size, n)
+                        v = some.column(1).take(pa.array(rows_at)).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, n)
+                        far = np.linalg.norm(v.astype(np.float64), axis=1) * np.linalg.norm(q.astype(np.float64), axis=1).max(initial=0.0) < threshold - 4 * 10.0**-PLACES
+                        rows_at, v = rows_at[~far], v[~far]
+                        i, j = np.nonzero(q.astype(np.float64) @ v.T.astype(np.float64) >= threshold - 4 * 10.0**-PLACES)
+                        score = rounded((q[i] * v[j]).astype(np.float64).sum(axis=1)) if i.size else np.zeros(0)
+                        hit = score >= threshold
+                        yield pa.RecordBatch.from_arrays([pa.array(own[i[hit]], pa.int64()), some.column(0).take(pa.array(rows_at[j[hit]])), pa.array(score[hit])], names=["at", id_col, "score"])
+
+        parts.append(_named(rows.mapInArrow(run, schema), spark, table["query_id"].to_pylist(), queries).select("query_id", id_col, "score"))
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -53,23 +184,101 @@ def postings(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "chunk")
     return terms.groupBy("term", id_col, "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def written_index(chunks: DataFrame, path: str, buckets: int = 64, id_col: str = "doc_id", text_col: str = "chunk") -> None:
+    """Writes postings() to ``path``: a folder for each bucket of terms, sorted by term, with each term's number of chunks
+    beside them, and the totals of the corpus."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    rows = postings(chunks, id_col, text_col).withColumn("bucket", bucket)
+    rows.repartition("bucket", F.pmod(F.xxhash64(id_col), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    spark = chunks.sparkSession
+    stored = spark.read.parquet(f"{path}/postings")
+    stored.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    chunks.select(F.size(tokens(F.col(text_col))).alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length")).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def best_indexed(queries: DataFrame, spark: SparkSession, path: str, k: int, id_col: str = "doc_id") -> DataFrame:
+    """best_texts() over an index that written_index() wrote: only folders and postings of terms that some query holds are read.
+
+    A term's postings meet the queries that hold it in an equi-join whose large keys Spark can split; scores are added up
+    partly before they move.
+    """
+    totals = spark.read.parquet(f"{path}/totals").first()
+    bucket = F.pmod(F.xxhash64("term"), F.lit(totals["buckets"])).cast("int")
+    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term")).withColumn("bucket", bucket)
+    used = [r[0] for r in wanted.select("bucket").distinct().collect()]  # as many as there are folders at most
+    terms = spark.read.parquet(f"{path}/terms").filter(F.col("bucket").isin(used)).join(wanted, ["bucket", "term"])
+    idf = F.log(1 + (F.lit(totals["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    rows = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(used))
+    damped = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(totals["mean_length"])))
+    scored = rows.join(terms.select("bucket", "term", "query_id", idf.alias("idf")), ["bucket", "term"])
+    return ranked(scored.groupBy("query_id", id_col).agg(F.round(F.sum(F.col("idf") * damped), PLACES).alias("score")), k, id_col=id_col)
+
+
 def best_texts(queries: DataFrame, chunks: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "chunk") -> DataFrame:
     """query_id, ``id_col``, score, rank: the ``k`` chunks with the highest BM25 scores for each query (query_id, query_text).
 
-    A query's distinct terms are alternatives. Only postings of terms that some query holds are counted and shuffled.
+    A query's distinct terms are alternatives; a chunk without any of them is no candidate. Chunks are read twice where
+    they lie, for the numbers of chunks that hold each term of a block of queries and for the scores, and each partition
+    hands on its k best: no posting moves, so frequent terms cost no more than they occur.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
-    lengths = chunks.select(F.size(tokens(F.col(text_col))).alias("length"))
-    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
-    words = chunks.select(id_col, tokens(F.col(text_col)).alias("words"))
-    words = words.select(id_col, F.size("words").alias("length"), F.explode("words").alias("term"))
-    found = words.join(wanted.select("term").distinct(), "term").groupBy("term", id_col, "length").agg(F.count(F.lit(1)).alias("tf"))
-    frequency = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = found.join(frequency, "term").join(F.broadcast(totals))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    damped = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = weighed.select("term", id_col, (idf * damped).alias("part")).join(wanted, "term")
-    return ranked(scored.groupBy("query_id", id_col).agg(F.round(F.sum("part"), PLACES).alias("score")), k, id_col=id_col)
+    spark, parts = chunks.sparkSession, []
+    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query_text"))).alias("terms"))
+    most = asked.agg(F.max(F.size("terms"))).first()[0] or 1
+    rows = chunks.select(id_col, text_col)
+    schema = T.StructType([T.StructField("at", T.LongType()), T.StructField(id_col, rows.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
+    words_of = re.compile("[a-z0-9]+").findall
+    for block in blocks_of(asked, min(QUERIES_PER_BLOCK, TERMS_PER_BLOCK // max(1, most))):
+        table = block.toArrow()
+        holders: dict[str, list[int]] = {}
+        for i, terms in enumerate(table["terms"].to_pylist()):
+            for t in terms:
+                holders.setdefault(t, []).append(i)
+        wanted = spark.sparkContext.broadcast({t: n for n, t in enumerate(holders)})
+
+        def count(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
+            places, df, n, length = wanted.value, Counter(), 0, 0
+            for batch in batches:
+                for text in batch.column(0):
+                    words = words_of((text.as_py() or "").lower())
+                    df.update(places[w] for w in set(words) if w in places)
+                    n, length = n + 1, length + len(words)
+            yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *df], pa.int64()), pa.array([n, length, *df.values()], pa.int64())], names=["term", "n"])
+
+        sums = chunks.select(text_col).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        df = dict(map(tuple, sums.collect()))  # a row for each term of the block
+        n, length = df.get(-2, 0), df.get(-1, 0)
+        idf = [math.log(1 + (n - df.get(i, 0) + 0.5) / (df.get(i, 0) + 0.5)) for i in range(len(holders))]
+        sent = spark.sparkContext.broadcast((idf, [np.array(v) for v in holders.values()], table.num_rows, length / max(1, n)))
+
+        def run(batches: Iterator[pa.RecordBatch], wanted=wanted, sent=sent) -> Iterator[pa.RecordBatch]:
+            places, (idf, holders, n_queries, mean) = wanted.value, sent.value
+            best, arrow_id = Best(n_queries, k), None
+            for batch in batches:
+                arrow_id = batch.schema.field(0).type
+                step = max(1, PAIRS_AT_ONCE // max(1, n_queries))
+                for at in range(0, batch.num_rows, step):
+                    some = batch.slice(at, step)
+                    ids, scores = np.array(some.column(0).to_pylist()), np.zeros((some.num_rows, n_queries))
+                    for row, text in enumerate(some.column(1)):
+                        words = words_of((text.as_py() or "").lower())
+                        found = Counter(w for w in words if w in places)
+                        damp = K1 * (1 - B + B * len(words) / mean) if mean else 0.0
+                        for w, tf in found.items():
+                            i = places[w]
+                            scores[row, holders[i]] += idf[i] * (tf * (K1 + 1) / (tf + damp))
+                    for q in range(n_queries):
+                        own = scores[:, q]
+                        top = min(k, own.size)
+                        floor = max(best.floor[q], np.partition(own, -top)[-top]) - 2 * 10.0**-PLACES
+                        hit = np.flatnonzero((own >= floor) & (own > 0))
+                        if hit.size:
+                            best.add(q, rounded(own[hit]), ids[hit])
+            if arrow_id is not None:
+                yield best.batch(["at", id_col, "score"], arrow_id)
+
+        found = _named(rows.mapInArrow(run, schema), spark, table["query_id"].to_pylist(), asked)
+        parts.append(ranked(found.select("query_id", id_col, "score"), k, id_col=id_col))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def fused(vector_hits: DataFrame, text_hits: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:

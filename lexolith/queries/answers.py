@@ -34,7 +34,8 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH c AS (SELECT d.source AS query_id, d.lang AS document_id, d.doc_id AS rank, left(d.text, 200) AS chunk, 'f' || d.doc_id || '.txt' AS file_name, CASE WHEN d.doc_id % 4 > 0 THEN d.doc_id % 4 END AS page_number FROM documents d),
+WITH l AS (SELECT doc_id AS query_id, generate_subscripts(string_split(text, chr(10)), 1) AS rank, unnest(string_split(text, chr(10))) AS chunk FROM documents),
+c AS (SELECT *, rank % 3 AS document_id, 'f' || query_id || '.txt' AS file_name, CASE WHEN rank % 4 > 0 THEN rank % 4 END AS page_number FROM l),
 docs AS (
     SELECT query_id, document_id, min(rank) AS rank, '<document><id>' || document_id || '</id><name>' || arg_min(file_name, rank) || '</name>' ||
         string_agg('<passage><page>' || coalesce(page_number::varchar, '') || '</page><text>' || chunk || '</text></passage>', '' ORDER BY rank) || '</document>' AS d
@@ -43,12 +44,12 @@ docs AS (
 SELECT query_id, md5('<documents>' || string_agg(d, '' ORDER BY rank) || '</documents>') AS context_md5 FROM docs GROUP BY query_id
 """)
 def doc_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source as a question whose documents are its languages."""
-    docs = table(spark, sf_dir, "documents")
+    """Each document as a question whose passages are all its lines, dealt over three documents; a group is one text."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.posexplode(F.split("text", "\n")).alias("at", "chunk"))
+    rank = F.col("at") + 1
     rows = docs.select(
-        F.col("source").alias("query_id"), F.col("lang").alias("document_id"), F.col("doc_id").alias("rank"), F.left("text", F.lit(200)).alias("chunk"),
-        F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") % 4).alias("page_number"),
-        F.array(F.struct(F.lit("lang").alias("key"), F.col("lang").alias("value"))).alias("custom_metadata"),
+        "query_id", (rank % 3).alias("document_id"), rank.alias("rank"), "chunk", F.concat(F.lit("f"), F.col("query_id").cast("string"), F.lit(".txt")).alias("file_name"),
+        F.when(rank % 4 > 0, rank % 4).alias("page_number"), F.array(F.struct(F.lit("lang").alias("key"), F.lit("en").alias("value"))).alias("custom_metadata"),
     )
     return contexts(rows).select("query_id", F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
@@ -125,32 +126,19 @@ def guard_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guarded(rows).select("event_id", "mode", "verdict", "reason")
 
 
-@query("""
-WITH a AS (SELECT o_orderkey AS transaction_id, o_orderstatus AS status, (o_orderkey % 4 - 1)::bigint AS duration_ms FROM orders),
-s AS (SELECT l_orderkey AS transaction_id, arg_max(l_quantity::double, (l_linenumber, l_partkey, l_quantity)) AS groundedness FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1)
-SELECT transaction_id, status, CASE WHEN duration_ms > 0 THEN duration_ms ELSE 0 END::bigint AS duration_ms, groundedness FROM a LEFT JOIN s USING (transaction_id)
-""")
-def answer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as answers, lines of every second one as their scores."""
-    orders = table(spark, sf_dir, "orders")
-    empty = F.lit(None).cast("string")
-    generated = orders.select(F.col("o_orderkey").alias("transaction_id"), F.col("o_orderstatus").alias("status"), empty.alias("reason"), empty.alias("response"), (F.col("o_orderkey") % 4 - 1).cast("bigint").alias("duration_ms"), F.lit(None).cast("double").alias("groundedness"))
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 2 = 0")
-    scores = lines.select(F.col("l_orderkey").alias("transaction_id"), F.col("l_quantity").cast("double").alias("groundedness"), F.struct("l_linenumber", "l_partkey", "l_quantity").alias("scored_at"))
-    scored = with_scores(generated, scores)
-    return status_view(scored).join(scored.select("transaction_id", "groundedness"), "transaction_id").select("transaction_id", "status", F.coalesce("duration_ms", F.lit(0).cast("bigint")).alias("duration_ms"), "groundedness")
-
-
-@query("""
+STATUS_SQL = """
 WITH a AS (
     SELECT o_orderkey AS transaction_id, o_orderstatus AS status, (o_orderkey % 4 - 1)::bigint AS duration_ms FROM orders
     UNION ALL SELECT -o_orderkey, o_orderstatus, (o_orderkey % 4 - 1)::bigint FROM orders WHERE o_orderkey > 0 AND o_orderkey % 100 = 0
 ),
 s AS (SELECT l_orderkey AS transaction_id, arg_max(l_quantity::double, (l_linenumber, l_partkey, l_quantity)) AS groundedness FROM lineitem GROUP BY 1)
 SELECT transaction_id, status, CASE WHEN duration_ms > 0 THEN duration_ms ELSE 0 END::bigint AS duration_ms, groundedness FROM a LEFT JOIN s USING (transaction_id)
-""")
-def answer_status_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """answer_status with all lines as scores; copies of some orders under negative keys have no line, so no score."""
+"""
+
+
+@query(STATUS_SQL)
+def answer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as answers, all lines as their scores; copies of some orders under negative keys have no line, so no score."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderkey").alias("transaction_id"))
     unscored = orders.filter("o_orderkey > 0 AND o_orderkey % 100 = 0").withColumn("transaction_id", -F.col("o_orderkey"))
     empty = F.lit(None).cast("string")
@@ -159,3 +147,9 @@ def answer_status_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = lines.select(F.col("l_orderkey").alias("transaction_id"), F.col("l_quantity").cast("double").alias("groundedness"), F.struct("l_linenumber", "l_partkey", "l_quantity").alias("scored_at"))
     scored = with_scores(generated, scores)
     return status_view(scored).join(scored.select("transaction_id", "groundedness"), "transaction_id").select("transaction_id", "status", F.coalesce("duration_ms", F.lit(0).cast("bigint")).alias("duration_ms"), "groundedness")
+
+
+@query(STATUS_SQL)
+def answer_status_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under its former name."""
+    return answer_status(spark, sf_dir)

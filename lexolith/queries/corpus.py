@@ -41,32 +41,29 @@ def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingestion.chunked(document_pages(spark, sf_dir), split(F.col("text")), CHUNKING)
 
 
-@query("""
-WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS page_number, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT doc_id AS document_id, page_number::int AS page_number, 0 AS chunk_index, length(line)::int AS n_chars FROM l WHERE length(trim(line)) > 10 AND length(line) <= 4000
-""")
-def chunk_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line as a page: page numbers from 1, chunk numbers from 0 within the page."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(None).cast("string").alias("client_id"), F.posexplode(F.split("text", "\n")).alias("page_number", "text"))
-    pages = docs.withColumn("page_number", F.col("page_number") + 1).filter(F.length("text") <= 4000)
-    rows = ingestion.chunked(pages, ingestion.strided(F.col("text"), CHUNKING), CHUNKING)
-    return rows.select("document_id", "page_number", "chunk_index", F.length("chunk").alias("n_chars"))
-
-
-@query("""
+LINE_CHUNKS_SQL = """
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS page_number, unnest(string_split(text, chr(10))) AS line FROM documents),
 cuts AS (SELECT *, unnest(range(0, greatest(0, ceil((length(line) - 500) / 3500.0)::int - 1) + 1)) AS chunk_index FROM l),
 chunks AS (SELECT *, substr(line, chunk_index * 3500 + 1, 4000) AS chunk FROM cuts)
 SELECT doc_id AS document_id, page_number::int AS page_number, chunk_index::int AS chunk_index, length(chunk)::int AS n_chars FROM chunks WHERE length(trim(chunk)) > 10
-""")
-def chunk_ordinals_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chunk_ordinals over the lines of every length: long ones have several chunks."""
+"""
+
+
+@query(LINE_CHUNKS_SQL)
+def chunk_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line as a page: page numbers from 1, chunk numbers from 0 within the page; long lines have several chunks."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(None).cast("string").alias("client_id"), F.posexplode(F.split("text", "\n")).alias("page_number", "text"))
     pages = docs.withColumn("page_number", F.col("page_number") + 1)
     rows = ingestion.chunked(pages, ingestion.strided(F.col("text"), CHUNKING), CHUNKING)
     return rows.select("document_id", "page_number", "chunk_index", F.length("chunk").alias("n_chars"))
 
 
+@query(LINE_CHUNKS_SQL)
+def chunk_ordinals_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under its former name."""
+    return chunk_ordinals(spark, sf_dir)
+
+
 @query(f"""
 WITH {CHUNKS_SQL},
 numbered AS (SELECT *, (row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) - 1) // 8 AS batch FROM kept)

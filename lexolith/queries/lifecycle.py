@@ -72,9 +72,17 @@ def stream_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.replayed(spark, f"{sf_dir}/events.parquet", guard.counted_deliveries, "complete")
 
 
-@query()
+@query("""
+WITH d AS (SELECT user_id::varchar || '|' || event_type AS key, event_id, event_id % 3 > 0 AS failed, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nth FROM events),
+last AS (SELECT key, least(coalesce(min(nth) FILTER (NOT failed), 3), 3) AS last FROM d GROUP BY key)
+SELECT key, event_id, CASE WHEN nth > last THEN 'SKIPPED' WHEN NOT failed THEN 'DONE' WHEN nth = 3 THEN 'FAILED' ELSE 'RETRY' END AS outcome, least(nth, last)::int AS attempts, (2 * least(nth, last))::bigint AS version
+FROM d JOIN last USING (key)
+""")
 def stream_idempotent_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as deliveries of messages (user, type): claims, leases, retries and terminal states, in event time."""
+    """Events as deliveries of messages (user, type): claims, leases, retries and terminal states, in event time.
+
+    A failure gives its lease back, so the next delivery is handled whenever it comes.
+    """
     return guard.replayed(spark, f"{sf_dir}/events.parquet", guard.guarded_deliveries)
 
 

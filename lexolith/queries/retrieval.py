@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from lexolith.config import Retrieval
 from lexolith.functions import predicates
 from lexolith.functions.text import shingles, tokens
-from lexolith.functions.vectors import is_valid_vector, similarity
+from lexolith.functions.vectors import is_valid_vector
 from lexolith.operators import refine
 from lexolith.operators.refine import diversified, without_contained, without_similar
-from lexolith.operators.retrieval import best_texts, fused, nearest
+from lexolith.operators.retrieval import best_texts, fused, nearest, similar
 from lexolith.plans.retrieval import retrieve
 from lexolith.queries import query
 from lexolith.sources.tables import chunks, metadata, table
@@ -104,11 +104,11 @@ SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITIO
 """)
 def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query among the chunks of its own language."""
-    langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("lang").alias("query_lang"))
+    langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("lang").alias("tag"))
     asked = vector_queries(spark, sf_dir).join(langs, "query_id")
     rows = chunks(spark, sf_dir).filter(predicates.is_active(F.col("custom_metadata")))
-    same = predicates.has_pair(F.col("custom_metadata"), "lang", F.col("query_lang"))
-    return nearest(asked, rows, 10, same).withColumn("rank", F.col("rank").cast("bigint"))
+    own = F.transform(F.filter("custom_metadata", lambda m: m["key"] == "lang"), lambda m: m["value"])
+    return nearest(asked, rows, 10, own).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(f"""
@@ -116,11 +116,10 @@ SELECT a.vec_id AS a, b.vec_id AS b, round({DOT.format(a="a.embedding", b="b.emb
 FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id WHERE round({DOT.format(a="a.embedding", b="b.embedding")}, 6) >= 0.3
 """)
 def cosine_pairs_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    asked = vector_queries(spark, sf_dir).select(F.col("query_id").alias("a"), "query_vector")  # a hundredth of the rows
-    pairs = vectors.join(asked, F.col("vec_id") != F.col("a"))
-    score = F.round(similarity(F.col("query_vector"), F.col("embedding")), 6)
-    return pairs.select("a", F.col("vec_id").alias("b"), score.alias("similarity")).filter("similarity >= 0.3")
+    asked = vector_queries(spark, sf_dir)  # a hundredth of the rows
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    found = similar(asked, rows, 0.3, "vec_id").filter("query_id <> vec_id")
+    return found.select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), F.col("score").alias("similarity"))
 
 
 BM25_SQL = f"""

@@ -1,54 +1,107 @@
-"""At-least-once messages handled once: a keyed state machine with leases, attempts and terminal states.
+"""At-least-once messages handled once: a keyed state machine with leases, versions, attempts and terminal states.
 
-A message's state has one owner, the task that holds its key, so claiming needs no compare-and-set; what remains of it
-is the fence: only the delivery that holds the lease may end the message. The clock is the deliveries' own time, so that
-a replay gives the same states.
+A message's state has one owner, the task that holds its key, so claiming needs no compare-and-set. What remains of it is
+the fence: every claim raises the message's version, and only an end that names the version of the live claim is
+written. The clock is the deliveries' own time, so that a replay gives the same states; states whose message has not come
+again for RETENTION_SECONDS of event time are dropped.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lexolith.functions.predicates import DONE_STATUSES
 from lexolith.sources.shared import shared_folder
 
 LEASE_SECONDS, MOST_ATTEMPTS = 300, 3
-_STATE = "status string, attempts int, lease_until double"
-_OUTCOME = "key string, event_id long, outcome string, attempts int"
+#: How late a delivery may come, and how long a message's state is kept after its last one, in event time.
+LATE_SECONDS, RETENTION_SECONDS = 86_400, 7 * 86_400
+#: A lease that was given back: it ended at the epoch.
+RELEASED = 0.0
+_STATE = "status string, attempts int, lease_until double, version long"
+_OUTCOME = "key string, event_id long, outcome string, attempts int, version long"
 
 
-def decide(status: str | None, attempts: int, lease_until: float, at: float, failed: bool) -> tuple[str, str | None, int, float]:
-    """What becomes of one delivery: outcome, and the message's status, attempts and lease after it.
+class Message(NamedTuple):
+    """What is known of a message; ``version`` counts its writes."""
 
-    A terminal message is skipped; a live lease is a conflict, and one that expires exactly now is free. A failure gives
-    the lease back while attempts are left, and ends the message at the last.
+    status: str | None = None
+    attempts: int = 0
+    lease_until: float = RELEASED
+    version: int = 0
+
+    @property
+    def ended(self) -> bool:
+        return self.status in DONE_STATUSES
+
+
+def claimed(message: Message, at: float) -> tuple[str, Message]:
+    """CLAIMED, with a lease and a version of its own; SKIPPED if the message has ended; CONFLICT under a live lease.
+
+    A lease that expires exactly now is free. A conflict writes nothing, not even at the last attempt.
+    """
+    if message.ended:
+        return "SKIPPED", message
+    if message.lease_until > at:
+        return "CONFLICT", message
+    return "CLAIMED", Message("CLAIMED", message.attempts + 1, at + LEASE_SECONDS, message.version + 1)
+
+
+def ended(message: Message, version: int, failed: bool) -> tuple[str, Message]:
+    """What the end of the work under the claim ``version`` does: DONE, FAILED at the last attempt, else RETRY.
+
+    A failure with attempts left gives the lease back. If another claim has been made since, or the message has ended,
+    the end is FENCED: it is discarded and counts as no attempt.
     """
-    if status in ("DONE", "FAILED"):
-        return "SKIPPED", status, attempts, lease_until
-    if lease_until > at:
-        return "CONFLICT", status, attempts, lease_until
-    attempts += 1
+    if message.ended or version != message.version:
+        return "FENCED", message
     if not failed:
-        return "DONE", "DONE", attempts, 0.0
-    if attempts >= MOST_ATTEMPTS:
-        return "FAILED", "FAILED", attempts, 0.0
-    return "RETRY", "CLAIMED", attempts, at + LEASE_SECONDS
+        return "DONE", message._replace(status="DONE", lease_until=RELEASED, version=version + 1)
+    if message.attempts >= MOST_ATTEMPTS:
+        return "FAILED", message._replace(status="FAILED", lease_until=RELEASED, version=version + 1)
+    return "RETRY", message._replace(lease_until=RELEASED, version=version + 1)
+
+
+def given_up(message: Message, at: float) -> tuple[str, Message]:
+    """A failure that is written without a claim: only if the message has not ended and nobody holds a lease on it."""
+    if message.ended or message.lease_until > at:
+        return "NOTHING", message
+    return "FAILED", message._replace(status="FAILED", lease_until=RELEASED, version=message.version + 1)
+
+
+def decide(message: Message, at: float, failed: bool, action: str = "run", version: int = 0) -> tuple[str, Message]:
+    """What becomes of one delivery: its outcome and the message after it.
+
+    ``run`` claims and ends in one step; ``claim``, ``end`` (of the claim ``version``) and ``give up`` are steps alone.
+    """
+    if action == "end":
+        return ended(message, version, failed)
+    if action == "give up":
+        return given_up(message, at)
+    outcome, after = claimed(message, at)
+    return ended(after, after.version, failed) if outcome == "CLAIMED" and action == "run" else (outcome, after)
 
 
 def _handle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    status, attempts, lease = state.get if state.exists else (None, 0, 0.0)
-    out = []
-    rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-    for event_id, at, failed in zip(rows["event_id"], rows["at"], rows["failed"]):
-        outcome, status, attempts, lease = decide(status, attempts, lease, float(at), bool(failed))
-        out.append((key[0], int(event_id), outcome, attempts))
-    state.update((status, attempts, lease))
-    yield pd.DataFrame(out, columns=["key", "event_id", "outcome", "attempts"])
+    if state.hasTimedOut:
+        state.remove()
+        return
+    message, out, last = Message(*state.get) if state.exists else Message(), [], 0.0
+    rows = pd.concat(list(batches)).sort_values(["at", "event_id"])  # one message's deliveries in one micro-batch
+    for event_id, at, failed, action, version in zip(rows["event_id"], rows["at"], rows["failed"], rows["action"], rows["claim"]):
+        outcome, message = decide(message, float(at), bool(failed), action, int(version))
+        out.append((key[0], int(event_id), outcome, message.attempts, message.version))
+        last = max(last, float(at))
+    state.update(tuple(message))
+    state.setTimeoutTimestamp(max(int((last + RETENTION_SECONDS) * 1000), state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame(out, columns=["key", "event_id", "outcome", "attempts", "version"])
 
 
 def deliveries(events: DataFrame) -> DataFrame:
@@ -58,9 +111,14 @@ def deliveries(events: DataFrame) -> DataFrame:
     return events.select(key.alias("key"), "event_id", ts.alias("ts"), (F.unix_micros(ts) / 1e6).alias("at"), (F.col("event_id") % 3 > 0).alias("failed"))
 
 
+def guarded(rows: DataFrame) -> DataFrame:
+    """key, event_id, outcome, attempts and version after it, for a stream of steps (key, event_id, ts, at, failed, action, claim)."""
+    timed = rows.withWatermark("ts", f"{LATE_SECONDS} seconds")
+    return timed.groupBy("key").applyInPandasWithState(_handle, _OUTCOME, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def guarded_deliveries(events: DataFrame) -> DataFrame:
-    grouped = deliveries(events).select("key", "event_id", "at", "failed").groupBy("key")
-    return grouped.applyInPandasWithState(_handle, _OUTCOME, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return guarded(deliveries(events).withColumn("action", F.lit("run")).withColumn("claim", F.lit(0).cast("bigint")))
 
 
 def first_deliveries(events: DataFrame) -> DataFrame:

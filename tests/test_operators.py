@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,10 +63,42 @@ def test_candidates_and_fusion(spark):
     near, text = nearest(queries, chunks, 2), best_texts(queries, chunks, 5)
     assert ids(near) == [3, 2] and ids(text) == [1, 0]
     assert ids(fused(near, text, 3)) == [1, 3, 0]
+    assert ids(nearest(queries.withColumn("tag", F.lit("x")), chunks, 9, F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("y"), F.lit("x"))))) == [i for i in ids(nearest(queries, chunks, 9)) if i % 2 == 0]
     many = spark.range(50).select(F.col("id").alias("query_id"))
     assert sum(b.count() for b in blocks_of(many, 10)) == 50 and len(blocks_of(many, 10)) == 5
 
 
+def test_retrieval_equals_brute_force(spark, tmp_path, monkeypatch):
+    from lexolith.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "QUERIES_PER_BLOCK", 4)
+    rng = __import__("numpy").random.default_rng(6)
+    vectors = [rng.normal(size=8).tolist() for _ in range(300)]
+    vectors[10:60] = [vectors[9]] * 50  # ties
+    vectors[70], vectors[71], vectors[72] = None, [1.0, 2.0], []
+    texts = [" ".join(rng.choice([f"t{i}" for i in range(40)] + ["the"] * 40, int(rng.integers(1, 60)))) for _ in vectors]
+    texts[5], texts[6] = None, "!!"
+    chunks = spark.createDataFrame([(i, v, t) for i, (v, t) in enumerate(zip(vectors, texts))], "doc_id long, vector array<double>, chunk string").repartition(5)
+    asked = [(f"q{i}", vectors[i * 9] if i else None, texts[i * 7 + 1] + " the") for i in range(10)]
+    queries = spark.createDataFrame(asked, "query_id string, query_vector array<double>, query_text string")
+    dot = lambda a, b: round(sum(x * y for x, y in zip(a, b)), 6) if a and b and len(a) == len(b) else 0.0
+    got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in nearest(queries, chunks, 20).collect()}
+    for q, v, _ in asked:
+        best = sorted((-dot(v, w), i) for i, w in enumerate(vectors))[:20]
+        assert [got[q, n + 1] for n in range(20)] == [(i, -s) for s, i in best]
+    pairs = {(r.query_id, r.doc_id): r.score for r in retrieval.similar(queries, chunks, 2.5).collect()}
+    assert pairs == {(q, i): dot(v, w) for q, v, _ in asked for i, w in enumerate(vectors) if dot(v, w) >= 2.5} and pairs
+    words = [(t or "").replace("!!", "").split() for t in texts]
+    mean, df = sum(map(len, words)) / len(words), {t: sum(t in w for w in words) for ws in words for t in ws}
+    score = lambda ts, w: round(sum(math.log(1 + (300 - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in ts if t in w), 6)
+    retrieval.written_index(chunks, f"{tmp_path}/index", 5)
+    for found in (best_texts(queries, chunks, 10), retrieval.best_indexed(queries, spark, f"{tmp_path}/index", 10)):
+        got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in found.collect()}
+        for q, _, t in asked:
+            best = sorted((-s, i) for i, w in enumerate(words) if (s := score(set(t.split()), w)) > 0)[:10]
+            assert [got[q, n + 1] for n in range(len(best))] == [(i, pytest.approx(-s, abs=2e-6)) for s, i in best]
+
+
 def test_supersession_changes_what_is_retrieved(spark):
     """Two versions of a document, each with a word of its own: once superseded, the first is not found."""
     meta = lambda i: [("documentId", i), ("material", "m")]
@@ -110,6 +144,8 @@ def test_ingestion_steps(spark):
     new = spark.createDataFrame([(1, 2, "new"), (3, 1, "add")], "id int, arrived_at int, v string")
     assert {r.id: r.v for r in ingestion.upserted(now, new).collect()} == {1: "new", 2: "keep", 3: "add"}
     assert {r.id: r.v for r in ingestion.merged_column(now, new.filter("id = 1"), "v").collect()} == {1: "new", 2: "keep"}
+    twice = spark.createDataFrame([(1, "x"), (1, "y"), (2, None)], "id int, v string")
+    assert {r.id: r.v for r in ingestion.merged_column(now, twice, "v").collect()} == {1: "y", 2: None}
 
 
 def test_contexts_and_prompts(spark):
@@ -153,28 +189,61 @@ def test_compare_and_set(spark):
     after, lost = lifecycle.updated_if_unchanged(now, changes, ["k"], ["status"])
     assert sorted((r.k, r.version, r.status) for r in after.collect()) == [("a", 2, "t"), ("b", 2, "s")]
     assert sorted(r.k for r in lost.collect()) == ["b", "c"]
+    both = spark.createDataFrame([("a", 1, "u"), ("a", 1, "t"), ("b", 2, None)], "k string, version long, status string")
+    after, lost = lifecycle.updated_if_unchanged(now, both, ["k"], ["status"])
+    assert sorted((r.k, r.version, r.status) for r in after.collect()) == [("a", 2, "t"), ("b", 3, None)] and [(r.k, r.status) for r in lost.collect()] == [("a", "u")]
+
+
+def test_inserts_and_point_gets(spark):
+    now = spark.createDataFrame([("a", 1), (None, 1)], "k string, version long")
+    new = spark.createDataFrame([("a", 2), ("b", 7), ("b", 5), ("b", 5), (None, 3)], "k string, version long")
+    inserted, taken = lifecycle.inserted_if_absent(now, new, ["k"], ["version"])
+    assert [tuple(r) for r in inserted.collect()] == [("b", 5)]
+    assert sorted((r.k or "", r.version) for r in taken.collect()) == [("", 3), ("a", 2), ("b", 7)]
+    assert lifecycle.point_get(now, {"k": None, "version": 1}).count() == 1 and lifecycle.point_get(now, {"k": "b"}).count() == 0
 
 
 def test_guard_decisions():
-    d = guard.decide
-    assert d("DONE", 1, 0.0, 5.0, False)[0] == "SKIPPED" and d("FAILED", 3, 0.0, 5.0, False)[0] == "SKIPPED"
-    assert d(None, 0, 0.0, 5.0, False) == ("DONE", "DONE", 1, 0.0)
-    assert d("CLAIMED", 1, 6.0, 5.0, False)[0] == "CONFLICT"
-    assert d("CLAIMED", 1, 5.0, 5.0, False)[0] == "DONE"
-    assert d(None, 0, 0.0, 5.0, True) == ("RETRY", "CLAIMED", 1, 305.0)
-    assert d("CLAIMED", 2, 0.0, 5.0, True)[:2] == ("FAILED", "FAILED")
-
-
-def test_streamed_guard_equals_a_replay(spark):
-    path = "/root/testdata/sf0.001/events.parquet"
-    got = {(r.key, r.event_id): r.outcome for r in guard.replayed(spark, path, guard.guarded_deliveries).collect()}
-    want, states = {}, {}
-    for r in guard.deliveries(spark.read.parquet(path)).orderBy("at", "event_id").collect():
-        state = states.get(r.key, (None, 0, 0.0))
-        outcome, *state = guard.decide(*state, r.at, r.failed)
-        states[r.key] = tuple(state)
-        want[r.key, r.event_id] = outcome
-    assert got == want and {"DONE", "SKIPPED"} <= set(got.values())
+    d, M = guard.decide, guard.Message
+    assert d(M("DONE", 1), 5.0, False)[0] == "SKIPPED" and d(M("ANSWER_GENERATION_FAILED", 3), 5.0, False)[0] == "SKIPPED"
+    assert d(M(), 5.0, False) == ("DONE", M("DONE", 1, 0.0, 2))
+    assert d(M("CLAIMED", 1, 6.0, 1), 5.0, False) == ("CONFLICT", M("CLAIMED", 1, 6.0, 1))
+    assert d(M("CLAIMED", 3, 6.0, 1), 5.0, True) == ("CONFLICT", M("CLAIMED", 3, 6.0, 1))  # nothing is written at the last attempt
+    assert d(M("CLAIMED", 1, 5.0, 1), 5.0, False)[0] == "DONE"
+    assert d(M(), 5.0, True) == ("RETRY", M("CLAIMED", 1, 0.0, 2))  # the lease is given back
+    assert d(*[d(M(), 5.0, True)[1]], 5.5, False)[0] == "DONE"
+    assert d(M("CLAIMED", 2, 0.0, 4), 5.0, True) == ("FAILED", M("FAILED", 3, 0.0, 6))
+
+
+def test_guard_fences_late_ends():
+    d, M = guard.decide, guard.Message
+    _, first = d(M(), 0.0, False, "claim")
+    assert first == M("CLAIMED", 1, 300.0, 1) and d(first, 299.0, False, "claim")[0] == "CONFLICT"
+    _, second = d(first, 300.0, False, "claim")
+    assert second == M("CLAIMED", 2, 600.0, 2)
+    assert d(second, 301.0, False, "end", 1) == ("FENCED", second) and d(second, 301.0, True, "end", 1) == ("FENCED", second)
+    outcome, done = d(second, 302.0, False, "end", 2)
+    assert outcome == "DONE" and d(done, 303.0, True, "end", 2) == ("FENCED", done)
+    assert d(M(), 0.0, True, "give up") == ("FAILED", M("FAILED", 0, 0.0, 1))
+    assert d(second, 301.0, True, "give up") == ("NOTHING", second) and d(done, 301.0, True, "give up") == ("NOTHING", done)
+    assert d(second, 600.0, True, "give up")[0] == "FAILED"
+
+
+def test_streamed_guard_fences_and_forgets(spark, tmp_path):
+    steps = [("a", 1, 0, "claim", 0, False), ("a", 2, 10, "claim", 0, False), ("a", 3, 400, "claim", 0, False), ("a", 4, 410, "end", 1, False), ("a", 5, 420, "end", 2, False), ("b", 6, 0, "run", 0, True), ("b", 7, 1, "run", 0, False)]
+    frame = lambda rows: spark.createDataFrame(rows, "key string, event_id long, at double, action string, claim long, failed boolean").withColumn("ts", F.timestamp_seconds("at"))
+    timed = lambda rows: [(k, i, float(t), a, c, f) for k, i, t, a, c, f in rows]
+    frame(timed(steps)).coalesce(1).write.parquet(f"{tmp_path}/in/1")
+    later = guard.RETENTION_SECONDS * 2
+    frame(timed([("c", 8, later, "run", 0, False)])).coalesce(1).write.parquet(f"{tmp_path}/in/2")
+    frame(timed([("a", 9, later + 5, "run", 0, False)])).coalesce(1).write.parquet(f"{tmp_path}/in/3")
+    schema, found = frame([]).schema, []
+    for n in (1, 2, 3):  # one run for each part, so that parts come in this order
+        rows = guard.guarded(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/[1-{n}]"))
+        query = rows.writeStream.foreachBatch(lambda batch, _: found.extend(batch.collect())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = {r.event_id: (r.outcome, r.version) for r in found}
+    assert got == {1: ("CLAIMED", 1), 2: ("CONFLICT", 1), 3: ("CLAIMED", 2), 4: ("FENCED", 2), 5: ("DONE", 3), 6: ("RETRY", 2), 7: ("DONE", 4), 8: ("DONE", 2), 9: ("DONE", 2)}  # a had ended, but is forgotten
 
 
 def test_payloads(spark, tmp_path):
