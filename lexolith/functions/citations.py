@@ -14,9 +14,11 @@ from lexolith.functions import pages
 from lexolith.functions.markdown import MARKER_RUN
 from lexolith.functions.text import is_blank
 
+#: The patterns of fact maps, joined ids and markers, which decide what counts as one.
 _TAG = r"(?is)<\s*FACT_MAP_JSON\s*>(.*?)<\s*/\s*FACT_MAP_JSON\s*>"
 _JOINED = r"\[(\d+(?:\s*[,;]\s*\d+)+)\]"
 _BARE = r"\[\d+\]"
+#: How a citation begins.
 _PREFIX = "::(Source: ["
 #: The forms in which a model may write a marker, around its id; what stands for missing fields.
 _MARKER_BEFORE = r"(?i)\[\^?(?:(?:Source|doc|Citation|Ref)[\s:]+)?\s*\Q"
@@ -44,6 +46,7 @@ def split_joined_ids(text: Column) -> Column:
 
 
 def without_code_fences(payload: Column) -> Column:
+    # fixed value: the fences that models put around JSON
     return F.regexp_replace(F.regexp_replace(payload, r"\A\s*```(?:json|JSON)?\s*", ""), r"\s*```\s*\z", "")
 
 
@@ -138,30 +141,32 @@ def rendered_citations(text: Column) -> Column:
 def with_outcome(answers, raw_col: str, out_col: str = "outcome"):
     """``answers`` with a struct of the formatted text and what became of its markers (OUTCOME).
 
-    The steps are columns of their own, so that none is worked out again inside the next; they are dropped at the end.
+    The steps are columns of their own, so that none is worked out again inside the next; the input's columns stay as they
+    are, whatever their names, but for one that is called as the outcome is, which gives way to it.
     """
-    raw = F.col(raw_col)
-    found = answers.withColumn("__blocks", F.regexp_extract_all(F.coalesce(raw, F.lit("")), F.lit(_TAG), F.lit(0)))
-    found = found.withColumn("__block", F.when(F.size("__blocks") > 0, F.element_at("__blocks", -1))).drop("__blocks")
+    rows = answers.select(F.struct(*[F.col(f"`{c}`") for c in answers.columns]).alias("row"), F.col(f"`{raw_col}`").alias("raw"))
+    raw = F.col("raw")
+    found = rows.withColumn("blocks", F.regexp_extract_all(F.coalesce(raw, F.lit("")), F.lit(_TAG), F.lit(0)))
+    found = found.withColumn("block", F.when(F.size("blocks") > 0, F.element_at("blocks", -1)))
     after = F.element_at(F.split(F.coalesce(raw, F.lit("")), _TAG, -1), -1)
-    found = found.withColumn("__after", after)
-    before = F.substring(raw, F.lit(1), F.length(raw) - F.length("__after") - F.length("__block"))
-    body = F.when(F.col("__block").isNull(), F.coalesce(raw, F.lit(""))).otherwise(trimmed(F.concat(before, F.lit(" "), "__after")))
-    found = found.withColumn("__body", split_joined_ids(body)).withColumn("__inline", bare_markers(F.col("__body")))
-    payload = trimmed(without_code_fences(F.regexp_extract("__block", _TAG, 1)))
-    found = found.withColumn("__entries", entries_of(payload))
-    found = found.withColumn("__merged", F.when(F.col("__entries").isNotNull(), merged_runs(F.col("__body"), F.col("__entries"))))
-    found = found.withColumn("__cited", substituted(F.col("__merged"), F.col("__entries")))
-    usable = F.col("__entries").isNotNull()
-    found = found.withColumn("__formatted", trimmed(without_markers(F.when(usable, F.col("__cited")).otherwise(F.col("__body")))))
+    found = found.withColumn("after", after)
+    before = F.substring(raw, F.lit(1), F.length(raw) - F.length("after") - F.length("block"))
+    body = F.when(F.col("block").isNull(), F.coalesce(raw, F.lit(""))).otherwise(trimmed(F.concat(before, F.lit(" "), "after")))
+    found = found.withColumn("body", split_joined_ids(body)).withColumn("inline", bare_markers(F.col("body")))
+    payload = trimmed(without_code_fences(F.regexp_extract("block", _TAG, 1)))
+    found = found.withColumn("entries", entries_of(payload))
+    found = found.withColumn("merged", F.when(F.col("entries").isNotNull(), merged_runs(F.col("body"), F.col("entries"))))
+    found = found.withColumn("cited", substituted(F.col("merged"), F.col("entries")))
+    usable = F.col("entries").isNotNull()
+    found = found.withColumn("formatted", trimmed(without_markers(F.when(usable, F.col("cited")).otherwise(F.col("body")))))
     blank = is_blank(raw)
     outcome = F.struct(
-        F.when(blank, "").otherwise(F.col("__formatted")).alias("formatted"),
-        (~blank & F.col("__block").isNotNull()).alias("json_block"),
-        (~blank & usable & (F.size("__entries") == 0)).alias("empty_fact_map"),
-        F.when(blank, 0).otherwise(F.col("__inline")).alias("inline_markers"),
-        F.when(~blank & usable, rendered_citations(F.col("__formatted"))).otherwise(0).alias("rendered"),
-        F.when(blank, 0).when(usable, bare_markers(F.col("__cited"))).otherwise(F.col("__inline")).alias("stripped"),
+        F.when(blank, "").otherwise(F.col("formatted")).alias("formatted"),
+        (~blank & F.col("block").isNotNull()).alias("json_block"),
+        (~blank & usable & (F.size("entries") == 0)).alias("empty_fact_map"),
+        F.when(blank, 0).otherwise(F.col("inline")).alias("inline_markers"),
+        F.when(~blank & usable, rendered_citations(F.col("formatted"))).otherwise(0).alias("rendered"),
+        F.when(blank, 0).when(usable, bare_markers(F.col("cited"))).otherwise(F.col("inline")).alias("stripped"),
     )
-    steps = [c for c in found.columns if c not in answers.columns]
-    return found.withColumn(out_col, outcome.cast(OUTCOME)).drop(*steps)
+    rest = [F.col("row")[c].alias(c) for c in answers.columns if c != out_col]
+    return found.select(*rest, outcome.cast(OUTCOME).alias(out_col))

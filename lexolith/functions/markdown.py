@@ -10,6 +10,7 @@ from lexolith.functions.text import let
 #: The tags that answers must put around their fact map, and the words from which an answer is substantive.
 OPEN_TAG, CLOSE_TAG = "<FACT_MAP_JSON>", "</FACT_MAP_JSON>"
 SUBSTANTIVE_WORDS = 50
+#: The patterns of markers, runs of them and blocks; their bounds decide what is counted.
 MARKER = r"\[(\d+)\]"
 MARKER_RUN = r"\[\d{1,4}\](?:[ \t]{0,3}\[\d{1,4}\]){1,50}"
 ANY_CITATION = r"(?i)\[\^?(?:(?:Source|doc|Citation|Ref)[\s:]{1,3})?\d[^\[\]]{0,40}\]"
@@ -47,6 +48,7 @@ def word_count(prose_text: Column) -> Column:
 def document_of(raw: Column) -> Column:
     """A map from the citation ids in the fact maps of an answer to their documents; an id's first entry holds."""
     blocks = F.array_join(F.regexp_extract_all(F.coalesce(raw, F.lit("")), F.lit(_BLOCK), F.lit(1)), "\n")
+    # fixed values: the forms of entries and their fields
     objects = F.regexp_extract_all(blocks, F.lit(r"\{[^{}]{0,600}\}"), F.lit(0))
     entries = F.transform(
         objects,
@@ -80,6 +82,7 @@ def compliance(raw: Column, formatted: Column) -> Column:
     raw = F.coalesce(raw, F.lit(""))
     body = without_fact_map(raw)
     inline = F.transform(F.regexp_extract_all(body, F.lit(MARKER), F.lit(1)), lambda i: i.try_cast("bigint"))
+    # fixed values: the forms of fields in raw answers
     listed = F.transform(F.regexp_extract_all(raw, F.lit(r'"citationId"\s*:\s*(\d+)'), F.lit(1)), lambda i: i.try_cast("bigint"))
     pages = F.regexp_extract_all(raw, F.lit(r'"individualPageNumbers"\s*:\s*"([^"]{0,200})"'), F.lit(1))
     cited = F.filter(F.flatten(F.transform(pages, lambda p: F.split(p, ","))), lambda t: F.trim(t) != "")

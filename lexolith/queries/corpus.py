@@ -76,7 +76,19 @@ def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingestion.embedding_batches(rows, 8)
 
 
-@query()
+@query(r"""
+WITH bare AS (
+    SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html,
+        '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', ' ', 'g'),
+        '(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr|/title|/head|/nav|/ul|/ol|/table)\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages
+),
+plain AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM bare),
+texts AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), ' ') AS text FROM plain),
+cuts AS (SELECT page_id, text, unnest(range(0, greatest(0, ceil((length(text) - 500) / 3500.0)::int - 1) + 1)) AS i FROM texts),
+chunks AS (SELECT page_id, i, substr(text, i * 3500 + 1, 4000) AS chunk, md5('|' || page_id || '|1|' || i) AS h FROM cuts)
+SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-3' || substr(h, 14, 3) || '-' || substr('89ab', ('0x' || substr(h, 17, 1))::int % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id,
+    page_id AS document_id, 1 AS page_number, NULL::varchar AS client_id, i::int AS chunk_index, chunk FROM chunks WHERE length(trim(chunk)) > 10
+""")
 def page_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw pages to lines to chunks."""
     pages = table(spark, sf_dir, "pages")

@@ -9,7 +9,7 @@ from lexolith.functions.markdown import compliance
 from lexolith.functions.citations import with_outcome
 from lexolith.operators import evaluation
 from lexolith.queries import query
-from lexolith.queries.answers import answers
+from lexolith.queries.answers import CITED_SQL, answers
 from lexolith.sources.tables import table
 
 
@@ -62,7 +62,23 @@ def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.distribution(rows, "value", "query_type", "client_id")
 
 
-@query()
+@query(rf"""
+WITH {CITED_SQL},
+parts AS (
+    SELECT *, body || CASE WHEN block = '' THEN '' ELSE ' ' END AS narrative, body || block AS raw, conv_id % 5 >= 2 AS entries FROM outcomes
+),
+counts AS (
+    SELECT *, regexp_extract_all(narrative, '\[(\d+)\]', 1) AS inline, regexp_extract_all(raw, '"citationId"\s*:\s*(\d+)', 1) AS listed,
+        trim(regexp_replace(regexp_replace(narrative, '\[[^\[\]]{{0,64}}\]', '', 'g'), '\s+', ' ', 'g')) AS prose FROM parts
+)
+SELECT conv_id, turn, len(inline)::int AS inline_markers,
+    greatest(0, len(regexp_extract_all(narrative, '(?i)\[\^?(?:(?:Source|doc|Citation|Ref)[\s:]{{1,3}})?\d[^\[\]]{{0,40}}\]')) - len(inline))::int AS drifted,
+    len(listed)::int AS json_entries, len(inline) > 0 AND len(list_filter(inline, lambda i: NOT list_contains(listed, i))) = 0 AS inline_in_json,
+    contains(formatted, '::(Source') AS substituted, block <> '' AS json_block, length(prose)::int AS prose_chars,
+    CASE WHEN prose = '' THEN 0 ELSE len(string_split(prose, ' ')) END::int AS prose_words, CASE WHEN entries THEN 4 ELSE 0 END::int AS cited_pages,
+    CASE WHEN entries AND conv_id % 2 = 0 THEN len(regexp_extract_all(narrative, '\[1\][ \t]{{0,3}}\[2\]')) ELSE 0 END::int AS stacked_runs
+FROM counts
+""")
 def compliance_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every field of compliance() for every answer."""
     rows = with_outcome(answers(spark, sf_dir), "raw")

@@ -90,3 +90,9 @@ def stream_idempotent_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first delivery of each message within an hour."""
     return guard.replayed(spark, f"{sf_dir}/events.parquet", guard.first_deliveries)
+
+
+@query("SELECT user_id::varchar || '|' || event_type AS key, event_id FROM events")
+def stream_redelivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event comes twice, the second time up to nine minutes later: each is handed on once."""
+    return guard.replayed(spark, f"{sf_dir}/events.parquet", guard.redelivered)

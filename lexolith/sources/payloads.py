@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexolith.functions.text import without_entities
+
 PAIRS = "array<struct<key:string,value:string>>"
 CHUNK = (
     "id string, documentId string, chunk string, chunkVector array<float>, documentFileName string, pageNumber int, chunkIndex int, "
@@ -75,11 +77,10 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_lines(html: Column) -> Column:
-    """The visible text of a raw page as lines: scripts, styles and tags out, a line for each block element."""
+    """The visible text of a raw page as lines: scripts, styles, comments and tags out, a line for each block element,
+    character references as their characters."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ")
     broken = F.regexp_replace(bare, r"(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr|/title|/head|/nav|/ul|/ol|/table)\b[^>]*>", "\n")
-    text = F.regexp_replace(broken, r"<[^>]*>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    text = without_entities(F.regexp_replace(broken, r"<[^>]*>", " "))
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
     return F.filter(lines, lambda x: x != "")

@@ -126,6 +126,13 @@ def first_deliveries(events: DataFrame) -> DataFrame:
     return deliveries(events).withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["key"]).select("key", "event_id")
 
 
+def redelivered(events: DataFrame) -> DataFrame:
+    """Every delivery and, minutes later, its repetition, of which the stream hands on one."""
+    rows = deliveries(events)
+    again = rows.withColumn("ts", F.timestamp_seconds(F.col("at") + 60 * (F.col("event_id") % 10)))
+    return rows.unionByName(again).withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"]).select("key", "event_id")
+
+
 def counted_deliveries(events: DataFrame) -> DataFrame:
     return deliveries(events).groupBy("key").agg(F.count(F.lit(1)).alias("deliveries"))
 

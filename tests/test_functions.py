@@ -142,3 +142,17 @@ def test_metadata_maps(spark):
     given = [({"documentId": "mine", "x": "y"},), (None,)]
     assert values(spark, metadata.overlaid(F.lit("d"), F.col("m")), given, "m map<string,string>") == [{"document_id": "d", "documentId": "mine", "x": "y"}, {"document_id": "d", "documentId": "d"}]
     assert [len(x) for x in values(spark, metadata.pairs_of(F.col("m")), given, "m map<string,string>")] == [2, 0]
+
+
+def test_character_references(spark):
+    rows = ["a &amp; b&lt;c&gt;", "lt; &#233;&#xE9;&#x1F600;", "&amp;lt; &unknown; &#0; &#55296; &#1114112; &", "&copy;&middot;&nbsp;x", "", None]
+    want = ["a & b<c>", "lt; éé😀", "&lt; &unknown; &#0; &#55296; &#1114112; &", "©· x", "", None]
+    assert values(spark, text.without_entities(F.col("x")), rows) == want
+
+
+def test_outcomes_leave_columns_of_any_name_alone(spark):
+    raw = 'so it is [1]. <FACT_MAP_JSON>[{"citationId":1,"documentFilename":"a.pdf","individualPageNumbers":"1,2","documentId":"d"}]</FACT_MAP_JSON>'
+    rows = spark.createDataFrame([(raw, "own", "b", 7)], "raw string, block string, row string, outcome int")
+    got = citations.with_outcome(rows, "raw").first()
+    assert (got["raw"], got["block"], got["row"]) == (raw, "own", "b")
+    assert got["outcome"]["formatted"] == "so it is ::(Source: [a.pdf], Pages 1,2|1,2|documentId=d)."

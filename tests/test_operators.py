@@ -129,6 +129,17 @@ def test_splitter_keeps_its_promises():
         assert at == len(text)
 
 
+def test_splitter_on_worked_examples():
+    split = lambda text, size, overlap: ingestion.split_text(text, Chunking(size=size, overlap=overlap))
+    assert split("aaaa\n\nbbbb\n\ncccc", 12, 0) == ["aaaa\n\nbbbb\n\n", "cccc"]  # paragraphs first
+    assert split("one two three four", 9, 0) == ["one two ", "three ", "four"]  # then words
+    assert split("one two three four", 9, 4) == ["one two ", "three ", "four"]  # no room for an overlap
+    assert split("x" * 25, 10, 0) == ["x" * 10, "x" * 10, "x" * 5]  # and between characters at last
+    assert split("A b. C d. E f.", 10, 5) == ["A b. C d. ", "C d. E f."]  # an overlap is whole sentences
+    assert split("", 10, 5) == [""]
+    assert split("short", 10, 5) == ["short"]
+
+
 def test_ingestion_steps(spark):
     pages = spark.createDataFrame([("d", 1, "c", "x" * 25 + " " * 30), ("d", 2, None, None)], "document_id string, page_number int, client_id string, text string")
     chunking = Chunking(size=20, overlap=5)
