@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexolith.functions.text import salvaged_json, truncated
 
 #: Rows of a configuration that may be sent to every worker.
 MOST_CONFIGS = 10_000
@@ -136,6 +137,14 @@ def distribution(scores: DataFrame, value: str, *by: str) -> DataFrame:
 
 
 def judge_result(raw: Column) -> Column:
-    """verdict, similarity and note of a judge's JSON, with defaults: UNPARSED, 0, and a note of 100 characters at most."""
-    parsed = F.from_json(raw, "verdict string, similarity double, note string")
-    return F.struct(F.coalesce(parsed["verdict"], F.lit("UNPARSED")).alias("verdict"), F.coalesce(parsed["similarity"], F.lit(0.0)).alias("similarity"), F.left(F.coalesce(parsed["note"], F.lit("")), F.lit(100)).alias("note"))
+    """verdict, missing_a, missing_b, structure_a, structure_b, similarity and note of a judge's reply, from its outermost
+    braces, with defaults: UNPARSED, 0, and a note shortened to 100 characters."""
+    fields = "verdict string, factsMissingFromA array<string>, factsMissingFromB array<string>, structureScoreA int, structureScoreB int, similarity double, note string"
+    parsed = F.from_json(salvaged_json(raw), fields)
+    size = lambda name: F.coalesce(F.when(parsed[name].isNotNull(), F.size(parsed[name])), F.lit(0))
+    number = lambda name: F.coalesce(parsed[name], F.lit(0))
+    return F.struct(
+        F.coalesce(parsed["verdict"], F.lit("UNPARSED")).alias("verdict"), size("factsMissingFromA").alias("missing_a"), size("factsMissingFromB").alias("missing_b"),
+        number("structureScoreA").alias("structure_a"), number("structureScoreB").alias("structure_b"), F.coalesce(parsed["similarity"], F.lit(0.0)).alias("similarity"),
+        truncated(F.coalesce(parsed["note"], F.lit("")), 100).alias("note"),
+    )

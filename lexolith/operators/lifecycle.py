@@ -42,9 +42,9 @@ def point_get(rows: DataFrame, key: dict[str, object]) -> DataFrame:
 def inserted_if_absent(current: DataFrame, arrived: DataFrame, keys: list[str], order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows of ``arrived`` to insert, and those that find their key taken.
 
-    Of several new rows with one key the first by ``order``, then by all other columns, is inserted, with version 1 if
-    the rows have a column of that name; the others find it taken, but for exact repeats of it, which are the same
-    insert. A null key is a key. Winners are found by partial aggregation, so a hot key is no hot task.
+    Of several new rows with one key the first by ``order``, then by all other columns, is inserted; the others find it
+    taken, but for exact repeats of it, which are the same insert. A null key is a key. Winners are found by partial
+    aggregation, so a hot key is no hot task.
     """
     rest = [c for c in arrived.columns if c not in keys]
     ranked = [*(order or []), *[c for c in rest if c not in (order or [])]]
@@ -55,6 +55,11 @@ def inserted_if_absent(current: DataFrame, arrived: DataFrame, keys: list[str],
     return inserted.select(*arrived.columns), taken
 
 
+def insert_versions(current: DataFrame, arrived: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """``keys`` and version of each row that inserted_if_absent() inserts: the token, 1, that the first change must name."""
+    return inserted_if_absent(current, arrived, keys, order)[0].select(*keys, F.lit(1).cast("bigint").alias("version"))
+
+
 def updated_if_unchanged(current: DataFrame, changes: DataFrame, keys: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """``current`` with changes applied whose version is the row's, which then rises by one; and the changes that lost.
 

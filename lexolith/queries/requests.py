@@ -92,13 +92,13 @@ def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, coalesce(nullif(trim(CASE WHEN l_linenumber % 2 = 0 THEN l_shipmode ELSE ' ' END), ''), 'q' || l_orderkey) || CASE WHEN l_linenumber > 1 THEN ' v' || (l_linenumber - 1) ELSE '' END AS label,
+SELECT l_orderkey, l_linenumber, coalesce(nullif(trim(CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE ' ' END), ''), 'q' || l_orderkey) || CASE WHEN l_linenumber > 1 THEN ' v' || (l_linenumber - 1) ELSE '' END AS label,
     CASE WHEN l_linenumber % 3 = 0 THEN '{}' ELSE '{"line":' || l_linenumber || '}' END AS body FROM lineitem
 """)
 def query_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels with version suffixes, and JSON that is {} where there is nothing."""
     lines = table(spark, sf_dir, "lineitem")
-    label = F.when(F.col("l_linenumber") % 2 == 0, F.trim("l_shipmode")).otherwise(" ")
+    label = F.when(F.col("l_linenumber") % 2 == 0, F.trim("l_returnflag")).otherwise(" ")
     body = F.when(F.col("l_linenumber") % 3 != 0, F.struct(F.col("l_linenumber").alias("line")))
     version = F.col("l_linenumber") - 1
     return lines.select("l_orderkey", "l_linenumber", requests.query_label(label, F.concat(F.lit("q"), F.col("l_orderkey").cast("string")), version).alias("label"), requests.json_or_empty(body).alias("body"))

@@ -55,13 +55,19 @@ def _fields(schema: str) -> list[str]:
     return [*out, schema[start:].strip()]
 
 
-def complete_requests(requests: DataFrame) -> DataFrame:
-    """Answer requests with an id, a query and a prompt."""
-    wanted = ("transactionId", "userQuery", "queryPrompt")
-    kept = F.lit(True)
-    for c in wanted:
+def is_complete(requests: DataFrame) -> Column:
+    """Whether an answer request has an id, a query, a prompt and at least one metadata filter."""
+    kept = F.size(F.coalesce(F.col("metadataFilter"), F.array().cast(PAIRS))) > 0
+    for c in ("transactionId", "userQuery", "queryPrompt"):
         kept = kept & (F.trim(F.coalesce(F.col(c), F.lit(""))) != "")
-    return requests.filter(kept)
+    return kept
+
+
+def triaged(messages: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Answer requests to work on, messages to be delivered again, which are blank or cannot be read, and requests that
+    are dropped because a mandatory field is missing."""
+    good, bad = parsed_messages(messages, ANSWER_REQUEST, body)
+    return good.filter(is_complete(good)), bad, good.filter(~is_complete(good))
 
 
 def versioned_queries(files: DataFrame) -> DataFrame:

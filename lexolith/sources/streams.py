@@ -14,11 +14,25 @@ from lexolith.sources.payloads import parsed_messages
 
 #: Files that a micro-batch takes for each kind of message.
 FILES_AT_ONCE = {"generation": 4, "ingestion": 1, "scoring": 2}
+#: How often a message of each kind is delivered at most, and the seconds after which a failed one is seen again.
+MOST_DELIVERIES = {"generation": 3, "ingestion": 3, "scoring": 2}
+VISIBLE_AFTER = {"generation": 300, "ingestion": 300, "scoring": 30}
 
 
-def message_stream(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    """body of each message file in a folder, as they arrive."""
-    return spark.readStream.option("maxFilesPerTrigger", FILES_AT_ONCE[kind]).text(folder, wholetext=True).withColumnRenamed("value", "body")
+def message_stream(spark: SparkSession, folder: str, kind: str, lines: bool = False) -> DataFrame:
+    """body of each message in a folder, as files arrive: a message a file, or a message a line as send() writes them."""
+    return spark.readStream.option("maxFilesPerTrigger", FILES_AT_ONCE[kind]).option("recursiveFileLookup", "true").text(folder, wholetext=not lines).withColumnRenamed("value", "body")
+
+
+def send(rows: DataFrame, folder: str, number: int) -> None:
+    """Puts a message for each row into a queue's folder, in the place of a batch, so that a batch sent again replaces itself."""
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").text(f"{folder}/batch={number}")
+
+
+def after_failure(failures: DataFrame, kind: str) -> DataFrame:
+    """``failures`` (at, deliveries so far) with poisoned, and visible_at: when the message is delivered again, null if it is poisoned."""
+    poisoned = F.col("deliveries") >= MOST_DELIVERIES[kind]
+    return failures.withColumn("poisoned", poisoned).withColumn("visible_at", F.when(~poisoned, F.col("at") + F.make_interval(secs=F.lit(VISIBLE_AFTER[kind]))))
 
 
 def arriving_files(spark: SparkSession, folder: str) -> DataFrame:
