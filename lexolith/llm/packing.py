@@ -3,7 +3,8 @@
 A document's identifiers are cut into pieces. A piece of length n belongs to the reciprocal class k = capacity // n,
 whose bins hold exactly k pieces each; pieces of the last class, all short, are packed by next fit. Every worker fills
 bins of its own, online and in constant memory, so the work is one map without a shuffle. What is left in a worker's
-open bins when its rows end, a few hundred pieces at most, is packed there by first fit decreasing.
+open bins when its rows end, a few hundred pieces at most, is packed there by first fit decreasing; so a partition leaves
+about one sequence badly filled for each open class, and many tiny partitions should be coalesced before.
 
 A piece that would fill its class's share badly is cut once more at the next class's share, so that padding stays within
 a few hundredths: a document's remainder falls into one to four pieces.

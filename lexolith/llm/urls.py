@@ -72,9 +72,23 @@ def longer(a: tuple[str, str] | None, b: tuple[str, str] | None) -> tuple[str, s
     return max(a, b, key=lambda r: (len(r[0]), r[0]))
 
 
+def rule_blocks(rules: Sequence[Rule] | DataFrame, size: int) -> Iterator[list[Rule]]:
+    """The distinct rules, hosts lower-cased, in blocks of about ``size``: of a list by its order, of a table (host, path,
+    verdict) by a hash, so that no more than a block of it is on the driver at once. A rule with a null fits nothing."""
+    if isinstance(rules, DataFrame):
+        host = F.translate("host", ascii_uppercase, ascii_lowercase)
+        table = rules.select(host.alias("host"), "path", "verdict").dropna().distinct()
+        n = -(-table.count() // size)
+        for b in range(n):
+            yield list(map(tuple, table.filter(F.pmod(F.xxhash64("host", "path"), F.lit(n)) == b).collect()))
+    else:
+        known = sorted({(h.translate(_LOWER), p, v) for h, p, v in rules if None not in (h, p, v)})
+        yield from (known[i : i + size] for i in range(0, len(known), size))
+
+
 def judge_urls(
     pages: DataFrame,
-    rules: Sequence[Rule],
+    rules: Sequence[Rule] | DataFrame,
     default: str = "allow",
     id_col: str = "page_id",
     url_col: str = "url",
@@ -82,19 +96,18 @@ def judge_urls(
 ) -> DataFrame:
     """``id_col``, host, path, rule (host and path of the longest fitting rule, else null) and verdict of every row.
 
-    ``rules`` are (host, path, verdict) triples; a rule fits its host and all subdomains if the URL's path starts with
+    ``rules`` are (host, path, verdict) triples or a table of them; a rule fits its host and all subdomains if the URL's path starts with
     the rule's. The longest rule (host and path together) wins, the greater text on a tie, block over allow for equal
     rules. ``default`` is the verdict where none fits. A null URL and one without ``://`` have empty host and path.
     Repeated rows stay; other columns are not read; an empty table gives an empty result.
     """
     sc = pages.sparkSession.sparkContext
-    rules = sorted({(h.translate(_LOWER), p, v) for h, p, v in rules}, key=lambda r: (host_key(r[0]), r[1], r[2]))
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     key = F.concat(F.array_join(F.reverse(F.split("host", r"\.", -1)), "\0"), F.lit("\0"))
     rows = rows.select("*", key.alias("key"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
     rows = rows.sortWithinPartitions("key")
-    for i in range(0, len(rules), rules_per_block):
-        sent = sc.broadcast(rules[i : i + rules_per_block])
+    for block in rule_blocks(rules, rules_per_block):
+        sent = sc.broadcast(block)
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             sweep = RuleSweep(sent.value)
