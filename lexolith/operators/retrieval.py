@@ -110,7 +110,7 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, tags: Column | None =
                         rows_at = np.flatnonzero(sizes == n)
                         if rows_at.size:
                             q = np.array([asked[i] for i in at_queries], kind).reshape(len(at_queries), n)
-                            v = vectors.take(pa.array(rows_at)).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, n)
+                            v = vectors.take(pa.array(rows_at)).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(rows_at.size, n)
                             scores[np.ix_(at_queries, rows_at)] = q.astype(np.float64) @ v.T.astype(np.float64)
                             exact |= {i: (q[j], v, dict(zip(rows_at.tolist(), range(rows_at.size)))) for j, i in enumerate(at_queries)}
                     for i in range(len(asked)):
@@ -165,7 +165,7 @@ def similar(queries: DataFrame, chunks: DataFrame, threshold: float, id_col: str
                     for n, own in by_size.items():
                         rows_at = np.flatnonzero(sizes == n)
                         q = np.array([asked[i] for i in own], kind).reshape(own.size, n)
-                        v = some.column(1).take(pa.array(rows_at)).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, n)
+                        v = some.column(1).take(pa.array(rows_at)).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(rows_at.size, n)
                         far = np.linalg.norm(v.astype(np.float64), axis=1) * np.linalg.norm(q.astype(np.float64), axis=1).max(initial=0.0) < threshold - 4 * 10.0**-PLACES
                         rows_at, v = rows_at[~far], v[~far]
                         i, j = np.nonzero(q.astype(np.float64) @ v.T.astype(np.float64) >= threshold - 4 * 10.0**-PLACES)
