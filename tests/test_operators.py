@@ -243,7 +243,7 @@ def test_guard_fences_late_ends():
 def test_streamed_guard_fences_and_forgets(spark, tmp_path):
     steps = [("a", 1, 0, "claim", 0, False), ("a", 2, 10, "claim", 0, False), ("a", 3, 400, "claim", 0, False), ("a", 4, 410, "end", 1, False), ("a", 5, 420, "end", 2, False), ("b", 6, 0, "run", 0, True), ("b", 7, 1, "run", 0, False)]
     frame = lambda rows: spark.createDataFrame(rows, "key string, event_id long, at double, action string, claim long, failed boolean").withColumn("ts", F.timestamp_seconds("at"))
-    timed = lambda rows: [(k, i, float(t), a, c, f) for k, i, t, a, c, f in rows]
+    timed = lambda rows: [(k, i, 1e6 + t, a, c, f) for k, i, t, a, c, f in rows]  # noqa: E731  a watermark starts at the epoch
     frame(timed(steps)).coalesce(1).write.parquet(f"{tmp_path}/in/1")
     later = guard.RETENTION_SECONDS * 2
     frame(timed([("c", 8, later, "run", 0, False)])).coalesce(1).write.parquet(f"{tmp_path}/in/2")
