@@ -10,12 +10,14 @@ first, and by hash within a class. A set is indexed by a prefix of that order:
   as many as the threshold allows must still share a rare shingle or a pair. There are few enough parts that the whole
   set always suffices.
 
-What shares a key is then compared in steps whose rows follow the index, however large a group under a key is:
+Keys with the same nodes say the same, as those of one passage mostly do; one of them stays. Every node carries a parity
+of its set, a bitmap by which most pairs that are no links are told from their sizes and bits alone, before any text is
+read. What shares a key is then compared in steps whose rows follow the index, however large a group under a key is:
 
 1. Stars: under each key everyone meets one node, chosen anew for each key. Links are verified on whole texts; their
    components are what is no longer compared.
-2. Keys that still hold several components and few nodes are compared pair by pair, and so is all that is left as soon
-   as it has no more pairs than the index has rows.
+2. Under keys that still hold several components and up to FEW nodes, the parities of all pairs are compared where the
+   rows meet; only what they leave is looked up.
 3. Under larger ones a center is chosen, and every node is measured against it: the symmetric difference D of both sets.
    Let w = (100 + percent) |D| - (100 - percent) size. Two sets x and y are similar if and only if w_x + w_y is at most
    2 (100 + percent) times what D_x and D_y share. If neither exceeds what the center allows, both are linked to it;
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +51,13 @@ RARE, DEVIATIONS = 32, 6.0
 #: Rows of a slot from which keys of its shingles may be too many for one task.
 HOT, SALTS = 100_000, 1024
 #: Rounds of stars by keys, and the stars that a node is compared with in each.
-STAR_ROUNDS, STARS = 1, 4
+STAR_ROUNDS, STARS = 2, 4
 #: Nodes under a key up to which they are compared pair by pair, and rounds in which larger keys are taken apart.
-FEW, ROUNDS = 32, 6
-#: 64-bit words of the parity of a whole set.
-PARITY_WORDS = 4
+FEW, ROUNDS = 16_384, 6
+#: Keys before its own that a row carries where all pairs under a key are compared.
+KEYS_BEFORE = 4
+#: 64-bit words of the parity of a whole set, and of the short one that index rows carry, the long one folded.
+PARITY_WORDS, SHORT_WORDS = 32, 8
 #: Nodes whose rows are looked up by a table sent to the workers; more are joined.
 LOOKUP_NODES = 2_000_000
 #: Rows of the input for each task, and so each checkpoint file, of a list of pairs.
@@ -220,9 +225,9 @@ def _sizes_match(a: str, b: str, percent: int) -> Column:
     return (size_a * 100 >= size_b * percent) & (size_b * 100 >= size_a * percent)
 
 
-def _close_as_wholes(a: str, b: str, percent: int) -> Column:
+def _close_as_wholes(a: str, b: str, percent: int, words: list[str]) -> Column:
     """What the parities of two whole sets that are similar fulfil."""
-    apart = sum((F.bit_count(F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in words), F.lit(0))
     return apart * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent)
 
 
@@ -309,8 +314,8 @@ class Join:
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, slots, width: int, percent: int, tasks: int) -> None:
         self.docs, self.nodes, self.slots, self.width, self.percent, self.tasks = docs, nodes, slots, width, percent, tasks
-        words = [F.first(f"p{i}").alias(f"p{i}") for i in range(PARITY_WORDS)]
-        self.parities = nodes.groupBy("node").agg(*words)
+        self.long, self.short = [f"p{i}" for i in range(PARITY_WORDS)], [f"q{i}" for i in range(SHORT_WORDS)]
+        self.parities = checkpointed(nodes.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", *self.long)]))
         self.links = self.tested = self.roots = None
 
     def compare(self, pairs: DataFrame) -> Stored:
@@ -341,27 +346,40 @@ class Join:
         left = left.filter("least_root <> most_root AND (least_side = 0 OR least_side <> most_side)").select("key", "under")
         return rows.join(left, "key")
 
+    def close(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b, ...) whose parities allow a link."""
+        pairs = checkpointed(pairs.coalesce(self.tasks))
+        needed = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().coalesce(self.tasks))
+        own = self.parities.join(F.broadcast(needed) if needed.count() <= LOOKUP_NODES else needed, "node").select("node", F.struct("n", *self.long).alias("whole"))
+        one = pairs.join(own.select(F.col("node").alias("a"), F.col("whole").alias("whole_a")), "a")
+        two = one.join(own.select(F.col("node").alias("b"), F.col("whole").alias("whole_b")), "b")
+        return two.filter(_close_as_wholes("whole_a", "whole_b", self.percent, self.long)).select(pairs.columns)
+
     def stars(self, keyed: DataFrame, star: int) -> None:
         """Everyone against one node under each key; of a node's stars those it shares most keys with."""
         rows = self.open_rows(keyed) if self.roots is not None else self.placed(keyed)
         center = rows.groupBy("key").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", "key", F.lit(star))).alias("c"))
         met = rows.alias("x").join(center.select("key", "c.*").alias("y"), "key").filter((F.col("x.root") != F.col("y.root")) & _sizes_match("x", "y", self.percent))
-        met = met.groupBy(F.col("x.node").alias("x"), F.col("x.n").alias("n_x"), F.col("y.node").alias("y"), F.col("y.n").alias("n_y")).agg(F.count(F.lit(1)).alias("keys"))
-        p = F.struct(*self.parities.columns[1:])
-        met = met.join(self.parities.select(F.col("node").alias("x"), p.alias("p_x")), "x").join(self.parities.select(F.col("node").alias("y"), p.alias("p_y")), "y")
-        met = met.select("keys", F.struct("x", F.col("n_x").alias("n"), "p_x.*").alias("a"), F.struct("y", F.col("n_y").alias("n"), "p_y.*").alias("b"))
-        met = met.filter(_close_as_wholes("a", "b", self.percent)).select(F.col("a.x").alias("x"), F.col("b.y").alias("y"), "keys")
-        best = met.withColumn("nth", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("keys"), "y"))).filter(F.col("nth") <= STARS)
-        self.compare(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(False).alias("measure"))).drop()
+        met = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
+        best = self.close(met).withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("keys"), "b"))).filter(F.col("nth") <= STARS)
+        self.compare(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(False).alias("measure"))).drop()
 
     def pairs(self, rows: DataFrame) -> DataFrame:
-        """Pairs of open rows of one key whose components differ and whose sizes and parities allow a link."""
-        known = rows.join(self.parities, "node")
+        """Pairs of open rows of one key whose components differ and whose sizes and parities allow a link.
+
+        A row carries the last few keys of its node before its own. Two rows that have one of these in common have met
+        under it, so a pair appears about once however many keys it shares.
+        """
+        before = Window.partitionBy("node", "side").orderBy("key").rowsBetween(-KEYS_BEFORE, -1)
+        folded = [reduce(Column.bitwiseXOR, [F.col(f"p{j}") for j in range(i, PARITY_WORDS, SHORT_WORDS)]).alias(f"q{i}") for i in range(SHORT_WORDS)]
+        known = rows.withColumn("before", F.collect_list("key").over(before)).join(self.parities.select("node", *folded), "node")
         x, y = known.alias("x"), known.alias("y")
         sides = (F.col("x.side") + F.col("y.side")).isin(0, 3)
         apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & sides
-        both = x.join(y, apart & _sizes_match("x", "y", self.percent) & _close_as_wholes("x", "y", self.percent))
-        return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.lit(False).alias("measure"))
+        allowed = apart & _sizes_match("x", "y", self.percent) & _close_as_wholes("x", "y", self.percent, self.short)
+        both = x.join(y, allowed & ~F.arrays_overlap("x.before", "y.before"))
+        met = both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        return self.close(met).withColumn("measure", F.lit(False))
 
     def measured(self, rows: DataFrame) -> DataFrame:
         """Pairs (a, b) of every node and the centers under its keys: the node with most rows of all.
@@ -379,21 +397,30 @@ class Join:
     def run(self, keyed: DataFrame) -> None:
         for star in range(STAR_ROUNDS):
             self.stars(keyed, star)
-        index_rows, rows, found = keyed.count(), keyed, None
+        rows, found = keyed, None
         for nth in range(ROUNDS):
             rows = checkpointed(self.open_rows(rows))
             if found is not None:
                 found.drop()
-            left = rows.agg(F.sum(F.col("under") - 1)).first()[0]
-            if left is None:
+            most = rows.agg(F.max("under")).first()[0]
+            if most is None:
                 return
-            if left <= 2 * index_rows or nth == ROUNDS - 1:
+            if most <= FEW or nth == ROUNDS - 1:
                 self.compare(self.pairs(rows)).drop()
                 return
             found = self.compare(self.pairs(rows.filter(F.col("under") <= FEW)).unionByName(self.measured(rows.filter(F.col("under") > FEW))))
             rows = found.rows.filter("key IS NOT NULL").select("key", "node", "n", "side")
 
 
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """The rows of ``rows`` (key, node, n), each once, under one of all keys that have the same nodes, of which there are
+    two at least. Sets of nodes are told apart by their size and 128 bits of the sums of their hashes."""
+    bits = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"bits{i}") for i in range(2)]
+    rows = rows.distinct()
+    sets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("under"), *bits).filter("under > 1")
+    return rows.join(sets.groupBy("under", "bits0", "bits1").agg(F.min("key").alias("key")).select("key"), "key")
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """A 64-bit key of a row's id and whole text."""
     return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"))
@@ -413,7 +440,8 @@ def linked_rows(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
     under_key = Window.partitionBy("key", F.when(F.col("hot"), F.pmod("node", F.lit(SALTS))))
     keyed = index(docs, slots, shingle, percent)
     keyed = keyed.withColumn("least", F.min("node").over(under_key)).withColumn("most", F.max("node").over(under_key))
-    keyed = checkpointed(keyed.filter("hot OR least <> most").select("key", "node", "n", F.lit(0).alias("side")))
+    keyed = checkpointed(keyed.filter("hot OR least <> most").select("key", "node", "n"))
+    keyed = checkpointed(one_of_each(keyed).withColumn("side", F.lit(0)))
     join = Join(docs, nodes, slots, shingle, percent, tasks)
     join.run(keyed)
     return join.placed(rows).select("doc_id", "row_key", "n", "root")
