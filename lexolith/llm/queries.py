@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexolith.llm import fingerprint, jaccard, langid, mixing, packing, quality, secrets, tokens, topk, urls
+from lexolith.llm import fingerprint, jaccard, langid, merkle, mixing, packing, quality, secrets, tokens, topk, urls
 from lexolith.llm.common import table
 from lexolith.sources.shared import shared_folder
 
@@ -77,11 +77,28 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
+def az_lowered(text: Column) -> Column:
+    """``text`` with A-Z, and nothing else, in lower case."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def crc32_of(id_col: str) -> Column:
+    return F.crc32(F.col(id_col).cast("string").cast("binary"))
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(crc32_of("doc_id") % 5 == 0, az_lowered(F.col("text"))).otherwise(F.col("text"))
+    rows = merkle.manifest(docs, found={"text": tampered})
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_topk, op2_token_counts, op3_secret_scans, op4_mix_sources, op5_quality, op6_fingerprints, op7_packing, op8_url_filters, op9_language_id, op10_ngram_jaccard)
+    for f in (op1_topk, op2_token_counts, op3_secret_scans, op4_mix_sources, op5_quality, op6_fingerprints, op7_packing, op8_url_filters, op9_language_id, op10_ngram_jaccard, op11_merkle_manifest)
 }
 
+
 def _spans_sql() -> str:
     """The base rules one by one: matches and the pieces between them, whose lengths add up to the places."""
     parts = []
@@ -108,7 +125,57 @@ def _spans_sql() -> str:
     """
 
 
+#: CRC-32 of a decimal id, bit by bit over its digits.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({id}::varchar, ''), lambda c: ascii(c)::bigint)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))))"""
+
+
+def _manifest_sql() -> str:
+    """Levels of all trees by recursion, then siblings of every row level by level, then the fold of what is found."""
+    leaf = lambda text: "sha256(" + " || ".join(f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    climb = """
+        {name} AS (
+            SELECT 0 AS level, tree, pos, digest, n FROM {base}
+            UNION ALL
+            SELECT any_value(level) + 1, tree, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 15) // 16 FROM {name} WHERE n > 1 GROUP BY tree, pos // 16
+        )"""
+    return f"""
+        WITH RECURSIVE leaves AS (
+            SELECT doc_id, coalesce('=' || source, '') AS tree, {leaf("text")} AS digest, CASE WHEN {_CRC32.format(id="doc_id")} % 5 = 0 THEN {leaf("lowered")} ELSE {leaf("text")} END AS found
+            FROM (SELECT *, {lowered} AS lowered FROM documents)
+        ),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+        {climb.format(name="own", base="placed")},
+        subroots AS (
+            SELECT 'root' AS tree, tree AS name, digest, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS n FROM own WHERE n = 1
+        ),
+        {climb.format(name="top", base="subroots")},
+        nodes AS (SELECT 0 AS tier, * FROM own UNION ALL SELECT 1, * FROM top),
+        ways AS (
+            SELECT doc_id, p.tree AS name, p.pos AS leaf_pos, 0 AS tier, p.tree AS tree, l.level, p.pos >> (4 * l.level) AS pos FROM placed p JOIN (SELECT DISTINCT tree, level FROM own WHERE n > 1) l ON l.tree = p.tree
+            UNION ALL
+            SELECT doc_id, p.tree, p.pos, 1, 'root', l.level, s.pos >> (4 * l.level) FROM placed p JOIN subroots s ON s.name = p.tree CROSS JOIN (SELECT DISTINCT level FROM top WHERE n > 1) l
+        ),
+        joined AS (
+            SELECT w.name, w.leaf_pos, w.tier, w.level, coalesce(string_agg(x.digest, '' ORDER BY x.pos) FILTER (x.pos < w.pos), '') AS before, coalesce(string_agg(x.digest, '' ORDER BY x.pos) FILTER (x.pos > w.pos), '') AS after
+            FROM ways w JOIN nodes x ON x.tier = w.tier AND x.tree = w.tree AND x.level = w.level AND x.pos // 16 = w.pos // 16 GROUP BY ALL
+        ),
+        steps AS (SELECT *, row_number() OVER (PARTITION BY name, leaf_pos ORDER BY tier, level) AS nth FROM joined),
+        proofs AS (SELECT name, leaf_pos, sha256(string_agg(before || after, '' ORDER BY nth)) AS proof, max(nth) AS steps FROM steps GROUP BY ALL),
+        folds AS (
+            SELECT tree AS name, pos AS leaf_pos, 0::bigint AS nth, found AS digest FROM placed
+            UNION ALL
+            SELECT f.name, f.leaf_pos, s.nth, sha256(s.before || f.digest || s.after) FROM folds f JOIN steps s ON s.name = f.name AND s.leaf_pos = f.leaf_pos AND s.nth = f.nth + 1
+        )
+        SELECT p.doc_id, p.digest AS leaf, s.digest AS subroot, r.digest AS root, coalesce(q.proof, sha256('')) AS proof_sha256, f.digest AS folded_root, f.digest = r.digest AS verified
+        FROM placed p JOIN subroots s ON s.name = p.tree CROSS JOIN (SELECT digest FROM top WHERE n = 1) r
+        LEFT JOIN proofs q ON q.name = p.tree AND q.leaf_pos = p.pos JOIN folds f ON f.name = p.tree AND f.leaf_pos = p.pos AND f.nth = coalesce(q.steps, 0)
+    """
+
+
 ORACLE_SQL = {
+    "op11_merkle_manifest": _manifest_sql(),
     "op3_secret_scans": _spans_sql(),
     "op1_topk": """
         WITH v AS (
