@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexolith.llm import fingerprint, jaccard, langid, merkle, mixing, packing, quality, secrets, tokens, topk, urls
+from lexolith.llm import divergence, fingerprint, jaccard, langid, merkle, mixing, packing, quality, secrets, tokens, topk, urls
 from lexolith.llm.common import table
 from lexolith.sources.shared import shared_folder
 
@@ -93,9 +93,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least=10, terms=10)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_topk, op2_token_counts, op3_secret_scans, op4_mix_sources, op5_quality, op6_fingerprints, op7_packing, op8_url_filters, op9_language_id, op10_ngram_jaccard, op11_merkle_manifest)
+    for f in (op1_topk, op2_token_counts, op3_secret_scans, op4_mix_sources, op5_quality, op6_fingerprints, op7_packing, op8_url_filters, op9_language_id, op10_ngram_jaccard, op11_merkle_manifest, op13_source_divergence)
 }
 
 
@@ -175,6 +179,37 @@ def _manifest_sql() -> str:
 
 
 ORACLE_SQL = {
+    "op13_source_divergence": r"""
+        WITH docs AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        words AS (
+            SELECT doc, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+        ),
+        counted AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT doc) AS df FROM words GROUP BY ALL),
+        kept AS (SELECT lang, term, sum(n)::bigint AS n FROM counted GROUP BY ALL HAVING sum(df) >= 10),
+        langs AS (SELECT lang, count(*) AS v, sum(n)::bigint AS total FROM kept GROUP BY lang),
+        sources AS (SELECT DISTINCT lang, source FROM docs),
+        held AS (
+            SELECT s.lang, s.source, k.term, k.n AS lang_n, coalesce(c.n, 0) AS n FROM sources s JOIN kept k USING (lang)
+            LEFT JOIN counted c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+        ),
+        totals AS (SELECT lang, source, sum(n)::bigint AS total FROM held GROUP BY ALL),
+        shares AS (
+            SELECT lang, source, term, h.n, (1 + 1000000000::hugeint * (h.n + 2) // (t.total + 2 * l.v))::hugeint AS p, (1 + 1000000000::hugeint * (h.lang_n + 2) // (l.total + 2 * l.v))::hugeint AS q
+            FROM held h JOIN totals t USING (lang, source) JOIN langs l USING (lang)
+        ),
+        pairs AS (
+            SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0)::bigint AS value
+            FROM sources a JOIN sources b ON b.lang = a.lang AND b.source <> a.source
+            LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+            GROUP BY ALL
+        ),
+        found AS (
+            SELECT lang, source, 'pair' AS part, item, value FROM pairs
+            UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::bigint FROM shares WHERE n > 0 AND p > q
+        ),
+        ranked AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::integer AS rank FROM found)
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+    """,
     "op11_merkle_manifest": _manifest_sql(),
     "op3_secret_scans": _spans_sql(),
     "op1_topk": """
