@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexolith.llm import divergence, fingerprint, jaccard, langid, merkle, mixing, packing, quality, secrets, tokens, topk, urls
+from lexolith.llm import bilinear, divergence, fingerprint, jaccard, langid, merkle, mixing, packing, quality, secrets, tokens, topk, urls
 from lexolith.llm.common import table
 from lexolith.sources.shared import shared_folder
 
@@ -93,13 +93,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bilinear.score(table(spark, sf_dir, "documents"), crc32_of("doc_id") % 7 == 2)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), least=10, terms=10)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_topk, op2_token_counts, op3_secret_scans, op4_mix_sources, op5_quality, op6_fingerprints, op7_packing, op8_url_filters, op9_language_id, op10_ngram_jaccard, op11_merkle_manifest, op13_source_divergence)
+    for f in (op1_topk, op2_token_counts, op3_secret_scans, op4_mix_sources, op5_quality, op6_fingerprints, op7_packing, op8_url_filters, op9_language_id, op10_ngram_jaccard, op11_merkle_manifest, op12_lm_scores, op13_source_divergence)
 }
 
 
