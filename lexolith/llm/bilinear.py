@@ -40,7 +40,7 @@ WORDS, TAILS = 768, 256
 #: Parameters of a class's two vectors, and tokens before one that predict it.
 DIMS, CONTEXT = 16, 2
 #: Passes over the training tokens, tokens of a minibatch, noise tokens of a minibatch, and the rate of adaptive steps.
-ROUNDS, MINIBATCH, NOISE, RATE = 2, 1024, 25, 0.15
+ROUNDS, MINIBATCH, NOISE, RATE = 2, 1024, 50, 0.05
 #: Tokens that a task shuffles before it trains on them.
 SHUFFLED = 1 << 16
 #: Words whose counts go to the workers: the most frequent ones, and the bytes that such a word may have.
@@ -153,36 +153,37 @@ def contexts(classes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Parameters:
-    """``before``: vectors of classes as context; ``after``: as prediction; ``places``: weights of the places of a context."""
+    """``before``: vectors of classes as context; ``after``: as prediction, the bias last; ``places``: weights of the places
+    of a context."""
 
     before: np.ndarray
     after: np.ndarray
-    bias: np.ndarray
     places: np.ndarray
 
     @staticmethod
     def start(tokens: np.ndarray, dims: int = DIMS) -> Parameters:
         rng = np.random.default_rng(12)
         vectors = rng.normal(0, 0.1, (2, len(tokens), dims))
-        share = (tokens + 1.0) / (tokens + 1.0).sum()
-        return Parameters(*vectors.astype(np.float32), np.log(share).astype(np.float32), np.ones((CONTEXT, dims), np.float32))
+        bias = np.log((tokens + 1.0) / (tokens + 1.0).sum())
+        return Parameters(vectors[0].astype(np.float32), np.column_stack((vectors[1], bias)).astype(np.float32), np.ones((CONTEXT, dims), np.float32))
 
     def rows(self) -> np.ndarray:
         """A row for each class, and one for each place."""
-        wide = np.concatenate((self.before, self.after, self.bias[:, None]), axis=1)
+        wide = np.concatenate((self.before, self.after), axis=1)
         places = np.zeros((CONTEXT, wide.shape[1]), np.float32)
         places[:, : self.before.shape[1]] = self.places
         return np.concatenate((wide, places))
 
     @staticmethod
     def of_rows(rows: np.ndarray) -> Parameters:
-        dims = (rows.shape[1] - 1) // 2
-        rows = rows.astype(np.float32)
-        own = rows[:-CONTEXT]
-        return Parameters(own[:, :dims].copy(), own[:, dims:-1].copy(), own[:, -1].copy(), rows[-CONTEXT:, :dims].copy())
+        dims, rows = rows.shape[1] // 2, rows.astype(np.float32)
+        return Parameters(rows[:-CONTEXT, :dims].copy(), rows[:-CONTEXT, dims:].copy(), rows[-CONTEXT:, :dims].copy())
 
     def context(self, before: list[np.ndarray]) -> np.ndarray:
-        return sum(w * self.before[b] for w, b in zip(self.places, before))
+        """The vectors of contexts, with 1 for the bias last."""
+        out = np.ones((len(before[0]), self.after.shape[1]), np.float32)
+        np.sum([w * self.before.take(b, axis=0) for w, b in zip(self.places, before)], axis=0, out=out[:, :-1])
+        return out
 
 
 class Trainer:
@@ -192,30 +193,29 @@ class Trainer:
         self.p, self.rng, self.seen = start, np.random.default_rng(seed), 0
         share = (tokens + 1.0) / (tokens + 1.0).sum()
         self.noise, self.log_noise = np.cumsum(share), np.log(NOISE * share).astype(np.float32)
-        self.steps = {n: np.full_like(getattr(start, n), 1e-2) for n in ("before", "after", "bias", "places")}
+        self.steps = {n: np.full_like(getattr(start, n), 1e-8) for n in ("before", "after", "places")}
 
     def _move(self, name: str, at: np.ndarray, gradient: np.ndarray) -> None:
         """A step of the rows ``at``, whose gradients are added up where rows repeat."""
         order = np.argsort(at, kind="stable")
-        heads = np.flatnonzero(np.diff(at[order], prepend=-1))
-        rows, g = at[order][heads], np.add.reduceat(gradient[order], heads, axis=0)
-        self.steps[name][rows] += g * g
-        getattr(self.p, name)[rows] += RATE * g / np.sqrt(self.steps[name][rows])
+        ordered = at.take(order)
+        heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        rows, g = ordered.take(heads), np.add.reduceat(gradient.take(order, axis=0), heads, axis=0)
+        steps = self.steps[name].take(rows, axis=0) + g * g
+        self.steps[name][rows] = steps
+        getattr(self.p, name)[rows] += RATE * g / np.sqrt(steps)
 
     def minibatch(self, target: np.ndarray, before: list[np.ndarray]) -> None:
-        p, n = self.p, len(target)
-        noise = np.minimum(np.searchsorted(self.noise, self.rng.random(NOISE)), len(self.noise) - 1)
-        vectors = [p.before[b] for b in before]
-        context = sum(w * v for w, v in zip(p.places, vectors))
-        true, false = p.after[target], p.after[noise]
-        score = np.einsum("nd,nd->n", context, true) + p.bias[target] - self.log_noise[target]
-        false_score = context @ false.T + (p.bias[noise] - self.log_noise[noise])
-        right = 1 / (1 + np.exp(np.clip(score, -30, 30)))  # how far a true token is from being told as true
-        wrong = -1 / (1 + np.exp(np.clip(-false_score, -30, 30)))
-        back = (right[:, None] * true + wrong @ false) / n
-        self._move("after", np.concatenate((target, noise)), np.concatenate((right[:, None] * context, wrong.T @ context)) / n)
-        self._move("bias", np.concatenate((target, noise)), np.concatenate((right, wrong.sum(axis=0))) / n)
-        places = np.stack([(back * v).sum(axis=0) for v in vectors])
+        p, n, dims = self.p, len(target), self.p.before.shape[1]
+        noise = np.minimum(np.searchsorted(self.noise, self.rng.random(NOISE)), len(self.noise) - 1).astype(target.dtype)
+        context, true, false = p.context(before), p.after.take(target, axis=0), p.after.take(noise, axis=0)
+        score = np.einsum("nd,nd->n", context, true) - self.log_noise[target]
+        right = 1 / (1 + np.exp(np.minimum(score, 60)))  # how far a true token is from being told as true
+        wrong = -1 / (1 + np.exp(np.minimum(self.log_noise[noise] - context @ false.T, 60)))
+        right, wrong = (right / n)[:, None], wrong / n
+        back = (right * true + wrong @ false)[:, :dims]
+        self._move("after", np.concatenate((target, noise)), np.concatenate((right * context, wrong.T @ context)))
+        places = np.stack([(back * p.before.take(b, axis=0)).sum(axis=0) for b in before])
         self._move("before", np.concatenate(before), np.concatenate([back * w for w in p.places]))
         self._move("places", np.arange(CONTEXT), places)
 
@@ -278,15 +278,15 @@ def train(texts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Parameters:
 
 def normalisers(docs: DataFrame, p: Parameters) -> np.ndarray:
     """Logarithms of the sums over all classes for every context (class before, class two before), worked out by tasks."""
-    classes, spark = len(p.bias), docs.sparkSession
+    classes, spark = len(p.after), docs.sparkSession
     sent = spark.sparkContext.broadcast(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = sent.value
         for batch in batches:
             for i in batch.column(0).to_pylist():
-                context = p.places[0] * p.before[i] + p.places[1] * p.before
-                score = context @ p.after.T + p.bias
+                every = np.arange(classes)
+                score = p.context([np.full(classes, i), every]) @ p.after.T
                 most = score.max(axis=1)
                 z = most + np.log(np.exp(score - most[:, None]).sum(axis=1, dtype=np.float64))
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([z.astype("<f4").tobytes()], pa.binary())], names=["i", "z"])
@@ -319,7 +319,7 @@ def _scored(docs: DataFrame, v: Vocabulary, p: Parameters, z: np.ndarray) -> Dat
             at = np.concatenate(places)
             classes = reader.classes[at]
             before = contexts(classes, starts)
-            score = np.einsum("nd,nd->n", p.context(before), p.after[classes]) + p.bias[classes] - z[before[0], before[1]]
+            score = np.einsum("nd,nd->n", p.context(before), p.after[classes]) - z[before[0], before[1]]
             own = logs[at]
             tail = classes >= reader.words
             each = score.astype(np.float64) / math.log(10) + np.where(tail, own, 0.0) - share[classes]
