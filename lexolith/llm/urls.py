@@ -43,8 +43,9 @@ class RuleSweep:
 
     def __init__(self, rules: Sequence[Rule]) -> None:
         by_host: dict[str, dict[str, tuple[str, str]]] = {}
-        for host, path, verdict in sorted(rules, key=lambda r: r[2] != "block"):  # of two equal rules, block holds
-            by_host.setdefault(host, {}).setdefault(path, (host + path, verdict))
+        for host, path, verdict in rules:
+            own = by_host.setdefault(host, {})
+            own[path] = longer(own.get(path), (host + path, verdict))
         self.nodes = sorted((host_key(h), paths, sorted({len(p) for p in paths}, reverse=True)) for h, paths in by_host.items())
         self.stack: list[tuple] = []
         self.at = 0
@@ -66,10 +67,10 @@ class RuleSweep:
 
 
 def longer(a: tuple[str, str] | None, b: tuple[str, str] | None) -> tuple[str, str] | None:
-    """The rule with the longer text, the greater text on a tie."""
+    """The rule with the longer text, the greater text on a tie; of two equal rules block, whichever block of rules they are in."""
     if a is None or b is None:
         return a or b
-    return max(a, b, key=lambda r: (len(r[0]), r[0]))
+    return max(a, b, key=lambda r: (len(r[0]), r[0], r[1] == "block", r[1]))
 
 
 def rule_blocks(rules: Sequence[Rule] | DataFrame, size: int) -> Iterator[list[Rule]]:

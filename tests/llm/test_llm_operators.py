@@ -495,6 +495,23 @@ def test_url_rules(spark):
     assert {r.verdict for r in urls.judge_urls(df, [], default="block").collect()} == {"block"}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_equal_url_rules_do_not_hang_on_blocks(spark, seed):
+    """Rules that differ in nothing but the verdict, dealt over blocks of every size."""
+    rng = np.random.default_rng(seed)
+    hosts, paths = ("a.b", "b", "x.a.b", "c"), ("", "/", "/x", "/x/y")
+    rules = [(hosts[i], paths[j], ("allow", "block", "later")[v]) for i, j, v in zip(*(rng.integers(0, n, 14) for n in (4, 4, 3)))] + [("a.b", "/x", "allow"), ("a.b", "/x", "block")]
+    df = spark.createDataFrame([(i, f"http://{h}{p or '/'}z") for i, (h, p) in enumerate((h, p) for h in hosts for p in paths)], "page_id long, url string")
+
+    def plain(host, path):
+        fit = [(len(h + p), h + p, v == "block", v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit, default=(0, None, 0, "allow"))
+
+    want = sorted((i, h, (p or "/") + "z", plain(h, (p or "/") + "z")[1], plain(h, (p or "/") + "z")[3]) for i, (h, p) in enumerate((h, p) for h in hosts for p in paths))
+    for size in (1, 2, 3, len(rules)):
+        assert rows(urls.judge_urls(df, rules, rules_per_block=size)) == want
+
+
 # 9
 
 
