@@ -40,11 +40,13 @@ WORDS, TAILS = 768, 256
 #: Parameters of a class's two vectors, and tokens before one that predict it.
 DIMS, CONTEXT = 16, 2
 #: Passes over the training tokens, tokens of a minibatch, noise tokens of a minibatch, and the rate of adaptive steps.
-ROUNDS, MINIBATCH, NOISE, RATE = 2, 1024, 50, 0.05
+ROUNDS, MINIBATCH, NOISE, RATE = 1, 1024, 100, 0.05
 #: Tokens that a task shuffles before it trains on them.
 SHUFFLED = 1 << 16
 #: Words whose counts go to the workers: the most frequent ones, and the bytes that such a word may have.
 FREQUENT, FREQUENT_BYTES = 200_000, 64
+#: Bins of counts in which one and e times it lie apart, when that bound is looked for.
+BINS_PER_E = 200
 #: Words that a task counts, and tokens that it scores, before it hands them on.
 WORDS_AT_ONCE, TOKENS_AT_ONCE = 400_000, 1 << 16
 #: The end of a text among words, which have no line feed, and its class.
@@ -106,10 +108,17 @@ class _Places(dict):
 
 
 def vocabulary(counts: DataFrame, frequent: int = FREQUENT, words: int = WORDS) -> Vocabulary:
-    """The vocabulary of ``counts`` (word, c), of ``frequent`` words at most."""
-    short = counts.filter(F.octet_length("word") <= FREQUENT_BYTES)
+    """The vocabulary of ``counts`` (word, c): the end and the most frequent words, as many of them as have counts over a
+    bound that ``frequent`` words at most exceed."""
     end = F.col("word") == END
-    top = short.orderBy(F.desc(end), F.desc("c"), "word").limit(frequent).collect()  # frequent rows of FREQUENT_BYTES
+    short = counts.filter(F.octet_length("word") <= FREQUENT_BYTES).withColumn("bin", F.when(end, 1 << 20).otherwise(F.floor(F.log("c") * BINS_PER_E).cast("int")))
+    least = held = 0
+    for r in sorted(short.groupBy("bin").agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):  # 44 x BINS_PER_E rows at most
+        if (held := held + r["words"]) > max(frequent, 1):
+            break
+        least = r["bin"]
+    top = short.filter(F.col("bin") >= least).collect() if held else []  # frequent rows of FREQUENT_BYTES at most
+    top = sorted(top, key=lambda r: (-r["bin"], -r["c"], r["word"].encode()))
     names, c = [r["word"].encode() for r in top], np.array([r["c"] for r in top], np.int64)
     single = min(words, len(names))
     classes = np.array([i if i < single else words + tail_of(w) for i, w in enumerate(names)], np.int32)
