@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexolith.functions.text import tokens
+from lexolith.sources.shared import shared_folder
 
 #: Queries that are held against all chunks at once, and bytes of their vectors and terms in them; more go in blocks.
 QUERIES_PER_BLOCK, BLOCK_BYTES, TERMS_PER_BLOCK = 2048, 64 << 20, 2_000_000
@@ -66,7 +67,30 @@ def rounded(values: np.ndarray) -> np.ndarray:
     return np.copysign(np.floor(np.abs(values) * 10.0**PLACES + 0.5), values) / 10.0**PLACES
 
 
-def _named(found: DataFrame, spark: SparkSession, ids: list, queries: DataFrame) -> DataFrame:
+def exact_scores(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Scores as similarity() gives them, rounded: products in the vectors' own precision, sums in double."""
+    return rounded((query[None, :] * vectors).astype(np.float64).sum(axis=1)) + 0.0
+
+
+def nearly_best(scores: np.ndarray, k: int, floor: float) -> np.ndarray:
+    """Where scores of a matrix product may be among the ``k`` best, and over ``floor``, once they are worked out exactly."""
+    top = min(k, scores.size)
+    floor = max(floor, np.partition(scores, -top)[-top]) - 4 * 10.0**-PLACES
+    return np.flatnonzero((scores >= floor) & (scores > -np.inf))
+
+
+def alone(found: DataFrame, sent, blocks: int) -> DataFrame:
+    """``found`` of one of ``blocks`` blocks of queries. If there are more, it is worked out and written now and what was
+    ``sent`` for it freed, so that one block is with the workers at a time."""
+    if blocks == 1:
+        return found
+    shared_folder(found.sparkSession)
+    written = found.checkpoint()
+    sent.destroy()
+    return written
+
+
+def named(found: DataFrame, spark: SparkSession, ids: list, queries: DataFrame) -> DataFrame:
     """``found`` with query_id in place of the query's place in its block."""
     schema = T.StructType([T.StructField("at", T.LongType()), queries.schema["query_id"]])
     return found.join(F.broadcast(spark.createDataFrame(list(enumerate(ids)), schema)), "at").drop("at")  # a block of queries
@@ -85,7 +109,8 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, tags: Column | None =
     longest = queries.agg(F.max(F.size("query_vector"))).first()[0] or 1
     rows = chunks.select(id_col, "vector", *([tags.alias("tags")] if tags is not None else []))
     id_type = rows.schema[id_col].dataType
-    for block in blocks_of(queries, min(QUERIES_PER_BLOCK, BLOCK_BYTES // (8 * max(1, longest)))):
+    blocks = blocks_of(queries, min(QUERIES_PER_BLOCK, BLOCK_BYTES // (8 * max(1, longest))))
+    for block in blocks:
         table = block.toArrow()
         asked = table["query_vector"].to_pylist()
         sent = spark.sparkContext.broadcast((asked, table["tag"].to_pylist() if tags is not None else None))
@@ -115,23 +140,21 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, tags: Column | None =
                             exact |= {i: (q[j], v, dict(zip(rows_at.tolist(), range(rows_at.size)))) for j, i in enumerate(at_queries)}
                     for i in range(len(asked)):
                         own = scores[i] if tag is None else np.where(of_tag[tag[i]], scores[i], -np.inf)
-                        top = min(k, own.size)
-                        floor = max(best.floor[i], np.partition(own, -top)[-top]) - 4 * 10.0**-PLACES
-                        found = np.flatnonzero((own >= floor) & (own > -np.inf))
+                        found = nearly_best(own, k, best.floor[i])
                         if i in exact and found.size:
                             vector, v, place = exact[i]
                             same = np.array([place.get(r, -1) for r in found.tolist()])
-                            values = np.where(same >= 0, (vector[None, :] * v[same]).astype(np.float64).sum(axis=1), 0.0)
+                            values = np.where(same >= 0, exact_scores(vector, v[same]), 0.0)
                         else:
                             values = np.zeros(found.size)
                         if found.size:
-                            best.add(i, rounded(values) + 0.0, ids[found])
+                            best.add(i, values, ids[found])
             if arrow_id is not None:
                 yield best.batch(["at", id_col, "score"], arrow_id)
 
         schema = T.StructType([T.StructField("at", T.LongType()), T.StructField(id_col, id_type), T.StructField("score", T.DoubleType())])
-        found = _named(rows.mapInArrow(run, schema), spark, table["query_id"].to_pylist(), queries)
-        parts.append(ranked(found.select("query_id", id_col, "score"), k, id_col=id_col))
+        found = named(rows.mapInArrow(run, schema), spark, table["query_id"].to_pylist(), queries)
+        parts.append(alone(ranked(found.select("query_id", id_col, "score"), k, id_col=id_col), sent, len(blocks)))
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -149,7 +172,8 @@ def similar(queries: DataFrame, chunks: DataFrame, threshold: float, id_col: str
     longest = queries.agg(F.max(F.size("query_vector"))).first()[0] or 1
     rows = chunks.filter("vector IS NOT NULL").select(id_col, "vector")
     schema = T.StructType([T.StructField("at", T.LongType()), rows.schema[id_col], T.StructField("score", T.DoubleType())])
-    for block in blocks_of(queries, min(QUERIES_PER_BLOCK, BLOCK_BYTES // (8 * max(1, longest)))):
+    blocks = blocks_of(queries, min(QUERIES_PER_BLOCK, BLOCK_BYTES // (8 * max(1, longest))))
+    for block in blocks:
         table = block.toArrow()
         sent = spark.sparkContext.broadcast(table["query_vector"].to_pylist())
 
@@ -173,47 +197,11 @@ def similar(queries: DataFrame, chunks: DataFrame, threshold: float, id_col: str
                         hit = score >= threshold
                         yield pa.RecordBatch.from_arrays([pa.array(own[i[hit]], pa.int64()), some.column(0).take(pa.array(rows_at[j[hit]])), pa.array(score[hit])], names=["at", id_col, "score"])
 
-        parts.append(_named(rows.mapInArrow(run, schema), spark, table["query_id"].to_pylist(), queries).select("query_id", id_col, "score"))
+        found = named(rows.mapInArrow(run, schema), spark, table["query_id"].to_pylist(), queries).select("query_id", id_col, "score")
+        parts.append(alone(found, sent, len(blocks)))
     return reduce(DataFrame.unionAll, parts)
 
 
-def postings(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "chunk") -> DataFrame:
-    """term, ``id_col``, tf and length (tokens of the chunk): an inverted index, ready to be written by term."""
-    words = chunks.select(id_col, tokens(F.col(text_col)).alias("words"))
-    terms = words.select(id_col, F.size("words").alias("length"), F.explode("words").alias("term"))
-    return terms.groupBy("term", id_col, "length").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def written_index(chunks: DataFrame, path: str, buckets: int = 64, id_col: str = "doc_id", text_col: str = "chunk") -> None:
-    """Writes postings() to ``path``: a folder for each bucket of terms, sorted by term, with each term's number of chunks
-    beside them, and the totals of the corpus."""
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    rows = postings(chunks, id_col, text_col).withColumn("bucket", bucket)
-    rows.repartition("bucket", F.pmod(F.xxhash64(id_col), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    spark = chunks.sparkSession
-    stored = spark.read.parquet(f"{path}/postings")
-    stored.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-    chunks.select(F.size(tokens(F.col(text_col))).alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length")).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/totals")
-
-
-def best_indexed(queries: DataFrame, spark: SparkSession, path: str, k: int, id_col: str = "doc_id") -> DataFrame:
-    """best_texts() over an index that written_index() wrote: only folders and postings of terms that some query holds are read.
-
-    A term's postings meet the queries that hold it in an equi-join whose large keys Spark can split; scores are added up
-    partly before they move.
-    """
-    totals = spark.read.parquet(f"{path}/totals").first()
-    bucket = F.pmod(F.xxhash64("term"), F.lit(totals["buckets"])).cast("int")
-    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term")).withColumn("bucket", bucket)
-    used = [r[0] for r in wanted.select("bucket").distinct().collect()]  # as many as there are folders at most
-    terms = spark.read.parquet(f"{path}/terms").filter(F.col("bucket").isin(used)).join(wanted, ["bucket", "term"])
-    idf = F.log(1 + (F.lit(totals["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rows = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(used))
-    damped = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(totals["mean_length"])))
-    scored = rows.join(terms.select("bucket", "term", "query_id", idf.alias("idf")), ["bucket", "term"])
-    return ranked(scored.groupBy("query_id", id_col).agg(F.round(F.sum(F.col("idf") * damped), PLACES).alias("score")), k, id_col=id_col)
-
-
 def best_texts(queries: DataFrame, chunks: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "chunk") -> DataFrame:
     """query_id, ``id_col``, score, rank: the ``k`` chunks with the highest BM25 scores for each query (query_id, query_text).
 
@@ -227,7 +215,8 @@ def best_texts(queries: DataFrame, chunks: DataFrame, k: int, id_col: str = "doc
     rows = chunks.select(id_col, text_col)
     schema = T.StructType([T.StructField("at", T.LongType()), T.StructField(id_col, rows.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
     words_of = re.compile("[a-z0-9]+").findall
-    for block in blocks_of(asked, min(QUERIES_PER_BLOCK, TERMS_PER_BLOCK // max(1, most))):
+    blocks = blocks_of(asked, min(QUERIES_PER_BLOCK, TERMS_PER_BLOCK // max(1, most)))
+    for block in blocks:
         table = block.toArrow()
         holders: dict[str, list[int]] = {}
         for i, terms in enumerate(table["terms"].to_pylist()):
@@ -276,8 +265,10 @@ def best_texts(queries: DataFrame, chunks: DataFrame, k: int, id_col: str = "doc
             if arrow_id is not None:
                 yield best.batch(["at", id_col, "score"], arrow_id)
 
-        found = _named(rows.mapInArrow(run, schema), spark, table["query_id"].to_pylist(), asked)
-        parts.append(ranked(found.select("query_id", id_col, "score"), k, id_col=id_col))
+        found = named(rows.mapInArrow(run, schema), spark, table["query_id"].to_pylist(), asked)
+        parts.append(alone(ranked(found.select("query_id", id_col, "score"), k, id_col=id_col), sent, len(blocks)))
+        if len(blocks) > 1:
+            wanted.destroy()
     return reduce(DataFrame.unionAll, parts)
 
 

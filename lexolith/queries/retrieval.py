@@ -11,9 +11,12 @@ from lexolith.functions.text import shingles, tokens
 from lexolith.functions.vectors import is_valid_vector
 from lexolith.operators import refine
 from lexolith.operators.refine import diversified, without_contained, without_similar
-from lexolith.operators.retrieval import best_texts, fused, nearest, similar
-from lexolith.plans.retrieval import retrieve
+from lexolith.operators.retrieval import nearest, similar
+from lexolith.operators.text_index import best_indexed, write_text_index
+from lexolith.operators.vector_index import nearest_indexed, write_vector_index
+from lexolith.plans.retrieval import candidates, retrieve, write_index
 from lexolith.queries import query
+from lexolith.sources.shared import new_place
 from lexolith.sources.tables import chunks, metadata, table
 
 #: The queries of these registered queries: every hundredth vector, and all benchmark texts.
@@ -94,6 +97,14 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query()
+def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest active chunks of each query, by a stored index of cells; its recall is measured in the tests."""
+    place = new_place(spark, "vector-index")
+    write_vector_index(active_chunks(spark, sf_dir), place)
+    return nearest_indexed(vector_queries(spark, sf_dir), spark, place, 10).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query(f"""
 WITH {CHUNKS_SQL}, pairs AS (
     SELECT q.vec_id AS query_id, c.doc_id, round({DOT.format(a="q.embedding", b="c.vector")}, 6) AS score
@@ -141,7 +152,9 @@ SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITIO
 """)
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("chunk"))
-    return best_texts(text_queries(spark, sf_dir), texts, 10).withColumn("rank", F.col("rank").cast("bigint"))
+    place = new_place(spark, "text-index")
+    write_text_index(texts, place)
+    return best_indexed(text_queries(spark, sf_dir), spark, place, 10).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 POOL_SQL = f"""
@@ -157,8 +170,9 @@ pool AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q
 
 @query(f"WITH {CHUNKS_SQL}, {NEAREST_SQL}, {POOL_SQL} SELECT query_id, doc_id, score, rank FROM pool")
 def hybrid_rrf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, asked = active_chunks(spark, sf_dir), hybrid_queries(spark, sf_dir)
-    pool = fused(nearest(asked.select("query_id", "query_vector"), rows, NEAREST), best_texts(asked, rows, NEAREST), NEAREST)
+    place = new_place(spark, "index")
+    write_index(chunks(spark, sf_dir), place)
+    pool = candidates(hybrid_queries(spark, sf_dir), active_chunks(spark, sf_dir), Retrieval(nearest=NEAREST, pool=NEAREST), place)
     return pool.withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -270,5 +284,7 @@ covers AS MATERIALIZED (
 def retrieval_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole plan with containment and diversity on."""
     config = Retrieval(nearest=NEAREST, pool=NEAREST, final=FINAL, containment=True, diversify=True)
-    found = retrieve(hybrid_queries(spark, sf_dir), chunks(spark, sf_dir), config)
+    place, rows = new_place(spark, "index"), chunks(spark, sf_dir)
+    write_index(rows, place)
+    found = retrieve(hybrid_queries(spark, sf_dir), rows, config, place)
     return found.withColumn("pick", F.col("pick").cast("bigint"))

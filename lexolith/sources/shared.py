@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
             folder = tempfile.mkdtemp(prefix="lexolith-")
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
+
+
+def new_place(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"

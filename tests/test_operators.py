@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexolith.config import Chunking, Retrieval, int_setting, setting
-from lexolith.operators import answers, evaluation, ingestion, lifecycle, migrate, refine
+from lexolith.operators import answers, evaluation, ingestion, lifecycle, migrate, refine, text_index
 from lexolith.operators.retrieval import best_texts, blocks_of, fused, nearest
 from lexolith.plans.retrieval import retrieve
 from lexolith.sources import payloads
@@ -91,8 +91,8 @@ def test_retrieval_equals_brute_force(spark, tmp_path, monkeypatch):
     words = [(t or "").replace("!!", "").split() for t in texts]
     mean, df = sum(map(len, words)) / len(words), {t: sum(t in w for w in words) for ws in words for t in ws}
     score = lambda ts, w: round(sum(math.log(1 + (300 - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in ts if t in w), 6)
-    retrieval.written_index(chunks, f"{tmp_path}/index", 5)
-    for found in (best_texts(queries, chunks, 10), retrieval.best_indexed(queries, spark, f"{tmp_path}/index", 10)):
+    text_index.write_text_index(chunks, f"{tmp_path}/index", block=16, buckets=5)
+    for found in (best_texts(queries, chunks, 10), text_index.best_indexed(queries, spark, f"{tmp_path}/index", 10)):
         got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in found.collect()}
         for q, _, t in asked:
             best = sorted((-s, i) for i, w in enumerate(words) if (s := score(set(t.split()), w)) > 0)[:10]
