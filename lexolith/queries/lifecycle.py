@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexolith.operators import lifecycle
 from lexolith.queries import query
 from lexolith.sources.tables import table
-from lexolith.streaming import guard
+from lexolith.streaming import guard, redelivery
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,3 +96,42 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_redelivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event comes twice, the second time up to nine minutes later: each is handed on once."""
     return guard.replayed(spark, f"{sf_dir}/events.parquet", guard.redelivered)
+
+
+#: Events are hours apart, so leases and delays are hours too; a message's work takes up to two leases.
+TIMING = redelivery.Timing(lease=6 * 3600, visible=6 * 3600)
+
+
+def timed_deliveries(events: DataFrame) -> DataFrame:
+    """Events as messages (user, type) whose work takes 0 to 12 hours and whose first 0 to 4 runs fail."""
+    takes = F.col("event_id") % 7 * (2 * 3600 * redelivery.MICROS)
+    return guard.deliveries(events).select("key", "event_id", "ts", F.unix_micros("ts").alias("at_us"), takes.alias("takes_us"), (F.col("event_id") % 5).cast("int").alias("failures"))
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT user_id::varchar || '|' || event_type AS key, event_id, epoch_us(ts) AS at_us, event_id % 7 * 7200000000 AS takes, event_id % 5 AS failures FROM events),
+until AS (SELECT (max(at_us) // 1000 - 3600000) * 1000 AS until_us FROM e),
+run AS (
+    SELECT key, 0 AS nth, NULL::varchar AS status, 0 AS attempts, 0::bigint AS lease, 0::bigint AS version, NULL::varchar AS outcome, NULL::bigint AS visible_us,
+        list_sort(list(struct_pack(due := at_us, kind := 1, event_id := event_id, delivery := 1, takes := takes, failures := failures, claim := 0::bigint))) AS pending,
+        NULL::struct(due bigint, kind integer, event_id bigint, delivery integer, takes bigint, failures bigint, claim bigint) AS step
+    FROM e GROUP BY key
+    UNION ALL
+    SELECT key, nth + 1, CASE WHEN o IN ('CLAIMED', 'DONE', 'FAILED') THEN o ELSE status END, attempts + (o = 'CLAIMED')::int,
+        CASE WHEN o = 'CLAIMED' THEN s.due + {TIMING.lease}000000 WHEN o IN ('DONE', 'FAILED', 'RETRY') THEN 0 ELSE lease END, v, o, CASE WHEN again THEN s.due + {TIMING.visible}000000 END,
+        list_sort(pending[2:] || CASE
+            WHEN o = 'CLAIMED' THEN [struct_pack(due := s.due + s.takes, kind := 0, event_id := s.event_id, delivery := s.delivery, takes := s.takes, failures := s.failures, claim := v)]
+            WHEN again THEN [struct_pack(due := s.due + {TIMING.visible}000000, kind := 1, event_id := s.event_id, delivery := s.delivery + 1, takes := s.takes, failures := s.failures, claim := 0::bigint)] ELSE [] END), s
+    FROM (
+        SELECT *, o IN ('CONFLICT', 'RETRY') AND s.delivery < {TIMING.deliveries} AS again, version + (o IN ('CLAIMED', 'DONE', 'FAILED', 'RETRY'))::int AS v FROM (
+            SELECT *, CASE WHEN s.kind = 0 THEN CASE WHEN status IN ('DONE', 'FAILED') OR s.claim <> version THEN 'FENCED' WHEN s.delivery > s.failures THEN 'DONE' WHEN attempts >= 3 THEN 'FAILED' ELSE 'RETRY' END
+                WHEN status IN ('DONE', 'FAILED') THEN 'SKIPPED' WHEN lease > s.due THEN 'CONFLICT' ELSE 'CLAIMED' END AS o
+            FROM (SELECT * EXCLUDE (step, outcome, visible_us), pending[1] AS s FROM run WHERE len(pending) > 0), until WHERE s.due <= until_us
+        )
+    )
+)
+SELECT key, step.event_id AS event_id, step.delivery AS delivery, step.due AS at_us, outcome, attempts::int AS attempts, version, visible_us FROM run WHERE nth > 0
+""")
+def stream_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step of every message as its timers come: claims, live leases, fenced ends, runs that failed and came back."""
+    return guard.replayed(spark, f"{sf_dir}/events.parquet", lambda e: redelivery.delivered(timed_deliveries(e), TIMING), settings=redelivery.STORE)

@@ -137,20 +137,28 @@ def counted_deliveries(events: DataFrame) -> DataFrame:
     return deliveries(events).groupBy("key").agg(F.count(F.lit(1)).alias("deliveries"))
 
 
-def replayed(spark: SparkSession, path: str, transform: Callable[[DataFrame], DataFrame], output: str = "append") -> DataFrame:
+def replayed(spark: SparkSession, path: str, transform: Callable[[DataFrame], DataFrame], output: str = "append", settings: dict[str, str] | None = None, files_at_once: int | None = None) -> DataFrame:
     """What a stream over the files at ``path`` has written to the shared folder once all of them are read.
 
     Each micro-batch has a place of its own, so one that is delivered again replaces itself; in the mode ``complete`` the
-    last batch holds the whole result.
+    last batch holds the whole result. A micro-batch takes ``files_at_once`` files, or all. ``settings`` hold in the session while the stream runs.
     """
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
+    for k, v in (settings or {}).items():
+        spark.conf.set(k, v)
     schema = spark.read.parquet(path).schema
     either = f"{path[:-1]}[{path[-1]}]"  # a stream takes a pattern that fits one file, or a folder, but no path of a file
-    rows = transform(spark.readStream.schema(schema).parquet(either))
+    stream = spark.readStream.schema(schema)
+    rows = transform((stream.option("maxFilesPerTrigger", files_at_once) if files_at_once else stream).parquet(either))
     place = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/rows/batch={number if output == 'append' else 0}")
 
-    running = rows.writeStream.foreachBatch(write).outputMode(output).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
-    running.awaitTermination()
+    try:
+        running = rows.writeStream.foreachBatch(write).outputMode(output).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+        running.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(rows.schema).parquet(f"{place}/rows/batch=*")

@@ -11,6 +11,8 @@ from lexolith.functions import predicates, requests
 from lexolith.operators import chunks, evaluation, lifecycle, migrate
 from lexolith.sources import payloads, streams
 from lexolith.streaming import answers as answer_streams
+from lexolith.streaming import guard, redelivery
+from lexolith.streaming.guard import Message
 
 PAIRS = payloads.PAIRS
 
@@ -114,3 +116,64 @@ def test_requests_and_tenants(spark):
     assert [r[0] for r in headers.select(predicates.is_terminal(F.col("h"))).collect()] == [False] * 3
     versions = lifecycle.insert_versions(headers.limit(0), headers, ["h"])
     assert {r.version for r in versions.collect()} == {1} and versions.count() == 3
+
+
+# Messages that come back by their own timers
+
+
+def steps_of(rows):
+    by_key = {}
+    for key, event_id, at, takes, failures in rows:
+        by_key.setdefault(key, []).append(redelivery.Step(at, False, event_id, 1, takes, failures))
+    return by_key
+
+
+def outcomes(rows, until, timing=redelivery.Timing()):
+    """[(event, delivery, seconds, outcome, attempts, seconds when it is visible again)] of one key's rows."""
+    (steps,) = steps_of(rows).values()
+    found, *_ = redelivery.due_steps(Message(lease_until=0), steps, until * S, timing)
+    return [(s.event_id, s.delivery, s.due_us // S, o, m.attempts, v and v // S) for s, o, m, v in found]
+
+
+S = redelivery.MICROS
+
+
+def test_a_failed_message_comes_back_at_its_visible_time():
+    assert outcomes([("k", 1, 0, 10 * S, 1)], 10_000) == [(1, 1, 0, "CLAIMED", 1, None), (1, 1, 10, "RETRY", 1, 310), (1, 2, 310, "CLAIMED", 2, None), (1, 2, 320, "DONE", 2, None)]
+    assert outcomes([("k", 1, 0, 10 * S, 1)], 309)[-1] == (1, 1, 10, "RETRY", 1, 310)  # not before
+    assert [x[3] for x in outcomes([("k", 1, 0, 10 * S, 9)], 10_000)] == ["CLAIMED", "RETRY"] * 2 + ["CLAIMED", "FAILED"]
+
+
+def test_a_live_lease_conflicts_and_writes_nothing_at_the_last_delivery():
+    timing = redelivery.Timing(lease=2000, visible=300, deliveries=3)
+    found = outcomes([("k", 1, 0, 1900 * S, 0), ("k", 2, 100 * S, 0, 0)], 10_000, timing)
+    assert [(e, d, o, v) for e, d, _, o, _, v in found] == [(1, 1, "CLAIMED", None), (2, 1, "CONFLICT", 400), (2, 2, "CONFLICT", 700), (2, 3, "CONFLICT", None), (1, 1, "DONE", None)]
+    assert {a for *_, a, _ in found} == {1}
+
+
+def test_a_late_end_is_fenced_and_a_lease_that_ends_now_is_free():
+    found = outcomes([("k", 1, 0, 500 * S, 0), ("k", 2, 300 * S, 100 * S, 0), ("k", 3, 450 * S, 0, 0)], 10_000)
+    assert [(e, o) for e, _, _, o, *_ in found] == [(1, "CLAIMED"), (2, "CLAIMED"), (2, "DONE"), (3, "SKIPPED"), (1, "FENCED")]
+
+
+def test_timers_in_a_stream_do_not_hang_on_batches(spark, tmp_path):
+    """The same rows in one file and in many, out of order within the delay: the same steps; expired keys are forgotten."""
+    day = 86_400 * S
+    rows = [(f"k{i % 7}", i, day + i * 97 % 1000 * S, i % 4 * 200 * S, i % 5) for i in range(60)]
+    rows += [("late", 900, 20 * day, 0, 0), ("end", 901, 40 * day, 0, 0)]
+    schema = "key string, event_id long, at_us long, takes_us long, failures int"
+    until = (40 * day - 3600 * S) // 1000 * 1000
+    want = []
+    for key, steps in steps_of(rows).items():
+        found, *_ = redelivery.due_steps(Message(lease_until=0), steps, until, redelivery.Timing())
+        want += [(key, s.event_id, s.delivery, s.due_us, o, m.attempts, m.version, v) for s, o, m, v in found]
+    df = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_micros("at_us"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/one")
+    edges = [(day, day + 300 * S), (day + 300 * S, day + 700 * S), (day + 700 * S, 2 * day), (2 * day, 30 * day), (30 * day, 50 * day)]
+    parts = [f"at_us >= {a} AND at_us < {b}" for a, b in edges]
+    for part in parts:
+        df.filter(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/many")
+    for name in ("one", "many"):
+        got = guard.replayed(spark, f"{tmp_path}/{name}", redelivery.delivered, settings=redelivery.STORE, files_at_once=1)
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert {o for *_, o, _, _, _ in want} >= {"CLAIMED", "CONFLICT", "RETRY", "DONE", "FAILED", "SKIPPED", "FENCED"}
