@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lexolith.operators import chunks, evaluation, lifecycle
 from lexolith.queries import query
-from lexolith.sources import payloads, streams
+from lexolith.sources import payloads, queue, streams
+from lexolith.sources.shared import new_place
 from lexolith.sources.tables import table
 
 
@@ -100,3 +101,26 @@ def insert_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     current = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("row_key"))
     arrived = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("row_key"), "o_orderkey")
     return lifecycle.insert_versions(current, arrived, ["row_key"], ["o_orderkey"])
+
+
+@query("""
+WITH m AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS place, (count(*) OVER () + 4) // 5 AS size FROM conversations)
+SELECT place, conv_id, turn, least(place // size + 1, 3)::int AS deliveries, place // size >= 3 AND place // size < 5 AS poisoned FROM m
+""")
+def queue_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns through a queue in five batches, whose work fails no time, once, twice, and so on: three deliveries at most."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn").orderBy("conv_id", "turn")
+    place, size = new_place(spark, "queue"), -(-turns.count() // 5)
+    queue.enqueue(turns.select(F.to_json(F.struct("conv_id", "turn")).alias("body")), f"{place}/queue")
+
+    def work(rows: DataFrame, number: int) -> None:
+        first = rows.select("deliveries").first()
+        if first is not None and first[0] <= number:
+            raise RuntimeError("the work failed")
+        rows.write.mode("overwrite").parquet(f"{place}/done/batch={number}")
+
+    queue.drained(spark, f"{place}/queue", work, f"{place}/state", batchSize=size, mostDeliveries=3)
+    done = spark.read.schema(queue.SCHEMA).parquet(f"{place}/done/batch=*").withColumn("poisoned", F.lit(False))
+    every = done.unionByName(queue.poisoned(spark, f"{place}/queue").withColumn("poisoned", F.lit(True)))
+    turn = F.from_json("body", "conv_id long, turn long")
+    return every.select("place", turn["conv_id"].alias("conv_id"), turn["turn"].cast(turns.schema["turn"].dataType).alias("turn"), "deliveries", "poisoned")
