@@ -4,9 +4,10 @@ Vectors lie transposed, one row for each dimension. Scores are accumulated for a
 remaining dimensions can still add is at most the product of the two remaining norms. Pairs that cannot reach the score
 to beat are left out, and once few survive, the survivors are compacted and finished pair by pair.
 
-The score to beat starts at each query's k-th best among a bounded sample of rows and rises with every batch. Queries
-go to the workers in blocks of a checked size; each block is compared with all rows, and only rows that still may be
-among a query's best are shuffled.
+The score to beat starts at each query's k-th best among a bounded sample of rows, which goes to the workers, and rises
+with every batch. Queries go to the workers in blocks of a checked size; each block is compared with all rows, and only
+rows that still may be among a query's best are shuffled. The best of a block are written and the block is freed before
+the next one is gathered.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lexolith.llm.common import checkpointed
 
 #: Bytes of query vectors that go to the workers at once.
 QUERY_BLOCK_BYTES = 64 << 20
@@ -24,6 +28,8 @@ QUERY_BLOCK_BYTES = 64 << 20
 PROBE_ROWS = 4096
 #: Dimensions accumulated at a time.
 DIMS_PER_BLOCK = 16
+#: Queries that meet the probe at once.
+QUERIES_AT_ONCE = 1024
 #: Share of pairs below which survivors are compacted.
 COMPACT_BELOW = 0.25
 #: Sums of integers are exact as doubles below this.
@@ -122,6 +128,12 @@ class Search:
         return [(int(i), v, -s) for i, best in zip(self.ids, self.best) for s, v in best]
 
 
+def _best(found: DataFrame, k: int, rank: str = "") -> DataFrame:
+    """The ``k`` best rows of each query, with their rank if it has a name."""
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
+    return ranked if rank else ranked.drop("rank")
+
+
 def exact_topk(
     vectors: DataFrame,
     is_query: Column,
@@ -135,7 +147,7 @@ def exact_topk(
 
     Queries are the rows for which ``is_query`` holds, candidates all rows but those with the query's own id; ties go to
     the smaller id. Vectors that are null, empty or hold a null or a number that is not finite, rows with a null id and
-    vectors of another dimension than the query's take no part. A repeated row is a candidate as often as it occurs, but
+    vectors of another dimension than the query's take no part; other columns are not read, whatever their names. A repeated row is a candidate as often as it occurs, but
     an id asks once, with the least of its vectors. Components and scores beyond a long are the nearest long. Fewer than ``k`` candidates give all of them; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
@@ -146,17 +158,27 @@ def exact_topk(
     found = None
     for dims, n in sorted(sizes.items()):
         own = rows.filter(F.size("v") == dims)
-        blocks = -(-n * dims * 8 // query_block_bytes)
         probe = own.orderBy(F.xxhash64("id"), "id").limit(PROBE_ROWS).select("id", "v").toArrow()
+        probe_sent = spark.sparkContext.broadcast((probe["id"].to_numpy(), _matrix(probe["v"], dims)))
+
+        def first(batches: Iterator[pa.RecordBatch], sent=probe_sent, dims=dims) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, QUERIES_AT_ONCE):
+                    some = batch.slice(at, QUERIES_AT_ONCE)
+                    search = Search(some.column(0).to_numpy(), _matrix(some.column(1), dims), np.full(some.num_rows, -np.inf), k)
+                    search.add(*sent.value)
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(search.floor)], names=["id", "v", "floor"])
+
+        # the score to beat of each query, found where the queries lie
+        mine = asking.filter(F.size("v") == dims).mapInArrow(first, T.StructType([*asking.schema.fields, T.StructField("floor", T.DoubleType())]))
+        blocks = -(-n * dims * 8 // query_block_bytes)
+        if blocks > 1:
+            mine = checkpointed(mine)
         for b in range(blocks):
-            mine = asking.filter((F.size("v") == dims) & (F.pmod(F.xxhash64("id"), F.lit(blocks)) == b))
-            block = mine.toArrow()
+            block = mine.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
             if not block.num_rows:
                 continue
-            ids, asked = block["id"].to_numpy(), _matrix(block["v"], dims)
-            first = Search(ids, asked, np.full(len(ids), -np.inf), k)
-            first.add(probe["id"].to_numpy(), _matrix(probe["v"], dims))
-            sent = spark.sparkContext.broadcast((ids, asked, first.floor))
+            sent = spark.sparkContext.broadcast((block["id"].to_numpy(), _matrix(block["v"], dims), block["floor"].to_numpy()))
 
             def run(batches: Iterator[pa.RecordBatch], sent=sent, dims=dims) -> Iterator[pa.RecordBatch]:
                 search = Search(*sent.value, k)
@@ -167,8 +189,10 @@ def exact_topk(
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["query_id", "id", "score"])
 
             part = own.select("id", "v").mapInArrow(run, "query_id long, id long, score long")
+            if blocks > 1:  # one block is with the workers at a time: its best are written, then it is freed
+                part = checkpointed(_best(part, k))
+                sent.destroy()
             found = part if found is None else found.unionAll(part)
     if found is None:
         found = spark.createDataFrame([], "query_id long, id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    return _best(found, k, "rank").select("query_id", "rank", F.col("id").alias(id_col), "score")
