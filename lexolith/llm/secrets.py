@@ -12,10 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexolith.sources.shared import shared_folder
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -29,7 +32,9 @@ class Rule:
 
     @property
     def key(self) -> str:
-        return f"{self.kind}@{self.version}"
+        """The rule's name in the ledger. It holds a digest of what the rule looks for, so an edited rule scans anew."""
+        looks_for = sha256(f"{self.pattern}\0{self.group}\0{self.least}".encode()).hexdigest()[:12]
+        return f"{self.kind}@{self.version}#{looks_for}"
 
 
 #: The base rules, in the order in which spans with the same start are listed.
@@ -40,6 +45,8 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 
+#: Addresses of unseen blobs, 32 bytes each, that are sent to the workers; more are joined.
+UNSEEN_SENT = 500_000
 #: Parts into which each blob's paths are dealt when findings are joined back, so that no blob's paths meet in one task.
 SALTS = 16
 LEDGER = "blob binary, rule string, spans array<struct<start:bigint,end:bigint>>"
@@ -86,6 +93,27 @@ def _blobs(versions: DataFrame, text_col: str) -> DataFrame:
     return versions.select(address(text).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
 
 
+def _unseen(versions: DataFrame, rules: Sequence[Rule], ledger: DataFrame | None, text_col: str) -> DataFrame | None:
+    """The blobs (blob, text) of ``versions`` for which ``ledger`` lacks a pair; None if there are none.
+
+    Addresses are compared first, and only unseen texts move: they are picked where they lie if they are few.
+    """
+    if ledger is None:
+        return _blobs(versions, text_col)
+    keys = [r.key for r in rules]
+    whole = ledger.filter(F.col("rule").isin(keys)).groupBy("blob").agg(F.count_distinct("rule").alias("n")).filter(F.col("n") == len(keys)).select("blob")
+    own = versions.select(address(F.coalesce(F.col(text_col), F.lit(""))).alias("blob")).distinct()
+    shared_folder(versions.sparkSession)
+    unseen = own.join(whole, "blob", "left_anti").checkpoint().withColumnRenamed("blob", "its_blob")
+    n = unseen.count()
+    if not n:
+        return None
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = versions.select(address(text).alias("blob"), text.alias("text"))
+    picked = rows.join(F.broadcast(unseen) if n <= UNSEEN_SENT else unseen, F.col("blob") == F.col("its_blob"), "left_semi")
+    return picked.groupBy("blob").agg(F.first("text").alias("text"))
+
+
 def _joined_back(versions: DataFrame, entries: DataFrame, rules: Sequence[Rule], text_col: str) -> DataFrame:
     """The columns of ``versions`` but the text, __blob and __spans, from the entries of a ledger."""
     places = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.key, i)])
@@ -120,9 +148,11 @@ def scan_versions(
     findings; an empty table gives empty results. Input columns named __blob or __spans raise a ValueError.
     """
     _check_names(versions)
-    entries = scan_blobs(_blobs(versions, text_col), rules, ledger)
+    unseen = _unseen(versions, rules, ledger, text_col)
+    entries = None if unseen is None else scan_blobs(unseen, rules, ledger)
     if ledger is not None:
-        entries = ledger.select("blob", "rule", "spans").unionByName(entries)
+        known = ledger.select("blob", "rule", "spans")
+        entries = known if entries is None else known.unionByName(entries)
     return _joined_back(versions, entries, rules, text_col), entries
 
 
@@ -142,7 +172,10 @@ def scan_with_ledger(versions: DataFrame, path: str, rules: Sequence[Rule] = BAS
     """
     _check_names(versions)
     spark = versions.sparkSession
-    scan_blobs(_blobs(versions, text_col), rules, stored_ledger(spark, path)).write.mode("append").parquet(path)
+    ledger = stored_ledger(spark, path)
+    unseen = _unseen(versions, rules, ledger, text_col)
+    if unseen is not None:
+        scan_blobs(unseen, rules, ledger).write.mode("append").parquet(path)
     return _joined_back(versions, stored_ledger(spark, path), rules, text_col)
 
 
