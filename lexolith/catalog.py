@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from lexolith.queries import ORACLE_SQL, QUERIES, answers, corpus, evaluation, lifecycle, messages, requests, retrieval, scalars  # noqa: F401
+from lexolith.queries import ORACLE_SQL, QUERIES, answers, corpus, evaluation, lifecycle, messages, requests, retrieval, scalars, stored  # noqa: F401
 
 FLAGSHIP = "retrieval_pipeline"
