@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lexolith.sources.shared import shared_folder
@@ -43,10 +47,34 @@ def kept(name: tuple, make: Callable[[], Any]) -> Any:
     global _kept
     if _kept[0] != name:
         _kept = (None, None)  # frees the old one first
+        give_back()
         _kept = (name, make())
     return _kept[1]
 
 
+def give_back() -> None:
+    """Gives memory that this process no longer uses back to the machine: allocators keep it otherwise, for each worker."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: object) -> Iterator[None]:
+    """Settings of the session, dots written as __, that hold inside a with statement."""
+    names = {k.replace("__", "."): str(v) for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def free_name(wanted: str, *taken: DataFrame | list[str]) -> str:
     """``wanted`` with as many underscores in front as no column of ``taken`` is called so, whatever its case."""
     names = {c.lower() for t in taken for c in (t if isinstance(t, list) else t.columns)}

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexolith.llm.common import Stored, checkpointed, kept
+from lexolith.llm.common import Stored, checkpointed, give_back, kept, settings
 from lexolith.llm.components import components
 from lexolith.llm.shingles import mixed, set_key, shingle_set
 
@@ -48,7 +48,7 @@ from lexolith.llm.shingles import mixed, set_key, shingle_set
 SLOTS, BLOCKS = 1 << 22, 64
 #: A slot is frequent if it has so many rows, and as many as chance gives a slot of this corpus (six deviations over the mean).
 RARE, DEVIATIONS = 32, 6.0
-#: Rows of a slot from which keys of its shingles may be too many for one task.
+#: Rows of a slot over that bound from which keys of its shingles may be too many for one task.
 HOT, SALTS = 100_000, 1024
 #: Rounds of stars by keys, and the stars that a node is compared with in each.
 STAR_ROUNDS, STARS = 2, 4
@@ -178,18 +178,30 @@ def classes(described: DataFrame, shingles: int) -> tuple[np.ndarray, np.ndarray
     The bound follows the load of the table, so that classes mean the same at every size of the corpus.
     """
     mean = shingles / SLOTS
-    bound, hot = RARE + mean + DEVIATIONS * mean**0.5, HOT
+    bound = RARE + mean + DEVIATIONS * mean**0.5
+    hot = bound + HOT
 
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch], column: int, kind: str) -> np.ndarray:
         total = np.zeros(SLOTS // BLOCKS, np.int64)
         for batch in batches:
-            for counts in batch.column(1):
-                total += np.frombuffer(zlib.decompress(counts.as_py()), "<u4")
+            for counts in batch.column(column):
+                total += np.frombuffer(zlib.decompress(counts.as_py()), kind)
+        return total
+
+    def add_some(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = zlib.compress(summed(batches, 2, "<u4").astype("<i8").tobytes(), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([packed], pa.binary())], names=["block", "counts"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = summed(batches, 1, "<i8")
         bits = [pa.array([np.packbits(total >= least).tobytes()], pa.binary()) for least in (bound, hot)]
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), *bits], names=["block", "frequent", "hot"])
 
     found = np.zeros((2, BLOCKS, SLOTS // BLOCKS), np.bool_)
-    blocks = described.filter("block IS NOT NULL").select("block", "counts")
+    # first the tables of some tasks, then these sums: of n tasks, no task adds up more than about the root of n
+    part = F.pmod(F.xxhash64("counts"), F.lit(max(1, round(described.rdd.getNumPartitions() ** 0.5))))
+    blocks = described.filter("block IS NOT NULL").select("block", part.alias("part"), "counts")
+    blocks = blocks.groupBy("block", "part").applyInArrow(add_some, "block int, counts binary")
     for r in blocks.groupBy("block").applyInArrow(add, "block int, frequent binary, hot binary").collect():  # BLOCKS rows, a megabyte
         for i, name in enumerate(("frequent", "hot")):
             found[i, r["block"]] = np.unpackbits(np.frombuffer(bytes(r[name]), np.uint8))
@@ -269,6 +281,7 @@ def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, slots, width:
     names = ["a", "b", "key", "node", "n", "side"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(("jaccard",), lambda: None)
         sets: dict[int, np.ndarray] = {}
         frequent = np.unpackbits(slots.value[0]).astype(np.bool_)
 
@@ -305,6 +318,8 @@ def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, slots, width:
                     if similar:
                         links.append((min(a, b), max(a, b)))
                 yield from handed_on(links, found)
+        sets.clear()
+        give_back()
 
     return two.select("a", "b", "measure", "text_a", "text_b").mapInArrow(run, "a long, b long, key long, node long, n int, side int")
 
@@ -325,7 +340,8 @@ class Join:
             known = self.tested.withColumn("tested", F.lit(True))
             pairs = pairs.join(known, ["a", "b"], "left").filter("measure OR tested IS NULL").drop("tested")
         pairs = checkpointed(pairs.coalesce(self.tasks))
-        found = Stored(compared(pairs, self.docs, self.nodes, self.slots, self.width, self.percent, self.tasks))
+        with settings(self.docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=TEXTS_AT_ONCE):  # two whole texts a row
+            found = Stored(compared(pairs, self.docs, self.nodes, self.slots, self.width, self.percent, self.tasks))
         links, tested = checkpointed(found.rows.filter("a IS NOT NULL").select("a", "b").coalesce(self.tasks)), pairs.filter("NOT measure").select("a", "b")
         self.links = links if self.links is None else self.links.unionByName(links)
         self.tested = tested if self.tested is None else self.tested.unionByName(tested)
