@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexolith.functions.text import salvaged_json, truncated
@@ -112,9 +112,36 @@ def histogram(scores: DataFrame, value: str, width: float, *by: str) -> DataFram
     return rows.groupBy("attributes", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def publish_histogram(scores: DataFrame, value: str, width: float, path: str, *by: str) -> None:
-    """Appends a histogram, with the time of this call, to the table of metrics at ``path``."""
-    histogram(scores, value, width, *by).withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
+def publish_histogram(scores: DataFrame, value: str, width: float, path: str, number: int, *by: str) -> None:
+    """Writes the histogram of a batch to the table of metrics at ``path``, in the batch's place: a batch that runs again
+    replaces what it wrote."""
+    histogram(scores, value, width, *by).withColumn("at", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+#: Size of quantile sketches, and the share of ranks by which their quantiles may be off, with a probability over 0.99.
+SKETCH_SIZE, RANK_ERROR = 400, 0.01
+
+
+def publish_sketches(scores: DataFrame, value: str, path: str, number: int, *by: str) -> None:
+    """Writes n, the sum, the least and greatest score and a quantile sketch of each group of a batch to the table at
+    ``path``, in the batch's place: a batch that runs again replaces what it wrote. Scores that are null are left out."""
+    rows = scores.filter(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double"))
+    sketch = F.kll_sketch_agg_double("_v", F.lit(SKETCH_SIZE)).alias("sketch")
+    found = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("_v").alias("sum"), F.min("_v").alias("least"), F.max("_v").alias("greatest"), sketch)
+    found.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def sketched_distribution(spark: SparkSession, path: str, shares: list[float], *by: str) -> DataFrame:
+    """n, mean, least, greatest and quantiles (an array, for each of ``shares``) of each group over all batches at ``path``.
+
+    Sketches are merged, no score is read again. The share of scores up to a quantile is off by RANK_ERROR at most, with a
+    probability over 0.99; n, mean, least and greatest are exact.
+    """
+    found = spark.read.parquet(path).groupBy(*by).agg(
+        F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.kll_merge_agg_double("sketch", F.lit(SKETCH_SIZE)).alias("sketch")
+    )
+    quantiles = F.array(*[F.kll_sketch_get_quantile_double("sketch", F.lit(s)) for s in shares])
+    return found.select(*by, "n", F.round(F.col("sum") / F.col("n"), 6).alias("mean"), "least", "greatest", quantiles.alias("quantiles"))
 
 
 def distribution(scores: DataFrame, value: str, *by: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,8 +26,8 @@ def strided(text: Column, chunking: Chunking = Chunking()) -> Column:
     return F.transform(starts, lambda i: F.substring(text, i * stride + 1, F.lit(chunking.size)))
 
 
-def split_text(text: str, chunking: Chunking = Chunking()) -> list[str]:
-    """Segments of at most ``size`` characters, parted at the highest level that will do.
+def segments_of(text: str, chunking: Chunking = Chunking()) -> Iterator[tuple[int, str]]:
+    """Segments of at most ``size`` characters and where they start, one after another, parted at the highest level that will do.
 
     Pieces are packed greedily; a piece that is too long is parted at the next level, and at last between characters.
     Each segment starts with whole pieces from the end of the one before, up to ``overlap`` characters of them.
@@ -46,27 +47,30 @@ def split_text(text: str, chunking: Chunking = Chunking()) -> list[str]:
                 if piece:
                     yield from pieces(piece, level + 1)
 
-    out: list[str] = []
-    held: list[str] = []
-    length = fresh = 0
-    units = [u for p in pieces(text, 0) for u in (_units(p, chunking.overlap) if len(text) > chunking.size else [p])]
-    for unit in units:
-        if length + len(unit) > chunking.size and fresh:
-            out.append("".join(held))
-            kept: list[str] = []
-            room = min(chunking.overlap, chunking.size - len(unit))
-            for u in reversed(held):
-                if len(u) > room:
-                    break
-                kept.insert(0, u)
-                room -= len(u)
-            held, length, fresh = kept, sum(map(len, kept)), 0
-        held.append(unit)
-        length += len(unit)
-        fresh += 1
+    held: deque[str] = deque()
+    length = fresh = end = 0
+    for piece in pieces(text, 0):
+        for unit in _units(piece, chunking.overlap) if len(text) > chunking.size else [piece]:
+            if length + len(unit) > chunking.size and fresh:
+                yield end - length, "".join(held)
+                room = min(chunking.overlap, chunking.size - len(unit))
+                kept: deque[str] = deque()
+                for u in reversed(held):
+                    if len(u) > room:
+                        break
+                    kept.appendleft(u)
+                    room -= len(u)
+                held, length, fresh = kept, sum(map(len, kept)), 0
+            held.append(unit)
+            length += len(unit)
+            end += len(unit)
+            fresh += 1
     if fresh:
-        out.append("".join(held))
-    return out
+        yield end - length, "".join(held)
+
+
+def split_text(text: str, chunking: Chunking = Chunking()) -> list[str]:
+    return [segment for _, segment in segments_of(text, chunking)]
 
 
 def _units(piece: str, most: int) -> list[str]:
@@ -77,14 +81,20 @@ def _units(piece: str, most: int) -> list[str]:
     return [x + ". " for x in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
 
 
-def split_recursively(chunking: Chunking = Chunking()):
-    """split_text() for whole columns."""
+@F.udtf(returnType="chunk_index int, start int, chunk string", useArrow=True)
+class SplitRecursively:
+    """A table function: chunk_index (from 0), start and chunk of the segments of a text, handed on as they are found."""
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else split_text(t, chunking))
+    def eval(self, text: str, size: int, overlap: int, least: int):
+        for i, (start, segment) in enumerate(segments_of(text or "", Chunking(size, overlap, least))):
+            yield i, start, segment
 
-    return run
+
+def segmented(pages: DataFrame, chunking: Chunking = Chunking(), text: str = "text") -> DataFrame:
+    """``pages`` joined laterally with chunk_index, start and chunk of the segments of ``text``; a null or empty text has
+    none, and its page no row."""
+    own = F.col(text).outer()
+    return pages.lateralJoin(SplitRecursively(own, F.lit(chunking.size), F.lit(chunking.overlap), F.lit(chunking.least)))
 
 
 def chunked(pages: DataFrame, segments: Column, chunking: Chunking = Chunking()) -> DataFrame:
@@ -93,7 +103,17 @@ def chunked(pages: DataFrame, segments: Column, chunking: Chunking = Chunking())
     chunk_index counts all segments of the page from 0, so short ones leave gaps; ids are derived from where a chunk
     stands, so a document that comes twice gives the same ids.
     """
-    parts = pages.select("document_id", "page_number", "client_id", F.posexplode(segments).alias("chunk_index", "chunk"))
+    return with_ids(pages.select("document_id", "page_number", "client_id", F.posexplode(segments).alias("chunk_index", "chunk")), chunking)
+
+
+def chunked_recursively(pages: DataFrame, chunking: Chunking = Chunking()) -> DataFrame:
+    """chunked() with the segments of the recursive splitter."""
+    parts = segmented(pages, chunking).select("document_id", "page_number", "client_id", "chunk_index", "chunk")
+    return with_ids(parts, chunking)
+
+
+def with_ids(parts: DataFrame, chunking: Chunking) -> DataFrame:
+    """``parts`` that are longer than ``least``, trimmed, with ids derived from where they stand."""
     kept = parts.filter(F.length(F.trim("chunk")) > chunking.least)
     key = F.concat_ws("|", F.coalesce("client_id", F.lit("")), F.col("document_id").cast("string"), F.col("page_number").cast("string"), F.col("chunk_index").cast("string"))
     return kept.select(name_uuid(key).alias("id"), *kept.columns)

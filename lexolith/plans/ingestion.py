@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lexolith.config import EMBEDDING_BATCH, Chunking
 from lexolith.operators import ingestion
@@ -12,8 +11,7 @@ from lexolith.sources.providers import EmbeddingProvider
 
 def ingest(pages: DataFrame, embed: EmbeddingProvider, dimensions: int, chunking: Chunking = Chunking(), batch_rows: int = EMBEDDING_BATCH) -> tuple[DataFrame, DataFrame]:
     """Chunks to load and chunks whose embedding failed, from ``pages`` (document_id, page_number, client_id, text)."""
-    split = ingestion.split_recursively(chunking)
-    chunks = ingestion.chunked(pages, split(F.col("text")), chunking)
+    chunks = ingestion.chunked_recursively(pages, chunking)
     return ingestion.split_by_vector(ingestion.embedded(chunks, embed, batch_rows), dimensions)
 
 

@@ -37,8 +37,21 @@ def chunk_fixed_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = ingestion.split_recursively(CHUNKING)
-    return ingestion.chunked(document_pages(spark, sf_dir), split(F.col("text")), CHUNKING)
+    return ingestion.chunked_recursively(document_pages(spark, sf_dir), CHUNKING)
+
+
+@query("SELECT doc_id AS document_id, length(text)::int AS n_chars, true AS whole, true AS fits, true AS overlaps FROM documents WHERE length(text) > 0")
+def chunk_promises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the recursive splitter promises, checked for every document: segments are its text from start to end without a
+    gap, none is longer than the size, and none repeats more of the one before than the overlap."""
+    parts = ingestion.segmented(document_pages(spark, sf_dir).select("document_id", "text"), CHUNKING)
+    own = F.substring(F.col("text"), F.col("start") + 1, F.length("chunk")) == F.col("chunk")
+    place = F.array_sort(F.collect_list(F.struct("chunk_index", "start", (F.col("start") + F.length("chunk")).alias("end"))))
+    found = parts.groupBy("document_id", F.length("text").alias("n_chars")).agg(F.bool_and(own).alias("own"), F.max(F.length("chunk")).alias("longest"), place.alias("p"))
+    steps = F.transform("p", lambda x, i: F.when(i == 0, F.struct(x["start"].alias("back"), (x["start"] == 0).alias("joined"))).otherwise(
+        F.struct((F.get("p", i - 1)["end"] - x["start"]).alias("back"), ((F.get("p", i - 1)["end"] >= x["start"]) & (x["chunk_index"] == i)).alias("joined"))))
+    whole = F.col("own") & F.forall(steps, lambda x: x["joined"]) & (F.element_at("p", -1)["end"] == F.col("n_chars"))
+    return found.select("document_id", "n_chars", whole.alias("whole"), (F.col("longest") <= CHUNKING.size).alias("fits"), F.forall(steps, lambda x: x["back"] <= CHUNKING.overlap).alias("overlaps"))
 
 
 LINE_CHUNKS_SQL = """

@@ -10,6 +10,7 @@ from lexolith.functions.citations import with_outcome
 from lexolith.operators import evaluation
 from lexolith.queries import query
 from lexolith.queries.answers import CITED_SQL, answers
+from lexolith.sources.shared import new_place
 from lexolith.sources.tables import table
 
 
@@ -49,8 +50,9 @@ def chain_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderstatus AS verdict, count(*) AS n, round(avg(o_totalprice::double), 2) AS mean_value FROM orders GROUP BY 1")
 def verdict_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    return orders.groupBy(F.col("o_orderstatus").alias("verdict")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("o_totalprice").cast("double")), 2).alias("mean_value")).orderBy("verdict")
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "verdict")
+    means = orders.groupBy("verdict").agg(F.round(F.avg(F.col("o_totalprice").cast("double")), 2).alias("mean_value"))
+    return evaluation.verdicts(orders).join(means, "verdict").orderBy("verdict")
 
 
 @query("""
@@ -62,6 +64,23 @@ def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.distribution(rows, "value", "query_type", "client_id")
 
 
+@query("SELECT event_type AS query_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS greatest, true AS in_bound FROM events WHERE value IS NOT NULL GROUP BY 1")
+def score_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores in four batches, one of which runs twice: merged sketches, and whether the ranks of their quantiles over all
+    scores are within twice the bound."""
+    shares, place = [0.1, 0.5, 0.9, 0.99], new_place(spark, "sketches")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("query_type"), "value", "event_id")
+    for number in (0, 1, 2, 3, 1):
+        evaluation.publish_sketches(rows.filter(F.col("event_id") % 4 == number), "value", place, number, "query_type")
+    merged = evaluation.sketched_distribution(spark, place, shares, "query_type")
+    every = rows.filter("value IS NOT NULL").join(merged.select("query_type", "n", "quantiles"), "query_type")
+    # the share of scores below a quantile and up to it hold the share asked for between them, but for the bound
+    off = lambda i: F.greatest(F.count_if(F.col("value") < F.col("quantiles")[i]) / F.first("n") - shares[i], shares[i] - F.count_if(F.col("value") <= F.col("quantiles")[i]) / F.first("n"))
+    checked = every.groupBy("query_type").agg(*[off(i).alias(f"off{i}") for i in range(len(shares))])
+    in_bound = F.greatest(*[f"off{i}" for i in range(len(shares))]) <= 2 * evaluation.RANK_ERROR
+    return merged.join(checked, "query_type").select("query_type", "n", "mean", "least", "greatest", in_bound.alias("in_bound"))
+
+
 @query(rf"""
 WITH {CITED_SQL},
 parts AS (
@@ -85,6 +104,15 @@ def compliance_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", compliance(F.col("raw"), F.col("outcome.formatted")).alias("c")).select("conv_id", "turn", "c.*")
 
 
+def ok_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compliance of every answer, its cell, and whether the run is OK: of every four turns one has failed, in one of
+    the three ways."""
+    kind = F.when(F.col("turn") % 4 == 3, F.col("conv_id") % 3)
+    status = F.when(kind == 0, "ANSWER_GENERATION_FAILED").otherwise("ANSWER_GENERATED")
+    response, error = F.when(kind == 1, None).otherwise("text"), F.when(kind == 2, "error")
+    return compliance_runs(spark, sf_dir).withColumn("cell", F.col("conv_id") % 10).withColumn("ok", evaluation.is_ok(status, response, error))
+
+
 @query(r"""
 WITH a AS (
     SELECT conv_id, turn, conv_id % 5 >= 1 AS json_block, conv_id % 5 >= 2 AS entries, turn % 4 <> 3 AS ok,
@@ -99,6 +127,6 @@ SELECT conv_id % 10 AS cell, count(*) AS runs, count(*) FILTER (ok) AS ok, count
 FROM p GROUP BY 1
 """)
 def compliance_cell_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = compliance_runs(spark, sf_dir).withColumn("cell", F.col("conv_id") % 10).withColumn("ok", F.col("turn") % 4 != 3)
+    runs = ok_runs(spark, sf_dir)
     names = ["cell", "runs", "ok", "json_block", "substituted", "uncited", "mean_prose_chars", "mean_prose_words", "mean_cited_pages"]
     return evaluation.cell_stats(runs, "cell").select(*names)

@@ -10,6 +10,7 @@ from lexolith.queries import query
 from lexolith.sources import payloads, queue, streams
 from lexolith.sources.shared import new_place
 from lexolith.sources.tables import table
+from lexolith.streaming import scoring
 
 
 @query("""
@@ -124,3 +125,53 @@ def queue_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = done.unionByName(queue.poisoned(spark, f"{place}/queue").withColumn("poisoned", F.lit(True)))
     turn = F.from_json("body", "conv_id long, turn long")
     return every.select("place", turn["conv_id"].alias("conv_id"), turn["turn"].cast(turns.schema["turn"].dataType).alias("turn"), "deliveries", "poisoned")
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, l_linenumber, min(l_quantity)::double AS quantity, min(l_shipdate) AS shipped FROM lineitem GROUP BY ALL),
+m AS (SELECT *, l_orderkey || '-' || l_linenumber AS filename, (l_orderkey + l_linenumber) % 100 AS wait FROM p)
+SELECT filename, CASE WHEN wait <= 60 AND l_orderkey % 10 <> 3 THEN quantity END AS score FROM m
+WHERE shipped + INTERVAL (wait) MINUTE < (SELECT max(shipped) FROM p) - INTERVAL 2 DAY
+""")
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as payloads and, up to 99 minutes later, as messages that ask for their scores; every tenth order has no payload.
+
+    Messages of all but the last two days, by when the watermark has passed them, with and without a score.
+    """
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").cast("double").alias("quantity"), F.min("l_shipdate").cast("timestamp").alias("shipped"))
+    name = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    asked_at = F.timestamp_seconds(F.unix_seconds("shipped") + (F.col("l_orderkey") + F.col("l_linenumber")) % 100 * 60)
+    place = new_place(spark, "scoring")
+    lines.select(name.alias("filename"), asked_at.alias("asked_at")).write.parquet(f"{place}/messages")
+    payload = F.to_json(F.struct("quantity"))
+    lines.filter("l_orderkey % 10 <> 3").select(name.alias("name"), F.col("shipped").alias("written_at"), payload.alias("payload")).write.parquet(f"{place}/payloads")
+    messages = spark.readStream.schema("filename string, asked_at timestamp").parquet(f"{place}/messages")
+    payloads_ = spark.readStream.schema("name string, written_at timestamp, payload string").parquet(f"{place}/payloads")
+    found = scoring.scored_messages(messages, payloads_, lambda p: F.get_json_object(p, "$.quantity").cast("double"))
+    scoring.scored_as_they_come(found, place).awaitTermination()
+    end = lines.agg(F.max("shipped").alias("end")).first()["end"]
+    rows = spark.read.schema(found.schema).parquet(f"{place}/scores/batch=*")
+    return rows.filter(F.col("asked_at") < F.lit(end) - F.expr("INTERVAL 2 DAYS")).select("filename", "score")
+
+
+@query("""
+WITH e AS (SELECT quantile_disc(doc_id, [0.25, 0.5, 0.75]) AS edges FROM documents),
+b AS (SELECT doc_id, source, lang || '|' || doc_id % 40 AS document, (doc_id > edges[1])::int + (doc_id > edges[2])::int + (doc_id > edges[3])::int AS batch FROM documents, e)
+SELECT doc_id, batch::int AS batch FROM b WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.document = b.document AND o.source = b.source AND o.batch < b.batch)
+""")
+def stream_new_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files that arrive in four batches; a file whose document had an outcome in a batch before is skipped."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("client_id"), F.concat_ws("|", "lang", F.col("doc_id") % 40).alias("document_id"))
+    place, n = new_place(spark, "files"), docs.count()
+    edges = docs.selectExpr("percentile_disc(0.25) WITHIN GROUP (ORDER BY doc_id) AS a", "percentile_disc(0.5) WITHIN GROUP (ORDER BY doc_id) AS b", "percentile_disc(0.75) WITHIN GROUP (ORDER BY doc_id) AS c").first() if n else (0, 0, 0)
+    part = sum((F.when(F.col("doc_id") > e, 1).otherwise(0) for e in edges), F.lit(0))
+    for i in range(4):  # four arrivals, one after another
+        docs.filter(part == i).coalesce(1).write.mode("append").parquet(f"{place}/arrived")
+    files = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/arrived")
+
+    def work(rows: DataFrame, number: int) -> DataFrame:
+        rows.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{place}/done/number={number}")
+        return rows.withColumn("status", F.lit("INGESTION_SUCCESS"))
+
+    scoring.new_documents(files, scoring.Outcomes(spark, f"{place}/outcomes"), work, f"{place}/state").awaitTermination()
+    return spark.read.schema("doc_id long, batch int").parquet(f"{place}/done/number=*")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lexolith.functions import requests
 from lexolith.operators import evaluation, lifecycle, migrate
-from lexolith.queries import query
-from lexolith.queries.evaluation import compliance_runs
+from lexolith.queries import ORACLE_SQL, query
+from lexolith.queries.evaluation import ok_runs
 from lexolith.sources.tables import table
 
 
@@ -78,17 +78,13 @@ def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.histogram(rows, "value", 5.0, "kind", "group").withColumn("bin", F.col("bin").cast("double"))
 
 
-@query(r"""
-WITH a AS (
-    SELECT conv_id, turn, conv_id % 5 >= 2 AS entries, turn % 4 <> 3 AS ok,
-        replace(text, '. ', ' [' || (turn % 3 + 1) || ', ' || (conv_id % 4 + 1) || ']. ') || ' [1][2]' AS body FROM conversations WHERE role = 'assistant'
-),
-p AS (SELECT *, trim(regexp_replace(regexp_replace(body || ' ', '\[[^\[\]]{0,64}\]', '', 'g'), '\s+', ' ', 'g')) AS prose FROM a)
-SELECT conv_id % 10 AS cell, coalesce(sum(len(string_split(prose, ' '))) FILTER (ok), 0)::bigint AS total_prose_words, coalesce(sum(CASE WHEN entries THEN 4 ELSE 0 END) FILTER (ok), 0)::bigint AS total_cited_pages FROM p GROUP BY 1
+@query(f"""
+WITH r AS (SELECT *, turn % 4 <> 3 AS ok FROM ({ORACLE_SQL["compliance_runs"]}))
+SELECT conv_id % 10 AS cell, coalesce(sum(prose_words) FILTER (ok), 0)::bigint AS total_prose_words, coalesce(sum(cited_pages) FILTER (ok), 0)::bigint AS total_cited_pages,
+    coalesce(sum(stacked_runs) FILTER (ok), 0)::bigint AS total_stacked_runs, count(*) FILTER (ok AND inline_in_json) || '/' || count(*) AS matched FROM r GROUP BY 1
 """)
 def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = compliance_runs(spark, sf_dir).withColumn("cell", F.col("conv_id") % 10).withColumn("ok", F.col("turn") % 4 != 3)
-    return evaluation.report_totals(runs, "cell").select("cell", "total_prose_words", "total_cited_pages")
+    return evaluation.report_totals(ok_runs(spark, sf_dir), "cell")
 
 
 @query("""

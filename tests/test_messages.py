@@ -92,7 +92,8 @@ def test_loads_into_a_renamed_target(spark):
 
 def test_histograms_and_reports(spark, tmp_path):
     rows = spark.createDataFrame([("a", None, 0.5), ("a", "x", 5.5), ("a", "x", 9.9), ("b", "x", None)], "kind string, grp string, score double")
-    evaluation.publish_histogram(rows, "score", 5.0, f"{tmp_path}/metrics", "kind", "grp")
+    for number in (0, 0):  # a batch that runs again replaces what it wrote
+        evaluation.publish_histogram(rows, "score", 5.0, f"{tmp_path}/metrics", number, "kind", "grp")
     found = spark.read.parquet(f"{tmp_path}/metrics")
     assert sorted((r.attributes, r.bin, r.n) for r in found.collect()) == [('{"kind":"a","grp":"x"}', 5.0, 2), ('{"kind":"a"}', 0.0, 1)] and found.filter("at IS NULL").count() == 0
     judged = spark.createDataFrame([("B",), (None,), ("A",), ("B",)], "verdict string")

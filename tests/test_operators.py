@@ -145,7 +145,7 @@ def test_ingestion_steps(spark):
     chunking = Chunking(size=20, overlap=5)
     rows = ingestion.chunked(pages, ingestion.strided(F.col("text"), chunking), chunking).collect()
     assert [(r.chunk_index, len(r.chunk)) for r in rows] == [(0, 20)]
-    assert ingestion.chunked(pages, ingestion.split_recursively(chunking)(F.col("text")), chunking).count() >= 1
+    assert ingestion.chunked_recursively(pages, chunking).count() >= 1
     chunks = spark.createDataFrame([(1, "a"), (2, " "), (3, None), (4, "bb")], "id int, chunk string").coalesce(1)
     got = ingestion.embedded(chunks, lambda texts: [[float(len(t))] for t in texts], 1)
     assert {r.id: r.vector for r in got.collect()} == {1: [1.0], 2: None, 3: None, 4: [2.0]}
