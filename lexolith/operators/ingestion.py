@@ -155,10 +155,12 @@ def split_by_vector(chunks: DataFrame, dimensions: int) -> tuple[DataFrame, Data
 
 
 def upserted(current: DataFrame, arrived: DataFrame, key: str = "id", order: str = "arrived_at") -> DataFrame:
-    """The latest row of each key of both; of rows of ``arrived`` with the same time the last by all its columns."""
+    """The latest row of each key of both; of rows of ``arrived`` with the same time the last by all its columns. Versions
+    of a key are compared before they move, so no task sorts them all."""
     both = current.unionByName(arrived, allowMissingColumns=True)
-    latest = Window.partitionBy(key).orderBy(F.col(order).desc_nulls_last(), F.xxhash64(*both.columns))
-    return both.withColumn("_nth", F.row_number().over(latest)).filter("_nth = 1").drop("_nth")
+    place = F.struct(F.col(order).isNotNull(), order, -F.xxhash64(*both.columns).cast("decimal(20,0)"))
+    latest = both.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*both.columns), place).alias("_row"))
+    return latest.select("_row.*")
 
 
 def merged_column(current: DataFrame, changes: DataFrame, column: str, key: str = "id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexolith.operators import lifecycle
 from lexolith.queries import query
 from lexolith.sources.tables import table
-from lexolith.streaming import guard, redelivery
+from lexolith.streaming import dedupe, guard, redelivery
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,10 +86,20 @@ def stream_idempotent_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.replayed(spark, f"{sf_dir}/events.parquet", guard.guarded_deliveries)
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id::varchar || '|' || event_type AS key, event_id, epoch_us(ts) AS at_us FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY at_us, event_id) AS nth FROM e WHERE at_us <= (SELECT (max(at_us) // 1000 - 3600000) * 1000 FROM e)),
+f AS (
+    SELECT key, event_id, nth, at_us AS last_us, true AS first FROM r WHERE nth = 1
+    UNION ALL
+    SELECT r.key, r.event_id, r.nth, CASE WHEN r.at_us >= f.last_us + 86400000000 THEN r.at_us ELSE f.last_us END, r.at_us >= f.last_us + 86400000000 FROM f JOIN r ON r.key = f.key AND r.nth = f.nth + 1
+)
+SELECT key, event_id FROM f WHERE first
+""")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first delivery of each message within an hour."""
-    return guard.replayed(spark, f"{sf_dir}/events.parquet", guard.first_deliveries)
+    """The first delivery of each message within a day; those of the last hour still wait."""
+    rows = lambda e: guard.deliveries(e).select("key", "event_id", "ts", F.unix_micros("ts").alias("at_us"))
+    return guard.replayed(spark, f"{sf_dir}/events.parquet", lambda e: dedupe.first_within(rows(e), 86_400), settings=redelivery.STORE)
 
 
 @query("SELECT user_id::varchar || '|' || event_type AS key, event_id FROM events")

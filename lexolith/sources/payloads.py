@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexolith.functions.text import without_entities
-
 PAIRS = "array<struct<key:string,value:string>>"
 CHUNK = (
     "id string, documentId string, chunk string, chunkVector array<float>, documentFileName string, pageNumber int, chunkIndex int, "
@@ -82,11 +84,66 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("label"), F.col("value").alias("prompt"))
 
 
+#: Elements whose end, or in the case of br whose tag, ends a line, and those whose content is no text.
+LINE_ENDS = frozenset("p div li h1 h2 h3 h4 h5 h6 tr title head nav ul ol table article section header footer".split())
+NO_TEXT = frozenset(("script", "style"))
+_BLANKS = re.compile("[ \t\n\x0b\f\r]+")
+
+
+class Lines(HTMLParser):
+    """Collects the visible text of a page. The tokenizer of HTML knows quoted values with angle brackets in them, comments,
+    declarations, sections and unclosed tags; character references come as their characters."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.lines: list[list[str]] = [[]]
+        self.hidden = 0
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.hidden += tag in NO_TEXT
+        self.lines[-1].append(" ")
+        if tag == "br":
+            self.lines.append([])
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.lines[-1].append(" ")
+        if tag == "br":
+            self.lines.append([])
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in NO_TEXT:
+            self.hidden = max(0, self.hidden - 1)
+        self.lines[-1].append(" ")
+        if tag in LINE_ENDS:
+            self.lines.append([])
+
+    def handle_comment(self, data: str) -> None:
+        self.lines[-1].append(" ")
+
+    def handle_data(self, data: str) -> None:
+        if not self.hidden:
+            self.lines[-1].append(data)
+
+    def unknown_decl(self, data: str) -> None:
+        """The text of a CDATA section."""
+        if data.startswith("CDATA[") and not self.hidden:
+            self.lines[-1].append(data[len("CDATA[") :])
+
+
+def lines_of(html: str) -> list[str]:
+    parser = Lines()
+    parser.feed(html)
+    parser.close()
+    found = (_BLANKS.sub(" ", "".join(parts)).strip(" ") for parts in parser.lines)
+    return [line for line in found if line]
+
+
 def page_lines(html: Column) -> Column:
     """The visible text of a raw page as lines: scripts, styles, comments and tags out, a line for each block element,
-    character references as their characters."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ")
-    broken = F.regexp_replace(bare, r"(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr|/title|/head|/nav|/ul|/ol|/table)\b[^>]*>", "\n")
-    text = without_entities(F.regexp_replace(broken, r"<[^>]*>", " "))
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
-    return F.filter(lines, lambda x: x != "")
+    character references as their characters. Null for a null page, and no lines for an empty one."""
+
+    @F.pandas_udf("array<string>")
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda h: None if h is None else lines_of(h))
+
+    return run(html)

@@ -121,11 +121,6 @@ def guarded_deliveries(events: DataFrame) -> DataFrame:
     return guarded(deliveries(events).withColumn("action", F.lit("run")).withColumn("claim", F.lit(0).cast("bigint")))
 
 
-def first_deliveries(events: DataFrame) -> DataFrame:
-    """The first delivery of each key within an hour of event time."""
-    return deliveries(events).withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["key"]).select("key", "event_id")
-
-
 def redelivered(events: DataFrame) -> DataFrame:
     """Every delivery and, minutes later, its repetition, of which the stream hands on one."""
     rows = deliveries(events)

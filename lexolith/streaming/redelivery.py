@@ -83,7 +83,7 @@ def due_steps(message: Message, pending: list[Step], until_us: int, timing: Timi
     return out, message, pending, last
 
 
-def _timer(us: int) -> int:
+def timer_of(us: int) -> int:
     """The millisecond at which a timer of a time fires: not before it."""
     return -(-us // 1000)
 
@@ -101,7 +101,7 @@ class Redelivery(StatefulProcessor):
         steps = [Step(int(r.at_us), False, int(r.event_id), 1, int(r.takes_us), int(r.failures)) for batch in rows for r in batch.itertuples()]
         self.pending.appendList([tuple(s) for s in steps])
         for s in steps:
-            self.handle.registerTimer(_timer(s.due_us))
+            self.handle.registerTimer(timer_of(s.due_us))
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -116,12 +116,12 @@ class Redelivery(StatefulProcessor):
             return iter([])
         for s in left:
             if s not in pending:
-                self.handle.registerTimer(_timer(s.due_us))
+                self.handle.registerTimer(timer_of(s.due_us))
         self.pending.clear()
         if left:
             self.pending.put([tuple(s) for s in left])
         else:
-            self.handle.registerTimer(_timer(at + RETENTION_SECONDS * MICROS))
+            self.handle.registerTimer(timer_of(at + RETENTION_SECONDS * MICROS))
         self.message.update((message.status, message.attempts, int(message.lease_until), message.version, at))
         rows = [(key[0], s.event_id, s.delivery, s.due_us, outcome, m.attempts, m.version, visible) for s, outcome, m, visible in out]
         columns = [c.split()[0] for c in OUTCOME.split(", ")]

@@ -156,3 +156,33 @@ def test_outcomes_leave_columns_of_any_name_alone(spark):
     got = citations.with_outcome(rows, "raw").first()
     assert (got["raw"], got["block"], got["row"]) == (raw, "own", "b")
     assert got["outcome"]["formatted"] == "so it is ::(Source: [a.pdf], Pages 1,2|1,2|documentId=d)."
+
+
+def test_lines_of_odd_pages(spark):
+    """Worked out by hand from the rules of HTML, not by patterns."""
+    from lexolith.sources.payloads import lines_of, page_lines
+
+    pages = {
+        '<p title="a > b">one</p><p>two': ["one", "two"],
+        "<p data-x='</p>'>quoted</p>": ["quoted"],
+        "<div>a<!-- <p>no</p> > -->b</div>": ["a b"],
+        '<script>if (a > b) { t = "</p>"; }</script>text<style>p > a {}</style>': ["text"],
+        "x<br>y<br/>z": ["x", "y", "z"],
+        "<p>un<b>clo<i>sed</p>next": ["un clo sed", "next"],
+        "a &lt;b&gt; &amp;amp; &#233;&#xe9; &copy; &nosuch;": ["a <b> &amp; éé © &nosuch;"],
+        "1 < 2 and 3 > 2": ["1 < 2 and 3 > 2"],
+        "<p>line\nbreak\tin a\r\nparagraph</p>": ["line break in a paragraph"],
+        "<!DOCTYPE html><html><head><title>T</title></head><body><h1>H</h1><ul><li>i</li><li>j</li></ul></body></html>": ["T", "H", "i", "j"],
+        "<svg><![CDATA[drawn]]></svg>": ["drawn"],
+        "<table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table>": ["a b", "c"],
+        "": [],
+        "   \n ": [],
+        "<script>never closed": [],
+    }
+    for html, want in pages.items():
+        assert lines_of(html) == want, html
+    long = "<p>word</p>" * 300_000 + "x" * 2_000_000
+    df = spark.createDataFrame([(i, h) for i, h in enumerate([*pages, None, long])], "i int, h string")
+    got = {r.i: r.lines for r in df.select("i", page_lines(F.col("h")).alias("lines")).collect()}
+    assert [got[i] for i in range(len(pages))] == list(pages.values()) and got[len(pages)] is None
+    assert len(got[len(pages) + 1]) == 300_001
