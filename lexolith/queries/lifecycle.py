@@ -140,8 +140,10 @@ run AS (
         )
     )
 )
-SELECT key, step.event_id AS event_id, step.delivery AS delivery, step.due AS at_us, outcome, attempts::int AS attempts, version, visible_us FROM run WHERE nth > 0
+SELECT key, step.event_id AS event_id, step.delivery AS delivery, step.due AS at_us, outcome, attempts::int AS attempts, version, coalesce(visible_us, 0) AS visible_us FROM run WHERE nth > 0
 """)
 def stream_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every step of every message as its timers come: claims, live leases, fenced ends, runs that failed and came back."""
-    return guard.replayed(spark, f"{sf_dir}/events.parquet", lambda e: redelivery.delivered(timed_deliveries(e), TIMING), settings=redelivery.STORE)
+    """Every step of every message as its timers come: claims, live leases, fenced ends, runs that failed and came back;
+    visible_us is 0 where the message does not come back."""
+    found = guard.replayed(spark, f"{sf_dir}/events.parquet", lambda e: redelivery.delivered(timed_deliveries(e), TIMING), settings=redelivery.STORE)
+    return found.withColumn("visible_us", F.coalesce("visible_us", F.lit(0).cast("bigint")))
