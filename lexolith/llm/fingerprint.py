@@ -82,7 +82,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     document in the order of descending id (after the last: the first). Of equal rows, each but the last is followed by
     the next of them; rows that share an id but not the text are ordered by a hash of both; null ids come last. Columns:
     ``id_col``, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: 1.0 if the two
-    fingerprints are equal, else 0.0, since the digest is exact. A null text is the empty one. An empty table gives an
+    fingerprints are equal, else 0.0, since the digest is exact. A null text is the empty one; texts of any length are taken whole. An empty table gives an
     empty result; other columns are not read.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

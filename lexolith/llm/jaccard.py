@@ -467,7 +467,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     """``id_col``, n_shingles (set size) and component_id of every row of ``docs``.
 
     Rows are linked when their sets of ``shingle``-word shingles have a Jaccard similarity of ``percent`` hundredths or
-    more; component_id is the least id that links reach. A text with fewer words is one shingle. A row without words,
+    more; component_id is the least id that links reach. A text with fewer words is one shingle; texts of any
+    length are compared whole. A row without words,
     null text included, has an empty set, links with nothing and is its own component. Repeated rows and ties share
     their component; a null id is kept, and is a component's id only if the component has no other. An empty table
     gives an empty result; other columns are not read.

@@ -161,6 +161,7 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def identify(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, held_out, lang_pred, score and ambiguous for every row of ``docs``.
 
+    Texts of any length are read whole; columns but the id and the text are not read, whatever their names.
     A text that is null or has no letter is ``und`` with score 0, as is every text of a model without languages. Ties
     between codewords go to the first language by name. Repeated rows get equal results; an empty table an empty one.
     """

@@ -170,7 +170,8 @@ def pack(
 
     Columns: ``id_col``, start (ids of the row before the piece), length, ids_crc32 (of the little-endian unsigned
     32-bit ids), doc_tokens (ids of the row, with ``end_id``), sequence_id and offset. Each id lies in exactly one piece;
-    no sequence exceeds ``capacity``. A null or empty text is the single id ``end_id``. Repeated rows are packed as often
+    no sequence exceeds ``capacity``. A null or empty text is the single id ``end_id``; texts of
+    any length are cut into as many pieces as they need. Repeated rows are packed as often
     as they occur; null ids stay null; other columns are not read. An empty table gives an empty result. Sequence
     numbers hold the number of the input partition, so a task that is run again gives the same rows.
     """

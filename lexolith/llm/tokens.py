@@ -112,7 +112,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = 20
     """``id_col``, n_bytes (UTF-8), n_tokens and over_limit (more than ``limit`` tokens) of every row of ``docs``.
 
     ``vocabulary`` is the path of a vocabulary file that every executor has; by default the installed
-    word_bpe_49k.json. A null text counts as empty: 0 bytes, 0 tokens. Repeated rows and null ids are counted like any
+    word_bpe_49k.json. A null text counts as empty: 0 bytes, 0 tokens; texts of any length are encoded whole. Repeated rows and null ids are counted like any
     other; other columns are not read, so their names cannot clash. An empty table gives an empty result.
     """
 

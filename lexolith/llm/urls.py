@@ -99,7 +99,8 @@ def judge_urls(
 
     ``rules`` are (host, path, verdict) triples or a table of them; a rule fits its host and all subdomains if the URL's path starts with
     the rule's. The longest rule (host and path together) wins, the greater text on a tie, block over allow for equal
-    rules. ``default`` is the verdict where none fits. A null URL and one without ``://`` have empty host and path.
+    rules. ``default`` is the verdict where none fits. A null URL and one without ``://`` have empty host and path;
+    URLs may have any length.
     Repeated rows stay; other columns are not read; an empty table gives an empty result.
     """
     sc = pages.sparkSession.sparkContext
