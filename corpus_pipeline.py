@@ -16,7 +16,8 @@ from lexolith.llm.common import checkpointed, free_name, table
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps; the trusted rows are those of the table of labels.
 
-    Null and empty texts go. Repeated rows get the same verdict; an empty table stays empty; without labels all texts stay.
+    Null and empty texts go; texts of any length are scored whole. Repeated rows get the same verdict; an empty table stays
+    empty; without labels all texts stay. Columns may have any names.
     """
     return quality.kept_documents(docs, table(spark, sf_dir, "labels"))
 
@@ -27,7 +28,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     A row without an id counts after all others; of rows of a group that share the least id, one stays. Rows that share
     an id but no group are different documents. Null and empty texts, which are in no group, all stay. What goes is told
     by hashes of rows, so texts are shuffled only if the hashes that go are too many to be sent to the workers, or if
-    rows repeat. An empty table stays empty; columns may have any names.
+    rows repeat. Texts of any length are compared whole. An empty table stays empty; columns may have any names.
     """
     rows = checkpointed(jaccard.linked_rows(docs, shingle=5, percent=80)).filter("root IS NOT NULL")
     tasks = max(2, -(-rows.count() // jaccard.ROWS_PER_TASK))
@@ -48,7 +49,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets that a scan finds masked in their texts; the ledger of the corpus is kept.
 
-    Null and empty texts, repeated rows and empty tables pass as they are.
+    Null and empty texts, repeated rows and empty tables pass as they are; texts of any length are scanned whole; columns may
+    have any names.
     """
     masked = secrets.redact_secrets(docs, queries.ledger_of(spark, sf_dir))
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
@@ -57,13 +59,15 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that sources weigh as the square roots of their sizes, in a global shuffle.
 
-    A null source is a source of its own; rows without an id share one count; null and empty texts are rows like others.
+    A null source is a source of its own; rows without an id share one count; null, empty and very
+    long texts are rows like others. An empty table stays empty; columns may have any names.
     """
     return mixing.mix_sources(docs, temperature=0.5, seed="mix")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of at most 2048 tokens; a null or empty text is the end token alone, repeated rows are packed again."""
+    """Training sequences of at most 2048 tokens; a null or empty text is the end token alone, repeated rows are packed
+    again, very long texts take as many pieces as they need. An empty table gives no rows; other columns are not read."""
     return packing.pack(docs, capacity=2048, end_id=1)
 
 
