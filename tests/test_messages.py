@@ -11,7 +11,7 @@ from lexolith.functions import predicates, requests
 from lexolith.operators import chunks, evaluation, lifecycle, migrate
 from lexolith.sources import payloads, streams
 from lexolith.streaming import answers as answer_streams
-from lexolith.streaming import guard, redelivery
+from lexolith.streaming import dedupe, guard, redelivery
 from lexolith.streaming.guard import Message
 
 PAIRS = payloads.PAIRS
@@ -178,3 +178,30 @@ def test_timers_in_a_stream_do_not_hang_on_batches(spark, tmp_path):
         got = guard.replayed(spark, f"{tmp_path}/{name}", redelivery.delivered, settings=redelivery.STORE, files_at_once=1)
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
     assert {o for *_, o, _, _, _ in want} >= {"CLAIMED", "CONFLICT", "RETRY", "DONE", "FAILED", "SKIPPED", "FENCED"}
+
+
+# First deliveries
+
+
+def test_the_first_delivery_within_a_while():
+    assert dedupe.firsts([(30, 3), (0, 1), (10, 2), (20, 4)], None, 20) == ([1, 4], 20)
+    assert dedupe.firsts([(5, 9), (5, 7)], None, 10) == ([7], 5)  # of equal times the least id
+    assert dedupe.firsts([(5, 1), (12, 2)], 2, 10) == ([2], 12)  # what was handed on before counts
+    assert dedupe.firsts([], 4, 10) == ([], 4)
+
+
+def test_first_deliveries_do_not_hang_on_order_or_batches(spark, tmp_path):
+    day, hour = 86_400 * S, 3600 * S
+    rows = [(f"k{i % 3}", i, day + (i * 37 % 100) * hour // 10) for i in range(60)] + [("end", 99, 9 * day)]
+    df = spark.createDataFrame(rows, "key string, event_id long, at_us long").withColumn("ts", F.timestamp_micros("at_us"))
+    want = []
+    for k in ("k0", "k1", "k2"):
+        found, _ = dedupe.firsts([(at, i) for key, i, at in rows if key == k], None, hour)
+        want += [(k, i) for i in found]
+    df.coalesce(1).write.parquet(f"{tmp_path}/one")
+    for low, high in ((0, 4), (4, 7), (7, 10)):  # in order of time, but mixed within
+        df.filter((F.col("at_us") >= day + low * hour) & (F.col("at_us") < day + high * hour)).orderBy(F.xxhash64("event_id")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/many")
+    df.filter("key = 'end'").coalesce(1).write.mode("append").parquet(f"{tmp_path}/many")
+    for name in ("one", "many"):
+        got = guard.replayed(spark, f"{tmp_path}/{name}", lambda e: dedupe.first_within(e, 3600), settings=redelivery.STORE, files_at_once=1)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
