@@ -5,8 +5,10 @@ chunks with frequencies and lengths, and beside them the greatest frequency and
 most that the term can add to a score there, whatever the mean length of the corpus has become.
 
 A search reads these bounds alone first. The blocks that promise a query most are scored; its k-th best score is what
-others have to reach. Of the other blocks, those whose bounds add up to less are never scored, and the rest are. All of it
-is joins by term and block, so no query and no posting passes through the driver.
+others have to reach. Of the other blocks, those whose bounds add up to less are never scored. In the rest, the terms that
+together cannot reach it are left aside: only chunks that hold another term are scored, and of these only such as may still
+reach it are looked up among the terms left aside. All of it is joins by term and block, so no query and no posting passes
+through the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +29,8 @@ from lexolith.functions.text import tokens
 from lexolith.operators.retrieval import B, K1, PLACES, ranked
 from lexolith.sources.shared import shared_folder
 
-#: Chunks of a block, folders of terms, and the chunks, as a multiple of those wanted, in the blocks that are scored first.
-BLOCK, BUCKETS, FIRST = 32, 64, 8
+#: Chunks of a block, folders of terms (more where an index is larger than a few machines), and the chunks, as a multiple of those wanted, in the blocks that are scored first.
+BLOCK, BUCKETS, FIRST = 32, 8, 8
 #: Parts into which a folder's rows are dealt as they are written, so that no frequent term is a task's alone.
 PARTS = 8
 #: What sums of rounded parts may differ by.
@@ -40,8 +42,10 @@ def write_text_index(chunks: DataFrame, path: str, block: int = BLOCK, buckets:
     term, and the totals of the corpus. A null text is empty; its chunk counts among all and is found by nothing."""
     spark = chunks.sparkSession
     rows = chunks.select(id_col, text_col)
+    few = rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+    rows = rows.repartition(spark.sparkContext.defaultParallelism) if few else rows
     id_type = rows.schema[id_col].dataType
-    names = ["term", "block", "n", "most_tf", "least_length", "ids", "tfs", "lengths"]
+    names = ["term", "block", "n", "most_tf", "least_length", "ids", "ats", "tfs", "lengths"]
     words_of = re.compile("[a-z0-9]+").findall
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,25 +57,26 @@ def write_text_index(chunks: DataFrame, path: str, block: int = BLOCK, buckets:
             for at in range(0, len(order), block):
                 some = order[at : at + block].tolist()
                 holders: dict[str, list[int]] = {}
-                for i in some:
+                for place, i in enumerate(some):
                     for term in found[i]:
-                        holders.setdefault(term, []).append(i)
-                flat = [i for own in holders.values() for i in own]
-                tfs = np.fromiter((found[i][t] for t, own in holders.items() for i in own), np.int32, len(flat))
-                lengths = sizes[flat].astype(np.int32)
+                        holders.setdefault(term, []).append(place)
+                flat = np.array([i for own in holders.values() for i in own], np.int32)
+                tfs = np.fromiter((found[some[i]][t] for t, own in holders.items() for i in own), np.int32, len(flat))
+                lengths = sizes[some][flat].astype(np.int32)
                 n = np.fromiter(map(len, holders.values()), np.int32, len(holders))
                 offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-                # the block itself, without a term: how many chunks and tokens it has
+                # the block itself, without a term: its chunks, and how many of them and of tokens it has
                 whole = pa.array([None, *holders], pa.string())
                 ends = pa.array(np.concatenate(([0], offsets)).astype(np.int32))
-                listed = [pa.ListArray.from_arrays(ends, v) for v in (pa.array([ids[i] for i in flat], batch.schema.field(0).type), pa.array(tfs), pa.array(lengths))]
+                own_ids = pa.ListArray.from_arrays(pa.array([0, *[len(some)] * len(whole)], pa.int32()), pa.array([ids[i] for i in some], batch.schema.field(0).type))
+                listed = [own_ids, *(pa.ListArray.from_arrays(ends, pa.array(v)) for v in (flat, tfs, lengths))]
                 most = np.maximum.reduceat(tfs, offsets[:-1]) if len(n) else n
                 least = np.minimum.reduceat(lengths, offsets[:-1]) if len(n) else n
                 counts = [np.concatenate(([first], v)).astype(np.int64) for first, v in ((len(some), n), (int(sizes[some].sum()), most), (0, least))]
                 yield pa.RecordBatch.from_arrays([whole, pa.array(np.full(len(whole), number)), *map(pa.array, counts), *listed], names=names)
                 number += 1
 
-    fields = [("term", T.StringType()), ("block", T.LongType()), ("n", T.LongType()), ("most_tf", T.LongType()), ("least_length", T.LongType()), ("ids", T.ArrayType(id_type)), ("tfs", T.ArrayType(T.IntegerType())), ("lengths", T.ArrayType(T.IntegerType()))]
+    fields = [("term", T.StringType()), ("block", T.LongType()), ("n", T.LongType()), ("most_tf", T.LongType()), ("least_length", T.LongType()), ("ids", T.ArrayType(id_type)), ("ats", T.ArrayType(T.IntegerType())), ("tfs", T.ArrayType(T.IntegerType())), ("lengths", T.ArrayType(T.IntegerType()))]
     built = rows.mapInArrow(build, T.StructType([T.StructField(n, t) for n, t in fields]))
     bucket = F.when(F.col("term").isNull(), -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(buckets))).cast("int")
     dealt = built.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(PARTS)))
@@ -93,7 +98,8 @@ class TextSearch:
         wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term")).withColumn("bucket", bucket)
         wanted = wanted.checkpoint()
         used = [r[0] for r in wanted.select("bucket").distinct().collect()]  # as many as there are folders at most
-        self.postings = stored.filter(F.col("bucket").isin(used))
+        self.postings = stored.filter(F.col("bucket").isin(used)).drop("ids")
+        self.ids = stored.filter("bucket = -1").select("block", "ids")
         asked = wanted.select("bucket", "term").distinct()
         bounds = self.postings.select("bucket", "term", "block", "n", "most_tf", "least_length").join(asked, ["bucket", "term"])
         df = bounds.groupBy("bucket", "term").agg(F.sum("n").alias("df"))
@@ -102,28 +108,47 @@ class TextSearch:
         #: query_id, term, block, idf and the most that the term can add there
         self.bounds = bounds.join(weighed, ["bucket", "term"]).withColumn("most", F.col("idf") * self._damped("most_tf", "least_length")).drop("most_tf", "least_length").checkpoint()
         reach = self.bounds.groupBy("query_id", "block").agg(F.sum("most").alias("reach"))
-        self.first = ranked(reach, -(-first * k // layout["block"]), "reach", "block").select("query_id", "block").checkpoint()
-        first_hits = self._scored(self.first).checkpoint()
-        floor = ranked(first_hits, k, id_col=id_col).filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-        others = reach.join(self.first, ["query_id", "block"], "left_anti").join(floor, "query_id", "left")
-        self.others = others.filter(F.col("floor").isNull() | (F.col("reach") >= F.col("floor") - _EDGE)).select("query_id", "block")
-        self.hits = ranked(first_hits.unionByName(self._scored(self.others)), k, id_col=id_col)
+        first_blocks = ranked(reach, -(-first * k // layout["block"]), "reach", "block").select("query_id", "block").checkpoint()
+        self.first = self.bounds.join(first_blocks, ["query_id", "block"])
+        first_hits = self._named(self._scored(self.first)).checkpoint()
+        floor = ranked(first_hits, k, id_col=id_col).filter(F.col("rank") == k).select("query_id", (F.col("score") - _EDGE).alias("floor"))
+        others = reach.join(first_blocks, ["query_id", "block"], "left_anti").join(floor, "query_id", "left")
+        others = others.filter(F.col("floor").isNull() | (F.col("reach") >= F.col("floor"))).select("query_id", "block", "floor")
+        # the terms that can add least, as many as together cannot reach the floor, are left aside
+        so_far = Window.partitionBy("query_id", "block").orderBy("most", "term")
+        rows = self.bounds.join(others, ["query_id", "block"]).withColumn("needed", F.coalesce(F.sum("most").over(so_far.rowsBetween(Window.unboundedPreceding, 0)) >= F.col("floor"), F.lit(True)))
+        rows = rows.checkpoint()
+        self.needed, self.aside = rows.filter("needed"), rows.filter("NOT needed")
+        slack = rows.groupBy("query_id", "block").agg(F.sum(F.when(F.col("needed"), 0.0).otherwise(F.col("most"))).alias("slack"), F.first("floor").alias("floor"))
+        partly = self._scored(self.needed).join(slack, ["query_id", "block"])
+        self.candidates = partly.filter(F.col("floor").isNull() | (F.col("score") + F.col("slack") >= F.col("floor"))).select("query_id", "block", "at", "score").checkpoint()
+        left = self.candidates.select("query_id", "block", "at").join(self.aside.select("query_id", "block", "bucket", "term", "idf"), ["query_id", "block"])
+        held = left.join(self.postings.select("bucket", "term", "block", "ats", "tfs", "lengths"), ["bucket", "term", "block"]).withColumn("i", F.array_position("ats", F.col("at")).cast("int")).filter("i > 0")
+        held = held.select("query_id", "block", "at", "idf", F.element_at("tfs", F.col("i")).alias("tf"), F.element_at("lengths", F.col("i")).alias("length"))
+        more = held.groupBy("query_id", "block", "at").agg(F.sum(F.col("idf") * self._damped("tf", "length")).alias("more"))
+        whole = self.candidates.join(more, ["query_id", "block", "at"], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0))).drop("more")
+        self.hits = ranked(first_hits.unionByName(self._named(whole)), k, id_col=id_col)
 
     def _damped(self, tf: str, length: str) -> Column:
         return F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(length) / F.lit(self.mean)))
 
-    def _scored(self, pairs: DataFrame) -> DataFrame:
-        """query_id, id and score of the chunks in ``pairs`` (query_id, block) that hold a term of the query."""
-        wanted = self.bounds.join(pairs, ["query_id", "block"]).select("query_id", "bucket", "term", "block", "idf")
-        rows = self.postings.select("bucket", "term", "block", "ids", "tfs", "lengths").join(wanted, ["bucket", "term", "block"])
-        each = rows.select("query_id", "idf", F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("x"))
-        each = each.select("query_id", "idf", F.col("x.ids").alias(self.id_col), F.col("x.tfs").alias("tf"), F.col("x.lengths").alias("length"))
-        return each.groupBy("query_id", self.id_col).agg(F.round(F.sum(F.col("idf") * self._damped("tf", "length")), PLACES).alias("score"))
+    def _scored(self, wanted: DataFrame) -> DataFrame:
+        """query_id, block, at (in the block) and score of the chunks that hold a term of ``wanted`` (bounds)."""
+        wanted = wanted.select("query_id", "bucket", "term", "block", "idf")
+        rows = self.postings.select("bucket", "term", "block", "ats", "tfs", "lengths").join(wanted, ["bucket", "term", "block"])
+        each = rows.select("query_id", "block", "idf", F.explode(F.arrays_zip("ats", "tfs", "lengths")).alias("x"))
+        each = each.select("query_id", "block", "idf", F.col("x.ats").alias("at"), F.col("x.tfs").alias("tf"), F.col("x.lengths").alias("length"))
+        return each.groupBy("query_id", "block", "at").agg(F.sum(F.col("idf") * self._damped("tf", "length")).alias("score"))
+
+    def _named(self, scored: DataFrame) -> DataFrame:
+        """query_id, id and rounded score of scored chunks."""
+        return scored.join(self.ids, "block").select("query_id", F.get("ids", F.col("at")).alias(self.id_col), F.round("score", PLACES).alias("score"))
 
     def postings_read(self) -> tuple[int, int]:
-        """Postings that were scored, and those that a search without bounds would have scored."""
-        scored = self.bounds.join(self.first.unionByName(self.others), ["query_id", "block"])
-        return scored.agg(F.sum("n")).first()[0] or 0, self.bounds.agg(F.sum("n")).first()[0] or 0
+        """Postings that were scored or looked up, and those that a search without bounds would have scored."""
+        scored = self.first.select("n").unionByName(self.needed.select("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        looked_up = self.candidates.join(self.aside.select("query_id", "block"), ["query_id", "block"]).count()
+        return scored + looked_up, self.bounds.agg(F.sum("n")).first()[0] or 0
 
 
 def best_indexed(queries: DataFrame, spark: SparkSession, path: str, k: int, id_col: str = "doc_id") -> DataFrame:

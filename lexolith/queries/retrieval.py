@@ -11,10 +11,10 @@ from lexolith.functions.text import shingles, tokens
 from lexolith.functions.vectors import is_valid_vector
 from lexolith.operators import refine
 from lexolith.operators.refine import diversified, without_contained, without_similar
-from lexolith.operators.retrieval import nearest, similar
+from lexolith.operators.retrieval import best_texts, nearest, similar
 from lexolith.operators.text_index import best_indexed, write_text_index
 from lexolith.operators.vector_index import nearest_indexed, write_vector_index
-from lexolith.plans.retrieval import candidates, retrieve, write_index
+from lexolith.plans.retrieval import candidates, retrieve
 from lexolith.queries import query
 from lexolith.sources.shared import new_place
 from lexolith.sources.tables import chunks, metadata, table
@@ -146,11 +146,21 @@ scored AS MATERIALIZED (
 )"""
 
 
-@query(f"""
+BM25_TOPK_SQL = f"""
 WITH texts AS (SELECT doc_id, text AS chunk FROM documents), asked AS (SELECT item_id AS query_id, text AS query_text FROM benchmark), {BM25_SQL}
 SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10
-""")
+"""
+
+
+@query(BM25_TOPK_SQL)
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("chunk"))
+    return best_texts(text_queries(spark, sf_dir), texts, 10).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(BM25_TOPK_SQL)
+def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a written index, by bounds."""
     texts = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("chunk"))
     place = new_place(spark, "text-index")
     write_text_index(texts, place)
@@ -170,9 +180,7 @@ pool AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q
 
 @query(f"WITH {CHUNKS_SQL}, {NEAREST_SQL}, {POOL_SQL} SELECT query_id, doc_id, score, rank FROM pool")
 def hybrid_rrf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = new_place(spark, "index")
-    write_index(chunks(spark, sf_dir), place)
-    pool = candidates(hybrid_queries(spark, sf_dir), active_chunks(spark, sf_dir), Retrieval(nearest=NEAREST, pool=NEAREST), place)
+    pool = candidates(hybrid_queries(spark, sf_dir), active_chunks(spark, sf_dir), Retrieval(nearest=NEAREST, pool=NEAREST))
     return pool.withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -284,7 +292,5 @@ covers AS MATERIALIZED (
 def retrieval_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole plan with containment and diversity on."""
     config = Retrieval(nearest=NEAREST, pool=NEAREST, final=FINAL, containment=True, diversify=True)
-    place, rows = new_place(spark, "index"), chunks(spark, sf_dir)
-    write_index(rows, place)
-    found = retrieve(hybrid_queries(spark, sf_dir), rows, config, place)
+    found = retrieve(hybrid_queries(spark, sf_dir), chunks(spark, sf_dir), config)
     return found.withColumn("pick", F.col("pick").cast("bigint"))

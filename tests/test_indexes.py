@@ -8,12 +8,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexolith.config import Retrieval
 from lexolith.operators import retrieval
 from lexolith.operators.retrieval import best_texts, nearest
 from lexolith.operators.text_index import TextSearch, best_indexed, write_text_index
 from lexolith.operators.vector_index import nearest_indexed, write_vector_index
+from lexolith.plans.retrieval import retrieve, write_index
 from lexolith.queries import retrieval as queries
-from lexolith.sources.tables import table
+from lexolith.sources.tables import chunks, table
 
 SF = "/root/testdata/sf0.01"
 
@@ -138,3 +140,14 @@ def test_text_index_of_odd_texts(spark, tmp_path):
     assert sorted({(r.query_id, str(r.doc_id)) for r in got}) == [(1, "None"), (1, "c"), (1, "d"), (4, "e")]
     write_text_index(df.limit(0), f"{tmp_path}/none")
     assert best_indexed(ask, spark, f"{tmp_path}/none", 10).collect() == []
+
+
+def test_the_plan_over_written_indexes(spark, tmp_path):
+    """The whole plan with a text index gives what it gives without one."""
+    rows, ask, config = chunks(spark, SF), queries.hybrid_queries(spark, SF), Retrieval(nearest=20, pool=20, final=5, containment=True, diversify=True)
+    write_index(rows, f"{tmp_path}/index", vectors=True)
+    plain = lambda df: sorted(map(tuple, df.select("query_id", "pick", "doc_id").collect()))
+    want = plain(retrieve(ask, rows, config))
+    assert plain(retrieve(ask, rows, config, f"{tmp_path}/index")) == want
+    near = plain(retrieve(ask, rows, config, f"{tmp_path}/index", approximate=True))
+    assert len({(q, d) for q, _, d in near} & {(q, d) for q, _, d in want}) > 0.7 * len(want)
