@@ -60,9 +60,9 @@ def parent(run: bytes) -> bytes:
 
 
 def climbed(nodes: list[bytes], most: int) -> tuple[list[list[bytes]], list[bytes]]:
-    """The runs of each level above ``nodes``, at most ``most`` levels, and what remains."""
+    """The runs of each of ``most`` levels above ``nodes``, and what remains; a node alone has a parent too."""
     runs = []
-    while len(nodes) > 1 and len(runs) < most:
+    for _ in range(most):
         runs.append([b"".join(nodes[i : i + ARITY]) for i in range(0, len(nodes), ARITY)])
         nodes = [parent(r) for r in runs[-1]]
     return runs, nodes
@@ -108,11 +108,11 @@ class Top:
             trees.setdefault(tree, []).append((at, digest.hex().encode()))
         self.runs, subroots = {}, {}
         for tree, own in trees.items():
-            self.runs[tree], (subroots[tree],) = climbed([d for _, d in sorted(own)], 99)
+            self.runs[tree], (subroots[tree],) = climbed([d for _, d in sorted(own)], levels(len(own)))
         order = sorted(subroots, key=lambda t: t.encode("utf-8", "surrogatepass"))
         self.place = {t: i for i, t in enumerate(order)}
         # joined: the only tree is that of subroots already
-        self.above, (self.root,) = ([], [subroots[order[0]]]) if joined else climbed([subroots[t] for t in order], 99)
+        self.above, (self.root,) = ([], [subroots[order[0]]]) if joined else climbed([subroots[t] for t in order], levels(len(order)))
 
     def suffix(self, tree: str, at: int) -> list[tuple[int, bytes, bytes]]:
         return steps_of(self.runs[tree], at) + steps_of(self.above, self.place[tree])
@@ -143,6 +143,11 @@ def _block(batches: list[pa.RecordBatch], schema_names: list[str]) -> dict[str,
     return {n: whole[n].combine_chunks().take(pa.array(order)) for n in schema_names}
 
 
+def _levels_in(columns: dict[str, pa.Array], height: int) -> int:
+    """Levels of a block: fewer than ``height`` only where its whole tree has fewer, however few nodes a last block has."""
+    return min(height, levels(columns["size"][0].as_py()))
+
+
 def _hexes(column) -> list[bytes]:
     return [d.hex().encode() for d in column.to_pylist()]
 
@@ -152,7 +157,7 @@ def reduced(nodes: DataFrame, height: int) -> DataFrame:
 
     def top(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _block(list(batches), ["digest", "size"])
-        _, (digest,) = climbed(_hexes(rows["digest"]), height)
+        _, (digest,) = climbed(_hexes(rows["digest"]), _levels_in(rows, height))
         size = -(-rows["size"][0].as_py() // ARITY**height)
         yield pa.RecordBatch.from_arrays(
             [pa.array([key[0].as_py()], pa.string()), pa.array([key[1].as_py()], pa.int64()), pa.array([size], pa.int64()), pa.array([bytes.fromhex(digest.decode())], pa.binary())],
@@ -170,7 +175,7 @@ def _finish(nodes: DataFrame, height: int, top, paths: DataFrame | None, rows_of
 
     def finished(batches: list[pa.RecordBatch], suffix: list) -> Iterator[pa.RecordBatch]:
         columns = _block(batches, names)
-        runs, _ = climbed(_hexes(columns["digest"]), height)
+        runs, _ = climbed(_hexes(columns["digest"]), _levels_in(columns, height))
         yield from rows_of(columns, runs, suffix)
 
     if paths is None:
@@ -248,7 +253,7 @@ def manifest(
     def rows_of(columns: dict, runs: list, suffix: list) -> Iterator[pa.RecordBatch]:
         own_levels = levels(columns["size"][0].as_py()) - len(runs)  # of the suffix, those within the group
         leaves, now = _hexes(columns["digest"]), columns["now"].to_pylist()
-        _, (block_top,) = climbed(leaves, len(runs)) if runs else ([], leaves)
+        _, (block_top,) = climbed(leaves, len(runs))
         subroot = folded(block_top, suffix[:own_levels])
         root = folded(subroot, suffix[own_levels:])
         rest = b"".join(before + after for _, before, after in suffix)

@@ -88,6 +88,13 @@ def test_manifest_equals_plain_code(spark, n, top_nodes, sources):
     assert manifest_of(df, top_nodes=top_nodes) == sorted(map(repr, plain_manifest(table)))
 
 
+@pytest.mark.parametrize("n, top_nodes", [(257, 1 << 20), (272, 1 << 20), (513, 2), (4097, 1 << 20), (4112, 1)])
+def test_manifest_of_groups_whose_last_block_has_few_rows(spark, n, top_nodes):
+    table = rows_of(n, ("a",)) + rows_of(3, ("b",))
+    df = spark.createDataFrame(table, DOCS).repartition(3)
+    assert manifest_of(df, top_nodes=top_nodes) == sorted(map(repr, plain_manifest(table)))
+
+
 def test_manifest_of_nothing_and_of_a_long_text(spark):
     assert manifest_of(spark.createDataFrame([], DOCS)) == []
     table = [(1, "Long " * 800_000, "en", "a", None, "c", 1, "w", "l"), (2, "y" * 3_000_000, "en", "a", 5, "c", 1, "w", "l")]
