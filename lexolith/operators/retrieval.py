@@ -136,14 +136,20 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, tags: Column | None =
                         if rows_at.size:
                             q = np.array([asked[i] for i in at_queries], kind).reshape(len(at_queries), n)
                             v = vectors.take(pa.array(rows_at)).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(rows_at.size, n)
-                            scores[np.ix_(at_queries, rows_at)] = q.astype(np.float64) @ v.T.astype(np.float64)
-                            exact |= {i: (q[j], v, dict(zip(rows_at.tolist(), range(rows_at.size)))) for j, i in enumerate(at_queries)}
+                            product = q.astype(np.float64) @ v.T.astype(np.float64)
+                            if rows_at.size == len(ids) and len(at_queries) == len(asked):
+                                scores = product
+                            else:
+                                scores[np.ix_(at_queries, rows_at)] = product
+                            place = np.full(len(ids), -1)
+                            place[rows_at] = np.arange(rows_at.size)
+                            exact |= {i: (q[j], v, place) for j, i in enumerate(at_queries)}
                     for i in range(len(asked)):
                         own = scores[i] if tag is None else np.where(of_tag[tag[i]], scores[i], -np.inf)
                         found = nearly_best(own, k, best.floor[i])
                         if i in exact and found.size:
                             vector, v, place = exact[i]
-                            same = np.array([place.get(r, -1) for r in found.tolist()])
+                            same = place[found]
                             values = np.where(same >= 0, exact_scores(vector, v[same]), 0.0)
                         else:
                             values = np.zeros(found.size)
