@@ -11,7 +11,7 @@ from lexolith.operators.refine import diversified, without_contained, without_si
 from lexolith.operators.retrieval import best_texts, fused, nearest
 from lexolith.operators.text_index import best_indexed, write_text_index
 from lexolith.operators.vector_index import nearest_indexed, write_vector_index
-from lexolith.sources.shared import shared_folder
+from lexolith.sources.shared import shared_folder, written
 
 
 def active_of(chunks: DataFrame) -> DataFrame:
@@ -28,7 +28,14 @@ def write_index(chunks: DataFrame, path: str, vectors: bool = False) -> None:
 
 def candidates(queries: DataFrame, chunks: DataFrame, config: Retrieval, index: str | None = None, approximate: bool = False) -> DataFrame:
     """query_id, rank, doc_id: the pool of each query. With ``index``, what write_index() wrote of the same chunks, texts are
-    found by it, and with ``approximate`` vectors too."""
+    found by it, and with ``approximate`` vectors too. Without, queries and chunks are written once: blocks of queries read
+    them again and again, and what made them, joins of whole texts for instance, must not run for each."""
+    if index is None:
+        queries, chunks = written(queries, "queries"), written(chunks.select("doc_id", "chunk", "vector"), "chunks")
+    return _pool(queries, chunks, config, index, approximate)
+
+
+def _pool(queries: DataFrame, chunks: DataFrame, config: Retrieval, index: str | None, approximate: bool) -> DataFrame:
     spark, asked, n = chunks.sparkSession, queries.select("query_id", "query_vector"), config.nearest
     near = nearest_indexed(asked, spark, f"{index}/vectors", n) if index and approximate else nearest(asked, chunks, n)
     texts = best_indexed(queries, spark, f"{index}/texts", n) if index else best_texts(queries, chunks, n)
@@ -43,7 +50,9 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: Retrieval = Retrieva
     that a step needs.
     """
     active = active_of(chunks)
-    pool = candidates(queries, active, config, index, approximate).select("query_id", "rank", "doc_id")
+    if index is None:  # blocks of queries read both again and again
+        queries, active = written(queries, "queries"), written(active, "chunks")
+    pool = _pool(queries, active, config, index, approximate).select("query_id", "rank", "doc_id")
     wanted = ["chunk"] * config.containment + ["vector"] * (config.cosine_dedup or config.diversify)
     rows = pool.join(active.select("doc_id", *wanted), "doc_id") if wanted else pool
     if wanted:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,3 +27,10 @@ def shared_folder(spark: SparkSession) -> str:
 def new_place(spark: SparkSession, kind: str) -> str:
     """A path in the shared folder that nothing has used."""
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, kind: str = "rows") -> DataFrame:
+    """``df`` written to the shared folder as a table and read from there, so that what reads it again works nothing out anew."""
+    path = new_place(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

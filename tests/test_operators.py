@@ -309,3 +309,22 @@ def test_files_become_chunks(spark, tmp_path):
     running = handled(message_stream(spark, f"{tmp_path}/q", "generation"), payloads.ANSWER_REQUEST, f"{tmp_path}/state", note("good"), note("bad"))
     running.awaitTermination()
     assert [r.transactionId for r in seen["good"]] == ["t"] and len(seen["bad"]) == 1
+
+
+def test_blocks_of_queries_work_chunks_out_once(spark, monkeypatch):
+    from lexolith.operators import retrieval
+    from lexolith.plans.retrieval import candidates
+
+    monkeypatch.setattr(retrieval, "QUERIES_PER_BLOCK", 2)
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(text):
+        made.add(1)
+        return text
+
+    vector = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (F.col("id") % (i + 2)).cast("float"))
+    chunks = spark.range(40).select(F.col("id").alias("doc_id"), noted(F.concat(F.lit("word w"), F.col("id") % 7)).alias("chunk"), vector.alias("vector"))
+    asked = spark.range(9).select(F.col("id").alias("query_id"), F.concat(F.lit("w"), F.col("id") % 7).alias("query_text"), vector.alias("query_vector"))
+    assert candidates(asked, chunks, Retrieval(nearest=3, pool=3, final=3)).count() == 27
+    assert made.value == 40
