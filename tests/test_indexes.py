@@ -151,3 +151,21 @@ def test_the_plan_over_written_indexes(spark, tmp_path):
     assert plain(retrieve(ask, rows, config, f"{tmp_path}/index")) == want
     near = plain(retrieve(ask, rows, config, f"{tmp_path}/index", approximate=True))
     assert len({(q, d) for q, _, d in near} & {(q, d) for q, _, d in want}) > 0.7 * len(want)
+
+
+def test_a_search_keeps_no_row_for_each_query_term_and_block(spark, tmp_path):
+    """Twice as many equal queries write no more of the index: only hits, and a bound for each query and block."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[j] for j in range(60) if (i * 7 + j * 11) % 3 > 0)) for i in range(400)]
+    chunked = spark.createDataFrame(rows, "doc_id long, chunk string").repartition(3)
+    write_text_index(chunked, f"{tmp_path}/index", block=4)
+    ask = spark.createDataFrame([(q, " ".join(words)) for q in range(40)], "query_id long, query_text string")
+    spark.sparkContext.setCheckpointDir(f"{tmp_path}/shared")
+    try:
+        search = TextSearch(ask, spark, f"{tmp_path}/index", 5)
+        got, want = hits(search.hits), hits(best_texts(ask, chunked, 5))
+        assert got == {k: (i, pytest.approx(s, abs=2e-6)) for k, (i, s) in want.items()}
+        size = sum(p.stat().st_size for p in (tmp_path / "shared").rglob("*") if p.is_file())
+        assert search.postings_read()[1] > 400_000 and size < 300_000
+    finally:
+        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
