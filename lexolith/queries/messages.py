@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexolith.operators import chunks, evaluation, lifecycle
 from lexolith.queries import query
 from lexolith.sources import payloads, queue, streams
-from lexolith.sources.shared import new_place
+from lexolith.sources.shared import new_place, written
 from lexolith.sources.tables import table
 from lexolith.streaming import scoring
 
@@ -138,18 +138,29 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Messages of all but the last two days, by when the watermark has passed them, with and without a score.
     """
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").cast("double").alias("quantity"), F.min("l_shipdate").cast("timestamp").alias("shipped"))
+    lines = written(table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").cast("double").alias("quantity"), F.min("l_shipdate").cast("timestamp").alias("shipped")), "lines")
+    n, end = lines.agg(F.count(F.lit(1)), F.max("shipped")).first()
+    slices = -(-n // scoring.ROWS_AT_ONCE)
+    # the times at which a slice ends: about equal numbers of lines
+    edges = lines.select(F.percentile_approx(F.unix_seconds("shipped"), [i / slices for i in range(1, slices)], 10_000)).first()[0] if slices > 1 else []
+    edges, files = sorted({e for e in edges or [] if e is not None} - {lines.agg(F.min(F.unix_seconds("shipped"))).first()[0]}), scoring.FILES_AT_ONCE
     name = F.concat_ws("-", "l_orderkey", "l_linenumber")
     asked_at = F.timestamp_seconds(F.unix_seconds("shipped") + (F.col("l_orderkey") + F.col("l_linenumber")) % 100 * 60)
     place = new_place(spark, "scoring")
-    lines.select(name.alias("filename"), asked_at.alias("asked_at")).write.parquet(f"{place}/messages")
-    payload = F.to_json(F.struct("quantity"))
-    lines.filter("l_orderkey % 10 <> 3").select(name.alias("name"), F.col("shipped").alias("written_at"), payload.alias("payload")).write.parquet(f"{place}/payloads")
-    messages = spark.readStream.schema("filename string, asked_at timestamp").parquet(f"{place}/messages")
-    payloads_ = spark.readStream.schema("name string, written_at timestamp, payload string").parquet(f"{place}/payloads")
+    asked = lines.select(name.alias("filename"), asked_at.alias("asked_at"))
+    given = lines.filter("l_orderkey % 10 <> 3").select(name.alias("name"), F.col("shipped").alias("written_at"), F.to_json(F.struct("quantity")).alias("payload"))
+    stream = spark.readStream
+    if edges:
+        scoring.arrived(asked, "asked_at", edges, f"{place}/messages", files)
+        scoring.arrived(given, "written_at", edges, f"{place}/payloads", files)
+        stream = stream.option("maxFilesPerTrigger", files)
+    else:
+        asked.write.parquet(f"{place}/messages")
+        given.write.parquet(f"{place}/payloads")
+    messages = stream.schema("filename string, asked_at timestamp").parquet(f"{place}/messages")
+    payloads_ = stream.schema("name string, written_at timestamp, payload string").parquet(f"{place}/payloads")
     found = scoring.scored_messages(messages, payloads_, lambda p: F.get_json_object(p, "$.quantity").cast("double"))
     scoring.scored_as_they_come(found, place).awaitTermination()
-    end = lines.agg(F.max("shipped").alias("end")).first()["end"]
     rows = spark.read.schema(found.schema).parquet(f"{place}/scores/batch=*")
     return rows.filter(F.col("asked_at") < F.lit(end) - F.expr("INTERVAL 2 DAYS")).select("filename", "score")
 

@@ -10,14 +10,18 @@ skipped, and what is worked on adds its outcome, which the next batches see.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lexolith.operators.chunks import already_processed
+from lexolith.sources.shared import new_place
 
+#: Rows of a slice of time that a micro-batch takes, and the files that hold them.
+ROWS_AT_ONCE, FILES_AT_ONCE = 4_000_000, 16
 #: Seconds by which a message may follow its payload, and by which rows of either stream may be late.
 FOLLOWS_WITHIN, LATE_SECONDS = 3600, 600
 
@@ -45,6 +49,23 @@ def scored_as_they_come(scores: DataFrame, place: str) -> StreamingQuery:
     return scores.writeStream.foreachBatch(write).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
 
 
+def arrived(rows: DataFrame, at: str, edges: Sequence[int], path: str, files: int) -> None:
+    """Writes ``rows`` to ``path`` as files that arrive in the order of the time ``at``: those before the first of ``edges``
+    (seconds, ascending), then those before the next, and so on, each time in exactly ``files`` files.
+
+    A stream that takes so many files at once sees a slice of time in each micro-batch: no row is late, and the state of a
+    join holds no more than two slices. Slices with fewer rows than files raise a ValueError.
+    """
+    spark, waiting = rows.sparkSession, new_place(rows.sparkSession, "waiting")
+    number = sum((F.when(F.unix_seconds(at) >= e, 1).otherwise(0) for e in edges), F.lit(0))
+    rows.withColumn("slice", number).write.partitionBy("slice").parquet(waiting)
+    staged = spark.read.schema(StructType([*rows.schema.fields, StructField("slice", IntegerType())])).parquet(waiting)
+    for i in range(len(edges) + 1):
+        staged.filter(F.col("slice") == i).drop("slice").repartition(files).write.mode("append").parquet(path)
+        if (found := len(spark.read.schema(rows.schema).parquet(path).inputFiles())) != files * (i + 1):
+            raise ValueError(f"{found} files in {i + 1} slices of {files}")
+
+
 class Outcomes:
     """The table of outcomes (document_id, client_id, status) in a folder, to which each batch adds a folder of its number."""
 

@@ -75,3 +75,21 @@ def test_sketches_merge_and_a_retried_batch_replaces(spark, tmp_path):
             below = sum(v <= q for v in own) / len(own)
             assert abs(below - share) <= evaluation.RANK_ERROR + 1 / len(own)
         assert abs(sum(v <= exact[kind].median for v in own) - sum(v <= r.quantiles[2] for v in own)) <= 0.01 * len(own) + 1
+
+
+def test_many_scores_come_by_slices_of_time(spark, tmp_path, monkeypatch):
+    """Several micro-batches, each a slice of time, give what one gives."""
+    from lexolith.queries import messages
+
+    lines = [(i // 4, i % 4, float(i % 50), 86_400 * (1 + i * 37 % 60)) for i in range(3000)]
+    df = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double, at long")
+    df.withColumn("l_shipdate", F.timestamp_seconds("at").cast("timestamp_ntz")).drop("at").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = sorted(map(tuple, messages.stream_scores(spark, str(tmp_path)).collect()), key=repr)
+    monkeypatch.setattr(scoring, "ROWS_AT_ONCE", 700)
+    monkeypatch.setattr(scoring, "FILES_AT_ONCE", 2)
+    places = []
+    monkeypatch.setattr(messages, "new_place", lambda s, kind: places.append(f"{tmp_path}/{kind}") or places[-1])
+    got = sorted(map(tuple, messages.stream_scores(spark, str(tmp_path)).collect()), key=repr)
+    assert got == want and len(got) > 2000
+    held = [len(spark.read.parquet(f"{tmp_path}/scoring/scores/batch={n}").take(1)) for n in range(5)]
+    assert sum(held) >= 4  # rows leave the state as time goes on
