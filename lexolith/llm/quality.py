@@ -34,6 +34,8 @@ ORDER = 5
 FIT_ROWS = 20_000
 #: N-grams of a model that goes to the workers whole; contexts are no more than n-grams. A larger one is joined instead.
 MODEL_ENTRIES = 1_500_000
+#: Trusted ids that are sent to the texts at once; of more, the texts are read once for each so many.
+IDS_AT_ONCE = 2_000_000
 #: Tasks, and so checkpoint files, of the tables of train()'s small model.
 MODEL_TASKS = 8
 #: The quantile of held-out trusted documents' perplexities that is the threshold, and the held-out trusted documents
@@ -213,9 +215,13 @@ def words_of(docs: DataFrame, trusted: DataFrame, fit_rows: int | None, id_col:
     by a hash of their id."""
     used = trusted.filter(~is_held_out())
     if fit_rows is not None:
-        used = F.broadcast(used.orderBy(F.xxhash64("trusted"), "trusted").limit(fit_rows))  # a bounded number of ids
+        used = used.orderBy(F.xxhash64("trusted"), "trusted").limit(fit_rows)
+    used = checkpointed(used)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = rows.join(used, F.col("id") == F.col("trusted"), "left_semi")
+    # bounded numbers of ids go to the texts, one after another, so that no text is shuffled
+    n = max(1, -(-used.count() // IDS_AT_ONCE))
+    some = [used.filter(F.pmod(F.xxhash64("trusted"), F.lit(n)) == i) for i in range(n)]
+    texts = reduce(DataFrame.unionAll, [rows.join(F.broadcast(ids), F.col("id") == F.col("trusted"), "left_semi") for ids in some])
     listed = texts.select(F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "").alias("ws"))
     marked = F.transform("ws", lambda w, i: F.when(w == F.get("ws", i - 1), REPEAT).otherwise(w))
     counts = listed.select(F.explode(marked).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
