@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lexolith.streaming.redelivery import MICROS, timer_of
+from lexolith.streaming.buckets import MICROS, timer_of
 
 FIRST = "key string, event_id long"
 

@@ -1,8 +1,8 @@
 """Messages that come back by their own timers: claims, leases, fences and redelivery at the visible time, in event time.
 
-The state of a message's key is what is known of it (a value) and the steps that are still due (a list): deliveries, and
-ends of work that a delivery began. Every step has a timer. Nothing is done when a row arrives, only when the watermark
-has passed a step's time: then all due steps of the key are taken in the order of their times, so results do not hang on
+The state of a bucket of keys is what is known of their messages and the steps that are still due: deliveries, and ends of
+work that a delivery began. Its timer is that of the first step. Nothing is done when a row arrives, only when the watermark
+has passed a step's time: then all due steps of each key are taken in the order of their times, so results do not hang on
 the order or the batches in which rows came.
 
 A delivery claims the message, is skipped because it has ended, or meets a live lease. Work that was begun ends after the
@@ -13,22 +13,19 @@ while after its last step.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
-from typing import Any, NamedTuple
+from heapq import heapify, heappop, heappush
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from lexolith.streaming.buckets import BUCKETS, MICROS, Bucketed, in_buckets
 from lexolith.streaming.guard import RETENTION_SECONDS, Message, claimed, ended
 
 #: The state store that timers and lists need.
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
-MICROS = 1_000_000
 OUTCOME = "key string, event_id long, delivery int, at_us long, outcome string, attempts int, version long, visible_us long"
-_MESSAGE = "status string, attempts int, lease_us long, version long, last_us long"
-_STEP = "due_us long, ends boolean, event_id long, delivery int, takes_us long, failures int, version long"
 
 
 @dataclass(frozen=True)
@@ -72,71 +69,49 @@ def taken(message: Message, step: Step, timing: Timing) -> tuple[str, Message, S
 
 def due_steps(message: Message, pending: list[Step], until_us: int, timing: Timing) -> tuple[list[tuple], Message, list[Step], int]:
     """All steps up to a time, in order: (step, outcome, message after it, when it is visible again), what is left, and the last time."""
-    out, last = [], 0
-    while pending and (step := min(pending, key=lambda s: s.place)).due_us <= until_us:
-        pending.remove(step)
+    out, last, heap = [], 0, [(s.place, s) for s in pending]
+    heapify(heap)
+    while heap and heap[0][1].due_us <= until_us:
+        _, step = heappop(heap)
         outcome, message, after = taken(message, step, timing)
         out.append((step, outcome, message, None if after is None or after.ends else after.due_us))
         if after is not None:
-            pending.append(after)
+            heappush(heap, (after.place, after))
         last = step.due_us
-    return out, message, pending, last
+    return out, message, [s for _, s in heap], last
 
 
-def timer_of(us: int) -> int:
-    """The millisecond at which a timer of a time fires: not before it."""
-    return -(-us // 1000)
+class Redelivery(Bucketed):
+    """Of a key its message is known, and when its last step was."""
 
+    WAITING = "key string, due_us long, ends boolean, event_id long, delivery int, takes_us long, failures int, version long"
+    KNOWN = "key string, status string, attempts int, lease_us long, version long, last_us long"
+    keep_us = RETENTION_SECONDS * MICROS
 
-class Redelivery(StatefulProcessor):
     def __init__(self, timing: Timing) -> None:
         self.timing = timing
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.message = handle.getValueState("message", _MESSAGE)
-        self.pending = handle.getListState("pending", _STEP)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        steps = [Step(int(r.at_us), False, int(r.event_id), 1, int(r.takes_us), int(r.failures)) for batch in rows for r in batch.itertuples()]
-        self.pending.appendList([tuple(s) for s in steps])
-        for s in steps:
-            self.handle.registerTimer(timer_of(s.due_us))
-        return iter([])
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now_us = timerValues.getCurrentWatermarkInMs() * 1000
-        known = self.message.get() if self.message.exists() else None
-        message, last = (Message(*known[:4]), known[4]) if known else (Message(lease_until=0), 0)
-        pending = [Step(*s) for s in self.pending.get()]
-        out, message, left, at = due_steps(message, list(pending), now_us, self.timing)
-        if not out:
-            if not pending and last + RETENTION_SECONDS * MICROS <= now_us:
-                self.message.clear()
-            return iter([])
-        for s in left:
-            if s not in pending:
-                self.handle.registerTimer(timer_of(s.due_us))
-        self.pending.clear()
-        if left:
-            self.pending.put([tuple(s) for s in left])
-        else:
-            self.handle.registerTimer(timer_of(at + RETENTION_SECONDS * MICROS))
-        self.message.update((message.status, message.attempts, int(message.lease_until), message.version, at))
-        rows = [(key[0], s.event_id, s.delivery, s.due_us, outcome, m.attempts, m.version, visible) for s, outcome, m, visible in out]
-        columns = [c.split()[0] for c in OUTCOME.split(", ")]
-        return iter([pd.DataFrame(rows, columns=columns).astype({"visible_us": "Int64", "delivery": "int32", "attempts": "int32"})])
+    def arrived(self, rows: pd.DataFrame) -> list[list]:
+        n, given = len(rows), {c: rows[c].tolist() for c in ("key", "at_us", "event_id", "takes_us", "failures")}
+        return [given["key"], given["at_us"], [False] * n, given["event_id"], [1] * n, given["takes_us"], given["failures"], [0] * n]
+
+    def advanced(self, rows: list[tuple], known: tuple | None, now_us: int) -> tuple[list[tuple], list[tuple], tuple]:
+        message = Message(*known[:4]) if known else Message(lease_until=0)
+        out, message, left, last = due_steps(message, [Step(*r) for r in rows], now_us, self.timing)
+        found = [(s.event_id, s.delivery, s.due_us, outcome, m.attempts, m.version, visible) for s, outcome, m, visible in out]
+        return found, left, (message.status, message.attempts, int(message.lease_until), message.version, last)
 
-    def close(self) -> None:
-        pass
+    def frame(self, out: list[tuple]) -> pd.DataFrame:
+        columns = [c.split()[0] for c in OUTCOME.split(", ")]
+        return pd.DataFrame(out, columns=columns).astype({"visible_us": "Int64", "delivery": "int32", "attempts": "int32"})
 
 
-def delivered(rows: DataFrame, timing: Timing = Timing(), late_seconds: int = 3600) -> DataFrame:
+def delivered(rows: DataFrame, timing: Timing = Timing(), late_seconds: int = 3600, buckets: int = BUCKETS) -> DataFrame:
     """The outcome of every step of a stream of messages (key, event_id, ts, at_us, takes_us, failures), as far as the
     watermark, ``late_seconds`` behind the newest row, has come. Rows later than it are dropped.
 
     The session's state store must be the one of STORE.
     """
-    timed = rows.withWatermark("ts", f"{late_seconds} seconds")
-    return timed.groupBy("key").transformWithStateInPandas(Redelivery(timing), OUTCOME, "Append", "EventTime")
+    timed = rows.withWatermark("ts", f"{late_seconds} seconds").select("key", "event_id", "ts", "at_us", "takes_us", "failures")
+    return in_buckets(timed, Redelivery(timing), OUTCOME, buckets)
 
