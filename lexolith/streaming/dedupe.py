@@ -1,19 +1,15 @@
 """The first delivery of each key within a while of event time, whatever order rows come in.
 
-Rows wait in the key's state until the watermark has passed them and are then taken by time and id. A row is the first if
+Rows wait in the state of their key's bucket until the watermark has passed them and are then taken by time and id. A row is the first if
 no row of its key was handed on in the while before it; what is handed on, and not when it arrived, sets the next while.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lexolith.streaming.buckets import MICROS, timer_of
+from lexolith.streaming.buckets import BUCKETS, MICROS, Bucketed, in_buckets
 
 FIRST = "key string, event_id long"
 
@@ -28,45 +24,27 @@ def firsts(waiting: list[tuple[int, int]], last_us: int | None, within_us: int)
     return out, last_us
 
 
-class FirstWithin(StatefulProcessor):
+class FirstWithin(Bucketed):
+    """Of a key the time is known when it was last handed on; it is forgotten when the while after it is over."""
+
+    WAITING, KNOWN = "key string, at_us long, event_id long", "key string, last_us long"
+
     def __init__(self, within_us: int) -> None:
-        self.within_us = within_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "at_us long")
-        self.waiting = handle.getListState("waiting", "at_us long, event_id long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        arrived = [(int(r.at_us), int(r.event_id)) for batch in rows for r in batch.itertuples()]
-        self.waiting.appendList(arrived)
-        for at, _ in arrived:
-            self.handle.registerTimer(timer_of(at))
-        return iter([])
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now_us = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = [tuple(r) for r in self.waiting.get()]
-        last = self.last.get()[0] if self.last.exists() else None
-        due = [r for r in waiting if r[0] <= now_us]
-        if not due:
-            if not waiting and last is not None and last + self.within_us <= now_us:
-                self.last.clear()  # the key is forgotten
-            return iter([])
-        out, last = firsts(due, last, self.within_us)
-        self.waiting.clear()
-        if left := [r for r in waiting if r[0] > now_us]:
-            self.waiting.put(left)
-        self.last.update((last,))
-        self.handle.registerTimer(timer_of(last + self.within_us))
-        return iter([pd.DataFrame({"key": [key[0]] * len(out), "event_id": out})] if out else [])
-
-    def close(self) -> None:
-        pass
-
-
-def first_within(rows: DataFrame, seconds: int, late_seconds: int = 3600) -> DataFrame:
+        self.keep_us = within_us
+
+    def arrived(self, rows: pd.DataFrame) -> list[list]:
+        return [rows[c].tolist() for c in ("key", "at_us", "event_id")]
+
+    def advanced(self, rows: list[tuple], known: tuple | None, now_us: int) -> tuple[list[tuple], list[tuple], tuple]:
+        out, last = firsts([r for r in rows if r[0] <= now_us], known and known[0], self.keep_us)
+        return [(event_id,) for event_id in out], [r for r in rows if r[0] > now_us], (last,)
+
+    def frame(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["key", "event_id"])
+
+
+def first_within(rows: DataFrame, seconds: int, late_seconds: int = 3600, buckets: int = BUCKETS) -> DataFrame:
     """key and event_id of the first rows of a stream (key, event_id, ts, at_us) within ``seconds``, of equal times the least
     id, as far as the watermark, ``late_seconds`` behind the newest row, has come. The state store must be that of STORE."""
-    timed = rows.withWatermark("ts", f"{late_seconds} seconds")
-    return timed.groupBy("key").transformWithStateInPandas(FirstWithin(seconds * MICROS), FIRST, "Append", "EventTime")
+    timed = rows.withWatermark("ts", f"{late_seconds} seconds").select("key", "event_id", "ts", "at_us")
+    return in_buckets(timed, FirstWithin(seconds * MICROS), FIRST, buckets)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexolith.streaming import buckets, guard, redelivery
+from lexolith.streaming import buckets, dedupe, guard, redelivery
 
 S = redelivery.MICROS
 DAY = 86_400 * S
@@ -29,7 +29,7 @@ def timers_of(spark, path, transform):
     return sum(op["customMetrics"]["numRegisteredTimers"] for p in running.recentProgress for op in p["stateOperators"])
 
 
-@pytest.mark.parametrize("transform", [redelivery.delivered], ids=["timers"])
+@pytest.mark.parametrize("transform", [lambda e: dedupe.first_within(e, 3600), redelivery.delivered], ids=["dedupe", "timers"])
 def test_timers_are_as_many_as_buckets_not_as_rows(spark, tmp_path, transform):
     rows = [(f"k{i % 20}", i, DAY + i * 61 * S, 0, 0) for i in range(400)]
     written(spark, f"{tmp_path}/rows", [*rows, ("end", 999, 30 * DAY, 0, 0)])
@@ -41,7 +41,7 @@ def test_one_bucket_or_many_give_the_same(spark, tmp_path):
     first = [("a", 1, DAY, 60 * S, 0), ("b", 2, DAY + 5 * S, 900 * S, 3), ("b", 3, DAY + 2 * S, 0, 0), ("b", 4, DAY + 900 * S, 0, 1)]
     files = [first, *([("b", 10 + d, d * DAY, 60 * S, 4), ("c", 20 + d, d * DAY, 0, 9)] for d in (10, 15)), [("a", 40, 20 * DAY, 0, 0)], [("end", 50, 40 * DAY, 0, 0)]]
     written(spark, f"{tmp_path}/many", *files)
-    for transform in (lambda e, n: redelivery.delivered(e, buckets=n),):
+    for transform in (lambda e, n: redelivery.delivered(e, buckets=n), lambda e, n: dedupe.first_within(e, 86_400, buckets=n)):
         one, many = ([tuple(r) for r in guard.replayed(spark, f"{tmp_path}/many", lambda e, n=n: transform(e, n), settings=redelivery.STORE, files_at_once=1).collect()] for n in (1, 4096))
         assert sorted(map(repr, one)) == sorted(map(repr, many)) and {r[0] for r in one} == {"a", "b", "c"}
         assert {r[1] for r in one if r[0] == "a"} == {1, 40}
