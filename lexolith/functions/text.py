@@ -18,6 +18,14 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{Alnum}]+"), lambda t: t != "")
 
 
+_ALNUM = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """tokens() of a text in a worker; all bytes of other characters than ASCII ones separate."""
+    return (text or "").lower().encode().translate(_ALNUM).split()
+
+
 def shingles(words: Column, size: int) -> Column:
     """The distinct runs of ``size`` words, in first-seen order; a shorter non-empty text is one shingle."""
 

@@ -1,17 +1,26 @@
 """Refinement of ranked pools: containment, similarity and diversity.
 
 These steps depend on order, so each query's pool, a few dozen rows by construction, is folded as one array; the queries
-are what is spread over the cluster.
+are what is spread over the cluster. Texts of a pool are compared as numbers in an Arrow table, once for all its pairs.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import chain, count
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexolith.functions.text import is_blank, shingles, tokens
+from lexolith.functions.text import shingles, tokens, words_of
 from lexolith.functions.vectors import similarity
 
+#: Shingles of a pool that are held against its texts at once.
+SHINGLES_AT_ONCE = 8192
+
 
 def _pools(hits: DataFrame, *columns: str) -> DataFrame:
     """A row for each query with its pool in rank order."""
@@ -35,13 +44,53 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(0.0)
 
 
+def shared_shingles(texts: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many distinct shingles each text, a list of words, has, and how many each two of them share: exact, by numbers that
+    stand for runs of words. A text of fewer words is one shingle, none without words."""
+    numbers: defaultdict[bytes | None, int] = defaultdict(count().__next__)
+    padded = [w + [None] * (size - len(w)) if w else w for w in texts]
+    lengths = np.array([len(w) for w in padded], np.int64)
+    flat = np.fromiter(map(numbers.__getitem__, chain.from_iterable(padded)), np.int64, lengths.sum())
+    place = np.arange(flat.size) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    start = np.flatnonzero(place + size <= np.repeat(lengths, lengths))
+    text, different = np.repeat(np.arange(lengths.size), lengths)[start], max(1, len(numbers))
+    fits = different**size * max(1, lengths.size) < 1 << 63
+    code = flat[start]
+    for i in range(1, size):
+        code = code * different + flat[start + i]
+        if not fits:  # runs of i + 1 words, numbered anew
+            code = np.unique(code, return_inverse=True)[1]
+    each = np.sort(code * lengths.size + text)
+    code, text = np.divmod(each[np.diff(each, prepend=-1) > 0], max(1, lengths.size))
+    code = np.cumsum(np.diff(code, prepend=code[:1]) > 0)  # runs numbered, in order
+    own = np.bincount(text, minlength=lengths.size)
+    often = np.bincount(code)[code] > 1  # the others are nobody else's
+    code, text = code[often], text[often]
+    code = np.cumsum(np.diff(code, prepend=code[:1]) > 0)
+    both = np.zeros((lengths.size, lengths.size))
+    for at in range(0, int(code.max(initial=-1)) + 1, SHINGLES_AT_ONCE):
+        some = slice(*np.searchsorted(code, (at, at + SHINGLES_AT_ONCE)))
+        held = np.zeros((lengths.size, SHINGLES_AT_ONCE), np.float32)
+        held[text[some], code[some] - at] = 1
+        both += held @ held.T
+    return own, both
+
+
 def without_contained(hits: DataFrame, size: int = 3, threshold: float = 0.95, id_col: str = "doc_id", text_col: str = "chunk") -> DataFrame:
     """query_id, rank, ``id_col`` of ``hits`` whose text is not covered by a better one that stays. Blank texts stay."""
-    rows = hits.withColumn("shingles", F.when(is_blank(F.col(text_col)), F.array().cast("array<bigint>")).otherwise(shingle_hashes(F.col(text_col), size)))
-    pools = _pools(rows, id_col, "shingles")
-    kind = pools.schema["pool"].dataType.simpleString()
-    kept = _kept(pools, kind, lambda x, k: containment(x["shingles"], k["shingles"]) >= threshold)
-    return kept.select("query_id", "x.rank", f"x.{id_col}")
+    rows = hits.select("query_id", "rank", id_col, text_col)
+
+    def kept(pool: pa.Table) -> pa.Table:
+        pool = pool.sort_by([("rank", "ascending"), (id_col, "ascending")])
+        own, both = shared_shingles([words_of(t.as_py()) for t in pool[text_col]], size)
+        stay: list[int] = []
+        for i in range(pool.num_rows):
+            share = both[i, stay] / own[i] if own[i] else np.zeros(len(stay))
+            if not (share >= threshold).any():
+                stay.append(i)
+        return pool.select(["query_id", "rank", id_col]).take(pa.array(stay, pa.int64()))
+
+    return rows.groupBy("query_id").applyInArrow(kept, T.StructType([rows.schema[c] for c in ("query_id", "rank", id_col)]))
 
 
 def without_similar(hits: DataFrame, threshold: float = 0.95, id_col: str = "doc_id") -> DataFrame:
