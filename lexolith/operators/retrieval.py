@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -14,13 +13,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexolith.functions.text import tokens
-from lexolith.sources.shared import shared_folder
+from lexolith.functions.text import tokens, words_of
+from lexolith.sources.shared import shared_folder, written
 
 #: Queries that are held against all chunks at once, and bytes of their vectors and terms in them; more go in blocks.
 QUERIES_PER_BLOCK, BLOCK_BYTES, TERMS_PER_BLOCK = 2048, 64 << 20, 2_000_000
+#: Blocks of queries, each a pass over all texts, may be so many times as large for texts as for vectors.
+TEXT_BLOCKS = 4
 #: Pairs of queries and chunks scored at once.
 PAIRS_AT_ONCE = 2_000_000
+#: Terms that meet in a matrix product, at most, and the share of all pairs of queries and chunks that must hold one; the
+#: others are added where they occur, for as many chunks together as make so many sums.
+OFTEN, OFTEN_SHARE, SUMS_AT_ONCE = 512, 0.006, 8192
+#: Parts of the chunks' terms for each core: scoring a part costs as much as it has chunks, however few bytes they are.
+PARTS_PER_CORE, ROWS_PER_PART = 3, 1024
+#: Chunks whose terms a worker holds as lists at once.
+ROWS_AT_ONCE = 2048
 #: Scores are compared to so many places, so that ranks do not hang on the order of a sum.
 PLACES = 6
 #: Fixed values of the published formulas: BM25's saturation and length weight, and the rank constant of the fusion.
@@ -68,8 +76,9 @@ def rounded(values: np.ndarray) -> np.ndarray:
 
 
 def exact_scores(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Scores as similarity() gives them, rounded: products in the vectors' own precision, sums in double."""
-    return rounded((query[None, :] * vectors).astype(np.float64).sum(axis=1)) + 0.0
+    """Scores of one query, or one for each vector, as similarity() gives them, rounded: products in the vectors' own precision,
+    sums in double."""
+    return rounded((query * vectors).astype(np.float64).sum(axis=1)) + 0.0
 
 
 def nearly_best(scores: np.ndarray, k: int, floor: float) -> np.ndarray:
@@ -117,8 +126,8 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, tags: Column | None =
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             asked, tag = sent.value
-            best, kind, arrow_id = Best(len(asked), k), np.float64, None
-            by_size = {n: [i for i, v in enumerate(asked) if v is not None and len(v) == n] for n in {len(v) for v in asked if v is not None}}
+            best, kind, arrow_id = Leaders(len(asked), k), np.float64, None
+            by_size = {n: np.array([i for i, v in enumerate(asked) if v is not None and len(v) == n]) for n in {len(v) for v in asked if v is not None}}
             for batch in batches:
                 arrow_id = batch.schema.field(0).type
                 if pa.types.is_float32(batch.schema.field(1).type.value_type):
@@ -128,33 +137,35 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, tags: Column | None =
                     some = batch.slice(at, step)
                     ids, vectors = np.array(some.column(0).to_pylist()), some.column(1)
                     sizes = np.array([-1 if n is None else n for n in vectors.value_lengths().to_pylist()])
-                    of_tag = {t: np.array([t in (x or ()) for x in some.column(2).to_pylist()], np.bool_) for t in set(tag)} if tag is not None else {}
-                    scores = np.zeros((len(asked), len(ids)))
-                    exact = {}
+                    scores, exact = np.zeros((len(asked), len(ids))), []
                     for n, at_queries in by_size.items():
                         rows_at = np.flatnonzero(sizes == n)
                         if rows_at.size:
-                            q = np.array([asked[i] for i in at_queries], kind).reshape(len(at_queries), n)
+                            q = np.array([asked[i] for i in at_queries], kind).reshape(at_queries.size, n)
                             v = vectors.take(pa.array(rows_at)).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(rows_at.size, n)
                             product = q.astype(np.float64) @ v.T.astype(np.float64)
-                            if rows_at.size == len(ids) and len(at_queries) == len(asked):
+                            if rows_at.size == len(ids) and at_queries.size == len(asked):
                                 scores = product
                             else:
                                 scores[np.ix_(at_queries, rows_at)] = product
-                            place = np.full(len(ids), -1)
-                            place[rows_at] = np.arange(rows_at.size)
-                            exact |= {i: (q[j], v, place) for j, i in enumerate(at_queries)}
-                    for i in range(len(asked)):
-                        own = scores[i] if tag is None else np.where(of_tag[tag[i]], scores[i], -np.inf)
-                        found = nearly_best(own, k, best.floor[i])
-                        if i in exact and found.size:
-                            vector, v, place = exact[i]
-                            same = place[found]
-                            values = np.where(same >= 0, exact_scores(vector, v[same]), 0.0)
-                        else:
-                            values = np.zeros(found.size)
-                        if found.size:
-                            best.add(i, values, ids[found])
+                            of_query, of_row = np.full(len(asked), -1), np.full(len(ids), -1)
+                            of_query[at_queries], of_row[rows_at] = np.arange(at_queries.size), np.arange(rows_at.size)
+                            exact.append((of_query, q, of_row, v))
+                    if np.isnan(scores).any():
+                        scores[np.isnan(scores)] = -np.inf
+                    if tag is not None:
+                        of_tag = {t: np.array([t in (x or ()) for x in some.column(2).to_pylist()], np.bool_) for t in set(tag)}
+                        for i, t in enumerate(tag):
+                            scores[i, ~of_tag[t]] = -np.inf
+                    query, row = best.near(scores, 4 * 10.0**-PLACES)
+                    values = np.zeros(query.size)
+                    for of_query, q, of_row, v in exact:
+                        same = np.flatnonzero((of_query[query] >= 0) & (of_row[row] >= 0))
+                        piece = max(1, PAIRS_AT_ONCE // max(1, q.shape[1]))
+                        for some_of in (same[at_pair : at_pair + piece] for at_pair in range(0, same.size, piece)):
+                            values[some_of] = exact_scores(q[of_query[query[some_of]]], v[of_row[row[some_of]]])
+                    if query.size:
+                        best.add(query, values, ids[row])
             if arrow_id is not None:
                 yield best.batch(["at", id_col, "score"], arrow_id)
 
@@ -208,70 +219,168 @@ def similar(queries: DataFrame, chunks: DataFrame, threshold: float, id_col: str
     return reduce(DataFrame.unionAll, parts)
 
 
+class Leaders:
+    """The k best (score, id) of all queries of a block so far, sorted together: higher scores first, then lesser ids."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.floor, self.new = k, np.full(queries, -np.inf), 0
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def near(self, scores: np.ndarray, edge: float, over: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and columns of ``scores``, a row for each query, that are more than ``over`` and, give or take ``edge``, may be
+        among the k best."""
+        least = np.maximum(self.floor - edge, np.nextafter(over, np.inf))
+        at = scores >= least[:, None]
+        if scores.shape[1] > self.k and np.count_nonzero(at) > 2 * self.k * self.floor.size:
+            at = scores >= np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k] - edge)[:, None]
+        return np.nonzero(at)
+
+    def add(self, query: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        self.found.append((query, scores, ids))
+        self.new += query.size
+        if self.new > max(100_000, self.floor.size * self.k):
+            self.settle()
+
+    def settle(self) -> None:
+        query, scores, ids = map(np.concatenate, zip(*self.found))
+        order = np.lexsort((ids, -scores, query))
+        counts = np.bincount(query, minlength=self.floor.size)
+        place = np.arange(order.size) - np.repeat(np.cumsum(counts) - counts, counts)
+        order, place = order[place < self.k], place[place < self.k]
+        query, scores, ids = query[order], scores[order], ids[order]
+        self.found, self.new = [(query, scores, ids)], 0
+        self.floor[query[place == self.k - 1]] = scores[place == self.k - 1]
+
+    def batch(self, names: list[str], id_type: pa.DataType) -> pa.RecordBatch:
+        if self.found:
+            self.settle()
+        query, scores, ids = self.found[0] if self.found else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(ids.tolist(), id_type), pa.array(scores, pa.float64())], names=names)
+
+
+class QueryTerms:
+    """The terms of a block of queries as workers need them: for each its weight, the queries (by place) that hold it, and whether
+    so many queries and chunks do that a matrix product is the shorter way."""
+
+    def __init__(self, owner: np.ndarray, term: np.ndarray, df: np.ndarray, n: int, queries: int, mean: float) -> None:
+        self.queries, self.mean = queries, mean
+        self.flat = owner[np.argsort(term, kind="stable")]
+        self.counts = np.bincount(term, minlength=df.size)
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        share = self.counts / max(1, queries) * (df / max(1, n))
+        often = np.argsort(-share, kind="stable")[:OFTEN]
+        self.often = often[share[often] > OFTEN_SHARE]
+
+    def holding(self) -> np.ndarray:
+        """A row for each frequent term, a column for each query: 1 where the query holds it."""
+        held = np.zeros((self.often.size, self.queries))
+        for i, term in enumerate(self.often):
+            held[i, self.flat[self.starts[term] : self.starts[term] + self.counts[term]]] = 1
+        return held
+
+    def scores(self, held: np.ndarray, place: np.ndarray, terms: np.ndarray, tfs: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """A row for each query, a column for each chunk; a chunk has so many (``sizes``) of ``terms`` and a length. ``held`` is of
+        holding(), ``place`` has the row of a frequent term there, -1 of others."""
+        chunk = np.repeat(np.arange(sizes.size), sizes)
+        adds = self.idf[terms] * (tfs * (K1 + 1) / (tfs + K1 * (1 - B + B * lengths[chunk] / self.mean)))
+        row = place[terms]
+        often = row >= 0
+        weights = np.zeros((sizes.size, self.often.size))
+        weights[chunk[often], row[often]] = adds[often]
+        scores = weights @ held
+        terms, chunk, adds = terms[~often], chunk[~often], adds[~often]
+        counts, starts = self.counts[terms], self.starts[terms]
+        from_, to = starts.tolist(), (starts + counts).tolist()
+        group = max(1, SUMS_AT_ONCE // max(1, self.queries))
+        ends = np.searchsorted(chunk, np.arange(0, sizes.size + group, group)).tolist()
+        for n, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+            if a < b:
+                own = scores[n * group : (n + 1) * group]
+                at = np.concatenate([self.flat[x:y] for x, y in zip(from_[a:b], to[a:b])])
+                if group > 1:
+                    at = at + np.repeat((chunk[a:b] - n * group) * self.queries, counts[a:b])
+                own += np.bincount(at, np.repeat(adds[a:b], counts[a:b]), own.size).reshape(own.shape)
+        return np.ascontiguousarray(scores.T)
+
+
 def best_texts(queries: DataFrame, chunks: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "chunk") -> DataFrame:
     """query_id, ``id_col``, score, rank: the ``k`` chunks with the highest BM25 scores for each query (query_id, query_text).
 
-    A query's distinct terms are alternatives; a chunk without any of them is no candidate. Chunks are read twice where
-    they lie, for the numbers of chunks that hold each term of a block of queries and for the scores, and each partition
-    hands on its k best: no posting moves, so frequent terms cost no more than they occur.
+    A query's distinct terms are alternatives; a chunk without any of them is no candidate. Texts are read once for a block
+    of queries: what is written of a chunk is its length and, as numbers, the block's terms in it. Those are counted, dealt
+    evenly and scored, frequent terms by a matrix product, and each part hands on its k best of each query.
     """
     spark, parts = chunks.sparkSession, []
     asked = queries.select("query_id", F.array_distinct(tokens(F.col("query_text"))).alias("terms"))
-    most = asked.agg(F.max(F.size("terms"))).first()[0] or 1
+    n_asked, n_terms = asked.agg(F.count("*"), F.sum(F.size("terms"))).first()
     rows = chunks.select(id_col, text_col)
-    schema = T.StructType([T.StructField("at", T.LongType()), T.StructField(id_col, rows.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
-    words_of = re.compile("[a-z0-9]+").findall
-    blocks = blocks_of(asked, min(QUERIES_PER_BLOCK, TERMS_PER_BLOCK // max(1, most)))
+    id_field = T.StructField(id_col, rows.schema[id_col].dataType)
+    schema = T.StructType([T.StructField("at", T.LongType()), id_field, T.StructField("score", T.DoubleType())])
+    coded_schema = T.StructType([id_field, T.StructField("length", T.LongType()), *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("terms", "tfs"))])
+    cores = spark.sparkContext.defaultParallelism
+    blocks = blocks_of(asked, min(TEXT_BLOCKS * QUERIES_PER_BLOCK, max(1, TERMS_PER_BLOCK * n_asked // max(1, n_terms or 0))))
     for block in blocks:
         table = block.toArrow()
-        holders: dict[str, list[int]] = {}
-        for i, terms in enumerate(table["terms"].to_pylist()):
-            for t in terms:
-                holders.setdefault(t, []).append(i)
-        wanted = spark.sparkContext.broadcast({t: n for n, t in enumerate(holders)})
-
-        def count(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
-            places, df, n, length = wanted.value, Counter(), 0, 0
+        lists = table["terms"].combine_chunks()
+        names = lists.flatten().dictionary_encode()
+        owner, term = lists.value_parent_indices().to_numpy(zero_copy_only=False), names.indices.to_numpy(zero_copy_only=False)
+        wanted = spark.sparkContext.broadcast({t.encode(): i for i, t in enumerate(names.dictionary.to_pylist())})
+        different = len(names.dictionary)
+
+        def code(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
+            code_of = wanted.value.get
+            for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
+                lengths, ends, terms, tfs = [], [0], array("i"), array("i")
+                for text in batch.column(1):
+                    words = words_of(text.as_py())
+                    found = Counter(map(code_of, words))
+                    found.pop(None, None)
+                    lengths.append(len(words))
+                    terms.extend(found.keys())
+                    tfs.extend(found.values())
+                    ends.append(len(terms))
+                ends = pa.array(ends, pa.int32())
+                listed = [pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(v, np.int32))) for v in (terms, tfs)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), *listed], names=[id_col, "length", "terms", "tfs"])
+
+        coded = written(rows.mapInArrow(code, coded_schema), "terms")
+
+        def count(batches: Iterator[pa.RecordBatch], different=different) -> Iterator[pa.RecordBatch]:
+            df, n, length = np.zeros(different, np.int64), 0, 0
             for batch in batches:
-                for text in batch.column(0):
-                    words = words_of((text.as_py() or "").lower())
-                    df.update(places[w] for w in set(words) if w in places)
-                    n, length = n + 1, length + len(words)
-            yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *df], pa.int64()), pa.array([n, length, *df.values()], pa.int64())], names=["term", "n"])
-
-        sums = chunks.select(text_col).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        df = dict(map(tuple, sums.collect()))  # a row for each term of the block
-        n, length = df.get(-2, 0), df.get(-1, 0)
-        idf = [math.log(1 + (n - df.get(i, 0) + 0.5) / (df.get(i, 0) + 0.5)) for i in range(len(holders))]
-        sent = spark.sparkContext.broadcast((idf, [np.array(v) for v in holders.values()], table.num_rows, length / max(1, n)))
-
-        def run(batches: Iterator[pa.RecordBatch], wanted=wanted, sent=sent) -> Iterator[pa.RecordBatch]:
-            places, (idf, holders, n_queries, mean) = wanted.value, sent.value
-            best, arrow_id = Best(n_queries, k), None
+                df += np.bincount(batch.column(1).flatten().to_numpy(zero_copy_only=False), minlength=different)
+                n, length = n + batch.num_rows, length + int(batch.column(0).to_numpy().sum())
+            some = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append([-2, -1], some)), pa.array(np.append([n, length], df[some]))], names=["term", "n"])
+
+        sums = coded.select("length", "terms").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the block
+        place, value = sums["term"].to_numpy(), sums["n"].to_numpy()
+        n, length = (int(value[place == i].sum()) for i in (-2, -1))
+        df = np.zeros(different)
+        df[place[place >= 0]] = value[place >= 0]
+        sent = spark.sparkContext.broadcast(QueryTerms(owner, term, df, n, table.num_rows, length / max(1, n)))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            asked, best, arrow_id = sent.value, None, None
             for batch in batches:
-                arrow_id = batch.schema.field(0).type
-                step = max(1, PAIRS_AT_ONCE // max(1, n_queries))
+                if best is None:
+                    best, arrow_id, held = Leaders(asked.queries, k), batch.schema.field(0).type, asked.holding()
+                    place = np.full(asked.idf.size, -1)
+                    place[asked.often] = np.arange(asked.often.size)
+                step = max(1, PAIRS_AT_ONCE // max(1, asked.queries))
                 for at in range(0, batch.num_rows, step):
                     some = batch.slice(at, step)
-                    ids, scores = np.array(some.column(0).to_pylist()), np.zeros((some.num_rows, n_queries))
-                    for row, text in enumerate(some.column(1)):
-                        words = words_of((text.as_py() or "").lower())
-                        found = Counter(w for w in words if w in places)
-                        damp = K1 * (1 - B + B * len(words) / mean) if mean else 0.0
-                        for w, tf in found.items():
-                            i = places[w]
-                            scores[row, holders[i]] += idf[i] * (tf * (K1 + 1) / (tf + damp))
-                    for q in range(n_queries):
-                        own = scores[:, q]
-                        top = min(k, own.size)
-                        floor = max(best.floor[q], np.partition(own, -top)[-top]) - 2 * 10.0**-PLACES
-                        hit = np.flatnonzero((own >= floor) & (own > 0))
-                        if hit.size:
-                            best.add(q, rounded(own[hit]), ids[hit])
-            if arrow_id is not None:
+                    terms, tfs = (c.flatten().to_numpy(zero_copy_only=False) for c in some.columns[2:])
+                    scores = asked.scores(held, place, terms, tfs, some.column(2).value_lengths().to_numpy(zero_copy_only=False), some.column(1).to_numpy())
+                    query, row = best.near(scores, 2 * 10.0**-PLACES, 0.0)
+                    if query.size:
+                        best.add(query, rounded(scores[query, row]), np.array(some.column(0).to_pylist())[row])
+            if best is not None:
                 yield best.batch(["at", id_col, "score"], arrow_id)
 
-        found = named(rows.mapInArrow(run, schema), spark, table["query_id"].to_pylist(), asked)
+        dealt = coded.repartition(max(1, min(PARTS_PER_CORE * cores, -(-n // ROWS_PER_PART))), id_col)
+        found = named(dealt.mapInArrow(run, schema), spark, table["query_id"].to_pylist(), asked)
         parts.append(alone(ranked(found.select("query_id", id_col, "score"), k, id_col=id_col), sent, len(blocks)))
         if len(blocks) > 1:
             wanted.destroy()
